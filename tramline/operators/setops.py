@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -46,14 +46,11 @@ def cleaning_summary(df: DataFrame, city: str = "city", source_file: str = "sour
     )
 
 
-def file_report(before: Mapping[tuple[str, str], DataFrame], after: Mapping[tuple[str, str], DataFrame]) -> DataFrame:
-    """Rows before and after cleaning, one row per (city, file)."""
-    def counted(frames, label):
-        return reduce(DataFrame.unionByName, [
-            df.agg(F.count("*").alias(label)).select(
-                F.lit(city).alias("city"), F.lit(name).alias("source_file"), label
-            )
-            for (city, name), df in frames.items()
-        ])
-
-    return counted(before, "rows_in").join(counted(after, "rows_out"), ["city", "source_file"], "left")
+def file_report(
+    before: DataFrame, after: DataFrame, city: str = "city", source_file: str = "source_file"
+) -> DataFrame:
+    """Rows before and after cleaning, per city and file of the tagged tables."""
+    keys = [city, source_file]
+    rows_in = before.groupBy(*keys).agg(F.count("*").alias("rows_in"))
+    rows_out = after.groupBy(*keys).agg(F.count("*").alias("rows_out"))
+    return rows_in.join(rows_out, keys, "left").fillna(0, subset=["rows_out"])
