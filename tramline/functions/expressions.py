@@ -34,13 +34,30 @@ def html_escape(c: str | Column) -> Column:
 
 # --- time of day ------------------------------------------------------------
 
+# Hours may pass 24; one- or two-digit minutes and seconds.
+CLOCK = r"^\s*\d{1,3}:[0-5]?\d:[0-5]?\d\s*$"
+
+
+def is_clock(hms: str | Column) -> Column:
+    return col(hms).rlike(CLOCK)
+
+
+def _clock_parts(hms: str | Column) -> tuple[Column, Column, Column]:
+    text = F.trim(col(hms), F.lit(" \t\r\n"))
+    middle = F.substring_index(F.substring_index(text, ":", 2), ":", -1)
+    parts = (F.substring_index(text, ":", 1), middle, F.substring_index(text, ":", -1))
+    return tuple(part.try_cast("int") for part in parts)
+
+
 def seconds_of(hms: str | Column) -> Column:
-    """``HH:MM:SS`` text to seconds; hours may pass 24, anything else is null."""
-    text = strip(hms)
-    parts = F.split(text, ":")
-    hours, minutes, seconds = (F.get(parts, F.lit(i)).try_cast("int") for i in range(3))
-    valid = text.rlike(r"^\d{1,3}:[0-5]?\d:[0-5]?\d$")
-    return F.when(valid, hours * 3600 + minutes * 60 + seconds)
+    """``HH:MM:SS`` text to seconds since the start of the service day, else null."""
+    hours, minutes, seconds = _clock_parts(hms)
+    return F.when(is_clock(hms), hours * 3600 + minutes * 60 + seconds)
+
+
+def clock_hour(hms: str | Column) -> Column:
+    """Clock hour of ``HH:MM:SS`` text, read from its first part alone."""
+    return F.when(is_clock(hms), _clock_parts(hms)[0] % 24)
 
 
 def hour_of(seconds: str | Column) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator, Model
@@ -75,6 +74,7 @@ def fit_grid(
     The full ranges take up to 27 fits per fold, so they are an option; ``ranges`` may
     give shorter ones per algorithm.  Tables of 100 rows or fewer are fitted as they are.
     """
+    train, test = train.persist(), test.persist()
     rows = train.count()
     regression = task == "regression"
     evaluator = (
@@ -101,13 +101,11 @@ def fit_grid(
             name, model, evaluator.evaluate(model.transform(train)), evaluator.evaluate(scored),
             RegressionEvaluator(metricName="mse").evaluate(scored) if regression else None,
         ))
+    train.unpersist()
+    test.unpersist()
     return fitted
 
 
-def grid_size(ranges: dict[str, list]) -> int:
-    return len(list(product(*ranges.values())))
-
-
 def metrics_table(spark, target: str, task: str, fitted: list[Fitted]) -> DataFrame:
     rows = [(target, task, f.algorithm, f.train_score, f.test_score, f.test_mse) for f in fitted]
     return spark.createDataFrame(

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tramline.functions.expressions import hour_of, is_peak, seconds_of
+from tramline.functions.expressions import clock_hour, is_clock, is_peak, seconds_of
+from tramline.operators.joins import ordering
 
 
 def hourly_demand(
@@ -18,8 +19,8 @@ def hourly_demand(
     those counts meet routes and stops.
     """
     counted = (
-        stop_times.select("trip_id", "stop_id", hour_of(seconds_of(arrival)).alias("hour"))
-        .filter(F.col("hour").isNotNull())
+        stop_times.filter(is_clock(arrival))
+        .select("trip_id", "stop_id", clock_hour(arrival).alias("hour"))
         .join(trips.select("trip_id", "route_id"), "trip_id")
         .groupBy("route_id", "stop_id", "hour")
         .agg(F.count("*").alias("visits"))
@@ -64,8 +65,8 @@ def demand_by_place(demand: DataFrame) -> DataFrame:
 
 
 def service_by_hour(stop_times: DataFrame, arrival: str = "arrival_time") -> DataFrame:
-    hour = hour_of(seconds_of(arrival)).alias("hour")
-    return stop_times.select(hour).filter("hour IS NOT NULL").groupBy("hour").agg(F.count("*").alias("n"))
+    hour = clock_hour(arrival).alias("hour")
+    return stop_times.filter(is_clock(arrival)).groupBy(hour).agg(F.count("*").alias("n"))
 
 
 def trip_durations(stop_times: DataFrame, arrival: str = "arrival_time") -> DataFrame:
@@ -108,13 +109,13 @@ def headways(
     Rows in the same second follow each other at distance 0; only the first of them
     (by ``order_by``) carries the gap.
     """
-    rows = stop_times.withColumn("arrival_s", seconds_of(arrival)).filter("arrival_s IS NOT NULL")
-    moments = rows.groupBy("stop_id", "arrival_s").agg(F.min(F.struct(*order_by)).alias("first_row"))
+    rows = stop_times.filter(is_clock(arrival)).withColumn("arrival_s", seconds_of(arrival))
+    moments = rows.groupBy("stop_id", "arrival_s").agg(F.min(ordering(order_by)).alias("first_row"))
     gap = F.col("arrival_s") - F.lag("arrival_s").over(
         Window.partitionBy("stop_id").orderBy("arrival_s")
     )
     gaps = moments.withColumn("gap_s", gap)
-    leads = F.struct(*order_by) == F.col("first_row")
+    leads = ordering(order_by) == F.col("first_row")
     return (
         rows.join(gaps, ["stop_id", "arrival_s"])
         .withColumn("headway_s", F.when(leads, F.col("gap_s")).otherwise(0))
@@ -125,8 +126,8 @@ def headways(
 def service_gaps(stop_times: DataFrame, arrival: str = "arrival_time") -> DataFrame:
     """Per stop: calls, mean and longest headway, from the folded arrivals alone."""
     moments = (
-        stop_times.select("stop_id", seconds_of(arrival).alias("arrival_s"))
-        .filter("arrival_s IS NOT NULL")
+        stop_times.filter(is_clock(arrival))
+        .select("stop_id", seconds_of(arrival).alias("arrival_s"))
         .groupBy("stop_id", "arrival_s")
         .agg(F.count("*").alias("calls"))
     )

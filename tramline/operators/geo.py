@@ -83,7 +83,8 @@ def near_stops(
         .groupBy("lat", "lon")
         .agg(
             F.sum("stops_here").alias("n_near"),
-            F.min(F.struct("metres", "place_stop")).alias("nearest"),
+            # Distances that agree to the millimetre tie; the lower stop id wins.
+            F.min(F.struct(F.round("metres", 3).alias("metres"), "place_stop")).alias("nearest"),
         )
         .select(
             F.col("lat").alias(lat), F.col("lon").alias(lon), "n_near",

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tramline.operators.stops import with_source
@@ -129,21 +129,29 @@ def direct_routes(
             "from_id", "to_id", "route_id", "trip_from", "trip_to"
         )
     )
+    # A trip has one route, so the lowest starting trip names the hit on its own.
     first = hits.groupBy("from_id", "to_id").agg(
-        F.min(F.struct("trip_from", "trip_to", "route_id")).alias("hit")
+        F.min_by("route_id", "trip_from").alias("route_id"),
+        F.min_by("trip_to", "trip_from").alias("trip_to"),
+        F.min("trip_from").alias("trip_from"),
     )
     return pairs.join(first, ["from_id", "to_id"], "left").select(
-        pairs["*"], "hit.route_id", "hit.trip_from", "hit.trip_to"
+        pairs["*"], "route_id", "trip_from", "trip_to"
     )
 
 
+def ordering(columns: Sequence[str]) -> Column:
+    """Sort key for ``min_by``: a lone number keeps the aggregate hash-based, a struct sorts."""
+    return F.col(columns[0]) if len(columns) == 1 else F.struct(*columns)
+
+
 def fare_lookup(
     pairs: DataFrame, fares: DataFrame, order_by: Sequence[str] = ("id",), amount: str = "fare_amount"
 ) -> DataFrame:
     """First fare (lowest ``order_by``) of each (from_id, to_id); null if there is none."""
     first = fares.groupBy(
         F.col("start_station_id").alias("from_id"), F.col("end_station_id").alias("to_id")
-    ).agg(F.min_by(amount, F.struct(*order_by)).alias("fare_amount"))
+    ).agg(F.min_by(amount, ordering(order_by)).alias("fare_amount"))
     return pairs.join(first, ["from_id", "to_id"], "left")
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tramline.functions.expressions import strip, title_case
 from tramline.functions.fixed_values import NO_ANSWER, OD_HINT, OD_SEPARATOR
+from tramline.session import broadcast_below, is_broadcast_size
 
 NAMES_PER_CELL = 20_000
 QUESTIONS_PER_CELL = 2_000
@@ -230,48 +231,68 @@ def _grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
-def substring_match(
-    questions: DataFrame, corpus: DataFrame, question_id: str, question: str,
-    corpus_id: str, text: str,
-) -> DataFrame:
-    """``(question_id, corpus_id, score)``: the earliest corpus text that contains the question.
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.split(text, r"\s+"))
 
-    Case is ignored and the score is 1.  Without a hit the earliest corpus row is
-    returned with score 0.  A text holds the question only if it holds the
-    question's rarest three letters, so texts are looked up by that gram and then
-    checked as a whole.
+
+def _inner_words(text: Column) -> Column:
+    """Words with blanks on both sides; a text that holds the phrase holds them whole."""
+    words = F.split(text, r"\s+")
+    return F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
+
+
+def _holding(of_question: DataFrame, of_text: DataFrame, known: DataFrame) -> DataFrame:
+    """``(asked, hit)``: the earliest text that contains the question.
+
+    ``of_question`` and ``of_text`` list keys such that a text lacks the question unless
+    it has all of the question's keys.  Texts are looked up by the question's rarest key
+    and then checked as a whole.  The questions' keys are broadcast if they measure
+    small, so that texts stay where they are.
     """
-    asked = questions.select(F.lower(F.col(question)).alias("asked")).filter("asked IS NOT NULL").distinct()
-    known = corpus.select(F.col(corpus_id).alias("c"), F.lower(F.col(text)).alias("known"))
-    size = F.length("asked")
-    of_question = asked.filter(size > 0).select(
-        "asked",
-        F.explode(
-            F.when(size >= 3, _grams(F.col("asked"), 3)).otherwise(F.array("asked"))
-        ).alias("gram"),
-    )
-    # One- and two-letter grams of the texts are built only if a question is that short;
-    # the semi join then keeps the grams somebody asks for.
-    shortest = asked.filter(size > 0).agg(F.min(size)).scalar()
-    short = F.when(shortest < 3, F.concat(_grams(F.col("known"), 1), _grams(F.col("known"), 2)))
-    grams = F.concat(_grams(F.col("known"), 3), F.coalesce(short, F.array().cast("array<string>")))
-    of_text = known.select("c", F.explode(grams).alias("gram")).join(
-        of_question.select("gram").distinct(), "gram", "left_semi"
-    )
-    spread = of_text.groupBy("gram").agg(F.count("*").alias("texts"))
+    wanted = broadcast_below(of_question.select("key").distinct())
+    spread = of_text.join(wanted, "key", "left_semi").groupBy("key").agg(F.count("*").alias("texts"))
     rarest = (
-        of_question.join(spread, "gram", "left")
+        of_question.join(spread, "key")
         .groupBy("asked")
-        .agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("pick"))
-        .select("asked", "pick.gram")
+        .agg(F.min(F.struct("texts", "key")).alias("pick"))
+        .select("asked", "pick.key")
     )
-    hits = (
-        rarest.join(of_text, "gram")
+    small = is_broadcast_size(of_question)
+    return (
+        of_text.join(F.broadcast(rarest) if small else rarest, "key")
+        .select("c", "asked")
         .join(known, "c")
         .filter(F.col("known").contains(F.col("asked")))
         .groupBy("asked")
         .agg(F.min("c").alias("hit"))
     )
+
+
+def substring_match(
+    questions: DataFrame, corpus: DataFrame, question_id: str, question: str,
+    corpus_id: str, text: str,
+) -> DataFrame:
+    """``(question_id, corpus_id, score)``: the earliest corpus text that contains the question.
+
+    Case is ignored and the score is 1.  Without a hit the earliest corpus row is
+    returned with score 0.  Questions of three words or more are looked up by an inner
+    word, shorter ones by three, two or one letters.
+    """
+    asked = questions.select(F.lower(F.col(question)).alias("asked")).filter("asked <> ''").distinct()
+    known = corpus.select(F.col(corpus_id).alias("c"), F.lower(F.col(text)).alias("known"))
+    inner = asked.withColumn("keys", _inner_words(F.col("asked")))
+    hits = _holding(
+        inner.filter(F.size("keys") > 0).select("asked", F.explode("keys").alias("key")),
+        known.select("c", F.explode(_words(F.col("known"))).alias("key")),
+        known,
+    )
+    rest = inner.filter(F.size("keys") == 0).select("asked", F.length("asked").alias("size"))
+    for n in [r.n for r in rest.groupBy(F.least("size", F.lit(3)).alias("n")).count().collect()]:
+        short = rest.filter(F.least("size", F.lit(3)) == n).select(
+            "asked", F.explode(_grams(F.col("asked"), n)).alias("key")
+        )
+        texts = known.select("c", F.explode(_grams(F.col("known"), n)).alias("key"))
+        hits = hits.unionByName(_holding(short, texts, known))
     earliest = corpus.agg(F.min(corpus_id).alias("first")).scalar()
     return (
         questions.select(question_id, F.lower(F.col(question)).alias("asked"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.operators import joins, match
+from tramline.operators import clean, joins, match, setops
+from tramline.sources import files
 
 NO_ROUTE = "No direct route found between these stations in the data."
 NO_FARE = "Fare not available."
@@ -50,3 +51,46 @@ def answer_trip_questions(
         "fare_amount",
         F.when(both & F.col("fare_amount").isNull(), NO_FARE).alias("fare_note"),
     )
+
+
+def clean_city_files(
+    spark: SparkSession, root: str, out: str, exclude: Sequence[str] = (), null_threshold: float = 0.7
+) -> DataFrame:
+    """Clean every city file, then stack per city and over all cities.
+
+    Medians, modes and fences belong to a file, so each file is cleaned on its own and
+    written to ``<out>/by_city/<city>/<file>``.  Stacks of at least three common columns
+    go to ``<out>/by_city_combined/<city>`` and ``<out>/combined``.  Returns rows in and
+    out per file.
+    """
+    cleaned: dict[str, list[DataFrame]] = {}
+    report = []
+    for f in files.scan_layouts(spark, root).filter("separator IS NOT NULL").orderBy("path").collect():
+        tagged = files.read_layout(spark, [f.path], f.separator, f.header)
+        raw = files.promote_types(tagged.drop("city", "source_file"))
+        rows_in = raw.count()
+        if rows_in == 0:
+            continue
+        target = f"{out}/by_city/{f.city}/{f.source_file}"
+        clean.clean_table(raw, f.city, f.source_file, null_threshold, exclude).write.mode("overwrite").parquet(target)
+        done = spark.read.parquet(target)
+        cleaned.setdefault(f.city, []).append(done)
+        report.append((f.city, f.source_file, rows_in, done.count()))
+    for city, frames in cleaned.items():
+        stacked = setops.union_common(frames)
+        if stacked is not None:
+            stacked.write.mode("overwrite").parquet(f"{out}/by_city_combined/{city}")
+    every = setops.union_common([df for frames in cleaned.values() for df in frames]) if cleaned else None
+    if every is not None:
+        every.write.mode("overwrite").parquet(f"{out}/combined")
+    return spark.createDataFrame(report, "city string, source_file string, rows_in long, rows_out long")
+
+
+def load_cleaned(spark: SparkSession, out: str, listed: DataFrame) -> DataFrame:
+    """The model table: the cleaned files of a report, stacked once.
+
+    City and global stacks hold the same rows again and are not read.
+    """
+    paths = [f"{out}/by_city/{r.city}/{r.source_file}" for r in listed.select("city", "source_file").collect()]
+    stacked = files.combine_cities([spark.read.parquet(p) for p in paths])
+    return clean.drop_empty_columns(clean.drop_empty_rows(stacked))

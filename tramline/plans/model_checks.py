@@ -21,8 +21,8 @@ ROW = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 @query("m1_standardised", """
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-           round((l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER (), 6) AS l_quantity_z,
-           round((l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_pop(l_extendedprice) OVER (), 6) AS l_extendedprice_z
+           round((l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER (), 6) + 0.0::DOUBLE AS l_quantity_z,
+           round((l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_pop(l_extendedprice) OVER (), 6) + 0.0::DOUBLE AS l_extendedprice_z
     FROM lineitem""")
 def standardised(spark, d):
     scaled = prep.standardise(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"])

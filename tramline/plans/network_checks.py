@@ -249,13 +249,13 @@ def route_stop_visits(spark, d):
 
 
 @query("c14_near_stops", with_roles("city_areas stops", f"""
-    SELECT area_id, count(*) AS n_near, min({{'m': m, 's': stop_id}}).s AS nearest_stop,
-           round(min(m), 4) AS nearest_m
+    SELECT area_id, count(*) AS n_near, min({{'m': round(m, 3), 's': stop_id}}).s AS nearest_stop,
+           min(round(m, 3)) AS nearest_m
     FROM (SELECT area_id, stop_id, {haversine_sql('lat', 'lon', 'stop_lat', 'stop_lon')} AS m FROM city_areas, stops)
     WHERE m <= 2000 GROUP BY 1"""))
 def near_stops(spark, d):
     found = geo.near_stops(roles.city_areas(spark, d), roles.stops(spark, d), 2000)
-    return rounded(found.select("area_id", "n_near", "nearest_stop", "nearest_m"), 4)
+    return found.select("area_id", "n_near", "nearest_stop", "nearest_m")
 
 
 @query("c14_near_duplicates", with_roles("stops", f"""

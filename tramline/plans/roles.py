@@ -217,7 +217,7 @@ def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded for comparison with another engine."""
+    """Doubles rounded for comparison with another engine; adding 0.0 drops the sign of -0.0."""
     return df.select(*[
-        F.round(F.col(c), digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes
+        (F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes
     ])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.operators.clean import normalise_columns
@@ -47,12 +47,18 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame | None:
         return None
     if sep != WHITESPACE:
         return spark.read.csv(path, sep=sep, header=True, quote='"', escape='"')
-    names = next(line for line in sample if line.strip()).split()
-    header = " ".join(names)
+    header = next(line for line in sample if line.strip())
+    return _split_blanks(spark.read.text(path), header)
+
+
+def _split_blanks(lines: DataFrame, header: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Columns of text lines divided by runs of blanks; header and blank lines drop out."""
+    names = header.split()
     words = F.split(F.trim("value"), WHITESPACE)
-    rows = spark.read.text(path).filter(F.trim("value") != "").select(words.alias("w"))
-    rows = rows.filter(F.array_join("w", " ") != header)
-    return rows.select(*[F.get("w", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    rows = lines.select(words.alias("w"), *keep).filter(
+        (F.size("w") > 0) & (F.array_join("w", " ") != "") & (F.array_join("w", " ") != " ".join(names))
+    )
+    return rows.select(*[F.get("w", F.lit(i)).alias(n) for i, n in enumerate(names)], *keep)
 
 
 def promote_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -83,41 +89,76 @@ def promote_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 # --- the city directory -----------------------------------------------------
 
-def list_city_files(spark: SparkSession, root: str) -> DataFrame:
-    """``(city, source_file, path)`` of every ``<root>/<city>/*.txt|csv`` file.
+def _decoded(path: Column) -> Column:
+    """File paths in metadata are URL-encoded; a plus sign is itself."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
 
-    Parquet or text contents are not read: the binary reader is asked for paths only.
-    Files that lie directly in the root (combined outputs) are not listed, so nothing
-    is counted twice.
+def _tags(path: Column) -> dict[str, Column]:
+    parts = F.split(path, "/")
+    return {"city": F.try_element_at(parts, F.lit(-2)), "source_file": F.try_element_at(parts, F.lit(-1))}
+
+
+def scan_layouts(spark: SparkSession, root: str) -> DataFrame:
+    """``(path, city, source_file, header, separator)`` of every ``<root>/<city>/*.txt|csv``.
+
+    A separator fits when it splits the header into several columns and no line into
+    more; the first that fits is taken, null if none does or there are no data rows.
+    All files are judged in two aggregates.  Files that lie directly in the root
+    (combined outputs) are not listed, so nothing is counted twice.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.{txt,csv}")
-        .load(f"{root.rstrip('/')}/*/")
-        .select("path")
+    lines = (
+        spark.read.option("pathGlobFilter", "*.{txt,csv}").text(f"{root.rstrip('/')}/*/")
+        .select("value", _decoded(F.col("_metadata.file_path")).alias("path"),
+                F.col("_metadata.file_block_start").alias("start"),
+                F.monotonically_increasing_id().alias("at"))
+        .filter(F.trim("value") != "")
     )
-    part = F.split(F.url_decode(F.col("path")), "/")
-    return files.select(
-        F.try_element_at(part, F.lit(-2)).alias("city"),
-        F.try_element_at(part, F.lit(-1)).alias("source_file"),
-        F.url_decode("path").alias("path"),
+    headers = lines.filter("start = 0").groupBy("path").agg(F.min_by("value", "at").alias("header"))
+
+    def fields(text: Column, sep: str) -> Column:
+        if sep == WHITESPACE:
+            return F.size(F.split(F.trim(text), WHITESPACE))
+        bare = F.regexp_replace(text, '"[^"]*"', "")
+        return F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
+
+    every = [*SEPARATORS, WHITESPACE]
+    widest = lines.groupBy("path").agg(
+        F.count("*").alias("lines"),
+        *[F.max(fields(F.col("value"), sep)).alias(f"w{i}") for i, sep in enumerate(every)],
     )
+    judged = headers.join(widest, "path")
+    choice = F.lit(None).cast("string")
+    for i, sep in reversed(list(enumerate(every))):
+        own = fields(F.col("header"), sep)
+        choice = F.when((own > 1) & (own == F.col(f"w{i}")), sep).otherwise(choice)
+    return judged.select(
+        "path", "header", F.when(F.col("lines") > 1, choice).alias("separator")
+    ).withColumns(_tags(F.col("path"))).select("path", "city", "source_file", "header", "separator")
 
 
-def read_city_files(spark: SparkSession, root: str) -> dict[tuple[str, str], DataFrame]:
-    """Readable files by (city, file name), tagged with both.
+def read_city_files(spark: SparkSession, root: str) -> list[DataFrame]:
+    """All readable city files tagged with ``city`` and ``source_file``.
 
-    Headers and separators are properties of a file, so the driver sees each header;
-    the rows stay with the executors.
+    One frame per layout (separator and header), however many files share it; the
+    driver handles paths and headers, never rows.
     """
-    frames = {}
-    for row in list_city_files(spark, root).orderBy("city", "source_file").collect():
-        df = read_delimited(spark, row.path)
-        if df is not None:
-            frames[(row.city, row.source_file)] = df.withColumns(
-                {"city": F.lit(row.city), "source_file": F.lit(row.source_file)}
-            )
-    return frames
+    layouts: dict[tuple[str, str], list[str]] = {}
+    for row in scan_layouts(spark, root).filter("separator IS NOT NULL").orderBy("path").collect():
+        layouts.setdefault((row.separator, row.header), []).append(row.path)
+    return [read_layout(spark, paths, sep, header) for (sep, header), paths in layouts.items()]
+
+
+def read_layout(spark: SparkSession, paths: Sequence[str], sep: str, header: str) -> DataFrame:
+    """Files of one layout as one tagged frame of text columns."""
+    path = _decoded(F.col("_metadata.file_path"))
+    if sep == WHITESPACE:
+        lines = spark.read.text(list(paths)).select("value", path.alias("_path"))
+        df = _split_blanks(lines, header, keep=["_path"])
+    else:
+        raw = spark.read.csv(list(paths), sep=sep, header=True, quote='"', escape='"')
+        df = raw.select("*", path.alias("_path"))
+    return df.withColumns(_tags(F.col("_path"))).drop("_path")
 
 
 def combine_cities(frames: Sequence[DataFrame]) -> DataFrame:

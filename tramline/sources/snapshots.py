@@ -19,6 +19,17 @@ def read_snapshot(
     return df.orderBy(*order_by) if order_by else df
 
 
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str) -> None:
+    """Snapshot bucketed and sorted by its join key.
+
+    Trips and stop times bucketed by trip alike join and group without a shuffle.
+    """
+    (
+        df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+        .option("path", path).format("parquet").saveAsTable(table)
+    )
+
+
 def read_jdbc(
     spark: SparkSession, url: str, table: str, columns: Sequence[str], key: str,
     bounds: tuple[int, int], partitions: int, properties: dict[str, str] | None = None,
