@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import (
-    FeatureHasher, Imputer, OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel,
+    FeatureHasher, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, StringIndexerModel,
     VectorAssembler,
 )
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tramline.functions.quantiles import exact_quantiles
 from tramline.functions.fixed_values import CLASSIFICATION_KEYWORDS, REGRESSION_KEYWORDS
 from tramline.operators.clean import split_columns
 
@@ -165,19 +166,24 @@ def fill_categories(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def build_preprocessor(
-    numeric: Sequence[str], categorical: Sequence[str], wide: Sequence[str] = (), hash_size: int = 4_096
+    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], wide: Sequence[str] = (),
+    hash_size: int = 4_096,
 ) -> Pipeline:
     """Median fill and scaling for numbers, one-hot for text that ignores unseen values.
 
-    One-hot needs the list of values on the driver; text columns in ``wide``, with more
-    values than that should hold, go to a hashed vector of fixed size instead.
+    The exact medians of ``df`` become part of the pipeline.  One-hot needs the list of
+    values on the driver; text columns in ``wide``, with more values than that should
+    hold, go to a hashed vector of fixed size instead.
     """
     stages, parts = [], []
     if numeric:
-        filled = [f"{c}_filled" for c in numeric]
+        medians = {r["column"]: r["value"] for r in exact_quantiles(df, numeric, [0.5]).collect()}
+        filled = ", ".join(
+            f"coalesce(cast(`{c}` AS DOUBLE), {medians.get(c, 0.0)!r}D) AS `{c}_filled`" for c in numeric
+        )
         stages += [
-            Imputer(inputCols=list(numeric), outputCols=filled, strategy="median"),
-            VectorAssembler(inputCols=filled, outputCol="numbers", handleInvalid="keep"),
+            SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"),
+            VectorAssembler(inputCols=[f"{c}_filled" for c in numeric], outputCol="numbers"),
             StandardScaler(inputCol="numbers", outputCol="numbers_scaled", withMean=True),
         ]
         parts.append("numbers_scaled")

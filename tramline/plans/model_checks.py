@@ -69,7 +69,7 @@ def prepared(spark, d):
         F.col("l_extendedprice").alias("label"),
     )
     rows = prep.fill_categories(rows, ["l_returnflag", "l_linestatus"])
-    pipeline = prep.build_preprocessor(["l_quantity", "l_tax"], ["l_returnflag", "l_linestatus"])
+    pipeline = prep.build_preprocessor(rows, ["l_quantity", "l_tax"], ["l_returnflag", "l_linestatus"])
     return pipeline.fit(rows).transform(rows)
 
 

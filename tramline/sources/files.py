@@ -108,7 +108,7 @@ def scan_layouts(spark: SparkSession, root: str) -> DataFrame:
     (combined outputs) are not listed, so nothing is counted twice.
     """
     lines = (
-        spark.read.option("pathGlobFilter", "*.{txt,csv}").text(f"{root.rstrip('/')}/*/")
+        spark.read.text(f"{root.rstrip('/')}/*/*.{{txt,csv}}")
         .select("value", _decoded(F.col("_metadata.file_path")).alias("path"),
                 F.col("_metadata.file_block_start").alias("start"),
                 F.monotonically_increasing_id().alias("at"))
