@@ -26,7 +26,8 @@ def check(spark, values):
     list(range(1000)) * 3,
     [1e-300, 1e300, -1e300, 0, 3, 3, 3],
     [0] * 900 + [1e9] * 3,
-], ids=["small", "one", "equal", "gaps", "repeats", "extremes", "hot"])
+    [1.7e308, -1.7e308, 1.0, 2.0, 0.5, -3.0],
+], ids=["small", "one", "equal", "gaps", "repeats", "extremes", "hot", "widest"])
 def test_like_numpy(spark, values):
     check(spark, values)
 
@@ -37,8 +38,9 @@ def test_random_shapes(spark):
 
 
 def test_exact_when_the_sketch_is_useless(spark, monkeypatch):
-    """With a sketch of accuracy 2 the ranks fall outside its bracket and are still found."""
-    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", 2)
+    """With a tiny sketch and no margin the ranks fall outside the bracket and are still found."""
+    monkeypatch.setattr(quantiles, "SKETCH_SIZE", 8)
+    monkeypatch.setattr(quantiles, "RANK_MARGIN", 0.0)
     monkeypatch.setattr(quantiles, "SUB_RANGES", 3)
     check(spark, list(np.random.default_rng(1).normal(0, 1, 2000)))
 
@@ -47,3 +49,10 @@ def test_several_columns_and_empty(spark):
     df = spark.range(1, 101).selectExpr("cast(id as int) a", "cast(null as double) b")
     rows = exact_quantiles(df, ["a", "b"], [0.5]).collect()
     assert [(r["column"], r["value"]) for r in rows] == [("a", 50.5)]
+
+
+def test_infinite_values(spark):
+    values = [(float("-inf"),), (1.0,), (2.0,), (3.0,), (float("inf"),)]
+    df = spark.createDataFrame(values, "x double")
+    found = {r.p: r.value for r in exact_quantiles(df, ["x"], [0.0, 0.25, 0.5, 0.75, 1.0]).collect()}
+    assert found[0.25] == 1.0 and found[0.5] == 2.0 and found[0.75] == 3.0

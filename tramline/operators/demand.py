@@ -15,8 +15,8 @@ def hourly_demand(
 ) -> DataFrame:
     """Visits per stop and arrival hour, as a stand-in for passengers.
 
-    Visits are counted per (route, stop, hour) as soon as the trip is known; only
-    those counts meet routes and stops.
+    Visits are counted per (route, stop, hour) as soon as the trip is known, and per
+    (stop, hour) before positions are added; only those counts meet routes and stops.
     """
     counted = (
         stop_times.filter(is_clock(arrival))
@@ -27,11 +27,10 @@ def hourly_demand(
     )
     demand = (
         counted.join(routes.select("route_id"), "route_id")
-        .join(stops.select("stop_id", "stop_lat", "stop_lon"), "stop_id")
-        .groupBy("stop_id", "hour", "stop_lat", "stop_lon")
+        .groupBy("stop_id", "hour")
         .agg(F.sum("visits").alias("demand"))
     )
-    return demand.select(
+    return demand.join(stops.select("stop_id", "stop_lat", "stop_lon"), "stop_id").select(
         "stop_id", "hour",
         F.lit(0).alias("minute"), F.lit(0).alias("day_of_week"),
         is_peak("hour").alias("is_peak"), "stop_lat", "stop_lon", "demand",

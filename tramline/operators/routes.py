@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tramline.functions.quantiles import quantile_lookup
 from tramline.operators.joins import route_stop_visits, with_agency
+from tramline.session import materialise
 
 FEATURE_COLUMNS = [
     "route_type", "n_trips", "n_stops", "avg_stop_sequence", "max_stop_sequence",
@@ -57,12 +58,13 @@ def route_features(
 
 
 def route_stats(routes: DataFrame, trips: DataFrame, stop_times: DataFrame) -> DataFrame:
-    """Distinct trips with stop times, distinct stops, and trips per stop."""
-    fan_out = (
-        stop_times.select("trip_id", "stop_id")
-        .join(trips.select("trip_id", "route_id"), "trip_id")
-        .join(routes.select("route_id"), "route_id", "left_semi")
-    )
+    """Distinct trips with stop times, distinct stops, and trips per stop.
+
+    Routes restrict the trips before the fan-out, so the distinct counts are spread by
+    (route, trip) and (route, stop) and a busy route never sits in one task.
+    """
+    known = trips.select("trip_id", "route_id").join(routes.select("route_id"), "route_id", "left_semi")
+    fan_out = stop_times.select("trip_id", "stop_id").join(known, "trip_id")
     stats = fan_out.groupBy("route_id").agg(
         F.count_distinct("trip_id").alias("n_trips"), F.count_distinct("stop_id").alias("n_stops")
     )
@@ -131,7 +133,11 @@ def efficiency_score(
 
 
 def route_flags(features: DataFrame) -> DataFrame:
-    """Routes with few stops (merge candidates) and with a wide north-south spread."""
+    """Routes with few stops (merge candidates) and with a wide north-south spread.
+
+    The features are checkpointed: the quantiles read them several times.
+    """
+    features = materialise(features)
     quantile = quantile_lookup(features, ["n_stops", "lat_range"], [0.25, 0.75])
     return features.withColumns({
         "low_stop_count": F.col("n_stops") < quantile("n_stops", 0.25),

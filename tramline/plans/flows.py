@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.operators import clean, joins, match, setops
+from tramline.session import materialise
 from tramline.sources import files
 
 NO_ROUTE = "No direct route found between these stations in the data."
@@ -26,9 +27,9 @@ def answer_trip_questions(
     places = parsed.select(F.col("origin").alias("place")).unionByName(
         parsed.select(F.col("destination").alias("place"))
     ).dropna().distinct()
-    found = match.fuzzy_match(places, stations, "place", "stop_name", ["id"]).select(
+    found = materialise(match.fuzzy_match(places, stations, "place", "stop_name", ["id"]).select(
         "place", F.col("matched_id").alias("station"), F.col("matched_name").alias("name")
-    )
+    ))
     origin = found.select(F.col("place").alias("origin"), F.col("station").alias("from_id"), F.col("name").alias("from_name"))
     destination = found.select(F.col("place").alias("destination"), F.col("station").alias("to_id"), F.col("name").alias("to_name"))
     located = parsed.join(origin, "origin", "left").join(destination, "destination", "left")
