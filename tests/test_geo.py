@@ -19,17 +19,25 @@ CASES = {
 }
 
 
+CASES["grid"] = (0.0, 10.0, 0.02, 1111.95)
+
+
 def scatter(case, n, seed):
     lat, lon, spread, _ = CASES[case]
     rng = np.random.default_rng(seed)
     lats = np.clip(lat + rng.uniform(-1, 1, n) * min(spread, 0.29 if case == "pole" else spread), -90, 90)
     lons = (lon + rng.uniform(-1, 1, n) * spread + 180) % 360 - 180
+    if case == "grid":
+        lats, lons = np.round(lats, 3), np.round(lons, 3)
     lats[: n // 3], lons[: n // 3] = lats[0], lons[0]
     return lats, lons
 
 
+@pytest.mark.parametrize("broadcast", [True, False], ids=["broadcast", "dealt"])
 @pytest.mark.parametrize("case", CASES)
-def test_like_brute_force(spark, case):
+def test_like_brute_force(spark, monkeypatch, case, broadcast):
+    monkeypatch.setattr(geo, "is_broadcast_size", lambda df: broadcast)
+    monkeypatch.setattr(geo, "HOT_SHARE", 4)
     radius = CASES[case][3]
     plat, plon = scatter(case, 90, 1)
     slat, slon = scatter(case, 60, 2)
@@ -44,7 +52,18 @@ def test_like_brute_force(spark, case):
         assert (i in gaps) == (hits == 0)
         if hits:
             assert near[i][1] == pytest.approx(d.min(), abs=1e-2)
-    copies = {r.stop_id: (r.n_near, r.nearest_m) for r in geo.near_duplicates(stops, radius).collect()}
+    copies = {r.stop_id: r.n_near for r in geo.near_duplicates(stops, radius).collect()}
     for i in range(len(slat)):
         d = np.delete(metres(slat[i], slon[i], slat, slon), i)
-        assert copies.get(i, (0,))[0] == (d <= radius).sum()
+        assert copies.get(i, 0) == (d <= radius).sum()
+
+
+def test_dense_cluster(spark):
+    """Thousands of places around one corner are counted without pairing them."""
+    rng = np.random.default_rng(3)
+    n = 3000
+    lats, lons = 5.6 + rng.uniform(0, 1e-6, n), -0.2 + rng.uniform(0, 1e-6, n)
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(lats, lons))] + [(n, 5.601, -0.2), (n + 1, 5.7, -0.2)]
+    stops = spark.createDataFrame(rows, "stop_id int, stop_lat double, stop_lon double")
+    found = {r.stop_id: r.n_near for r in geo.near_duplicates(stops, 200).collect()}
+    assert found == {i: n for i in range(n + 1)}

@@ -131,3 +131,21 @@ def test_demand_model(spark, tmp_path):
     loaded, metrics = registry.load_best(spark, str(tmp_path))
     again = {r.hour: r.predicted_demand for r in models.score_demand(loaded, stops).collect()}
     assert again == {h: r.predicted_demand for h, r in scored.items()} and metrics.collect()[0].score == 0.9
+
+
+def test_run_models(spark, sf_dir, tmp_path):
+    """One model completes, one has no data, one fails; all are reported."""
+    from tramline.plans import flows, roles
+
+    parts = [f(spark, sf_dir) for f in (roles.routes, roles.trips, roles.stop_times, roles.stops)]
+    runs, totals = flows.run_models(spark, *parts, str(tmp_path / "a"))
+    assert {r.model: r.status for r in runs.collect()} == {m: "completed" for m in flows.MODELS}
+    assert tuple(totals.collect()[0]) == (3, 0, 0)
+    lines = spark.read.json(str(tmp_path / "a" / "demand_prediction_results"))
+    assert set(lines.columns) >= {"station_id", "hour", "predicted_demand", "peak_hour"}
+    parts[2] = parts[2].limit(0)
+    parts[3] = parts[3].withColumnRenamed("stop_lat", "nowhere")
+    runs, totals = flows.run_models(spark, *parts, str(tmp_path / "b"), ("demand_prediction", "stop_clustering"))
+    assert {r.model: (r.status, r.reason is None) for r in runs.collect()} == {
+        "demand_prediction": ("skipped", False), "stop_clustering": ("failed", False)}
+    assert tuple(totals.collect()[0]) == (0, 1, 1)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tramline.functions.expressions import strip, title_case
 from tramline.functions.fixed_values import NO_ANSWER, OD_HINT, OD_SEPARATOR
-from tramline.session import broadcast_below, is_broadcast_size
+from tramline.session import is_broadcast_size
 
 NAMES_PER_CELL = 20_000
 QUESTIONS_PER_CELL = 2_000
@@ -232,12 +232,12 @@ def _grams(text: Column, size: int) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.array_distinct(F.split(text, r"\s+"))
+    return F.array_distinct(F.split(text, " "))
 
 
 def _inner_words(text: Column) -> Column:
-    """Words with blanks on both sides; a text that holds the phrase holds them whole."""
-    words = F.split(text, r"\s+")
+    """Words with a blank on both sides; a text that holds the phrase holds them whole."""
+    words = F.split(text, " ")
     return F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
 
 
@@ -249,15 +249,19 @@ def _holding(of_question: DataFrame, of_text: DataFrame, known: DataFrame) -> Da
     and then checked as a whole.  The questions' keys are broadcast if they measure
     small, so that texts stay where they are.
     """
-    wanted = broadcast_below(of_question.select("key").distinct())
-    spread = of_text.join(wanted, "key", "left_semi").groupBy("key").agg(F.count("*").alias("texts"))
+    small = is_broadcast_size(of_question)
+    wanted = of_question.select("key").distinct()
+    spread = (
+        of_text.join(F.broadcast(wanted) if small else wanted, "key", "left_semi")
+        .groupBy("key")
+        .agg(F.count("*").alias("texts"))
+    )
     rarest = (
         of_question.join(spread, "key")
         .groupBy("asked")
         .agg(F.min(F.struct("texts", "key")).alias("pick"))
         .select("asked", "pick.key")
     )
-    small = is_broadcast_size(of_question)
     return (
         of_text.join(F.broadcast(rarest) if small else rarest, "key")
         .select("c", "asked")

@@ -145,6 +145,27 @@ def route_flags(features: DataFrame) -> DataFrame:
     })
 
 
+def route_recommendations(features: DataFrame) -> DataFrame:
+    """Trips per stop now and with the stop count brought down to the median.
+
+    A route at or below the median keeps its stops.  Wide routes are told to look at
+    their shape.
+    """
+    features = materialise(features)
+    quantile = quantile_lookup(features, ["n_stops", "lat_range"], [0.5, 0.75])
+    excess = F.greatest(F.col("n_stops") - F.ceil(quantile("n_stops", 0.5)), F.lit(0)).cast("long")
+    current = F.try_divide(F.col("n_trips"), F.col("n_stops"))
+    optimised = F.try_divide(F.col("n_trips"), F.col("n_stops") - F.col("excess"))
+    advice = F.array_compact(F.array(
+        F.when(F.col("excess") > 0, F.concat(F.lit("Reduce stops by "), F.col("excess").cast("string"))),
+        F.when(F.col("lat_range") > quantile("lat_range", 0.75), "Optimize route shape"),
+    ))
+    return features.withColumn("excess", excess).select(
+        "route_id", current.alias("current_efficiency"), optimised.alias("optimized_efficiency"),
+        (optimised - current).alias("improvement"), advice.alias("recommendations"),
+    )
+
+
 def improvement_counts(features: DataFrame) -> DataFrame:
     return route_flags(features).agg(
         F.count_if("low_stop_count").alias("consolidate"), F.count_if("wide_spread").alias("wide")

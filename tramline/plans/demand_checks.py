@@ -9,6 +9,8 @@ from tramline.functions.expressions import hour_of, seconds_of
 from tramline.plans import roles
 from tramline.plans.registry import query
 from tramline.plans.roles import rounded, table, with_roles
+from tramline.session import new_folder
+from tramline.sources import files
 
 
 def demand(spark, d):
@@ -215,6 +217,25 @@ def improvement_counts(spark, d):
     return route_ops.improvement_counts(features(spark, d))
 
 
+@query("a8_route_results", with_roles("features", """
+    SELECT route_id, round(n_trips / n_stops, 6) AS current_efficiency,
+           round(n_trips / (n_stops - excess), 6) AS optimized_efficiency,
+           round(n_trips / (n_stops - excess) - n_trips / n_stops, 6) + 0.0::DOUBLE AS improvement,
+           concat_ws('; ', CASE WHEN excess > 0 THEN 'Reduce stops by ' || excess END,
+                     CASE WHEN lat_range > wide THEN 'Optimize route shape' END) AS advice
+    FROM (SELECT *, greatest(n_stops - ceil((SELECT quantile_cont(n_stops, 0.5) FROM features)), 0)::BIGINT AS excess,
+                 (SELECT quantile_cont(lat_range, 0.75) FROM features) AS wide FROM features)"""))
+def route_results(spark, d):
+    """Route results written as JSON records and read back."""
+    path = new_folder(spark, "route-results")
+    files.write_results(route_ops.route_recommendations(features(spark, d)), path)
+    back = spark.read.schema(
+        "route_id bigint, current_efficiency double, optimized_efficiency double, improvement double, "
+        "recommendations array<string>"
+    ).json(path)
+    return rounded(back.withColumn("advice", F.concat_ws("; ", "recommendations")).drop("recommendations"))
+
+
 @query("d25_optimisation_report", with_roles("features", """
     SELECT round(avg(n_stops), 6) AS avg_stops, round(avg(n_trips), 6) AS avg_trips FROM features"""))
 def optimisation_report(spark, d):

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.operators import clean, joins, match, setops
+from tramline.ml import models
+from tramline.operators import clean, demand, joins, match, reports, routes as route_ops, setops
 from tramline.session import materialise
 from tramline.sources import files
 
@@ -95,3 +96,48 @@ def load_cleaned(spark: SparkSession, out: str, listed: DataFrame) -> DataFrame:
     paths = [f"{out}/by_city/{r.city}/{r.source_file}" for r in listed.select("city", "source_file").collect()]
     stacked = files.combine_cities([spark.read.parquet(p) for p in paths])
     return clean.drop_empty_columns(clean.drop_empty_rows(stacked))
+
+
+MODELS = ("route_optimization", "demand_prediction", "stop_clustering")
+RUN_SCHEMA = "model string, status string, reason string, results_file string, records_processed long"
+
+
+def run_models(
+    spark: SparkSession, routes: DataFrame, trips: DataFrame, stop_times: DataFrame, stops: DataFrame,
+    out: str, wanted: Sequence[str] = MODELS,
+) -> tuple[DataFrame, DataFrame]:
+    """Run the models, write one result folder each and the run table; returns runs and totals.
+
+    A model without input is skipped, a failing one is reported and the others go on.
+    """
+
+    def optimise() -> DataFrame:
+        return route_ops.route_recommendations(route_ops.route_features(routes, trips, stop_times, stops))
+
+    def predict() -> DataFrame:
+        model = models.fit_demand(demand.hourly_demand(stop_times, trips, routes, stops))
+        return models.score_demand(model, stops)
+
+    def cluster() -> DataFrame:
+        return models.cluster_members(models.cluster_stops(stops))
+
+    steps = {
+        "route_optimization": (optimise, routes, "no_route_data"),
+        "demand_prediction": (predict, stop_times, "no_schedule_data"),
+        "stop_clustering": (cluster, stops, "no_station_data"),
+    }
+    runs = []
+    for name in wanted:
+        step, source, reason = steps[name]
+        path = f"{out}/{name}_results"
+        if source.isEmpty():
+            runs.append((name, "skipped", reason, None, None))
+            continue
+        try:
+            files.write_results(step(), path)
+            runs.append((name, "completed", None, path, spark.read.text(path).count()))
+        except Exception as error:
+            runs.append((name, "failed", str(error).splitlines()[0], None, None))
+    table = spark.createDataFrame(runs, RUN_SCHEMA)
+    files.write_run_summary(table, f"{out}/runs")
+    return table, reports.run_summary(table)

@@ -259,13 +259,10 @@ def near_stops(spark, d):
 
 
 @query("c14_near_duplicates", with_roles("stops", f"""
-    SELECT a.stop_id, count(*) AS n_near,
-           round(min({haversine_sql('a.stop_lat', 'a.stop_lon', 'b.stop_lat', 'b.stop_lon')}), 4) AS nearest_m
-    FROM stops a JOIN stops b ON a.stop_id <> b.stop_id
+    SELECT a.stop_id, count(*) AS n_near FROM stops a JOIN stops b ON a.stop_id <> b.stop_id
     WHERE {haversine_sql('a.stop_lat', 'a.stop_lon', 'b.stop_lat', 'b.stop_lon')} <= 1700 GROUP BY 1"""))
 def near_duplicates(spark, d):
-    found = geo.near_duplicates(roles.stops(spark, d), 1700)
-    return rounded(found.select("stop_id", "n_near", "nearest_m"), 4)
+    return geo.near_duplicates(roles.stops(spark, d), 1700).select("stop_id", "n_near")
 
 
 @query("c14_coverage_gaps", with_roles("city_areas stops", f"""

@@ -71,8 +71,3 @@ def is_broadcast_size(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     """Whether the rows, measured as JSON text, take at most ``limit`` bytes."""
     size = F.octet_length(F.to_json(F.struct("*"))).cast("long")
     return (df.agg(F.sum(size)).first()[0] or 0) <= limit
-
-
-def broadcast_below(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A broadcast hint only for a frame whose measured size allows it."""
-    return F.broadcast(df) if is_broadcast_size(df, limit) else df
