@@ -119,3 +119,15 @@ def mean_pool(vectors: str | Column) -> Column:
         vectors, start, lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y.cast("double"))
     )
     return F.transform(total, lambda x: x / F.size(vectors))
+
+
+# --- repeatable draws -------------------------------------------------------
+
+DRAW_DIGITS = 13
+
+
+def draw(*keys: str | Column, seed: int) -> Column:
+    """Number in [0, 1) that depends only on the keys and the seed, in any engine with MD5."""
+    text = F.concat_ws("|", *[col(k).cast("string") for k in keys], F.lit(str(seed)))
+    digits = F.conv(F.substring(F.md5(text), 1, DRAW_DIGITS), 16, 10).cast("long")
+    return digits / float(16**DRAW_DIGITS)

@@ -12,8 +12,9 @@ from pyspark.ml.feature import (
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tramline.functions.quantiles import exact_quantiles
+from tramline.functions.expressions import draw
 from tramline.functions.fixed_values import CLASSIFICATION_KEYWORDS, REGRESSION_KEYWORDS
+from tramline.functions.quantiles import exact_quantiles
 from tramline.operators.clean import split_columns
 
 SPLIT_BUCKETS = 4_096
@@ -36,12 +37,6 @@ def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 # --- splitting --------------------------------------------------------------
 
-def draw(keys: Sequence[str], seed: int) -> Column:
-    """Number in [0, 1) that depends only on the key and the seed."""
-    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
-    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / float(2**52)
-
-
 def test_fraction(rows: int) -> float:
     return min(0.3, max(0.1, 100 / rows))
 
@@ -51,7 +46,7 @@ test_fraction.__test__ = False
 
 def with_split(df: DataFrame, keys: Sequence[str], fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """Add ``is_test`` by a hash of the key: no shuffle, the same rows every time."""
-    return df.withColumn("is_test", draw(keys, seed) < fraction)
+    return df.withColumn("is_test", draw(*keys, seed=seed) < fraction)
 
 
 def split(df: DataFrame, keys: Sequence[str], fraction: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -67,7 +62,7 @@ def with_stratified_split(
     Rows are counted per label and bucket of the draw.  Whole buckets fall on one side;
     only the bucket in which the quota ends is sorted.
     """
-    drawn = df.withColumn("_u", draw(keys, seed)).withColumn(
+    drawn = df.withColumn("_u", draw(*keys, seed=seed)).withColumn(
         "_bucket", F.floor(F.col("_u") * SPLIT_BUCKETS).cast("int")
     )
     per_label = Window.partitionBy(label)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tramline.functions.expressions import col, confidence_band, html_escape
+from tramline.functions.expressions import col, confidence_band, draw, html_escape
 from tramline.functions.fixed_values import (
     CHANNELS, CHAT_FORMAT, CONFIDENCE_LINES, HTML_FORMAT, ROUTE_TEMPLATES, STATION_TEMPLATES,
     TRIP_TEMPLATES,
@@ -61,20 +61,20 @@ def route_questions(routes: DataFrame, key: Sequence[str] = ("id",), limit: int
 def drawn_pairs(stations: DataFrame, pairs: int = 50, seed: int = 42, key: str = "id") -> DataFrame:
     """``pairs`` random draws of two stations; draws of the same station twice drop out.
 
-    A draw picks the station with the smallest hash of (station, draw): a uniform
-    choice that needs no numbering of the stations, as a plain aggregate.
+    A draw picks the station with the smallest hash of (station, draw, side): a uniform
+    choice that needs no numbering of the stations, as a plain aggregate.  The names of
+    the few picked stations are joined afterwards.
     """
-    picked = stations.select(key, "name", "gtfs_source", F.explode(F.sequence(F.lit(0), F.lit(pairs - 1))).alias("draw"))
-
     def choice(side: int) -> Column:
-        return F.min_by(
-            F.struct(F.col(key).alias("id"), "name", "gtfs_source"),
-            F.struct(F.xxhash64(F.col(key), F.col("draw"), F.lit(seed), F.lit(side)), F.col(key)),
-        )
+        return F.min_by(key, draw(key, "pair", F.lit(side), seed=seed))
 
+    tickets = stations.select(key, F.explode(F.sequence(F.lit(0), F.lit(pairs - 1))).alias("pair"))
+    picked = tickets.groupBy("pair").agg(choice(1).alias("first"), choice(2).alias("second"))
+    named = F.struct(F.col(key).alias("id"), "name", "gtfs_source")
     return (
-        picked.groupBy("draw").agg(choice(1).alias("a"), choice(2).alias("b"))
-        .filter(F.col("a.id") != F.col("b.id"))
+        F.broadcast(picked.filter(F.col("first") != F.col("second")))
+        .join(stations.select(F.col(key).alias("first"), named.alias("a")), "first")
+        .join(stations.select(F.col(key).alias("second"), named.alias("b")), "second")
     )
 
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tramline.functions.expressions import draw
 from tramline.functions.quantiles import quantile_lookup
 from tramline.operators.joins import route_stop_visits, with_agency
 from tramline.session import materialise
@@ -110,10 +111,8 @@ def agency_centroids(
 
 def _normal_noise(key: str, seed: int) -> Column:
     """Standard normal drawn from the key, so every evaluation sees the same value."""
-    first, second = (
-        (F.pmod(F.xxhash64(F.col(key), F.lit(seed + i)), F.lit(2**52)) + 0.5) / 2**52 for i in (0, 1)
-    )
-    return F.sqrt(-2 * F.log(first)) * F.cos(second * (2 * math.pi))
+    first, second = draw(key, seed=seed), draw(key, seed=seed + 1)
+    return F.sqrt(-2 * F.log(F.lit(1.0) - first)) * F.cos(second * (2 * math.pi))
 
 
 def efficiency_score(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tramline.functions.fixed_values import (
     CHANNELS, CHAT_FORMAT, CONFIDENCE_LINES, HTML_FORMAT, OD_HINT, ROUTE_TEMPLATES, STATION_TEMPLATES,
+    TRIP_TEMPLATES,
 )
 from tramline.operators import corpus, match
 from tramline.plans import roles
@@ -163,7 +164,21 @@ def route_questions(spark, d):
     return corpus.route_questions(roles.routes(spark, d), key=["route_id"])
 
 
-@query("c17_trip_questions")
+def _draw_sql(side: int) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', id, pair, {side}, 42)), 1, 13))::BIGINT"
+
+
+TRIP_SQL = {"name1": "a.name", "name2": "b.name", "city1": "a.gtfs_source", "city2": "b.gtfs_source", "vehicle": "'minibus'"}
+
+
+@query("c17_trip_questions", with_roles("stations", " UNION ALL ".join(
+    f"""SELECT {_fill_sql(q, TRIP_SQL)} AS question, CASE WHEN a.gtfs_source = b.gtfs_source
+               THEN {_fill_sql(inside, TRIP_SQL)} ELSE {_fill_sql(between, TRIP_SQL)} END AS answer,
+               {_fill_sql('from:{name1}, to:{name2}, city1:{city1}, city2:{city2}', TRIP_SQL)} AS context, 'trip_planning' AS type
+        FROM p JOIN stations a ON a.id = p.x JOIN stations b ON b.id = p.y"""
+    for q, inside, between in TRIP_TEMPLATES), p=f"""
+    SELECT x, y FROM (SELECT pair, arg_min(id, {_draw_sql(1)}) AS x, arg_min(id, {_draw_sql(2)}) AS y
+                      FROM stations, range(50) r(pair) GROUP BY 1) WHERE x <> y"""))
 def trip_questions(spark, d):
     return corpus.trip_questions(roles.stations(spark, d))
 

@@ -47,7 +47,9 @@ def stratified_split(spark, d):
     return prep.with_stratified_split(orders, ["o_orderkey"], "o_orderpriority", 0.2)
 
 
-@query("m3_targets")
+@query("m3_targets", """
+    SELECT 'regression' AS task, 'l_extendedprice' AS target FROM lineitem HAVING count(DISTINCT l_extendedprice) > 10
+    UNION ALL SELECT 'classification', 'l_linestatus' FROM lineitem HAVING count(DISTINCT l_linestatus) BETWEEN 2 AND 50""")
 def targets(spark, d):
     """Candidates among the line item columns, from their statistics."""
     found = prep.discover_targets(table(spark, d, "lineitem"))
@@ -73,10 +75,20 @@ def prepared(spark, d):
     return pipeline.fit(rows).transform(rows)
 
 
-@query("m4_prepared_features")
+@query("m4_prepared_features", """
+    WITH t AS (SELECT *, nullif(l_tax, 0.08) AS tax FROM lineitem),
+         f AS (SELECT *, coalesce(tax, (SELECT quantile_cont(tax, 0.5) FROM t)) AS filled FROM t)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+           round((l_quantity - avg(l_quantity) OVER ()) / stddev_samp(l_quantity) OVER (), 6) + 0.0::DOUBLE AS quantity,
+           round((filled - avg(filled) OVER ()) / stddev_samp(filled) OVER (), 6) + 0.0::DOUBLE AS tax,
+           2.0::DOUBLE AS marks, l_extendedprice AS label FROM f""")
 def prepared_features(spark, d):
+    """Scaled numbers, and one mark per text column in the one-hot part."""
+    values = vector_to_array("features")
     return rounded(prepared(spark, d).select(
-        *ROW, F.size(vector_to_array("features")).alias("n_features"), F.col("label")
+        *ROW, F.get(values, F.lit(0)).alias("quantity"), F.get(values, F.lit(1)).alias("tax"),
+        F.aggregate(F.slice(values, 3, F.size(values) - 2), F.lit(0.0), lambda a, x: a + x).alias("marks"),
+        F.col("label"),
     ))
 
 

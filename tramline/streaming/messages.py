@@ -82,10 +82,12 @@ def answer_stream(
     """
 
     def run(batch: DataFrame, number: int) -> None:
+        batch.persist()
         answers = answer(batch)
         if "answer" in answers.columns:
             answers = answers.withColumn("answer", F.coalesce("answer", F.lit(ERROR_REPLY)))
         answers.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.unpersist()
 
     return (
         questions.writeStream.foreachBatch(run)
