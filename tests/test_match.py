@@ -78,7 +78,9 @@ def test_empty_corpus_gives_the_apology(spark):
     assert (row.confidence, row.type) == (-1.0, "unknown") and row.answer.startswith("I'm sorry")
 
 
-def test_substring_like_brute_force(spark):
+@pytest.mark.parametrize("small", [True, False], ids=["broadcast", "shuffled"])
+def test_substring_like_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(match, "is_broadcast_size", lambda df: small)
     texts = ["The Fare from Tema to Accra is five", "fare from tema", "x", "ab\tcd  ef", "", "Where is the station located now?"]
     asked = ["fare from tema", "from tema to", "E", "ab", "cd  ef", "b\tc", "", "is the station located", "zz", "zzzz yyyy xxxx",
              "fare  from tema", " tema ", "five", "station located"]

@@ -251,11 +251,12 @@ def _holding(of_question: DataFrame, of_text: DataFrame, known: DataFrame) -> Da
     """
     small = is_broadcast_size(of_question)
     wanted = of_question.select("key").distinct()
-    spread = (
-        of_text.join(F.broadcast(wanted) if small else wanted, "key", "left_semi")
-        .groupBy("key")
-        .agg(F.count("*").alias("texts"))
-    )
+    texts = F.count("*").alias("texts")
+    if small:
+        spread = of_text.join(F.broadcast(wanted), "key", "left_semi").groupBy("key").agg(texts)
+    else:
+        # Count first: a word of every text crosses the shuffle once per task, not per text.
+        spread = of_text.groupBy("key").agg(texts).join(wanted, "key", "left_semi")
     rarest = (
         of_question.join(spread, "key")
         .groupBy("asked")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,28 +57,32 @@ def answer_trip_questions(
 
 
 def clean_city_files(
-    spark: SparkSession, root: str, out: str, exclude: Sequence[str] = (), null_threshold: float = 0.7
+    spark: SparkSession, root: str, out: str, exclude: Sequence[str] = (), null_threshold: float = 0.7,
+    parallel: int = 8,
 ) -> DataFrame:
     """Clean every city file, then stack per city and over all cities.
 
     Medians, modes and fences belong to a file, so each file is cleaned on its own and
-    written to ``<out>/by_city/<city>/<file>``.  Stacks of at least three common columns
+    written to ``<out>/by_city/<city>/<file>``, ``parallel`` files at a time.  Stacks of at least three common columns
     go to ``<out>/by_city_combined/<city>`` and ``<out>/combined``.  Returns rows in and
     out per file.
     """
-    cleaned: dict[str, list[DataFrame]] = {}
-    report = []
-    for f in files.scan_layouts(spark, root).filter("separator IS NOT NULL").orderBy("path").collect():
+    def clean_one(f) -> tuple | None:
         tagged = files.read_layout(spark, [f.path], f.separator, f.header)
         raw = files.promote_types(tagged.drop("city", "source_file"))
         rows_in = raw.count()
         if rows_in == 0:
-            continue
+            return None
         target = f"{out}/by_city/{f.city}/{f.source_file}"
         clean.clean_table(raw, f.city, f.source_file, null_threshold, exclude).write.mode("overwrite").parquet(target)
-        done = spark.read.parquet(target)
-        cleaned.setdefault(f.city, []).append(done)
-        report.append((f.city, f.source_file, rows_in, done.count()))
+        return f.city, f.source_file, rows_in, spark.read.parquet(target).count()
+
+    listed = files.scan_layouts(spark, root).filter("separator IS NOT NULL").orderBy("path").collect()
+    with ThreadPoolExecutor(parallel) as pool:
+        report = [r for r in pool.map(clean_one, listed) if r is not None]
+    cleaned: dict[str, list[DataFrame]] = {}
+    for city, name, _, _ in report:
+        cleaned.setdefault(city, []).append(spark.read.parquet(f"{out}/by_city/{city}/{name}"))
     for city, frames in cleaned.items():
         stacked = setops.union_common(frames)
         if stacked is not None:
