@@ -17,6 +17,12 @@ from pyspark.sql import functions as F
 from tramline.functions.expressions import EARTH_RADIUS_M, haversine
 from tramline.session import is_broadcast_size
 
+# A cell is hot with more than 1/HOT_SHARE of all points and is dealt out to at most
+# MAX_SPLITS tasks.  Places are folded to BOXES x BOXES boxes per cell.
+HOT_SHARE = 1_000
+MAX_SPLITS = 64
+BOXES = 8
+
 
 def with_length(df: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
     """Straight-line length in metres between two ends with ``_lat`` and ``_lon`` columns."""
@@ -43,11 +49,6 @@ def _cell(lon: Column, cells: Column) -> Column:
     return F.floor((lon + 180.0) / 360.0 * cells)
 
 
-HOT_SHARE = 1_000
-MAX_SPLITS = 64
-BOXES = 8
-
-
 def _meet(points: DataFrame, places: DataFrame, near: Column, how: str = "inner") -> DataFrame:
     """Join points and places of one cell.
 
@@ -125,8 +126,9 @@ def near_stops(
 ) -> DataFrame:
     """Points with a stop within ``metres``: how many, the nearest one and its distance."""
     spots = points.select(F.col(lat).alias("lat"), F.col(lon).alias("lon")).dropna().distinct()
+    places = _stops_on_grid(_with_own_band(_places(stops), metres), metres)
     answers = (
-        _meet(_points_on_grid(spots, metres), _stops_on_grid(_with_own_band(_places(stops), metres), metres), _distance() <= metres)
+        _meet(_points_on_grid(spots, metres), places, _distance() <= metres)
         .withColumn("metres", _distance())
         .groupBy("lat", "lon")
         .agg(
@@ -194,8 +196,8 @@ def near_duplicates(stops: DataFrame, metres: float) -> DataFrame:
 def coverage_gaps(
     areas: DataFrame, stops: DataFrame, metres: float, lat: str = "lat", lon: str = "lon"
 ) -> DataFrame:
-    """Areas whose centre has no stop within ``metres``."""
-    located = areas.withColumns({"lat": F.col(lat), "lon": F.col(lon)})
-    centres = _points_on_grid(located, metres)
+    """Areas whose centre has no stop within ``metres``; areas without a centre are left out."""
+    spots = areas.select(F.col(lat).alias("lat"), F.col(lon).alias("lon")).dropna().distinct()
     places = _stops_on_grid(_with_own_band(_places(stops), metres), metres)
-    return _meet(centres, places, _distance() <= metres, "left_anti").select(*areas.columns)
+    gaps = _meet(_points_on_grid(spots, metres), places, _distance() <= metres, "left_anti")
+    return areas.join(gaps.select(F.col("lat").alias(lat), F.col("lon").alias(lon)), [lat, lon], "left_semi")
