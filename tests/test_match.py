@@ -106,3 +106,13 @@ def test_hot_question_is_searched_once(spark):
         F.concat(F.lit("stop number "), (F.col("id") % 50).cast("string"), F.lit(" here"))).alias("t"))
     rows = match.substring_match(asked, corpus, "q", "t", "c", "t").collect()
     assert len(rows) == 300 and all(r.c == (7 if r.q % 3 == 0 else r.q % 50) for r in rows)
+
+
+def test_answers_by_text(spark):
+    corpus = spark.createDataFrame([(1, "What is a bus?", "A", "c", "general"), (2, "Fare to Tema please", "B", "c", "fare")],
+                                   "corpus_id long, question string, answer string, context string, type string")
+    asked = spark.createDataFrame([(10, "fare to tema"), (11, "nothing like it")], "question_id long, question string")
+    rows = {r.question_id: (r.answer, r.confidence) for r in match.answer_by_text(asked, corpus).collect()}
+    assert rows == {10: ("B", 1.0), 11: ("A", 0.0)}
+    rows = match.answer_by_text(asked, corpus.limit(0)).collect()
+    assert {(r.confidence, r.type) for r in rows} == {(-1.0, "unknown")}

@@ -49,6 +49,10 @@ def test_layouts(spark, tmp_path):
     }
 
 
+def test_cities(spark, tmp_path):
+    assert sorted(r.city for r in files.list_cities(spark, city_root(tmp_path)).collect()) == ["Accra", "Kumasi"]
+
+
 def test_city_files(spark, tmp_path):
     frames = files.read_city_files(spark, city_root(tmp_path))
     rows = {(r["city"], r["source_file"]): n for df in frames for r, n in [(x, x["count"]) for x in df.groupBy("city", "source_file").count().collect()]}

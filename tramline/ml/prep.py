@@ -16,9 +16,9 @@ from tramline.functions.expressions import draw
 from tramline.functions.fixed_values import CLASSIFICATION_KEYWORDS, REGRESSION_KEYWORDS
 from tramline.functions.quantiles import exact_quantiles
 from tramline.operators.clean import split_columns
+from tramline.operators.profile import TAGS, column_stats
 
 SPLIT_BUCKETS = 4_096
-TAGS = ("city", "source_file")
 
 
 # --- scaling ----------------------------------------------------------------
@@ -106,30 +106,6 @@ def stratified_or_plain(
 
 # --- targets ----------------------------------------------------------------
 
-def column_stats(df: DataFrame, exact_below: int = 200) -> dict[str, tuple[int, int, int]]:
-    """Rows, non-null values and distinct values per column.
-
-    A sketch sizes all columns in one pass; only columns it finds small are counted
-    exactly, since no rule asks for more than 50 distinct values.
-    """
-    row = df.agg(
-        F.count("*"), *[F.count(c) for c in df.columns], *[F.approx_count_distinct(c) for c in df.columns]
-    ).first()
-    n, width = row[0], len(df.columns)
-    stats = {c: (n, row[1 + i], row[1 + width + i]) for i, c in enumerate(df.columns)}
-    small = [c for c, (_, _, distinct) in stats.items() if distinct <= exact_below]
-    if small:
-        exact = (
-            df.select(*[F.col(c).cast("string").alias(c) for c in small])
-            .unpivot([], small, "column", "value").filter("value IS NOT NULL")
-            .groupBy("column", "value").agg(F.lit(1).alias("one"))
-            .groupBy("column").agg(F.count("*").alias("n"))
-        )
-        for r in exact.collect():
-            stats[r["column"]] = (*stats[r["column"]][:2], r["n"])
-    return stats
-
-
 def discover_targets(df: DataFrame, limit: int = 5) -> list[tuple[str, str]]:
     """``(task, column)`` candidates: by keyword first, by variety if no keyword fits.
 

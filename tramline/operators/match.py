@@ -310,3 +310,13 @@ def substring_match(
             .otherwise(0.0).alias("score"),
         )
     )
+
+
+def answer_by_text(
+    questions: DataFrame, corpus: DataFrame, question_id: str = "question_id", corpus_id: str = "corpus_id",
+    question: str = "question",
+) -> DataFrame:
+    """Answers without vectors: the earliest corpus question that contains the asked one."""
+    hits = substring_match(questions, corpus, question_id, question, corpus_id, question).filter("score IS NOT NULL")
+    answers = corpus.select(corpus_id, "answer", "context", "type")
+    return with_fallback_answer(questions.join(hits.join(answers, corpus_id), question_id, "left"))

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from tramline.functions.quantiles import exact_quantiles
 
+# Columns that say where a row comes from and are no features.
+TAGS = ("city", "source_file")
+
 
 def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     counts = [
@@ -122,6 +125,39 @@ def cardinality(df: DataFrame, columns: Sequence[str], approximate: bool = False
     return values.groupBy("column").agg(F.count_distinct("value").alias("n_distinct"))
 
 
+def column_stats(df: DataFrame, exact_below: int = 200) -> dict[str, tuple[int, int, int]]:
+    """Rows, non-null values and distinct values per column.
+
+    A sketch sizes all columns in one pass; only columns it finds small are counted
+    exactly, since no rule asks for more than 50 distinct values.
+    """
+    row = df.agg(
+        F.count("*"), *[F.count(c) for c in df.columns], *[F.approx_count_distinct(c) for c in df.columns]
+    ).first()
+    n, width = row[0], len(df.columns)
+    stats = {c: (n, row[1 + i], row[1 + width + i]) for i, c in enumerate(df.columns)}
+    small = [c for c, (_, _, distinct) in stats.items() if distinct <= exact_below]
+    if small:
+        exact = (
+            df.select(*[F.col(c).cast("string").alias(c) for c in small])
+            .unpivot([], small, "column", "value").filter("value IS NOT NULL")
+            .groupBy("column", "value").agg(F.lit(1).alias("one"))
+            .groupBy("column").agg(F.count("*").alias("n"))
+        )
+        for r in exact.collect():
+            stats[r["column"]] = (*stats[r["column"]][:2], r["n"])
+    return stats
+
+
+def categorical_profile(df: DataFrame, max_values: int = 20, k: int = 15) -> DataFrame:
+    """Top ``k`` values of every text column with at most ``max_values`` different ones."""
+    stats = column_stats(df)
+    texts = [c for c, kind in df.dtypes if kind == "string" and c not in TAGS and stats[c][2] <= max_values]
+    if not texts:
+        return df.sparkSession.createDataFrame([], "column string, value string, n long, rank int")
+    return value_counts(df, texts, k)
+
+
 def column_bounds(df: DataFrame, *columns: str) -> Column:
     """Scalar subquery with the smallest and largest value of each column."""
     parts = [e for c in columns for e in (F.min(c).alias(f"{c}_lo"), F.max(c).alias(f"{c}_hi"))]

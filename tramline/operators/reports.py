@@ -41,3 +41,10 @@ def usage_statistics(log: DataFrame, seconds: str) -> DataFrame:
     return basics.select(
         "requests", "mean_s", both["median_s"].alias("median_s"), both["p95_s"].alias("p95_s"), "max_s"
     )
+
+
+def corpus_statistics(corpus: DataFrame, kind: str = "type") -> DataFrame:
+    """Questions per type, an absent type counting as ``unknown``, with the total."""
+    counts = corpus.groupBy(F.coalesce(kind, F.lit("unknown")).alias("type")).agg(F.count("*").alias("n"))
+    total = corpus.agg(F.count("*").alias("n")).scalar()
+    return counts.withColumn("total_questions", total)

@@ -87,6 +87,21 @@ def substring_answers(spark, d):
     )
 
 
+@query("c13_text_answers", """
+    WITH k AS (SELECT doc_id, text AS t, 'doc ' || doc_id AS answer, lang AS context, source AS type FROM documents),
+         h AS (SELECT item_id, min(doc_id) AS hit FROM benchmark b JOIN k ON contains(lower(k.t), lower(b.text)) GROUP BY 1)
+    SELECT b.item_id AS question_id, answer, context, type, CASE WHEN hit IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS confidence
+    FROM benchmark b LEFT JOIN h USING (item_id) JOIN k ON k.doc_id = coalesce(hit, (SELECT min(doc_id) FROM k))""")
+def text_answers(spark, d):
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    known = table(spark, d, "documents").select(
+        F.col("doc_id").alias("corpus_id"), F.col("text").alias("question"),
+        F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("answer"),
+        F.col("lang").alias("context"), F.col("source").alias("type"),
+    )
+    return match.answer_by_text(asked, known).drop("corpus_id", "question")
+
+
 @query("c12_trip_answers")
 def trip_answers(spark, d):
     """The whole question path: parse, match names, route, fare."""

@@ -217,6 +217,22 @@ def route_types(spark, d):
     return profile.value_counts(roles.routes(spark, d), ["route_type"])
 
 
+@query("d13_question_types", """
+    SELECT coalesce(nullif(role, 'system'), 'unknown') AS type, count(*) AS n,
+           (SELECT count(*) FROM conversations) AS total_questions FROM conversations GROUP BY 1""")
+def question_types(spark, d):
+    kinds = table(spark, d, "conversations").select(F.nullif(F.col("role"), F.lit("system")).alias("type"))
+    return reports.corpus_statistics(kinds)
+
+
+@query("d13_categorical_profile", """
+    SELECT "column", value, n, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value)::INTEGER AS "rank" FROM (
+        SELECT 'l_returnflag' AS "column", l_returnflag AS value, count(*) AS n FROM lineitem GROUP BY 2
+        UNION ALL SELECT 'l_linestatus', l_linestatus, count(*) FROM lineitem GROUP BY 2)""")
+def categorical_profile(spark, d):
+    return profile.categorical_profile(table(spark, d, "lineitem"))
+
+
 @query("d14_missing", f"""
     WITH g AS ({GAPS}), c AS (
         SELECT 'o_orderkey' AS "column", count(*) - count(o_orderkey) AS missing FROM g

@@ -137,6 +137,12 @@ def scan_layouts(spark: SparkSession, root: str) -> DataFrame:
     ).withColumns(_tags(F.col("path"))).select("path", "city", "source_file", "header", "separator")
 
 
+def list_cities(spark: SparkSession, root: str) -> DataFrame:
+    """Cities that have files."""
+    paths = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*.{{txt,csv}}").select("path")
+    return paths.select(_tags(F.col("path"))["city"].alias("city")).distinct()
+
+
 def read_city_files(spark: SparkSession, root: str) -> list[DataFrame]:
     """All readable city files tagged with ``city`` and ``source_file``.
 
