@@ -64,6 +64,12 @@ def candidates(task: str, n_classes: int = 2, seed: int = 42) -> dict[str, tuple
     return found
 
 
+def _compact(df: DataFrame, rows: int, rows_per_task: int = 100_000) -> DataFrame:
+    """Merge the many small partitions of a small table, which every fit would visit again."""
+    wanted = max(df.sparkSession.sparkContext.defaultParallelism, rows // rows_per_task)
+    return df.coalesce(wanted)
+
+
 def fit_grid(
     train: DataFrame, test: DataFrame, task: str, n_classes: int = 2, full_grid: bool = False,
     ranges: dict[str, dict[str, list]] | None = None, estimators: dict[str, Estimator] | None = None,
@@ -74,8 +80,9 @@ def fit_grid(
     The full ranges take up to 27 fits per fold, so they are an option; ``ranges`` may
     give shorter ones per algorithm.  Tables of 100 rows or fewer are fitted as they are.
     """
-    train, test = train.persist(), test.persist()
-    rows = train.count()
+    kept = [train.persist(), test.persist()]
+    rows = kept[0].count()
+    train, test = (_compact(df, rows) for df in kept)
     regression = task == "regression"
     evaluator = (
         RegressionEvaluator(metricName="r2") if regression
@@ -101,8 +108,8 @@ def fit_grid(
             name, model, evaluator.evaluate(model.transform(train)), evaluator.evaluate(scored),
             RegressionEvaluator(metricName="mse").evaluate(scored) if regression else None,
         ))
-    train.unpersist()
-    test.unpersist()
+    for df in kept:
+        df.unpersist()
     return fitted
 
 

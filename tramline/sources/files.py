@@ -173,8 +173,12 @@ def combine_cities(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def write_clean(df: DataFrame, path: str, by: Sequence[str] = ("city",), fmt: str = "csv") -> None:
-    """One folder per city (and file), written by all tasks at once."""
-    writer = df.write.mode("overwrite").partitionBy(*by)
+    """One folder per city (and file).
+
+    The rebalance hint gathers the rows of a folder into files of a good size and splits
+    a folder that holds most rows.
+    """
+    writer = df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by)
     if fmt == "csv":
         writer.option("header", True).option("escape", '"').csv(path)
     else:
