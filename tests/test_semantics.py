@@ -277,6 +277,21 @@ def test_channels(spark):
     assert rows["fax"].response is None and "whatsapp, telegram, web, api" in rows["fax"].error
 
 
+def test_help_on_the_chat_channel(spark):
+    df = spark.createDataFrame([("whatsapp", "HELP", "x", 0.1), ("web", "help", "y", 0.1)], "channel string, question string, answer string, confidence double")
+    rows = {r.channel: r for r in corpus.format_answer(df, "channel", "Desk").collect()}
+    assert rows["whatsapp"].response.startswith("🚌 *Desk Help*") and rows["whatsapp"].response_type == "help"
+    assert (rows["web"].response, rows["web"].response_type) == ("y", "answer")
+
+
+@pytest.mark.parametrize("text, value", [
+    ("5.5", 5.5), (" 5. ", 5.0), (".5", 0.5), ("1e3", 1000.0), ("-2", -2.0), ("5.5d", None), ("5f", None), ("0x1p3", None),
+    ("1_0", None), ("", None), ("NaN", None), (None, None), ("inf", float("inf")),
+])
+def test_plain_numbers(spark, text, value):
+    assert one(spark.createDataFrame([(text,)], "t string").select(X.number_of("t").alias("v"))).v == value
+
+
 def test_question_templates(spark):
     stations = spark.createDataFrame([(i, f"S{i}", "Accra", None) for i in range(40)], "id long, name string, gtfs_source string, station_address string")
     lines = spark.createDataFrame([(1, "R1", "A to B", "Accra")], "id long, short_name string, long_name string, source string")

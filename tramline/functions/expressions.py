@@ -19,6 +19,16 @@ def strip(c: str | Column) -> Column:
     return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
 
 
+# Plain decimal numbers; the cast alone would also take "5.5d" or "0x1p3".
+NUMBER = r"(?i)^[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity)$"
+
+
+def number_of(c: str | Column) -> Column:
+    """Text to double; anything that is no plain number is null."""
+    text = strip(c)
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+
+
 def title_case(c: str | Column) -> Column:
     """Upper-case the first letter of every run of letters (``37/airport`` -> ``37/Airport``)."""
     runs = F.regexp_extract_all(col(c), F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))

@@ -32,6 +32,17 @@ I'm your AI assistant for {vehicle} transport. I can help you with:
 
 Type your question and I'll help! 😊"""
 
+HELP_REPLY = """🚌 *{assistant} Help*
+
+I can help you with:
+• Route planning (e.g., "How do I get from Madina to Circle?")
+• Station information (e.g., "Where is Kaneshie station?")
+• Fare inquiries (e.g., "How much from Kumasi to Accra?")
+• Transport options (e.g., "What's the best way to travel?")
+• General {vehicle} information
+
+Type your question and I'll help you! 😊"""
+
 # Answer of last resort.
 NO_ANSWER = "I'm sorry, I don't have information about that."
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tramline.functions.expressions import col, confidence_band, draw, html_escape
 from tramline.functions.fixed_values import (
-    CHANNELS, CHAT_FORMAT, CONFIDENCE_LINES, HTML_FORMAT, ROUTE_TEMPLATES, STATION_TEMPLATES,
+    CHANNELS, CHAT_FORMAT, CONFIDENCE_LINES, HELP_REPLY, HTML_FORMAT, ROUTE_TEMPLATES, STATION_TEMPLATES,
     TRIP_TEMPLATES,
 )
 
@@ -129,14 +129,18 @@ def split_pairs(df: DataFrame, required: Sequence[str] = ("question", "answer"))
 
 # --- answers per channel ----------------------------------------------------
 
-def format_answer(df: DataFrame, channel: str | Column, assistant: str = "Transit Assistant") -> DataFrame:
-    """Add ``response`` and ``error`` for the channel of each row.
+def format_answer(
+    df: DataFrame, channel: str | Column, assistant: str = "Transit Assistant", vehicle: str = "minibus"
+) -> DataFrame:
+    """Add ``response``, ``response_type`` and ``error`` for the channel of each row.
 
-    ``whatsapp`` gets chat markup with a confidence line, ``telegram`` escaped HTML,
-    ``web`` the bare answer, ``api`` a JSON document.  Another channel is an error row
-    that lists the supported ones.
+    ``whatsapp`` gets chat markup with a confidence line, or the help text when asked
+    for ``help``; ``telegram`` escaped HTML, ``web`` the bare answer, ``api`` a JSON
+    document.  Another channel is an error row that lists the supported ones.
     """
     channel = col(channel)
+    help_text = HELP_REPLY.replace("{assistant}", assistant).replace("{vehicle}", vehicle)
+    helped = (channel == "whatsapp") & (F.lower("question") == "help")
     band = confidence_band("confidence")
     line = F.when(band == "High", CONFIDENCE_LINES["High"]).when(
         band == "Medium", CONFIDENCE_LINES["Medium"]
@@ -149,8 +153,9 @@ def format_answer(df: DataFrame, channel: str | Column, assistant: str = "Transi
     ))
     supported = channel.isin(CHANNELS)
     return df.withColumns({
-        "response": F.when(channel == "whatsapp", chat).when(channel == "telegram", html)
+        "response": F.when(helped, help_text).when(channel == "whatsapp", chat).when(channel == "telegram", html)
         .when(channel == "web", F.col("answer")).when(channel == "api", api),
+        "response_type": F.when(helped, "help").when(supported, "answer"),
         "error": F.when(
             ~F.coalesce(supported, F.lit(False)),
             F.concat(F.lit("Unsupported channel: "), F.coalesce(channel, F.lit("null")),

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tramline.functions.expressions import col, is_peak, is_terminal, stop_type, strip
+from tramline.functions.expressions import col, is_peak, is_terminal, number_of, stop_type
 
 
 @dataclass(frozen=True)
@@ -69,9 +69,8 @@ def normalise_stops(
     """
 
     def number(column: str) -> Column:
-        text = strip(F.col(column).cast("string"))
-        value = text.try_cast("double")
-        value = F.when(F.isnan(value), None).otherwise(value)
+        text = F.col(column).cast("string")
+        value = number_of(text)
         if strict:
             message = F.concat(F.lit(f"{column} is not a number: "), text)
             value = F.when(text.isNotNull() & value.isNull(), F.raise_error(message)).otherwise(value)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tramline.functions.fixed_values import (
-    CHANNELS, CHAT_FORMAT, CONFIDENCE_LINES, HTML_FORMAT, OD_HINT, ROUTE_TEMPLATES, STATION_TEMPLATES,
+    CHANNELS, CHAT_FORMAT, CONFIDENCE_LINES, HELP_REPLY, HTML_FORMAT, OD_HINT, ROUTE_TEMPLATES, STATION_TEMPLATES,
     TRIP_TEMPLATES,
 )
 from tramline.operators import corpus, match
@@ -211,24 +211,33 @@ def _format_sql(template: str, *values: str) -> str:
     return out
 
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+HELP = HELP_REPLY.replace("{assistant}", "Transit Assistant").replace("{vehicle}", "minibus")
 LINES = {k: "'" + v.replace("\n", "' || chr(10) || '") + "'" for k, v in CONFIDENCE_LINES.items()}
 
 
 @query("b20_answers_per_channel", f"""
-    WITH m AS (SELECT conv_id, turn, text AS question, role || ' <said>' AS answer, (turn % 10) / 10 AS confidence,
+    WITH m AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN 'Help' ELSE text END AS question, role || ' <said>' AS answer, (turn % 10) / 10 AS confidence,
                       {CHANNEL} AS channel FROM conversations)
     SELECT conv_id, turn, CASE channel
-        WHEN 'whatsapp' THEN {_format_sql(CHAT_FORMAT, "'Transit Assistant'", "question", "answer",
-            f"CASE WHEN confidence > 0.7 THEN {LINES['High']} WHEN confidence > 0.4 THEN {LINES['Medium']} ELSE {LINES['Low']} END")}
+        WHEN 'whatsapp' THEN CASE WHEN question = 'Help' THEN {_literal(HELP)} ELSE {_format_sql(CHAT_FORMAT, "'Transit Assistant'", "question", "answer",
+            f"CASE WHEN confidence > 0.7 THEN {LINES['High']} WHEN confidence > 0.4 THEN {LINES['Medium']} ELSE {LINES['Low']} END")} END
         WHEN 'telegram' THEN {_format_sql(HTML_FORMAT, "'Transit Assistant'", ESCAPED.format('question'), ESCAPED.format('answer'))}
         WHEN 'web' THEN answer
         WHEN 'api' THEN to_json({{'success': true, 'data': {{'question': question, 'answer': answer, 'confidence': confidence}}}})::VARCHAR
         END AS response,
+        CASE WHEN channel = 'whatsapp' AND question = 'Help' THEN 'help' WHEN channel <> 'sms' THEN 'answer' END AS response_type,
         CASE WHEN channel = 'sms' THEN 'Unsupported channel: sms; supported: {", ".join(CHANNELS)}' END AS error FROM m""")
 def answers_per_channel(spark, d):
     names = F.array(*[F.lit(c) for c in [*CHANNELS, "sms"]])
     messages = table(spark, d, "conversations").select(
-        "conv_id", "turn", F.col("text").alias("question"), F.concat("role", F.lit(" <said>")).alias("answer"),
+        "conv_id", "turn", F.when(F.col("turn") % 4 == 3, "Help").otherwise(F.col("text")).alias("question"),
+        F.concat("role", F.lit(" <said>")).alias("answer"),
         ((F.col("turn") % 10) / 10).alias("confidence"), F.get(names, F.col("conv_id") % 5).alias("channel"),
     )
-    return corpus.format_answer(messages, "channel").select("conv_id", "turn", "response", "error")
+    return corpus.format_answer(messages, "channel").select(
+        "conv_id", "turn", "response", "response_type", "error"
+    )

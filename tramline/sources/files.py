@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tramline.functions.expressions import number_of
 from tramline.operators.clean import normalise_columns
 from tramline.operators.setops import union_common
 from tramline.schemas import QA_CORPUS
@@ -72,7 +73,7 @@ def promote_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     checks = [
         e for c in columns for e in (
             F.count_if(F.col(c).isNotNull() & F.trim(c).try_cast("long").isNull()),
-            F.count_if(F.col(c).isNotNull() & F.trim(c).try_cast("double").isNull()),
+            F.count_if(F.col(c).isNotNull() & number_of(c).isNull()),
             F.count(c),
         )
     ]
@@ -83,7 +84,7 @@ def promote_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
         if filled and not not_long:
             types[c] = F.trim(c).try_cast("long")
         elif filled and not not_double:
-            types[c] = F.trim(c).try_cast("double")
+            types[c] = number_of(c)
     return df.withColumns(types) if types else df
 
 
