@@ -95,7 +95,8 @@ def closest_names(asked: Sequence[str], names: Sequence[str], cutoff: float) ->
                 shared[at] += np.minimum(have, count)
         total = lengths + len(word)
         bound = np.where(total > 0, 2.0 * shared / np.maximum(total, 1), 1.0)
-        order = np.argsort(-bound, kind="stable")
+        likely = np.flatnonzero(bound >= cutoff)
+        order = likely[np.argsort(-bound[likely], kind="stable")]
         matcher = SequenceMatcher()
         matcher.set_seq2(word)
         best = (cutoff, "")
