@@ -205,6 +205,15 @@ def test_headways_with_ties(spark):
     assert gaps == {"a": (3, 300.0, 600), "b": (1, None, None)}
 
 
+def test_event_gaps_across_buckets(spark):
+    times = ["2024-01-01 08:10:00", "2024-01-01 08:10:00", "2024-01-01 08:50:00", "2024-01-01 11:00:00", "2024-01-03 11:00:00.5"]
+    events = spark.createDataFrame([("a", t) for t in times] + [("b", times[0]), (None, times[0]), ("b", None)], "k string, t string")
+    events = events.withColumn("t", F.col("t").cast("timestamp"))
+    rows = {(r.k, r.moment.strftime("%d %H:%M")): (r.events, r.gap_s) for r in demand.event_gaps(events, "k", "t").collect()}
+    assert rows == {("a", "01 08:10"): (2, None), ("a", "01 08:50"): (1, 2400.0), ("a", "01 11:00"): (1, 7800.0),
+                    ("a", "03 11:00"): (1, 172800.5), ("b", "01 08:10"): (1, None)}
+
+
 def test_efficiency_score_noise_is_repeatable(spark):
     df = spark.range(200).selectExpr("id route_id", "id % 7 n_stops", "id % 3 * 0.1 lat_range", "id % 5 * 0.1 lon_range")
     scored = routes.efficiency_score(df)

@@ -144,6 +144,33 @@ def service_gaps(stop_times: DataFrame, arrival: str = "arrival_time") -> DataFr
     )
 
 
+def event_gaps(events: DataFrame, key: str, time: str, bucket: str = "hour") -> DataFrame:
+    """Seconds between consecutive moments of a key on a calendar time line.
+
+    A key may have any number of moments over the years, so none is sorted as a whole:
+    gaps are taken inside calendar buckets, and the first moment of a bucket looks back
+    to the last one of the bucket before, found among one row per bucket.
+    """
+    moments = (
+        events.select(key, F.col(time).cast("timestamp").alias("moment"))
+        .dropna()
+        .groupBy(key, "moment").agg(F.count("*").alias("events"))
+        .withColumn("bucket", F.date_trunc(bucket, "moment"))
+    )
+    ends = moments.groupBy(key, "bucket").agg(F.max("moment").alias("last"))
+    before = F.lag("last").over(Window.partitionBy(key).orderBy("bucket"))
+    inside = F.lag("moment").over(Window.partitionBy(key, "bucket").orderBy("moment"))
+    previous = F.coalesce("inside", "before")
+    return (
+        moments.withColumn("inside", inside)
+        .join(ends.withColumn("before", before).drop("last"), [key, "bucket"])
+        .select(
+            key, "moment", "events",
+            ((F.unix_micros("moment") - F.unix_micros(previous)) / 1_000_000).alias("gap_s"),
+        )
+    )
+
+
 def frequency_grid(counts: DataFrame, stop: str = "stop_id", hour: str = "hour", n: int = 20) -> DataFrame:
     """Stop x hour grid for the ``n`` busiest stops, absent cells 0.
 

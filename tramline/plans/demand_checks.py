@@ -277,6 +277,15 @@ def service_gaps(spark, d):
     return rounded(demand_ops.service_gaps(roles.stop_times(spark, d)))
 
 
+@query("e2_event_gaps", """
+    SELECT user_id, epoch_us(ts) AS moment, events, round((epoch_us(ts) - lag(epoch_us(ts)) OVER (
+               PARTITION BY user_id ORDER BY ts)) / 1000000, 6) AS gap_s
+    FROM (SELECT user_id, ts, count(*) AS events FROM events GROUP BY 1, 2)""")
+def event_gaps(spark, d):
+    gaps = demand_ops.event_gaps(table(spark, d, "events"), "user_id", "ts")
+    return rounded(gaps.withColumn("moment", F.unix_micros("moment")))
+
+
 @query("d1_table_counts", with_roles("stops routes trips stop_times fares", """
     SELECT 'routes' AS "table", count(*) AS rows FROM routes UNION ALL SELECT 'stops', count(*) FROM stops
     UNION ALL SELECT 'trips', count(*) FROM trips UNION ALL SELECT 'stop_times', count(*) FROM stop_times
