@@ -32,7 +32,8 @@ def route_features(
     """Trip counts, stop counts, sequences and extent of each route that has stop times.
 
     Trips without stop times count as trips.  Positions are taken once per distinct
-    stop of the route; a route with no located stop gets zeros.
+    stop of the route; a route with no located stop gets zeros.  Stop ids are unique in
+    ``stops``, so one pass over the (route, stop) rows yields counts and positions.
     """
     visits = route_stop_visits(stop_times, trips)
     per_route = (
