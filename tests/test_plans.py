@@ -41,3 +41,20 @@ def test_bucketed_tables_join_without_shuffle(spark, sf_dir):
     joined = spark.table("bucketed_calls").join(spark.table("bucketed_trips").hint("merge"), "trip_id")
     assert "Exchange" not in plan_of(joined)
     assert joined.count() == calls.join(trips, "trip_id").count()
+
+
+def test_ranks_are_cut_before_the_shuffle(spark, sf_dir):
+    plan = plan_of(QUERIES["d13_top_values"](spark, sf_dir))
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_top_lists_are_not_sorted_as_a_whole(spark, sf_dir):
+    for name in ("f2_top_stops", "f4_preview", "b5_station_search", "d9_agency_routes"):
+        assert "TakeOrderedAndProject" in plan_of(QUERIES[name](spark, sf_dir)), name
+
+
+def test_no_whole_column_percentile(spark, sf_dir):
+    """Only the bounded time-of-day median may use the buffer-everything aggregate."""
+    for name in ("d15_describe", "d17_imputed", "d18_outliers_capped", "d25_route_flags", "d32_usage_statistics"):
+        plan = plan_of(QUERIES[name](spark, sf_dir))
+        assert "percentile(" not in plan and "median(" not in plan, name
