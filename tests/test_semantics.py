@@ -309,6 +309,7 @@ def test_question_templates(spark):
     assert made.filter("type = 'route_info'").count() == 5
     trips = made.filter("type = 'trip_planning'")
     assert 0 < trips.count() <= 250 and trips.count() % 5 == 0
+    assert made.filter("type = 'general'").count() == 5
     assert made.filter("answer LIKE '%{%' OR question LIKE '%{%'").count() == 0
     assert made.filter("answer LIKE '%Located in Accra%'").count() > 0
     again = corpus.trip_questions(stations.repartition(5), vehicle="shared taxi")

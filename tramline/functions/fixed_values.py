@@ -30,6 +30,11 @@ I'm your AI assistant for {vehicle} transport. I can help you with:
 • Transport options
 • General {vehicle} info
 
+*Examples:*
+• "How do I get from Madina to Circle?"
+• "Where is Kaneshie station?"
+• "What's the fare from Kumasi to Accra?"
+
 Type your question and I'll help! 😊"""
 
 HELP_REPLY = """🚌 *{assistant} Help*
@@ -41,6 +46,12 @@ I can help you with:
 • Transport options (e.g., "What's the best way to travel?")
 • General {vehicle} information
 
+*Examples:*
+• "Madina to Circle route"
+• "Accra stations"
+• "{vehicle} fare Circle to Tema"
+• "What is a {vehicle}?"
+
 Type your question and I'll help you! 😊"""
 
 # Answer of last resort.
@@ -112,6 +123,25 @@ TRIP_TEMPLATES = [
      "For {name1} to {name2} travel, use intercity buses or taxis as they're in different cities."),
 ]
 
+# Question, answer and context about the service itself: {service}, {country}.
+GENERAL_TEMPLATES = [
+    ("What is a {vehicle}?",
+     "A {vehicle} is a popular form of public transportation in {country}, typically a shared minibus that follows fixed routes.",
+     "general"),
+    ("How do I pay for {vehicle}?",
+     "You can pay for {vehicle} with cash to the conductor, or increasingly with mobile money and digital payment systems.",
+     "payment"),
+    ("What are the transport options in {country}?",
+     "{country} has {vehicle}s, taxis, buses, okadas (motorcycles), and pragyas (three-wheelers) for public transport.",
+     "transport_types"),
+    ("How do I find the nearest station?",
+     "Use the {service} app or website to find the nearest station to your location using GPS.",
+     "app_usage"),
+    ("What cities does {service} cover?",
+     "{service} covers major cities including Accra, Kumasi, and is expanding to other cities in {country} and Africa.",
+     "coverage"),
+]
+
 # Keywords in column names that hint at a model target.
 REGRESSION_KEYWORDS = ["fare", "price", "cost", "duration", "time", "distance", "speed"]
 CLASSIFICATION_KEYWORDS = ["route", "destination", "origin", "station", "vehicle_type", "status"]

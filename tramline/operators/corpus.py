@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.functions.expressions import col, confidence_band, draw, html_escape
 from tramline.functions.fixed_values import (
-    CHANNELS, CHAT_FORMAT, CONFIDENCE_LINES, HELP_REPLY, HTML_FORMAT, ROUTE_TEMPLATES, STATION_TEMPLATES,
+    CHANNELS, CHAT_FORMAT, CONFIDENCE_LINES, GENERAL_TEMPLATES, HELP_REPLY, HTML_FORMAT, ROUTE_TEMPLATES, STATION_TEMPLATES,
     TRIP_TEMPLATES,
 )
 
-CORPUS_COLUMNS = ["question", "answer", "context", "type"]
-
 
 def fill(template: str, values: dict[str, Column]) -> Column:
     """A template with its ``{placeholders}`` replaced by columns."""
@@ -95,15 +93,32 @@ def trip_questions(
     return _expand(drawn_pairs(stations, pairs, seed, key), rows, context, "trip_planning")
 
 
+def general_questions(
+    spark: SparkSession, vehicle: str = "minibus", service: str = "the service", country: str = "the country"
+) -> DataFrame:
+    """Five questions about the service itself."""
+    values = {"{vehicle}": vehicle, "{service}": service, "{country}": country}
+
+    def filled(text: str) -> str:
+        for name, value in values.items():
+            text = text.replace(name, value)
+        return text
+
+    rows = [(filled(q), filled(a), context, "general") for q, a, context in GENERAL_TEMPLATES]
+    return spark.createDataFrame(rows, "question string, answer string, context string, type string")
+
+
 def generate_questions(
-    stations: DataFrame, routes: DataFrame, general: DataFrame | None = None, limit: int = 30,
-    pairs: int = 50, seed: int = 42, vehicle: str = "minibus",
+    stations: DataFrame, routes: DataFrame, limit: int = 30, pairs: int = 50, seed: int = 42,
+    vehicle: str = "minibus", service: str = "the service", country: str = "the country",
 ) -> DataFrame:
-    """The training corpus; ``general`` holds ready-made rows about the service itself."""
-    corpus = station_questions(stations, limit=limit, vehicle=vehicle).unionByName(
-        route_questions(routes, limit=limit)
-    ).unionByName(trip_questions(stations, pairs, seed, vehicle))
-    return corpus.unionByName(general.select(*CORPUS_COLUMNS)) if general is not None else corpus
+    """The whole training corpus: stations, routes, trips and general questions."""
+    return (
+        station_questions(stations, limit=limit, vehicle=vehicle)
+        .unionByName(route_questions(routes, limit=limit))
+        .unionByName(trip_questions(stations, pairs, seed, vehicle))
+        .unionByName(general_questions(stations.sparkSession, vehicle, service, country))
+    )
 
 
 # --- checks -----------------------------------------------------------------
