@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 
 import duckdb
@@ -30,6 +31,11 @@ def _key(row):
     return tuple((v is None, str(type(v).__name__), str(v)) for v in row)
 
 
+def _signs(row):
+    """Zeros with their sign, which a hash of the bytes would see."""
+    return tuple(math.copysign(1, v) for v in row if isinstance(v, float) and v == 0)
+
+
 def compare(con, df, sql: str) -> list[str]:
     """Differences as short texts; an empty list means equal."""
     problems = []
@@ -47,7 +53,7 @@ def compare(con, df, sql: str) -> list[str]:
     actual = sorted((tuple(r) for r in df.select(*[f"`{n}`" for n in names]).collect()), key=_key)
     if len(expected) != len(actual):
         problems.append(f"rows: {len(actual)} vs {len(expected)}")
-    different = [(a, e) for a, e in zip(actual, expected) if a != e]
+    different = [(a, e) for a, e in zip(actual, expected) if a != e or _signs(a) != _signs(e)]
     if different:
         problems.append(f"{len(different)} rows differ, first: {different[0][0]} vs {different[0][1]}"[:600])
     return problems
