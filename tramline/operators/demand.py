@@ -15,20 +15,17 @@ def hourly_demand(
 ) -> DataFrame:
     """Visits per stop and arrival hour, as a stand-in for passengers.
 
-    Visits are counted per (route, stop, hour) as soon as the trip is known, and per
-    (stop, hour) before positions are added; only those counts meet routes and stops.
+    Routes restrict the trips, the smaller table, before stop times are touched.  Visits
+    are then counted per (stop, hour) straight after the trip join, so only those counts
+    are shuffled again, and positions are added to them last.
     """
-    counted = (
+    known = trips.select("trip_id", "route_id").join(routes.select("route_id"), "route_id").select("trip_id")
+    demand = (
         stop_times.filter(is_clock(arrival))
         .select("trip_id", "stop_id", clock_hour(arrival).alias("hour"))
-        .join(trips.select("trip_id", "route_id"), "trip_id")
-        .groupBy("route_id", "stop_id", "hour")
-        .agg(F.count("*").alias("visits"))
-    )
-    demand = (
-        counted.join(routes.select("route_id"), "route_id")
+        .join(known, "trip_id")
         .groupBy("stop_id", "hour")
-        .agg(F.sum("visits").alias("demand"))
+        .agg(F.count("*").alias("demand"))
     )
     return demand.join(stops.select("stop_id", "stop_lat", "stop_lon"), "stop_id").select(
         "stop_id", "hour",

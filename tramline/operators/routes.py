@@ -92,13 +92,17 @@ def agency_sizes(routes: DataFrame, agency: DataFrame) -> DataFrame:
 def agency_centroids(
     routes: DataFrame, agency: DataFrame, trips: DataFrame, stop_times: DataFrame, stops: DataFrame
 ) -> DataFrame:
-    """Mean position of the stops an agency visits, each visit counting once."""
-    visits = route_stop_visits(stop_times, trips).select("route_id", "stop_id", "visits")
+    """Mean position of the stops an agency visits, each visit counting once.
+
+    Trips learn their agency first; visits fold to (agency, stop) counts right after the
+    trip join.
+    """
+    named = with_agency(routes.select("route_id", "agency_id"), agency).filter(F.col("agency_name").isNotNull())
+    of_trip = trips.select("trip_id", "route_id").join(named, "route_id").select("trip_id", "agency_name")
     per_stop = (
-        visits.join(with_agency(routes.select("route_id", "agency_id"), agency), "route_id")
-        .filter(F.col("agency_name").isNotNull())
+        stop_times.select("trip_id", "stop_id").join(of_trip, "trip_id")
         .groupBy("agency_name", "stop_id")
-        .agg(F.sum("visits").alias("visits"))
+        .agg(F.count("*").alias("visits"))
     )
     return (
         per_stop.join(stops.select("stop_id", "stop_lat", "stop_lon"), "stop_id")
