@@ -8,12 +8,16 @@ the whole tokenizer; plain ones are cut by its own pattern and given to its mode
 
 from __future__ import annotations
 
+import sys
+from array import array
+
 import regex
 
 from tramline.llm.common import worker_store
 
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 PLAIN = regex.compile(r"[\x21-\x7e\xa1-ɏ]+")
+ENDS = ".,;:!?"
 CACHED_WORDS = 400_000
 #: What the tokenizer must be for words to be independent of each other.
 NORMALISERS = ["NFC", "Replace", "Lowercase"]
@@ -35,6 +39,8 @@ class WordEncoder:
 
         from tokenizers import Tokenizer
 
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are written as this machine's unsigned 32-bit numbers, which must be little-endian")
         self.whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
@@ -43,20 +49,30 @@ class WordEncoder:
             raise ValueError(f"{path}: words are not independent under {kinds}")
         self.model = self.whole.model
         self.letters = byte_letters()
+        self.ends: dict[str, bytes] = {}
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def _word(self, raw: bytes) -> bytes:
         word = raw.decode("utf-8", "replace")
-        if "<|" in word or not PLAIN.fullmatch(word):
-            ids = self.whole.encode(word, add_special_tokens=False).ids
-        else:
-            low = "".join(map(str.lower, word))
-            ids = []
-            for piece in PIECES.findall(low):
-                mapped = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-                ids += [t.id for t in self.model.tokenize(mapped)]
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        plain = word.isprintable() if word.isascii() else PLAIN.fullmatch(word)
+        if not plain or "<|" in word:
+            return array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
+        low = word.lower()
+        if low.isalpha():
+            return self._piece(low)
+        if low[:-1].isalpha() and low[-1] in ENDS:
+            return self._piece(low[:-1]) + self._end(low[-1])
+        return b"".join(map(self._piece, PIECES.findall(low)))
+
+    def _piece(self, piece: str) -> bytes:
+        mapped = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def _end(self, mark: str) -> bytes:
+        if mark not in self.ends:
+            self.ends[mark] = self._piece(mark)
+        return self.ends[mark]
 
     def _miss(self, word: bytes) -> bytes:
         ids = self.young.get(word)

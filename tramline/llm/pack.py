@@ -31,61 +31,64 @@ from tramline.llm.encode import encoder
 
 PIECES = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 #: Every n-th rest of a pool is cut into small pieces of this share of a window.
-FINE_EVERY, FINE_SHARE = 4, 32
+FINE_EVERY, FINE_SHARE = 4, 16
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
     """Spreads items over ``k`` subsets of near-equal sums; gives the item numbers of each.
 
-    A partial partition is kept as its non-empty subsets, largest first, each relative to
-    the smallest of the ``k``; missing ones are empty and equal to that smallest one.
+    A partial partition is kept as its non-empty subsets (sum, node), largest first, each sum
+    relative to the smallest of the ``k``; missing ones are empty and equal to that smallest
+    one.  Nodes below ``len(sizes)`` are items, the others pairs of nodes.
     """
-    if k == 1:
-        return [list(range(len(sizes)))]
-    heap: list[tuple] = [(-size, at, [(size, (at,))]) for at, size in enumerate(sizes)]
+    if k == 1 or not sizes:
+        return [list(range(len(sizes)))] + [[] for _ in range(k - 1)]
+    pairs: list[tuple[int, int]] = []
+    count = len(sizes)
+    heap: list[tuple] = [(-size, at, [(size, at)]) for at, size in enumerate(sizes)]
     heapq.heapify(heap)
     while len(heap) > 1:
         _, order, a = heapq.heappop(heap)
-        _, _, b = heapq.heappop(heap)
-        free = k - len(a)
-        if len(b) <= free:
+        _, _, b = heap[0]
+        over = len(a) + len(b) - k
+        if over <= 0:
             merged = a + b
         else:
             # The largest of b meet the empty places of a, the others its smallest.
-            merged = a[: len(a) - (len(b) - free)] + b[:free]
-            rest = b[free:]
-            tail = a[len(a) - len(rest) :]
-            merged += [(x + y, (p, q)) for (x, p), (y, q) in zip(reversed(tail), rest)]
-        merged.sort(key=lambda s: -s[0])
+            keep = len(b) - over
+            merged = a[: len(a) - over] + b[:keep]
+            for (x, p), (y, q) in zip(a[: -over - 1 : -1], b[keep:]):
+                merged.append((x + y, count + len(pairs)))
+                pairs.append((p, q))
+        merged.sort(reverse=True)
+        spread = merged[0][0]
         if len(merged) == k and (low := merged[-1][0]):
             merged = [(x - low, p) for x, p in merged]
-        spread = merged[0][0] - (merged[-1][0] if len(merged) == k else 0)
-        heapq.heappush(heap, (-spread, order, merged))
-    subsets = [_items(p) for _, p in heap[0][2]] if heap else []
-    return subsets + [[] for _ in range(k - len(subsets))]
-
-
-def _items(tree) -> list[int]:
-    """The item numbers in a nest of pairs."""
-    found, todo = [], [tree]
-    while todo:
-        for part in todo.pop():
-            if isinstance(part, tuple):
-                todo.append(part)
+            spread -= low
+        heapq.heapreplace(heap, (-spread, order, merged))
+    subsets = []
+    for _, root in heap[0][2]:
+        found, todo = [], [root]
+        while todo:
+            node = todo.pop()
+            if node < count:
+                found.append(node)
             else:
-                found.append(part)
-    return sorted(found)
+                todo += pairs[node - count]
+        subsets.append(sorted(found))
+    return subsets + [[] for _ in range(k - len(subsets))]
 
 
 def fill(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Differencing with as few windows as hold every subset."""
+    """Differencing with as few windows as hold every subset; over capacity, the count rises."""
     total = sum(sizes)
     k = max(1, -(-total // capacity))
     while True:
         subsets = difference(sizes, k)
-        if max((sum(sizes[i] for i in s) for s in subsets), default=0) <= capacity:
+        over = sum(max(0, sum(sizes[i] for i in s) - capacity) for s in subsets)
+        if not over:
             return [s for s in subsets if s]
-        k += max(1, k // 128)
+        k += -(-over // capacity)
 
 
 class _Packer:
@@ -134,7 +137,7 @@ class _Packer:
 
 def pack(
     docs: DataFrame, tokenizer: str, *, text: str = "text", doc_id: str = "doc_id", capacity: int = 2048, end_id: int = 1,
-    pool_tokens: int = 1 << 20,
+    pool_tokens: int = 1 << 19,
 ) -> DataFrame:
     """Pieces of documents with their window (``sequence_id``) and place in it (``offset``).
 
