@@ -5,9 +5,11 @@ from __future__ import annotations
 import sys
 import types as _types
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tramline.session import new_folder
+
 
 def let(value: Column, use) -> Column:
     """``use(value)`` with ``value`` computed once, also where ``use`` needs it inside a lambda."""
@@ -41,6 +43,13 @@ def doc_key(*names: str) -> Column:
     return F.xxhash64(*parts)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """A wide frame as a Parquet table in the shared folder: smaller than a checkpoint, read by column."""
+    folder = new_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 BLOCK = 256
 
 

@@ -2,23 +2,25 @@
 
 A line is its set of words (A-Z lowered).  Words are ordered by rarity, rarest first; two
 sets with Jaccard similarity of ``similarity`` or more share a word among the first few of
-both (the prefix).  Lines meet by prefix words; the length filter and the positional
-filter drop pairs that cannot reach the similarity; the rest is verified on the words
-themselves.  A line goes if an earlier line (by ``doc_id``, line, row) is similar.
+both (the prefix).  Lines meet by prefix words; the length filter, the positional filter
+and a 64-bit parity sketch (each word on one side only flips one bit, so the bits that
+differ are a lower bound of such words) drop pairs that cannot reach the similarity; the
+rest is verified on the whole sets (as 64-bit word hashes, taken anew from the texts).  A line goes if an earlier line of the input is similar.
 
 Equal sets are folded before the join: all but the first go at once, and only first lines
 join.  Rarity is read from a table of ``2 ** BUCKET_BITS`` corpus counts by word hash, of
 fixed size; it only orders words, so a shared bucket costs time and never a pair.
 
 Scale: per line about a fifth of its words cross the network as rows of four numbers.
-Lines that meet at a word are compared as a stream; a word that ``HOT`` lines or more meet at
-sends each of them to a few earliest ones only, and lines not settled by those meet all
-others in a join that adaptive execution can split.  Only lines with a candidate are
-looked up for verification.
-
-Defined cases: lines without a word are no lines and stay; a null text stays null; rows
-with equal ids are ordered by line, then by their place in the input, which must be stable
-under rereading (files); an empty table gives no rows; other columns stay.
+Lines that meet at a word are compared as a stream; where ``HOT`` lines or more meet, each
+is held against a few earliest ones only, and lines not settled by those meet all others
+in a join that adaptive execution can split.  Only documents with a candidate cross the
+network for verification.
+
+Defined cases: lines without a word are no lines and stay; a null text stays null; ids play
+no part, so null and repeated ones are documents like others; earlier means the order of
+the input, which must be stable under rereading (files, which Spark reads in the order of
+size and name); an empty table gives no rows; other columns stay.
 """
 
 from __future__ import annotations
@@ -32,19 +34,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tramline.llm.common import let, text_or_empty, utf8, worker_store
+from tramline.llm.common import let, stored, text_or_empty, utf8, worker_store
 from tramline.llm.suffixes import mix
 from tramline.session import materialise
 
-BUCKET_BITS = 21
-HOT = 64
-LEADERS = 4
+BUCKET_BITS = 19
+#: Documents to look up are told by a table of at most 2 ** 20 hash buckets, which is broadcast.
+LOOKUP_BUCKETS = 1 << 20
+HOT = 128
+LEADERS = 1
 GROUP_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 BLANKS = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SIMILAR = Fraction(4, 5)
-NO_ID = -(1 << 63)
 
 
 def _tables(size: int) -> tuple:
@@ -110,7 +113,7 @@ def word_counts(docs: DataFrame, text: str) -> np.ndarray:
 
 
 def prefix_size(size: np.ndarray, similarity: Fraction) -> np.ndarray:
-    """How many first words of a set can be the first one shared with a similar set."""
+    """How many first words of a set hold a word of every similar set."""
     return size + (-size * similarity.numerator // similarity.denominator) + 1
 
 
@@ -121,7 +124,7 @@ def _line_sets(counts, similarity: Fraction):
     and get a name of their own, since nothing more is asked of them.
     """
 
-    def sets(joined: bytes, lines: list[int], doc, row, rarity):
+    def sets(joined: bytes, lines: list[int], row, rarity):
         ends = np.cumsum(lines)
         hashes, line = words(joined)
         often = rarity[(hashes & np.uint64(len(rarity) - 1)).astype(np.int64)]
@@ -133,145 +136,170 @@ def _line_sets(counts, similarity: Fraction):
         first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])[: len(line)])
         size = np.diff(np.concatenate([first, [len(line)]]))
         name = mix(np.add.reduceat(mix(hashes), first) + size.astype(np.uint64)) if len(first) else np.empty(0, np.uint64)
+        sketch = np.bitwise_xor.reduceat(np.uint64(1) << (hashes & np.uint64(63)), first) if len(first) else name
         owner = np.searchsorted(ends, line[first], side="right")
         # Sets of up to three words are similar to equal ones only.
         take = np.where(size > 3, prefix_size(size, similarity), 0)
         at = np.repeat(first - np.cumsum(take) + take, take) + np.arange(take.sum())
         prefix = np.where(often[at] == 1, 0, (hashes[at] >> np.uint64(32)).astype(np.int64)).astype(np.uint32).astype(np.int32)
-        return name.astype(np.int64), doc[owner], row[owner], line[first] - (ends - lines)[owner], size, take, prefix
+        return name.astype(np.int64), row[owner], line[first] - (ends - lines)[owner], size, sketch.astype(np.int64), take, prefix
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = counts.value
         for batch in batches:
-            ids, numbers, texts = batch.columns
-            ids, numbers, done, parts = ids.to_numpy(), numbers.to_numpy(), 0, []
+            numbers, texts = batch.columns
+            numbers, done, parts = numbers.to_numpy(), 0, []
             for joined, lines in _groups(t.as_py() for t in texts):
-                parts.append(sets(joined, lines, ids[done : done + len(lines)], numbers[done : done + len(lines)], rarity))
+                parts.append(sets(joined, lines, numbers[done : done + len(lines)], rarity))
                 done += len(lines)
             if not parts:
                 continue
-            name, doc, row, line, size, take, prefix = (np.concatenate(p) for p in zip(*parts))
-            order = np.lexsort((row, line, doc, name))
+            name, row, line, size, sketch, take, prefix = (np.concatenate(p) for p in zip(*parts))
+            order = np.lexsort((line, row, name))
             again = np.zeros(len(name), bool)
             again[order[1:]] = name[order[1:]] == name[order[:-1]]
             alone = mix(row.astype(np.uint64) * np.uint64(BASE) + line.astype(np.uint64)).astype(np.int64)
             prefix = prefix[np.repeat(~again, take)]
             offsets = np.concatenate([[0], np.cumsum(np.where(again, 0, take))]).astype(np.int32)
             yield pa.record_batch({
-                "name": pa.array(np.where(again, alone, name)), "doc": pa.array(doc), "row": pa.array(row), "line": pa.array(line),
-                "size": pa.array(size.astype(np.int32)), "again": pa.array(again), "prefix": pa.ListArray.from_arrays(offsets, pa.array(prefix)),
+                "name": pa.array(np.where(again, alone, name)), "row": pa.array(row), "line": pa.array(line.astype(np.int32)),
+                "size": pa.array(size.astype(np.int32)), "sketch": pa.array(sketch), "again": pa.array(again), "prefix": pa.ListArray.from_arrays(offsets, pa.array(prefix)),
             })
 
     return run
 
 
-PAIRS = "a bigint, b bigint, word int"
+MEETINGS = "row bigint, line int, row_b bigint, line_b int, word int"
 
 
 def _meet(similarity: Fraction):
-    """Candidate pairs of lines at each prefix word; for words with many lines only leaders.
+    """A row per meeting of a line with an earlier one (``row_b, line_b``) that may be similar.
 
-    Rows come sorted by word and order.  A pair row has a word of null; a row with a word
-    and no partner says that line ``a`` met too many others there.
+    Rows come sorted by word and order.  A line is held against up to ``HOT`` lines before it
+    at a word and takes up to ``LEADERS`` partners there; a row with a word and no earlier
+    line says that there may be others at this word.  Comparing goes by distance in the sorted
+    rows, for a whole batch at once.
     """
     up, down = similarity.numerator, similarity.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, hot = None, [], False
+        carry, cut = None, 0
         for batch in batches:
-            a, b, words_ = [], [], []
-            word_of = batch.column(0).to_numpy()
-            same = word_of[1:] == word_of[:-1]
-            # Words that one line has alone are most; the first and last of a batch may go on beyond it.
-            company = np.concatenate([[True], same]) | np.concatenate([same, [True]])
-            company |= word_of == word_of[-1] if len(word_of) else False
-            for word, uid, size, place in zip(*(c.to_numpy()[company].tolist() for c in batch.columns)):
-                if word != now:
-                    now, held, hot = word, [], False
-                found = 0
-                for other, other_size, other_place in held:
-                    small, large = (size, other_size) if size < other_size else (other_size, size)
-                    if small * down < up * large:
-                        continue
-                    # If this is the first word they share, no more than this many are shared.
-                    shared = min(size - place, other_size - other_place)
-                    if shared * (up + down) < up * (size + other_size):
-                        continue
-                    a.append(uid)
-                    b.append(other)
-                    words_.append(None)
-                    found += 1
-                    if hot and found == LEADERS:
-                        break
-                if len(held) < HOT:
-                    held.append((uid, size, place))
-                else:
-                    if not hot:
-                        hot = True
-                        for other, _, _ in held:
-                            a.append(other)
-                            b.append(None)
-                            words_.append(word)
-                    a.append(uid)
-                    b.append(None)
-                    words_.append(word)
-            yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "word": pa.array(words_, pa.int32())})
+            word_place, row, line_size, sketch = (c.to_numpy() for c in batch.columns)
+            high, low = (lambda x: (x >> 32).astype(np.int32)), (lambda x: (x & 0xFFFFFFFF).astype(np.int32))
+            columns = [high(word_place), row, high(line_size), low(line_size), low(word_place), sketch]
+            old = 0
+            if carry is not None:
+                old = len(carry[0])
+                columns = [np.concatenate(c) for c in zip(carry, columns)]
+            word, row, line, size, place, sketch = columns
+            if len(word) == old:
+                continue
+            new_word = np.concatenate([[True], word[1:] != word[:-1]])
+            start = np.flatnonzero(new_word)[np.cumsum(new_word) - 1]
+            at = np.arange(len(word))
+            before = at - start
+            size, rest, sketch = size.astype(np.int64), (size - place).astype(np.int64), sketch.view(np.uint64)
+            partners = np.zeros(len(word), np.int64)
+            active, later, earlier = at[old:], [], []
+            for distance in range(1, HOT + 1):
+                active = active[(before[active] >= distance) & (partners[active] < LEADERS)]
+                if not len(active):
+                    break
+                other = active - distance
+                both = size[active] + size[other]
+                needed = -(-up * both // (up + down))
+                # If this is the first word they share, no more are shared than go on from here in both.
+                fits = (needed <= np.minimum(rest[active], rest[other])) & (np.bitwise_count(sketch[active] ^ sketch[other]) <= both - 2 * needed)
+                fits &= (row[active] != row[other]) | (line[active] != line[other])
+                later.append(active[fits])
+                earlier.append(other[fits])
+                partners[active[fits]] += 1
+            in_run = before + np.where(start == 0, cut, 0)
+            crowded = at[old:][(in_run[old:] > HOT) | (partners[old:] == LEADERS)]
+            later, earlier = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (later, earlier))
+            told = np.concatenate([later, crowded])
+            yield pa.record_batch({
+                "row": pa.array(row[told]), "line": pa.array(line[told]),
+                "row_b": pa.concat_arrays([pa.array(row[earlier]), pa.nulls(len(crowded), pa.int64())]),
+                "line_b": pa.concat_arrays([pa.array(line[earlier]), pa.nulls(len(crowded), pa.int32())]),
+                "word": pa.concat_arrays([pa.nulls(len(later), pa.int32()), pa.array(word[crowded])]),
+            })
+            last = start[-1]
+            first = max(last, len(word) - HOT)
+            cut = (cut if last == 0 else 0) + first - last
+            carry = [c[first:] for c in columns]
 
     return run
 
 
 def word_set(line: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.translate(line, UPPER, LOWER), BLANKS), lambda w: w != ""))
+    """64-bit hashes of a line's different words."""
+    words_ = F.filter(F.split(F.translate(line, UPPER, LOWER), BLANKS), lambda w: w != "")
+    return F.array_distinct(F.transform(words_, lambda w: F.xxhash64(w)))
+
+
+def _pack(high: str, low: str) -> Column:
+    return F.shiftleft(F.col(high).cast("bigint"), 32).bitwiseOR(F.col(low).cast("bigint"))
 
 
-def _verified(pairs: DataFrame, firsts: DataFrame, texts: DataFrame, similarity: Fraction) -> DataFrame:
-    """``uid`` of lines of which an earlier one in ``pairs (a later, b earlier)`` is similar."""
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: Fraction) -> DataFrame:
+    """``row, line`` of lines of which an earlier one is similar; ``pairs`` are ``row, line, row_b, line_b``."""
     up, down = similarity.numerator, similarity.denominator
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-    places = asked.join(firsts.select("uid", "row", "line"), "uid").groupBy("row").agg(F.collect_list(F.struct("uid", "line")).alias("asked"))
-    lines = places.join(texts.select("row", F.col("text")), "row")
-    sets = lines.select(F.explode(let(F.split(text_or_empty("text"), "\n"), lambda x: F.transform(
-        "asked", lambda p: F.struct(p["uid"].alias("uid"), F.get(x, p["line"]).alias("line"))))).alias("p")).select("p.uid", word_set(F.col("p.line")).alias("words"))
-    both = pairs.distinct().join(sets.select(F.col("uid").alias("a"), F.col("words").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("words").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.filter(shared * (up + down) >= up * (F.size("x") + F.size("y"))).select(F.col("a").alias("uid")).distinct()
+    likely = materialise(pairs.distinct())
+    asked = likely.select("row", "line").unionByName(likely.select(F.col("row_b").alias("row"), F.col("line_b").alias("line"))).distinct()
+    bucket = F.pmod(F.xxhash64("row"), F.lit(LOOKUP_BUCKETS))
+    # Keeps most documents that nobody asks for out of the shuffle; what gets through by chance finds no partner.
+    few = texts.select("row", "text").withColumn("bucket", bucket).join(F.broadcast(asked.select(bucket.alias("bucket")).distinct()), "bucket", "left_semi")
+    lines = asked.groupBy("row").agg(F.collect_list("line").alias("asked")).join(few, "row")
+    found = lines.select("row", F.explode(let(F.split(text_or_empty("text"), "\n"), lambda x: F.transform(
+        "asked", lambda i: F.struct(i.alias("line"), F.get(x, i).alias("said"))))).alias("p"))
+    sets = materialise(found.select("row", "p.line", word_set(F.col("p.said")).alias("words")))
+    both = likely.join(sets, ["row", "line"]).join(sets.select(F.col("row").alias("row_b"), F.col("line").alias("line_b"), F.col("words").alias("words_b")), ["row_b", "line_b"])
+    shared = F.size(F.array_intersect("words", "words_b"))
+    return both.filter(shared * (up + down) >= up * (F.size("words") + F.size("words_b"))).select("row", "line").distinct()
 
 
 def removed_lines(texts: DataFrame, similarity: Fraction) -> DataFrame:
-    """``row, line`` of every line that goes, of ``texts (id, text, row)``."""
+    """``row, line`` of every line that goes, of ``texts (row, text)``."""
     counts = texts.sparkSession.sparkContext.broadcast(word_counts(texts, "text"))
-    schema = "name bigint, doc bigint, row bigint, line bigint, size int, again boolean, prefix array<int>"
-    named = texts.select(F.coalesce(F.col("id").cast("bigint"), F.lit(NO_ID)).alias("doc"), "row", utf8("text"))
-    sets = named.mapInArrow(_line_sets(counts, similarity), schema)
-    order = W.partitionBy("name").orderBy("doc", "line", "row")
+    schema = "name bigint, row bigint, line int, size int, sketch bigint, again boolean, prefix array<int>"
+    sets = texts.select("row", utf8("text")).mapInArrow(_line_sets(counts, similarity), schema)
+    order = W.partitionBy("name").orderBy("row", "line")
     ranked = sets.withColumn("again", F.col("again") | (F.row_number().over(order) > 1))
-    known = materialise(ranked.select(
-        "doc", "row", "line", "size", "again", F.when(~F.col("again"), F.col("prefix")).alias("prefix"), F.monotonically_increasing_id().alias("uid")))
-    firsts = known.filter("not again")
-    entries = firsts.select("doc", "line", "uid", "size", F.posexplode("prefix").alias("place", "word")).filter("word <> 0")
-    met = entries.repartition("word").sortWithinPartitions("word", "doc", "line", "uid").select("word", "uid", "size", "place").mapInArrow(_meet(similarity), PAIRS)
-    met = materialise(met)
-    close = _verified(met.filter("b is not null").select("a", "b"), firsts, texts, similarity)
-    crowded = met.filter("b is null").select(F.col("a").alias("uid"), "word").distinct()
+    known = stored(ranked.select("row", "line", "size", "sketch", "again", F.when(~F.col("again"), F.col("prefix")).alias("prefix")), "line_sets")
+    entries = known.filter("not again").select("row", "line", "size", "sketch", F.posexplode("prefix").alias("place", "word")).filter("word <> 0")
+    # Two numbers of 32 bits in one field: half of the bytes that would cross are heads of fields.
+    packed = entries.select(_pack("word", "place").alias("word_place"), "row", _pack("line", "size").alias("line_size"), "sketch")
+    word = F.shiftright("word_place", 32)
+    sorted_entries = packed.repartition(word).sortWithinPartitions(word, "row", "line_size")
+    met = materialise(sorted_entries.mapInArrow(_meet(similarity), MEETINGS))
+    close = _verified(met.filter("word is null").drop("word"), texts, similarity)
+    crowded = met.filter("word is not null").select("row", "line", "word").distinct()
     if not crowded.isEmpty():
         close = materialise(close)
         up, down = similarity.numerator, similarity.denominator
-        hot = entries.join(crowded, ["uid", "word"], "left_semi")
-        late = hot.join(close, "uid", "left_anti")
-        early = hot.select("word", F.col("uid").alias("b"), F.col("doc").alias("doc_b"), F.col("line").alias("line_b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"))
-        before = F.struct("doc_b", "line_b", "b") < F.struct("doc", "line", "uid")
-        long_enough = F.least("size", "size_b") * down >= F.greatest("size", "size_b") * up
-        reachable = F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b")) * (up + down) >= (F.col("size") + F.col("size_b")) * up
-        rest = late.join(early, "word").filter(before & long_enough & reachable).select(F.col("uid").alias("a"), "b").distinct()
-        close = close.unionByName(_verified(rest, firsts, texts, similarity))
-    similar = firsts.select("uid", "row", "line").join(close, "uid", "left_semi").select("row", "line")
-    return known.filter("again").select("row", "line").unionByName(similar)
+        # Not all partners of these lines were written down at these words.
+        bucket = F.pmod(F.xxhash64("word"), F.lit(LOOKUP_BUCKETS))
+        late_places = materialise(crowded.join(close, ["row", "line"], "left_anti"))
+        asked = late_places.select(bucket.alias("bucket")).distinct()
+        hot = entries.withColumn("bucket", bucket).join(F.broadcast(asked), "bucket", "left_semi").drop("bucket")
+        late = hot.join(late_places, ["row", "line", "word"], "left_semi")
+        early = hot.select(*[F.col(c).alias(c if c == "word" else f"{c}_b") for c in entries.columns])
+        before = F.struct("row_b", "line_b") < F.struct("row", "line")
+        both = F.col("size") + F.col("size_b")
+        needed = F.ceil(both * up / (up + down))
+        reachable = (needed <= F.least("size", "size_b")) & (needed <= F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b")))
+        alike = F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch_b"))) <= both - 2 * needed
+        rest = late.join(early, "word").filter(before & reachable & alike).select("row", "line", "row_b", "line_b")
+        close = close.unionByName(_verified(rest, texts, similarity))
+    return known.filter("again").select("row", "line").unionByName(close)
 
 
 def find_repeated_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", similarity: Fraction = SIMILAR) -> DataFrame:
     """Per document: id, ``n_lines`` (lines with a word) and the numbers of the ``removed`` ones."""
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
-    gone = _gone(texts, similarity)
+    gone = _gone(texts.select("row", "text"), similarity)
     filled = F.size(F.filter(F.split(text_or_empty("text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     counted = texts.select(F.col("id").alias(doc_id), "row", filled.cast("bigint").alias("n_lines"))
     return counted.join(gone, "row", "left").select(f"`{doc_id}`", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
@@ -279,16 +307,23 @@ def find_repeated_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "d
 
 def _gone(texts: DataFrame, similarity: Fraction) -> DataFrame:
     lines = removed_lines(texts, similarity)
-    return lines.groupBy("row").agg(F.sort_array(F.collect_list(F.col("line").cast("int"))).alias("removed"))
+    return lines.groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", similarity: Fraction = SIMILAR) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, text: str = "text", similarity: Fraction = SIMILAR) -> DataFrame:
     """All documents without the lines that an earlier one resembles; all columns stay."""
     carried = docs.select(F.struct("*").alias("record"), F.monotonically_increasing_id().alias("row"))
-    texts = carried.select(F.col(f"record.`{doc_id}`").alias("id"), F.col(f"record.`{text}`").alias("text"), "row")
-    joined = carried.join(_gone(texts, similarity), "row", "left")
+    texts = carried.select("row", F.col(f"record.`{text}`").alias("text"))
+    gone = materialise(_gone(texts, similarity))
+    bucket = F.pmod(F.xxhash64("row"), F.lit(LOOKUP_BUCKETS))
+    buckets = F.broadcast(gone.select(bucket.alias("bucket")).distinct())
+    told = carried.withColumn("bucket", bucket)
+    # Documents that lose nothing stay where they are.
+    joined = told.join(buckets, "bucket", "left_semi").join(gone, "row", "left")
     value = F.col(f"record.`{text}`")
     rest = let(F.split(value, "\n"), lambda x: F.array_join(
         F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("removed")), lambda i: F.get(x, i)), "\n"))
     cut = F.when(F.col("removed").isNotNull(), rest).otherwise(value)
-    return joined.select(*[(cut if c == text else F.col(f"record.`{c}`")).alias(c) for c in docs.columns])
+    changed = joined.select(*[(cut if c == text else F.col(f"record.`{c}`")).alias(c) for c in docs.columns])
+    whole = told.join(buckets, "bucket", "left_anti").select(*[F.col(f"record.`{c}`").alias(c) for c in docs.columns])
+    return changed.unionByName(whole)

@@ -139,10 +139,10 @@ def disclosures(docs: DataFrame, near: DataFrame, *, text: str = "text", min_tex
     pairs = near.groupBy("entity", "term", "doc_id", "key", "copy").agg(F.lit(1)).groupBy("entity", "term").agg(
         F.count("*").alias("n_et"), F.count_distinct("copy").alias("texts")).filter(F.col("texts") >= min_texts)
     entities = near.groupBy("entity", "doc_id", "key").agg(F.lit(1)).groupBy("entity").agg(F.count("*").alias("n_e"))
-    total = docs.agg(F.count("*").alias("n"))
-    rated = pairs.join(document_frequency(docs, text), "term").join(entities, "entity").join(F.broadcast(total))
+    total = docs.count()
+    rated = pairs.join(document_frequency(docs, text), "term").join(entities, "entity")
     told = rated.select(
-        "entity", "term", F.log2(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("n_t"))).alias("bits"), (F.col("n_et") / F.col("n_t")).alias("chance"))
+        "entity", "term", F.log2(F.col("n_et") * F.lit(total) / (F.col("n_e") * F.col("n_t"))).alias("bits"), (F.col("n_et") / F.col("n_t")).alias("chance"))
     return told.filter((F.col("bits") >= min_bits) & (F.col("chance") >= min_chance))
 
 

@@ -196,7 +196,7 @@ def _settle(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
     return pa.array(rows, pa.struct([("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())]))
 
 
-def without_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", length: int = 100, unit: int = 32, hot: int = 20_000) -> DataFrame:
+def without_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", length: int = 100, unit: int = 32, hot: int = 2_000) -> DataFrame:
     """Per document: id, ``n_bytes``, removed ``spans`` in bytes (null where none) and the ``kept`` bytes."""
     texts = docs.select(F.col(doc_id).alias("id"), utf8(text).alias("text")).withColumn("row", F.monotonically_increasing_id())
     named = texts.select(_order(F.col("id")).alias("doc"), "row", "text")

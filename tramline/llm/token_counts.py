@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tramline.llm.common import utf8
 from tramline.llm.encode import encoder
+from tramline.session import materialise
 
 RANGE = 4096
 
@@ -40,8 +41,8 @@ def encoded_length(tokenizer: str, text: str = "text", end_ids: int = 1):
 
 
 def length_histogram(docs: DataFrame, tokenizer: str, *, text: str = "text") -> DataFrame:
-    """``length``, ``docs``: how many documents have each encoded length."""
-    return docs.select(encoded_length(tokenizer, text).alias("length")).groupBy("length").agg(F.count("*").alias("docs"))
+    """``length``, ``docs``: how many documents have each encoded length; checkpointed, since several answers read it."""
+    return materialise(docs.select(encoded_length(tokenizer, text).alias("length")).groupBy("length").agg(F.count("*").alias("docs")))
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:
@@ -60,14 +61,15 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     )
 
 
-def _totals(sums: DataFrame) -> DataFrame:
-    """One row: all documents and tokens."""
-    return sums.agg(F.coalesce(F.max("docs_from"), F.lit(0)).alias("all_docs"), F.coalesce(F.max("tokens_from"), F.lit(0)).alias("all_tokens"))
+def _totals(sums: DataFrame) -> dict:
+    """All documents and tokens, as constant columns."""
+    docs, tokens = sums.agg(F.max("docs_from"), F.max("tokens_from")).first()
+    return {"all_docs": F.lit(docs or 0).cast("bigint"), "all_tokens": F.lit(tokens or 0).cast("bigint")}
 
 
 def limit_table(sums: DataFrame) -> DataFrame:
     """Every length as a context limit: ``tokens_truncated`` (longer documents cut) and the documents that fit."""
-    return sums.join(F.broadcast(_totals(sums))).select(
+    return sums.withColumns(_totals(sums)).select(
         "length", "docs", "docs_from", "tokens_from", (F.col("all_docs") - F.col("docs_from") + F.col("docs")).alias("docs_fit"),
         (F.col("all_tokens") - F.col("tokens_from") + F.col("length") * F.col("docs_from")).alias("tokens_truncated"))
 
@@ -86,7 +88,7 @@ def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
 
 def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
     """``share, length``: the least length that at least that share of the documents does not exceed."""
-    reached = sums.join(F.broadcast(_totals(sums))).withColumn("fit", F.col("all_docs") - F.col("docs_from") + F.col("docs"))
+    reached = sums.withColumns(_totals(sums)).withColumn("fit", F.col("all_docs") - F.col("docs_from") + F.col("docs"))
     picked = reached.agg(*[F.min(F.when(F.col("fit") >= F.col("all_docs") * F.lit(s), F.col("length"))).alias(f"q{i}") for i, s in enumerate(shares)])
     rows = F.array(*[F.struct(F.lit(float(s)).alias("share"), F.col(f"q{i}").alias("length")) for i, s in enumerate(shares)])
     return picked.select(F.explode(rows).alias("r")).select("r.*")
