@@ -5,7 +5,7 @@ sets with Jaccard similarity of ``similarity`` or more share a word among the fi
 both (the prefix).  Lines meet by prefix words; the length filter, the positional filter
 and a 64-bit parity sketch (each word on one side only flips one bit, so the bits that
 differ are a lower bound of such words) drop pairs that cannot reach the similarity; the
-rest is verified on the whole sets (as 64-bit word hashes, taken anew from the texts).  A line goes if an earlier line of the input is similar.
+rest is verified on the whole sets (as 64-bit word hashes, taken anew from the texts).  A line goes if an earlier line (by ``doc_id``, line, row) is similar.
 
 Equal sets are folded before the join: all but the first go at once, and only first lines
 join.  Rarity is read from a table of ``2 ** BUCKET_BITS`` corpus counts by word hash, of
@@ -17,10 +17,10 @@ is held against a few earliest ones only, and lines not settled by those meet al
 in a join that adaptive execution can split.  Only documents with a candidate cross the
 network for verification.
 
-Defined cases: lines without a word are no lines and stay; a null text stays null; ids play
-no part, so null and repeated ones are documents like others; earlier means the order of
-the input, which must be stable under rereading (files, which Spark reads in the order of
-size and name); an empty table gives no rows; other columns stay.
+Defined cases: lines without a word are no lines and stay; a null text stays null; documents
+without an id come first; rows with equal ids are ordered by line, then by their place in
+the input, which must be stable under rereading (files); an empty table gives no rows;
+other columns stay.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tramline.llm.common import let, stored, text_or_empty, utf8, worker_store
-from tramline.llm.suffixes import mix
+from tramline.llm.suffixes import _order, mix
 from tramline.session import materialise
 
 BUCKET_BITS = 19
@@ -124,7 +124,7 @@ def _line_sets(counts, similarity: Fraction):
     and get a name of their own, since nothing more is asked of them.
     """
 
-    def sets(joined: bytes, lines: list[int], row, rarity):
+    def sets(joined: bytes, lines: list[int], doc, row, rarity):
         ends = np.cumsum(lines)
         hashes, line = words(joined)
         often = rarity[(hashes & np.uint64(len(rarity) - 1)).astype(np.int64)]
@@ -142,27 +142,27 @@ def _line_sets(counts, similarity: Fraction):
         take = np.where(size > 3, prefix_size(size, similarity), 0)
         at = np.repeat(first - np.cumsum(take) + take, take) + np.arange(take.sum())
         prefix = np.where(often[at] == 1, 0, (hashes[at] >> np.uint64(32)).astype(np.int64)).astype(np.uint32).astype(np.int32)
-        return name.astype(np.int64), row[owner], line[first] - (ends - lines)[owner], size, sketch.astype(np.int64), take, prefix
+        return name.astype(np.int64), doc[owner], row[owner], line[first] - (ends - lines)[owner], size, sketch.astype(np.int64), take, prefix
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = counts.value
         for batch in batches:
-            numbers, texts = batch.columns
-            numbers, done, parts = numbers.to_numpy(), 0, []
+            ids, numbers, texts = batch.columns
+            ids, numbers, done, parts = ids.to_numpy(), numbers.to_numpy(), 0, []
             for joined, lines in _groups(t.as_py() for t in texts):
-                parts.append(sets(joined, lines, numbers[done : done + len(lines)], rarity))
+                parts.append(sets(joined, lines, ids[done : done + len(lines)], numbers[done : done + len(lines)], rarity))
                 done += len(lines)
             if not parts:
                 continue
-            name, row, line, size, sketch, take, prefix = (np.concatenate(p) for p in zip(*parts))
-            order = np.lexsort((line, row, name))
+            name, doc, row, line, size, sketch, take, prefix = (np.concatenate(p) for p in zip(*parts))
+            order = np.lexsort((row, line, doc, name))
             again = np.zeros(len(name), bool)
             again[order[1:]] = name[order[1:]] == name[order[:-1]]
             alone = mix(row.astype(np.uint64) * np.uint64(BASE) + line.astype(np.uint64)).astype(np.int64)
             prefix = prefix[np.repeat(~again, take)]
             offsets = np.concatenate([[0], np.cumsum(np.where(again, 0, take))]).astype(np.int32)
             yield pa.record_batch({
-                "name": pa.array(np.where(again, alone, name)), "row": pa.array(row), "line": pa.array(line.astype(np.int32)),
+                "name": pa.array(np.where(again, alone, name)), "doc": pa.array(doc), "row": pa.array(row), "line": pa.array(line.astype(np.int32)),
                 "size": pa.array(size.astype(np.int32)), "sketch": pa.array(sketch), "again": pa.array(again), "prefix": pa.ListArray.from_arrays(offsets, pa.array(prefix)),
             })
 
@@ -261,18 +261,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: Fraction) -> DataF
 
 
 def removed_lines(texts: DataFrame, similarity: Fraction) -> DataFrame:
-    """``row, line`` of every line that goes, of ``texts (row, text)``."""
+    """``row, line`` of every line that goes, of ``texts (doc, row, text)``."""
     counts = texts.sparkSession.sparkContext.broadcast(word_counts(texts, "text"))
-    schema = "name bigint, row bigint, line int, size int, sketch bigint, again boolean, prefix array<int>"
-    sets = texts.select("row", utf8("text")).mapInArrow(_line_sets(counts, similarity), schema)
-    order = W.partitionBy("name").orderBy("row", "line")
+    schema = "name bigint, doc bigint, row bigint, line int, size int, sketch bigint, again boolean, prefix array<int>"
+    sets = texts.select("doc", "row", utf8("text")).mapInArrow(_line_sets(counts, similarity), schema)
+    order = W.partitionBy("name").orderBy("doc", "line", "row")
     ranked = sets.withColumn("again", F.col("again") | (F.row_number().over(order) > 1))
-    known = stored(ranked.select("row", "line", "size", "sketch", "again", F.when(~F.col("again"), F.col("prefix")).alias("prefix")), "line_sets")
-    entries = known.filter("not again").select("row", "line", "size", "sketch", F.posexplode("prefix").alias("place", "word")).filter("word <> 0")
+    known = stored(ranked.select("doc", "row", "line", "size", "sketch", "again", F.when(~F.col("again"), F.col("prefix")).alias("prefix")), "line_sets")
+    entries = known.filter("not again").select("doc", "row", "line", "size", "sketch", F.posexplode("prefix").alias("place", "word")).filter("word <> 0")
     # Two numbers of 32 bits in one field: half of the bytes that would cross are heads of fields.
-    packed = entries.select(_pack("word", "place").alias("word_place"), "row", _pack("line", "size").alias("line_size"), "sketch")
+    packed = entries.select(_pack("word", "place").alias("word_place"), "doc", "row", _pack("line", "size").alias("line_size"), "sketch")
     word = F.shiftright("word_place", 32)
-    sorted_entries = packed.repartition(word).sortWithinPartitions(word, "row", "line_size")
+    sorted_entries = packed.repartition(word).sortWithinPartitions(word, "doc", "line_size", "row").drop("doc")
     met = materialise(sorted_entries.mapInArrow(_meet(similarity), MEETINGS))
     close = _verified(met.filter("word is null").drop("word"), texts, similarity)
     crowded = met.filter("word is not null").select("row", "line", "word").distinct()
@@ -286,7 +286,7 @@ def removed_lines(texts: DataFrame, similarity: Fraction) -> DataFrame:
         hot = entries.withColumn("bucket", bucket).join(F.broadcast(asked), "bucket", "left_semi").drop("bucket")
         late = hot.join(late_places, ["row", "line", "word"], "left_semi")
         early = hot.select(*[F.col(c).alias(c if c == "word" else f"{c}_b") for c in entries.columns])
-        before = F.struct("row_b", "line_b") < F.struct("row", "line")
+        before = F.struct("doc_b", "line_b", "row_b") < F.struct("doc", "line", "row")
         both = F.col("size") + F.col("size_b")
         needed = F.ceil(both * up / (up + down))
         reachable = (needed <= F.least("size", "size_b")) & (needed <= F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b")))
@@ -298,8 +298,8 @@ def removed_lines(texts: DataFrame, similarity: Fraction) -> DataFrame:
 
 def find_repeated_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", similarity: Fraction = SIMILAR) -> DataFrame:
     """Per document: id, ``n_lines`` (lines with a word) and the numbers of the ``removed`` ones."""
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
-    gone = _gone(texts.select("row", "text"), similarity)
+    texts = docs.select(F.col(doc_id).alias("id"), _order(F.col(doc_id)).alias("doc"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    gone = _gone(texts.select("doc", "row", "text"), similarity)
     filled = F.size(F.filter(F.split(text_or_empty("text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     counted = texts.select(F.col("id").alias(doc_id), "row", filled.cast("bigint").alias("n_lines"))
     return counted.join(gone, "row", "left").select(f"`{doc_id}`", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
@@ -310,10 +310,10 @@ def _gone(texts: DataFrame, similarity: Fraction) -> DataFrame:
     return lines.groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, *, text: str = "text", similarity: Fraction = SIMILAR) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", similarity: Fraction = SIMILAR) -> DataFrame:
     """All documents without the lines that an earlier one resembles; all columns stay."""
     carried = docs.select(F.struct("*").alias("record"), F.monotonically_increasing_id().alias("row"))
-    texts = carried.select("row", F.col(f"record.`{text}`").alias("text"))
+    texts = carried.select(_order(F.col(f"record.`{doc_id}`")).alias("doc"), "row", F.col(f"record.`{text}`").alias("text"))
     gone = materialise(_gone(texts, similarity))
     bucket = F.pmod(F.xxhash64("row"), F.lit(LOOKUP_BUCKETS))
     buckets = F.broadcast(gone.select(bucket.alias("bucket")).distinct())
