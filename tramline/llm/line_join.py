@@ -14,8 +14,8 @@ fixed size; it only orders words, so a shared bucket costs time and never a pair
 Scale: per line about a fifth of its words cross the network as rows of four numbers.
 Lines that meet at a word are compared as a stream; where ``HOT`` lines or more meet, each
 is held against a few earliest ones only, and lines not settled by those meet all others
-in a join that adaptive execution can split.  Only documents with a candidate cross the
-network for verification.
+in a join that adaptive execution can split.  Only lines with a candidate cross the network
+for verification.
 
 Defined cases: lines without a word are no lines and stay; a null text stays null; documents
 without an id come first; rows with equal ids are ordered by line, then by their place in
@@ -42,7 +42,7 @@ BUCKET_BITS = 19
 #: Documents to look up are told by a table of at most 2 ** 20 hash buckets, which is broadcast.
 LOOKUP_BUCKETS = 1 << 20
 HOT = 128
-LEADERS = 1
+LEADERS = 4
 GROUP_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -248,13 +248,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: Fraction) -> DataF
     up, down = similarity.numerator, similarity.denominator
     likely = materialise(pairs.distinct())
     asked = likely.select("row", "line").unionByName(likely.select(F.col("row_b").alias("row"), F.col("line_b").alias("line"))).distinct()
-    bucket = F.pmod(F.xxhash64("row"), F.lit(LOOKUP_BUCKETS))
-    # Keeps most documents that nobody asks for out of the shuffle; what gets through by chance finds no partner.
-    few = texts.select("row", "text").withColumn("bucket", bucket).join(F.broadcast(asked.select(bucket.alias("bucket")).distinct()), "bucket", "left_semi")
-    lines = asked.groupBy("row").agg(F.collect_list("line").alias("asked")).join(few, "row")
-    found = lines.select("row", F.explode(let(F.split(text_or_empty("text"), "\n"), lambda x: F.transform(
-        "asked", lambda i: F.struct(i.alias("line"), F.get(x, i).alias("said"))))).alias("p"))
-    sets = materialise(found.select("row", "p.line", word_set(F.col("p.said")).alias("words")))
+    asked = materialise(asked)
+    of_row, of_line = (F.pmod(F.xxhash64(*c), F.lit(LOOKUP_BUCKETS)) for c in (["row"], ["row", "line"]))
+
+    def among(df: DataFrame, bucket) -> DataFrame:
+        """Rows whose bucket is asked for; what gets through by chance finds no partner."""
+        wanted = F.broadcast(asked.select(bucket.alias("bucket")).distinct())
+        return df.withColumn("bucket", bucket).join(wanted, "bucket", "left_semi").drop("bucket")
+
+    lines = among(texts.select("row", "text"), of_row).select("row", F.posexplode(F.split(text_or_empty("text"), "\n")).alias("line", "said"))
+    sets = materialise(among(lines, of_line).join(asked, ["row", "line"]).select("row", "line", word_set(F.col("said")).alias("words")))
     both = likely.join(sets, ["row", "line"]).join(sets.select(F.col("row").alias("row_b"), F.col("line").alias("line_b"), F.col("words").alias("words_b")), ["row_b", "line_b"])
     shared = F.size(F.array_intersect("words", "words_b"))
     return both.filter(shared * (up + down) >= up * (F.size("words") + F.size("words_b"))).select("row", "line").distinct()
