@@ -91,7 +91,7 @@ class LabelModel:
     """Two classes; labellers vote independently given the class."""
 
     def __init__(self, counts: dict[tuple[int, ...], int], rounds: int = 100):
-        self.seen = np.array(sorted(counts), dtype=np.int64).reshape(len(counts), -1)
+        self.seen = np.array(sorted(counts), dtype=np.int64).reshape(len(counts), -1 if counts else 0)
         weight = np.array([counts[tuple(p)] for p in self.seen.tolist()], dtype=float)
         # A fault outweighs a vote in favour to begin with.
         self.posterior = 1 / (1 + np.exp(-2.0 * (self.seen.clip(0).sum(axis=1) + 2 * self.seen.clip(max=0).sum(axis=1)))) if len(counts) else np.empty(0)

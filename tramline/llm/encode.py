@@ -18,7 +18,7 @@ from tramline.llm.common import worker_store
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 PLAIN = regex.compile(r"[\x21-\x7e\xa1-ɏ]+")
 ENDS = ".,;:!?"
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 #: What the tokenizer must be for words to be independent of each other.
 NORMALISERS = ["NFC", "Replace", "Lowercase"]
 SPLITTERS = ["Split", "ByteLevel"]

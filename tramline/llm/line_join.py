@@ -42,7 +42,7 @@ BUCKET_BITS = 19
 #: Documents to look up are told by a table of at most 2 ** 20 hash buckets, which is broadcast.
 LOOKUP_BUCKETS = 1 << 20
 HOT = 128
-LEADERS = 4
+LEADERS = 1
 GROUP_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 BLANKS = r"[\x20\x09-\x0D]+"
