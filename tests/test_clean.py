@@ -124,3 +124,19 @@ def test_correlation_uses_complete_pairs(spark):
 def test_approximate_cardinality(spark):
     rows = profile.cardinality(spark.range(1000), ["id"], approximate=True).collect()
     assert abs(rows[0].n_distinct - 1000) < 150
+
+
+def test_times_of_day_stay_text(spark):
+    df = spark.createDataFrame([("08:00:00", "2024-01-05 10:30", 1), ("25:10:00", "1/5/2024", 2), (None, "2024-01-05T10:30:00Z", 3), ("", "05-01-2024", 4)], "arrival_time string, start_date string, k int")
+    out = clean.coerce_dates(df).orderBy("k")
+    assert dict(out.dtypes)["arrival_time"] == "string" and dict(out.dtypes)["start_date"] == "timestamp"
+    assert [str(r.start_date)[:16] for r in out.collect()] == ["2024-01-05 10:30", "2024-01-05 00:00", "2024-01-05 10:30", "2024-05-01 00:00"]
+
+
+def test_mixed_types_stack_as_text(spark):
+    from tramline.operators.setops import union_common
+
+    a = spark.createDataFrame([("x", "f", 1.5, 1)], "city string, source_file string, fare double, n int")
+    b = spark.createDataFrame([("y", "g", "free", 2.5)], "city string, source_file string, fare string, n double")
+    both = union_common([a, b]).orderBy("city")
+    assert [tuple(r) for r in both.collect()] == [("x", "f", "1.5", 1.0), ("y", "g", "free", 2.5)]

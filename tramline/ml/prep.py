@@ -38,7 +38,7 @@ def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 # --- splitting --------------------------------------------------------------
 
 def test_fraction(rows: int) -> float:
-    return min(0.3, max(0.1, 100 / rows))
+    return min(0.3, max(0.1, 100 / max(rows, 1)))
 
 
 test_fraction.__test__ = False
@@ -106,7 +106,7 @@ def stratified_or_plain(
 
 # --- targets ----------------------------------------------------------------
 
-def discover_targets(df: DataFrame, limit: int = 5) -> list[tuple[str, str]]:
+def discover_targets(df: DataFrame, limit: int | None = None) -> list[tuple[str, str]]:
     """``(task, column)`` candidates: by keyword first, by variety if no keyword fits.
 
     The rule reads only the statistics, so the driver handles one row per column.

@@ -18,8 +18,8 @@ MISSING_TEXTS = ["nan", "NaN", "None", ""]
 UNKNOWN = "Unknown"
 
 DATE_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd",
-    "MM/dd/yyyy", "MM/dd/yyyy HH:mm:ss", "dd-MM-yyyy",
+    "yyyy-M-d[ H:mm[:ss[.SSSSSS]]]", "yyyy-M-d'T'H:mm[:ss[.SSSSSS]][XXX]", "yyyy/M/d[ H:mm[:ss]]",
+    "M/d/yyyy[ H:mm[:ss]]", "M-d-yyyy[ H:mm[:ss]]", "d-M-yyyy[ H:mm[:ss]]",
 ]
 
 
@@ -175,8 +175,16 @@ def to_datetime(c: str | Column, formats: Sequence[str] = DATE_FORMATS) -> Colum
 
 
 def coerce_dates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Timestamps for columns named like a date or time; numbers are epoch nanoseconds."""
+    """Timestamps for columns named like a date or time; numbers are epoch nanoseconds.
+
+    A text column in which no filled value reads as a date, such as times of day, stays
+    as it is; one pass over the text columns tells.
+    """
     columns = columns if columns is not None else date_columns(df)
+    texts = [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)]
+    if texts:
+        filled = df.agg(*[F.struct(F.count(F.nullif(F.trim(f"`{c}`"), F.lit(""))).alias("filled"), F.count(to_datetime(c)).alias("read")).alias(f"c{i}") for i, c in enumerate(texts)]).first()
+        columns = [c for c in columns if c not in texts or not (filled[texts.index(c)].filled and not filled[texts.index(c)].read)]
     out = {}
     for c in columns:
         kind = df.schema[c].dataType

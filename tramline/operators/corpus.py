@@ -32,9 +32,9 @@ def _expand(df: DataFrame, pairs: Sequence[tuple[Column, Column]], context: Colu
 
 
 def station_questions(
-    stations: DataFrame, key: Sequence[str] = ("id",), limit: int | None = 30, vehicle: str = "minibus"
+    stations: DataFrame, key: Sequence[str] = ("id",), limit: int | None = None, vehicle: str = "minibus"
 ) -> DataFrame:
-    """Eight questions per station, for the first ``limit`` stations."""
+    """Eight questions per station; with ``limit``, for that many first stations only."""
     chosen = stations.orderBy(*key).limit(limit) if limit else stations
     city = F.coalesce("gtfs_source", F.lit("Unknown City"))
     values = {
@@ -48,8 +48,8 @@ def station_questions(
     return _expand(chosen, pairs, context, "station_info")
 
 
-def route_questions(routes: DataFrame, key: Sequence[str] = ("id",), limit: int | None = 30) -> DataFrame:
-    """Five questions per route, for the first ``limit`` routes."""
+def route_questions(routes: DataFrame, key: Sequence[str] = ("id",), limit: int | None = None) -> DataFrame:
+    """Five questions per route; with ``limit``, for that many first routes only."""
     chosen = routes.orderBy(*key).limit(limit) if limit else routes
     values = {"name": col("short_name"), "long_name": col("long_name"), "city": col("source")}
     pairs = [(fill(q, values), fill(a, values)) for q, a in ROUTE_TEMPLATES]
@@ -109,7 +109,7 @@ def general_questions(
 
 
 def generate_questions(
-    stations: DataFrame, routes: DataFrame, limit: int = 30, pairs: int = 50, seed: int = 42,
+    stations: DataFrame, routes: DataFrame, limit: int | None = None, pairs: int = 50, seed: int = 42,
     vehicle: str = "minibus", service: str = "the service", country: str = "the country",
 ) -> DataFrame:
     """The whole training corpus: stations, routes, trips and general questions."""

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def common_columns(frames: Sequence[DataFrame]) -> list[str]:
@@ -15,14 +16,28 @@ def common_columns(frames: Sequence[DataFrame]) -> list[str]:
     return [c for c in frames[0].columns if c in shared]
 
 
+def with_one_type(frames: Sequence[DataFrame]) -> list[DataFrame]:
+    """Frames whose equal column names have equal types: double for different numbers, else text."""
+    kinds: dict[str, set] = {}
+    for df in frames:
+        for field in df.schema.fields:
+            kinds.setdefault(field.name, set()).add(field.dataType)
+    mixed = {
+        c: "double" if all(isinstance(k, T.NumericType) for k in found) else "string" for c, found in kinds.items() if len(found) > 1
+    }
+    return [df.withColumns({c: F.col(f"`{c}`").cast(mixed[c]) for c in df.columns if c in mixed}) for df in frames]
+
+
 def union_common(
     frames: Sequence[DataFrame], min_common: int = 3, outer: bool = False
 ) -> DataFrame | None:
     """Stack the common columns when there are at least ``min_common`` of them.
 
     With fewer, nothing is stacked, or with ``outer`` everything is, gaps as null.
-    Two of the common columns are normally the city and source tags.
+    Two of the common columns are normally the city and source tags.  A column that is a
+    number in one frame and text in another is stacked as text.
     """
+    frames = with_one_type(frames)
     shared = common_columns(frames)
     if len(shared) >= min_common:
         return reduce(DataFrame.unionByName, [df.select(*shared) for df in frames])

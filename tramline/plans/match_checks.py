@@ -166,7 +166,7 @@ ROUTE_SQL = {"name": "short_name", "long_name": "long_name", "city": "source"}
 @query("c17_station_questions", with_roles("stations", " UNION ALL ".join(
     f"""SELECT {_fill_sql(q, STATION_SQL)} AS question, {_fill_sql(a, STATION_SQL)} AS answer,
         {_fill_sql('station:{name}, city:{city}, address:{address}', STATION_SQL)} AS context, 'station_info' AS type FROM s"""
-    for q, a in STATION_TEMPLATES), s="SELECT * FROM stations ORDER BY id LIMIT 30"))
+    for q, a in STATION_TEMPLATES), s="SELECT * FROM stations"))
 def station_questions(spark, d):
     return corpus.station_questions(roles.stations(spark, d))
 
@@ -174,7 +174,7 @@ def station_questions(spark, d):
 @query("c17_route_questions", with_roles("routes", " UNION ALL ".join(
     f"""SELECT {_fill_sql(q, ROUTE_SQL)} AS question, {_fill_sql(a, ROUTE_SQL)} AS answer,
         {_fill_sql('route:{name}, city:{city}', ROUTE_SQL)} AS context, 'route_info' AS type FROM r"""
-    for q, a in ROUTE_TEMPLATES), r="SELECT * FROM routes ORDER BY route_id LIMIT 30"))
+    for q, a in ROUTE_TEMPLATES), r="SELECT * FROM routes"))
 def route_questions(spark, d):
     return corpus.route_questions(roles.routes(spark, d), key=["route_id"])
 

@@ -5,6 +5,7 @@ Every function takes a batch or a streaming frame alike unless it says otherwise
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -83,11 +84,18 @@ def answer_stream(
 
     def run(batch: DataFrame, number: int) -> None:
         batch.persist()
-        answers = answer(batch)
-        if "answer" in answers.columns:
-            answers = answers.withColumn("answer", F.coalesce("answer", F.lit(ERROR_REPLY)))
-        answers.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        batch.unpersist()
+        target = f"{path}/batch={number}"
+        try:
+            answers = answer(batch)
+            if "answer" in answers.columns:
+                answers = answers.withColumn("answer", F.coalesce("answer", F.lit(ERROR_REPLY)))
+            answers.write.mode("overwrite").parquet(target)
+        except Exception:
+            # A failed lookup must not end the stream: its questions get the error text.
+            logging.getLogger(__name__).exception("batch %s could not be answered", number)
+            batch.withColumn("answer", F.lit(ERROR_REPLY)).write.mode("overwrite").parquet(target)
+        finally:
+            batch.unpersist()
 
     return (
         questions.writeStream.foreachBatch(run)
