@@ -287,7 +287,10 @@ def removed_lines(texts: DataFrame, similarity: Fraction) -> DataFrame:
         late_places = materialise(crowded.join(close, ["row", "line"], "left_anti"))
         asked = late_places.select(bucket.alias("bucket")).distinct()
         hot = entries.withColumn("bucket", bucket).join(F.broadcast(asked), "bucket", "left_semi").drop("bucket")
-        late = hot.join(late_places, ["row", "line", "word"], "left_semi")
+        # Only the lines asked for cross the network to learn their size and sketch.
+        of_place = F.pmod(F.xxhash64("row", "line", "word"), F.lit(LOOKUP_BUCKETS))
+        places = F.broadcast(late_places.select(of_place.alias("bucket")).distinct())
+        late = entries.withColumn("bucket", of_place).join(places, "bucket", "left_semi").drop("bucket").join(late_places, ["row", "line", "word"], "left_semi")
         early = hot.select(*[F.col(c).alias(c if c == "word" else f"{c}_b") for c in entries.columns])
         before = F.struct("doc_b", "line_b", "row_b") < F.struct("doc", "line", "row")
         both = F.col("size") + F.col("size_b")
