@@ -76,8 +76,10 @@ def test_lines(docs, nothing):
     assert line_join.dedup_lines(nothing).count() == 0
 
 
-def test_crowded_words(spark):
+def test_crowded_words(spark, monkeypatch):
     """More similar lines at a word than are held against each other."""
+    monkeypatch.setattr(line_join, "HOT", 40)
+    monkeypatch.setattr(line_join, "MEETING_ROWS", 64)
     rows = [(i, " ".join(WORDS[:20] + [f"v{i // 2}", f"u{i % 7}"])) for i in range(300)] + [(1000 + i, " ".join([*WORDS[:2], *(f"z{i}q{j}" for j in range(6))])) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
     found = line_join.find_repeated_lines(docs).orderBy("doc_id").collect()

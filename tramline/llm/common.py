@@ -47,7 +47,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """A wide frame as a Parquet table in the shared folder: smaller than a checkpoint, read by column."""
     folder = new_folder(df.sparkSession, label)
     df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
+    # Spark deletes the shuffle files behind it when the driver collects its garbage.
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 BLOCK = 256

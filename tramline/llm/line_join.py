@@ -3,19 +3,19 @@
 A line is its set of words (A-Z lowered).  Words are ordered by rarity, rarest first; two
 sets with Jaccard similarity of ``similarity`` or more share a word among the first few of
 both (the prefix).  Lines meet by prefix words; the length filter, the positional filter
-and a 64-bit parity sketch (each word on one side only flips one bit, so the bits that
-differ are a lower bound of such words) drop pairs that cannot reach the similarity; the
-rest is verified on the whole sets (as 64-bit word hashes, taken anew from the texts).  A line goes if an earlier line (by ``doc_id``, line, row) is similar.
+and a parity sketch (each word on one side only flips one bit, so the bits that differ are
+a lower bound of such words) drop pairs that cannot reach the similarity; the rest is
+verified on the lines' whole words.  A line goes if an earlier line (by ``doc_id``, line, row) is similar.
 
 Equal sets are folded before the join: all but the first go at once, and only first lines
 join.  Rarity is read from a table of ``2 ** BUCKET_BITS`` corpus counts by word hash, of
 fixed size; it only orders words, so a shared bucket costs time and never a pair.
 
-Scale: per line about a fifth of its words cross the network as rows of four numbers.
+Scale: per line about a fifth of its words cross the network as rows of eight numbers.
 Lines that meet at a word are compared as a stream; where ``HOT`` lines or more meet, each
-is held against a few earliest ones only, and lines not settled by those meet all others
-in a join that adaptive execution can split.  Only lines with a candidate cross the network
-for verification.
+is held against the nearest earlier ones only, and lines not settled by those meet all
+others in a join that adaptive execution can split.  Only lines with a candidate that the
+sketch lets through cross the network for verification.
 
 Defined cases: lines without a word are no lines and stay; a null text stays null; documents
 without an id come first; rows with equal ids are ordered by line, then by their place in
@@ -36,17 +36,16 @@ from pyspark.sql import functions as F
 
 from tramline.llm.common import let, stored, text_or_empty, utf8, worker_store
 from tramline.llm.suffixes import _order, mix
-from tramline.session import materialise
 
-BUCKET_BITS = 19
-#: Documents to look up are told by a table of at most 2 ** 20 hash buckets, which is broadcast.
-LOOKUP_BUCKETS = 1 << 20
-HOT = 128
-LEADERS = 1
+BUCKET_BITS = 22
+#: Documents to look up are told by a table of at most 2 ** 22 hash buckets, which is broadcast.
+LOOKUP_BUCKETS = 1 << 22
+HOT = 1024
+LEADERS = 2
+MEETING_ROWS = 1 << 16
+SKETCH = [f"bits_{i}" for i in range(4)]
 GROUP_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15
-BLANKS = r"[\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SIMILAR = Fraction(4, 5)
 
 
@@ -136,13 +135,15 @@ def _line_sets(counts, similarity: Fraction):
         first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])[: len(line)])
         size = np.diff(np.concatenate([first, [len(line)]]))
         name = mix(np.add.reduceat(mix(hashes), first) + size.astype(np.uint64)) if len(first) else np.empty(0, np.uint64)
-        sketch = np.bitwise_xor.reduceat(np.uint64(1) << (hashes & np.uint64(63)), first) if len(first) else name
+        bit = np.uint64(1) << (hashes & np.uint64(63))
+        part = (hashes >> np.uint64(6)) & np.uint64(len(SKETCH) - 1)
+        sketch = [np.bitwise_xor.reduceat(np.where(part == i, bit, np.uint64(0)), first).astype(np.int64) if len(first) else name.astype(np.int64) for i in range(len(SKETCH))]
         owner = np.searchsorted(ends, line[first], side="right")
         # Sets of up to three words are similar to equal ones only.
         take = np.where(size > 3, prefix_size(size, similarity), 0)
         at = np.repeat(first - np.cumsum(take) + take, take) + np.arange(take.sum())
         prefix = np.where(often[at] == 1, 0, (hashes[at] >> np.uint64(32)).astype(np.int64)).astype(np.uint32).astype(np.int32)
-        return name.astype(np.int64), doc[owner], row[owner], line[first] - (ends - lines)[owner], size, sketch.astype(np.int64), take, prefix
+        return name.astype(np.int64), doc[owner], row[owner], line[first] - (ends - lines)[owner], size, take, prefix, *sketch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = counts.value
@@ -154,7 +155,7 @@ def _line_sets(counts, similarity: Fraction):
                 done += len(lines)
             if not parts:
                 continue
-            name, doc, row, line, size, sketch, take, prefix = (np.concatenate(p) for p in zip(*parts))
+            name, doc, row, line, size, take, prefix, *sketch = (np.concatenate(p) for p in zip(*parts))
             order = np.lexsort((row, line, doc, name))
             again = np.zeros(len(name), bool)
             again[order[1:]] = name[order[1:]] == name[order[:-1]]
@@ -163,7 +164,8 @@ def _line_sets(counts, similarity: Fraction):
             offsets = np.concatenate([[0], np.cumsum(np.where(again, 0, take))]).astype(np.int32)
             yield pa.record_batch({
                 "name": pa.array(np.where(again, alone, name)), "doc": pa.array(doc), "row": pa.array(row), "line": pa.array(line.astype(np.int32)),
-                "size": pa.array(size.astype(np.int32)), "sketch": pa.array(sketch), "again": pa.array(again), "prefix": pa.ListArray.from_arrays(offsets, pa.array(prefix)),
+                "size": pa.array(size.astype(np.int32)), "again": pa.array(again), "prefix": pa.ListArray.from_arrays(offsets, pa.array(prefix)),
+                **{c: pa.array(np.where(again, 0, x)) for c, x in zip(SKETCH, sketch)},
             })
 
     return run
@@ -172,58 +174,76 @@ def _line_sets(counts, similarity: Fraction):
 MEETINGS = "row bigint, line int, row_b bigint, line_b int, word int"
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[np.ndarray]]:
+    """Columns of as many batches at a time as have ``rows`` rows together."""
+    held, size = [], 0
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        size += batch.num_rows
+        if size >= rows:
+            yield [np.concatenate(c) for c in zip(*held)]
+            held, size = [], 0
+    if size:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
 def _meet(similarity: Fraction):
-    """A row per meeting of a line with an earlier one (``row_b, line_b``) that may be similar.
+    """For lines at a word: the nearest earlier ones (``row_b, line_b``) that may be similar.
 
     Rows come sorted by word and order.  A line is held against up to ``HOT`` lines before it
-    at a word and takes up to ``LEADERS`` partners there; a row with a word and no earlier
-    line says that there may be others at this word.  Comparing goes by distance in the sorted
-    rows, for a whole batch at once.
+    at a word and takes up to ``LEADERS`` partners there.  If there are earlier lines that it
+    was not held against, one more row tells the word.  Comparing goes by distance in the
+    sorted rows, for many rows at once.
     """
     up, down = similarity.numerator, similarity.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry, cut = None, 0
-        for batch in batches:
-            word_place, row, line_size, sketch = (c.to_numpy() for c in batch.columns)
+        for word_place, row, line_size, *sketch in _gathered(batches, MEETING_ROWS):
             high, low = (lambda x: (x >> 32).astype(np.int32)), (lambda x: (x & 0xFFFFFFFF).astype(np.int32))
-            columns = [high(word_place), row, high(line_size), low(line_size), low(word_place), sketch]
+            columns = [high(word_place), row, high(line_size), low(line_size), low(word_place), *sketch]
             old = 0
             if carry is not None:
                 old = len(carry[0])
                 columns = [np.concatenate(c) for c in zip(carry, columns)]
-            word, row, line, size, place, sketch = columns
-            if len(word) == old:
-                continue
+            word, row, line, size, place, *sketch = columns
+            # Counting bits takes the absolute value of signed numbers.
+            sketch = [x.view(np.uint64) for x in sketch]
             new_word = np.concatenate([[True], word[1:] != word[:-1]])
             start = np.flatnonzero(new_word)[np.cumsum(new_word) - 1]
             at = np.arange(len(word))
             before = at - start
-            size, rest, sketch = size.astype(np.int64), (size - place).astype(np.int64), sketch.view(np.uint64)
-            partners = np.zeros(len(word), np.int64)
+            in_run = before + np.where(start == 0, cut, 0)
+            size, rest = size.astype(np.int64), (size - place).astype(np.int64)
+            partners, reached = np.zeros(len(word), np.int8), np.full(len(word), HOT)
             active, later, earlier = at[old:], [], []
             for distance in range(1, HOT + 1):
-                active = active[(before[active] >= distance) & (partners[active] < LEADERS)]
+                active = active[before[active] >= distance]
                 if not len(active):
                     break
                 other = active - distance
                 both = size[active] + size[other]
                 needed = -(-up * both // (up + down))
                 # If this is the first word they share, no more are shared than go on from here in both.
-                fits = (needed <= np.minimum(rest[active], rest[other])) & (np.bitwise_count(sketch[active] ^ sketch[other]) <= both - 2 * needed)
-                fits &= (row[active] != row[other]) | (line[active] != line[other])
-                later.append(active[fits])
-                earlier.append(other[fits])
-                partners[active[fits]] += 1
-            in_run = before + np.where(start == 0, cut, 0)
-            crowded = at[old:][(in_run[old:] > HOT) | (partners[old:] == LEADERS)]
+                near = np.flatnonzero((needed <= np.minimum(rest[active], rest[other])) & ((row[active] != row[other]) | (line[active] != line[other])))
+                one, two = active[near], other[near]
+                fits = sum(np.bitwise_count(x[one] ^ x[two]).astype(np.int64) for x in sketch) <= (both - 2 * needed)[near]
+                one, two = one[fits], two[fits]
+                later.append(one)
+                earlier.append(two)
+                partners[one] += 1
+                full = one[partners[one] == LEADERS]
+                if len(full):
+                    reached[full] = distance
+                    active = active[partners[active] < LEADERS]
+            more = at[old:][in_run[old:] > reached[old:]]
             later, earlier = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (later, earlier))
-            told = np.concatenate([later, crowded])
+            told = np.concatenate([later, more])
             yield pa.record_batch({
                 "row": pa.array(row[told]), "line": pa.array(line[told]),
-                "row_b": pa.concat_arrays([pa.array(row[earlier]), pa.nulls(len(crowded), pa.int64())]),
-                "line_b": pa.concat_arrays([pa.array(line[earlier]), pa.nulls(len(crowded), pa.int32())]),
-                "word": pa.concat_arrays([pa.nulls(len(later), pa.int32()), pa.array(word[crowded])]),
+                "row_b": pa.concat_arrays([pa.array(row[earlier]), pa.nulls(len(more), pa.int64())]),
+                "line_b": pa.concat_arrays([pa.array(line[earlier]), pa.nulls(len(more), pa.int32())]),
+                "word": pa.concat_arrays([pa.nulls(len(later), pa.int32()), pa.array(word[more])]),
             })
             last = start[-1]
             first = max(last, len(word) - HOT)
@@ -233,22 +253,42 @@ def _meet(similarity: Fraction):
     return run
 
 
-def word_set(line: Column) -> Column:
-    """64-bit hashes of a line's different words."""
-    words_ = F.filter(F.split(F.translate(line, UPPER, LOWER), BLANKS), lambda w: w != "")
-    return F.array_distinct(F.transform(words_, lambda w: F.xxhash64(w)))
+def _similar(similarity: Fraction):
+    """``row, line`` of the pairs ``row, line, said, said_b`` whose words are similar."""
+    up, down = similarity.numerator, similarity.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, lines, said, said_b = batch.columns
+            right = []
+            for a, b in zip(said, said_b):
+                a, b = set(a.as_py().lower().split()), set(b.as_py().lower().split())
+                right.append(len(a & b) * (up + down) >= up * (len(a) + len(b)))
+            right = pa.array(right, pa.bool_())
+            yield pa.record_batch({"row": rows.filter(right), "line": lines.filter(right)})
+
+    return run
 
 
 def _pack(high: str, low: str) -> Column:
     return F.shiftleft(F.col(high).cast("bigint"), 32).bitwiseOR(F.col(low).cast("bigint"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: Fraction) -> DataFrame:
-    """``row, line`` of lines of which an earlier one is similar; ``pairs`` are ``row, line, row_b, line_b``."""
-    up, down = similarity.numerator, similarity.denominator
-    likely = materialise(pairs.distinct())
-    asked = likely.select("row", "line").unionByName(likely.select(F.col("row_b").alias("row"), F.col("line_b").alias("line"))).distinct()
-    asked = materialise(asked)
+def _alike(similarity: Fraction) -> Column:
+    """Whether sizes and whole sketches of two lines leave it open that they are similar."""
+    both = F.col("size") + F.col("size_b")
+    needed = F.ceil(both * similarity.numerator / (similarity.numerator + similarity.denominator))
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in SKETCH), F.lit(0))
+    return (needed <= F.least("size", "size_b")) & (differ <= both - 2 * needed)
+
+
+def _second(df: DataFrame, *shared: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(c if c in shared else f"{c}_b") for c in df.columns])
+
+
+def _verified(likely: DataFrame, texts: DataFrame, similarity: Fraction) -> DataFrame:
+    """``row, line`` of lines of which an earlier one is similar; ``likely`` are pairs ``row, line, row_b, line_b``."""
+    asked = likely.select("row", "line").unionByName(likely.select(F.col("row_b").alias("row"), F.col("line_b").alias("line")))
     of_row, of_line = (F.pmod(F.xxhash64(*c), F.lit(LOOKUP_BUCKETS)) for c in (["row"], ["row", "line"]))
 
     def among(df: DataFrame, bucket) -> DataFrame:
@@ -257,48 +297,48 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: Fraction) -> DataF
         return df.withColumn("bucket", bucket).join(wanted, "bucket", "left_semi").drop("bucket")
 
     lines = among(texts.select("row", "text"), of_row).select("row", F.posexplode(F.split(text_or_empty("text"), "\n")).alias("line", "said"))
-    sets = materialise(among(lines, of_line).join(asked, ["row", "line"]).select("row", "line", word_set(F.col("said")).alias("words")))
-    both = likely.join(sets, ["row", "line"]).join(sets.select(F.col("row").alias("row_b"), F.col("line").alias("line_b"), F.col("words").alias("words_b")), ["row_b", "line_b"])
-    shared = F.size(F.array_intersect("words", "words_b"))
-    return both.filter(shared * (up + down) >= up * (F.size("words") + F.size("words_b"))).select("row", "line").distinct()
+    said = stored(among(lines, of_line).withColumn("said", F.col("said").cast("binary")), "asked_lines")
+    both = likely.join(said, ["row", "line"]).join(_second(said), ["row_b", "line_b"]).select("row", "line", "said", "said_b")
+    return both.mapInArrow(_similar(similarity), "row bigint, line int").distinct()
 
 
 def removed_lines(texts: DataFrame, similarity: Fraction) -> DataFrame:
     """``row, line`` of every line that goes, of ``texts (doc, row, text)``."""
     counts = texts.sparkSession.sparkContext.broadcast(word_counts(texts, "text"))
-    schema = "name bigint, doc bigint, row bigint, line int, size int, sketch bigint, again boolean, prefix array<int>"
+    schema = "name bigint, doc bigint, row bigint, line int, size int, again boolean, prefix array<int>, " + ", ".join(f"{c} bigint" for c in SKETCH)
     sets = texts.select("doc", "row", utf8("text")).mapInArrow(_line_sets(counts, similarity), schema)
     order = W.partitionBy("name").orderBy("doc", "line", "row")
     ranked = sets.withColumn("again", F.col("again") | (F.row_number().over(order) > 1))
-    known = stored(ranked.select("doc", "row", "line", "size", "sketch", "again", F.when(~F.col("again"), F.col("prefix")).alias("prefix")), "line_sets")
-    entries = known.filter("not again").select("doc", "row", "line", "size", "sketch", F.posexplode("prefix").alias("place", "word")).filter("word <> 0")
+    first = lambda c: F.when(~F.col("again"), F.col(c)).alias(c)
+    known = stored(ranked.select("doc", "row", "line", "size", "again", first("prefix"), *map(first, SKETCH)), "line_sets")
+    lines = known.filter("not again")
+    place_of = F.posexplode("prefix").alias("place", "word")
+    entries = lines.select("doc", "row", "line", "size", *SKETCH, place_of).filter("word <> 0")
     # Two numbers of 32 bits in one field: half of the bytes that would cross are heads of fields.
-    packed = entries.select(_pack("word", "place").alias("word_place"), "doc", "row", _pack("line", "size").alias("line_size"), "sketch")
+    packed = lines.select("doc", "row", _pack("line", "size").alias("line_size"), *SKETCH, place_of).filter("word <> 0").select(
+        _pack("word", "place").alias("word_place"), "doc", "row", "line_size", *SKETCH)
     word = F.shiftright("word_place", 32)
     sorted_entries = packed.repartition(word).sortWithinPartitions(word, "doc", "line_size", "row").drop("doc")
-    met = materialise(sorted_entries.mapInArrow(_meet(similarity), MEETINGS))
-    close = _verified(met.filter("word is null").drop("word"), texts, similarity)
-    crowded = met.filter("word is not null").select("row", "line", "word").distinct()
-    if not crowded.isEmpty():
-        close = materialise(close)
-        up, down = similarity.numerator, similarity.denominator
-        # Not all partners of these lines were written down at these words.
+    met = stored(sorted_entries.mapInArrow(_meet(similarity), MEETINGS), "meetings")
+    pair = ["row", "line", "row_b", "line_b"]
+    pairs = stored(met.filter("word is null").select(*pair).distinct(), "pairs")
+    close = stored(_verified(pairs, texts, similarity), "close")
+    # Not all partners of these lines were looked at, at these words.
+    late_places = stored(met.filter("word is not null").select("row", "line", "word").join(close, ["row", "line"], "left_anti"), "late_places")
+    if not late_places.isEmpty():
         bucket = F.pmod(F.xxhash64("word"), F.lit(LOOKUP_BUCKETS))
-        late_places = materialise(crowded.join(close, ["row", "line"], "left_anti"))
         asked = late_places.select(bucket.alias("bucket")).distinct()
         hot = entries.withColumn("bucket", bucket).join(F.broadcast(asked), "bucket", "left_semi").drop("bucket")
         # Only the lines asked for cross the network to learn their size and sketch.
         of_place = F.pmod(F.xxhash64("row", "line", "word"), F.lit(LOOKUP_BUCKETS))
         places = F.broadcast(late_places.select(of_place.alias("bucket")).distinct())
         late = entries.withColumn("bucket", of_place).join(places, "bucket", "left_semi").drop("bucket").join(late_places, ["row", "line", "word"], "left_semi")
-        early = hot.select(*[F.col(c).alias(c if c == "word" else f"{c}_b") for c in entries.columns])
         before = F.struct("doc_b", "line_b", "row_b") < F.struct("doc", "line", "row")
+        rest = F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b"))
         both = F.col("size") + F.col("size_b")
-        needed = F.ceil(both * up / (up + down))
-        reachable = (needed <= F.least("size", "size_b")) & (needed <= F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b")))
-        alike = F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch_b"))) <= both - 2 * needed
-        rest = late.join(early, "word").filter(before & reachable & alike).select("row", "line", "row_b", "line_b")
-        close = close.unionByName(_verified(rest, texts, similarity))
+        reachable = rest * (similarity.numerator + similarity.denominator) >= both * similarity.numerator
+        held = late.join(_second(hot, "word"), "word").filter(before & reachable & _alike(similarity)).select(*pair).distinct()
+        close = close.unionByName(_verified(stored(held, "late_pairs"), texts, similarity))
     return known.filter("again").select("row", "line").unionByName(close)
 
 
@@ -320,7 +360,7 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     """All documents without the lines that an earlier one resembles; all columns stay."""
     carried = docs.select(F.struct("*").alias("record"), F.monotonically_increasing_id().alias("row"))
     texts = carried.select(_order(F.col(f"record.`{doc_id}`")).alias("doc"), "row", F.col(f"record.`{text}`").alias("text"))
-    gone = materialise(_gone(texts, similarity))
+    gone = stored(_gone(texts, similarity), "gone_lines")
     bucket = F.pmod(F.xxhash64("row"), F.lit(LOOKUP_BUCKETS))
     buckets = F.broadcast(gone.select(bucket.alias("bucket")).distinct())
     told = carried.withColumn("bucket", bucket)
