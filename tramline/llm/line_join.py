@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tramline.llm.common import let, stored, text_or_empty, utf8, worker_store
 from tramline.llm.suffixes import _order, mix
 
-BUCKET_BITS = 22
+BUCKET_BITS = 23
 #: Documents to look up are told by a table of at most 2 ** 22 hash buckets, which is broadcast.
 LOOKUP_BUCKETS = 1 << 22
 HOT = 1024
@@ -98,17 +98,17 @@ def word_counts(docs: DataFrame, text: str) -> np.ndarray:
     size = 1 << BUCKET_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, np.int64)
+        counts = np.zeros(size, np.int32)
         for batch in batches:
             for joined, _ in _groups(t.as_py() for t in batch.column(0)):
-                counts += np.bincount((words(joined)[0] & np.uint64(size - 1)).astype(np.int64), minlength=size)
+                np.add.at(counts, (words(joined)[0] & np.uint64(size - 1)).astype(np.int64), 1)
         used = np.flatnonzero(counts)
-        yield pa.record_batch({"bucket": pa.array(used.astype(np.int32)), "n": pa.array(counts[used])})
+        yield pa.record_batch({"bucket": pa.array(used.astype(np.int32)), "n": pa.array(counts[used].astype(np.int64))})
 
     summed = docs.select(utf8(text)).mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(size, np.int64)
-    counts[summed["bucket"].to_numpy()] = summed["n"].to_numpy()
-    return np.minimum(counts, (1 << 31) - 1).astype(np.int32)
+    counts = np.zeros(size, np.int32)
+    counts[summed["bucket"].to_numpy()] = np.minimum(summed["n"].to_numpy(), (1 << 31) - 1)
+    return counts
 
 
 def prefix_size(size: np.ndarray, similarity: Fraction) -> np.ndarray:
@@ -310,7 +310,9 @@ def removed_lines(texts: DataFrame, similarity: Fraction) -> DataFrame:
     order = W.partitionBy("name").orderBy("doc", "line", "row")
     ranked = sets.withColumn("again", F.col("again") | (F.row_number().over(order) > 1))
     first = lambda c: F.when(~F.col("again"), F.col(c)).alias(c)
-    known = stored(ranked.select("doc", "row", "line", "size", "again", first("prefix"), *map(first, SKETCH)), "line_sets")
+    known = ranked.select("doc", "row", "line", "size", "again", first("prefix"), *map(first, SKETCH))
+    # Neighbours of one document compress better, here and in the shuffle that reads them.
+    known = stored(known.sortWithinPartitions("doc", "row", "line"), "line_sets")
     lines = known.filter("not again")
     place_of = F.posexplode("prefix").alias("place", "word")
     entries = lines.select("doc", "row", "line", "size", *SKETCH, place_of).filter("word <> 0")
