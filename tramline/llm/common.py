@@ -52,14 +52,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-BLOCK = 256
+BLOCK = 64
 
 
 def running(values: Column, combine, zero: int = 0) -> Column:
     """Inclusive running result of ``combine`` (sum, greatest) over an array<bigint>.
 
     It runs within blocks and over the blocks' results, so that an array of ``n`` numbers
-    costs about ``n * 128`` steps and not the square of ``n``.
+    costs about ``n * 32`` steps and not the square of ``n``.
     """
     start, none = F.lit(zero).cast("bigint"), F.array().cast("array<bigint>")
 

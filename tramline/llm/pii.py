@@ -2,22 +2,25 @@
 
 Base spans (email, ip, card, phone) come from patterns, per kind, leftmost and without
 overlap, in code points.  What a span says (its normal form) is a protected entity.  Terms
-near an entity disclose it as far as the corpus lets one conclude from the term to the
-entity: with ``n(e,t)`` documents where ``t`` stands near ``e``, ``n(t)`` documents with
-``t``, ``n(e)`` with ``e`` and ``n`` in all, the disclosure is ``log2(n(e,t) n / (n(e) n(t)))``
-bits, and ``n(e,t) / n(t)`` is the chance to be right.  Terms above both thresholds, seen
-near the entity in ``min_texts`` different texts at least, are spans of kind ``term``:
-removed from ``remove_from`` on, generalised below it.
-
-Scale: patterns run only on lines with a digit or ``@`` and no match crosses a line; lines
-with spans are few and checkpointed.  Document frequencies are summed per task before the
-shuffle and counted for all words; the terms near a span are those within ``reach`` code
-points, so their number grows with the spans.  All joins are plain ones that adaptive
-execution can split; a hot entity meets its flagged terms only.
-
-Defined cases: a null or empty text has no spans; rows that agree in id and text get the
-same spans and count once near an entity; documents without an id are told apart by text;
-an empty table gives no rows; other columns are ignored here and kept by ``sanitise``.
+disclose an entity as far as the corpus lets one conclude from the term to the entity:
+with ``n(e,t)`` documents that hold both ``e`` and ``t``, on whatever lines, ``n(t)``
+documents with ``t``, ``n(e)`` with ``e`` and ``n`` in all, the disclosure is
+``log2(n(e,t) n / (n(e) n(t)))`` bits of the ``log2(n / n(e))`` bits that the entity has,
+and ``n(e,t) / n(t)`` is the chance to be right.  Terms that disclose at least ``share`` of
+an entity's bits with at least ``min_chance`` are spans of kind ``term`` wherever they stand,
+in documents without the entity too: removed from ``remove_from`` on, generalised below it.
+
+Scale: patterns run only on lines with a digit or ``@`` and no match crosses a line;
+documents with spans are few and checkpointed with their terms.  Document frequencies are
+summed per task before the shuffle; so are the pairs of entity and term, whose number
+grows with the documents that hold an entity.  Words cross the network to meet the told
+terms only if a told term has their hash's bucket.  All joins are plain ones that adaptive
+execution can split.
+
+Defined cases: a null or empty text has no spans; every row counts as a document, rows that
+agree in id and text too, and such rows get the same spans; documents without an id are told
+apart by text; an entity in all documents has no bits to disclose; an empty table gives no
+rows; other columns are ignored here and kept by ``sanitise``.
 """
 
 from __future__ import annotations
@@ -97,8 +100,13 @@ def entity(kind: Column, value: Column) -> Column:
     return F.concat(kind, F.lit(":"), said)
 
 
-def lines_with_spans(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id, key, copy, at, line, spans`` of every line that holds a base span; ``at`` is its first code point."""
+def terms_of(text: Column) -> Column:
+    """The different terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))), F.lower))
+
+
+def holders(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``doc_id, key, copies, spans, terms`` of every different document with a base span; ``copies`` are its rows."""
     value = text_or_empty(text)
     lines = F.split(value, "\n")
     placed = let(lines, lambda x: let(
@@ -107,63 +115,65 @@ def lines_with_spans(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_
             F.transform(x, lambda line, i: F.struct(line.alias("line"), (F.get(ends, i) - F.char_length(line) - 1).alias("at"))),
             lambda e: e["line"].rlike("[0-9@]")),
     ))
-    some = docs.filter(value.rlike("[0-9@]")).select(
-        F.col(doc_id).alias("doc_id"), doc_key(text).alias("key"), F.xxhash64(value).alias("copy"), F.explode(placed).alias("e"))
-    found = some.select("doc_id", "key", "copy", "e.at", "e.line", base_spans(F.col("e.line")).alias("spans")).filter(F.size("spans") > 0)
-    return materialise(found.dropDuplicates(["doc_id", "key", "at"]))
-
-
-def near_terms(lines: DataFrame, reach: int) -> DataFrame:
-    """Terms within ``reach`` code points of a span on its line: ``doc_id, key, copy, entity, term, start, end``."""
-    one = lines.select("doc_id", "key", "copy", "at", "line", F.explode("spans").alias("s"))
-    first = F.greatest(F.col("s.start") - reach, F.lit(0))
-    around = one.select(
-        "doc_id", "key", "copy", "at", entity(F.col("s.kind"), F.col("s.value")).alias("entity"), first.alias("first"),
-        F.substr("line", (first + 1).cast("int"), (F.col("s.end") + reach - first).cast("int")).alias("piece"), F.char_length("line").alias("size"))
-    words = around.select("*", F.explode(matches(F.col("piece"), TERM)).alias("w"))
-    # A word at the rim of the piece may be cut off.
-    whole = ((F.col("w.start") > 0) | (F.col("first") == 0)) & ((F.col("w.end") < F.char_length("piece")) | (F.col("first") + F.char_length("piece") >= F.col("size")))
-    start = F.col("at") + F.col("first") + F.col("w.start")
-    return words.filter(whole).select(
-        "doc_id", "key", "copy", "entity", F.lower("w.value").alias("term"), start.alias("start"), (start + F.col("w.end") - F.col("w.start")).alias("end"))
+    spans = F.flatten(F.transform(placed, lambda e: F.transform(base_spans(e["line"]), lambda s: F.struct(
+        s["kind"].alias("kind"), (e["at"] + s["start"]).alias("start"), (e["at"] + s["end"]).alias("end"), s["value"].alias("value")))))
+    # Exploding the one array keeps the optimiser from finding the spans twice.
+    some = docs.filter(value.rlike("[0-9@]")).select(F.col(doc_id).alias("doc_id"), doc_key(text).alias("key"), value.alias("text"), F.explode(F.array(spans)).alias("spans"))
+    found = some.filter(F.size("spans") > 0).select("doc_id", "key", "spans", terms_of(F.col("text")).alias("terms"))
+    return materialise(found.groupBy("doc_id", "key").agg(F.count("*").alias("copies"), F.first("spans").alias("spans"), F.first("terms").alias("terms")))
 
 
 def document_frequency(docs: DataFrame, text: str = "text") -> DataFrame:
     """``term, n_t``: in how many documents each term stands."""
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit(TERM), F.lit(0)))
-    return docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    return docs.select(F.explode(terms_of(text_or_empty(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
 
 
-def disclosures(docs: DataFrame, near: DataFrame, *, text: str = "text", min_texts: int = 3, min_bits: float = 6.0, min_chance: float = 0.5) -> DataFrame:
-    """``entity, term, bits, chance`` of the pairs over the thresholds."""
-    pairs = near.groupBy("entity", "term", "doc_id", "key", "copy").agg(F.lit(1)).groupBy("entity", "term").agg(
-        F.count("*").alias("n_et"), F.count_distinct("copy").alias("texts")).filter(F.col("texts") >= min_texts)
-    entities = near.groupBy("entity", "doc_id", "key").agg(F.lit(1)).groupBy("entity").agg(F.count("*").alias("n_e"))
+def disclosures(docs: DataFrame, held: DataFrame, *, text: str = "text", share: float = 0.5, min_chance: float = 0.5) -> DataFrame:
+    """``entity, term, bits, chance`` of the pairs over the thresholds; ``entity`` is the hash of its normal form."""
+    named = held.select("copies", "terms", F.explode(F.array_distinct(F.transform("spans", lambda s: F.xxhash64(entity(s["kind"], s["value"]))))).alias("entity"))
+    entities = named.groupBy("entity").agg(F.sum("copies").alias("n_e"))
+    pairs = named.select("entity", "copies", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.sum("copies").alias("n_et"))
     total = docs.count()
-    rated = pairs.join(document_frequency(docs, text), "term").join(entities, "entity")
-    told = rated.select(
-        "entity", "term", F.log2(F.col("n_et") * F.lit(total) / (F.col("n_e") * F.col("n_t"))).alias("bits"), (F.col("n_et") / F.col("n_t")).alias("chance"))
-    return told.filter((F.col("bits") >= min_bits) & (F.col("chance") >= min_chance))
+    rated = pairs.join(document_frequency(docs, text), "term").withColumn("chance", F.col("n_et") / F.col("n_t")).filter(F.col("chance") >= min_chance)
+    told = rated.join(entities, "entity").select(
+        "entity", "term", F.log2(F.col("n_et") * F.lit(total) / (F.col("n_e") * F.col("n_t"))).alias("bits"), "chance",
+        F.log2(F.lit(total) / F.col("n_e")).alias("own"))
+    return told.filter((F.col("own") > 0) & (F.col("bits") >= share * F.col("own"))).drop("own")
+
+
+TOLD_BUCKETS = 1 << 22
+
+
+def term_places(docs: DataFrame, terms: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``doc_id, key, start, end, chance`` of every place of the ``terms`` in all texts."""
+    def in_buckets(df: DataFrame, wanted: DataFrame, *names: str) -> DataFrame:
+        bucket = F.pmod(F.xxhash64(*names), F.lit(TOLD_BUCKETS)).cast("int").alias("bucket")
+        return df.select("*", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
+
+    named = docs.select(F.col(doc_id).alias("doc_id"), doc_key(text).alias("key"), text_or_empty(text).alias("text"))
+    # Only documents with a told term have their words placed, which costs the most.
+    held = in_buckets(named.select("doc_id", "key", F.explode(terms_of(F.col("text"))).alias("term")), terms, "term").join(terms, "term", "left_semi")
+    words = in_buckets(named, held, "doc_id", "key").select("doc_id", "key", F.explode(matches(F.col("text"), TERM)).alias("w"))
+    asked = in_buckets(words.select("doc_id", "key", "w.start", "w.end", F.lower("w.value").alias("term")), terms, "term")
+    return asked.join(terms, "term").groupBy("doc_id", "key", "start", "end").agg(F.max("chance").alias("chance"))
 
 
 SPANS = "array<struct<rank:int,kind:string,start:bigint,end:bigint,label:string>>"
 
 
 def find_private(
-    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", reach: int = 80, min_texts: int = 3, min_bits: float = 6.0, min_chance: float = 0.5,
-    remove_from: float = 0.9,
+    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", share: float = 0.5, min_chance: float = 0.5, remove_from: float = 0.9,
 ) -> DataFrame:
     """``doc_id, key, spans`` per different document; spans by kind as listed, terms last, then by start."""
-    lines = lines_with_spans(docs, text=text, doc_id=doc_id)
-    near = near_terms(lines, reach)
-    told = disclosures(docs, near, text=text, min_texts=min_texts, min_bits=min_bits, min_chance=min_chance)
-    base = lines.select("doc_id", "key", "at", F.explode("spans").alias("s")).select(
+    held = holders(docs, text=text, doc_id=doc_id)
+    # One term may be told by several entities: the strictest treatment holds.
+    told = materialise(disclosures(docs, held, text=text, share=share, min_chance=min_chance).groupBy("term").agg(F.max("chance").alias("chance")))
+    base = held.select("doc_id", "key", F.explode("spans").alias("s")).select(
         "doc_id", "key", F.struct(
             (F.array_position(F.array(*map(F.lit, KINDS)), F.col("s.kind")) - 1).cast("int").alias("rank"), F.col("s.kind").alias("kind"),
-            (F.col("at") + F.col("s.start")).alias("start"), (F.col("at") + F.col("s.end")).alias("end"),
+            F.col("s.start").alias("start"), F.col("s.end").alias("end"),
             F.element_at(F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair]), F.col("s.kind")).alias("label")).alias("span"))
-    # One term may be told by several entities: the strictest treatment holds.
-    terms = near.join(told, ["entity", "term"]).groupBy("doc_id", "key", "start", "end").agg(F.max("chance").alias("chance")).select(
+    terms = term_places(docs, told, text=text, doc_id=doc_id).select(
         "doc_id", "key", F.struct(
             F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"), "start", "end",
             F.when(F.col("chance") >= remove_from, F.lit("")).otherwise(F.lit("[TERM]")).alias("label")).alias("span"))
