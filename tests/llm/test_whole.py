@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import brute  # noqa: E402
 
-from tramline.llm import pii  # noqa: E402
+from tramline.llm import pii, queries, shards  # noqa: E402
 
 TERM = re.compile(r"(?<![^\s(\[\"'])[^\W\d_]{3,}(?=[.,;:!?\"')\]]*(?:\s|$))")
 
@@ -53,3 +53,16 @@ def test_terms_of_the_given_tables(spark, sf_dir):
     found = {r.doc_id: r.s for r in pii.find_private(docs).select("doc_id", F.expr("transform(filter(spans, s -> s.kind = 'term'), s -> struct(s.start, s.end))").alias("s")).collect()}
     expected = {d: [(a, b) for a, b, _ in spans] for (d, _), spans in zip(rows, told_spans(rows))}
     assert {d: [tuple(s) for s in x] for d, x in found.items()} == expected and any(expected.values())
+
+
+def test_shards_hold_the_texts(spark, sf_dir, tmp_path, monkeypatch):
+    rows = [(i, f"text {i} é", f"s{i % 3}") for i in range(100)] + [(None, None, "s"), (5, "", None), (5, "", None)]
+    records = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    shards.write_shards(records, str(tmp_path / "out"), 7, size=F.coalesce(F.octet_length("text"), F.lit(0)), min_buckets=4)
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.doc_id, r.text, r.source) for r in found.filter("text is not null").collect() if r.source) == sorted(r for r in rows if r[1] is not None and r[2])
+    assert sorted((r.shard, r.slot) for r in found.collect()) == sorted((i % 7, i // 7) for i in range(len(rows)))
+    # The digest tells what was written: a text swapped in the operator shows.
+    real = shards.external_shuffle
+    monkeypatch.setattr(shards, "external_shuffle", lambda records, **options: real(records, **options).withColumn("text", F.lit("swapped")))
+    assert {r.size for r in queries.op10_sharding(spark, sf_dir).collect()} == {len("swapped") + 16}

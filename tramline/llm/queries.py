@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tramline.llm import classifier, decontaminate, line_join, pack, pii, quality_rules, shards, simhash, suffixes, token_counts
+from tramline.session import new_folder
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -84,11 +85,12 @@ def op9_pii(spark, d):
 
 
 def op10_sharding(spark, d):
-    """Shard and slot of every document, 40 shards with row counts one apart at most."""
+    """Shard and slot of every document in 40 written shards with row counts one apart at most."""
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    rows = documents(spark, d).select("doc_id", (F.octet_length(text) + 16).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"))
-    return shards.to_shards(rows, 40, size="size").select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size = (F.octet_length(text) + 16).cast("bigint")
+    written = shards.write_shards(documents(spark, d), new_folder(spark, "shards"), 40, size=size)
+    return written.select(
+        "doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 QUERIES = {f.__name__: f for f in (
