@@ -34,8 +34,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in training windows."""
-    return pack.pack(docs, tokenizer_path(), capacity=2048, end_id=1)
+    """Pieces of the documents in training windows, with their token ids and the ids' digest."""
+    return pack.with_digest(pack.pack(docs, tokenizer_path(), capacity=2048, end_id=1))
 
 
 STAGES = [

@@ -13,6 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import brute  # noqa: E402
 
+import corpus_pipeline  # noqa: E402
 from tramline.llm import pii, queries, shards  # noqa: E402
 
 TERM = re.compile(r"(?<![^\s(\[\"'])[^\W\d_]{3,}(?=[.,;:!?\"')\]]*(?:\s|$))")
@@ -66,3 +67,18 @@ def test_shards_hold_the_texts(spark, sf_dir, tmp_path, monkeypatch):
     real = shards.external_shuffle
     monkeypatch.setattr(shards, "external_shuffle", lambda records, **options: real(records, **options).withColumn("text", F.lit("swapped")))
     assert {r.size for r in queries.op10_sharding(spark, sf_dir).collect()} == {len("swapped") + 16}
+
+
+def test_windows_hold_the_ids(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(queries.tokenizer_path())
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    encoded = {r.doc_id: [*whole.encode(r.text, add_special_tokens=False).ids, 1] for r in docs.collect()}
+    windows = defaultdict(list)
+    for p in corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect():
+        ids = [int.from_bytes(p.ids[i : i + 4], "little") for i in range(0, len(p.ids), 4)]
+        assert ids == encoded[p.doc_id][p.start : p.start + p.length] and p.ids_crc32 == brute.crc(ids)
+        windows[p.sequence_id].append((p.offset, ids))
+    assert sum(len(ids) for w in windows.values() for _, ids in w) == sum(map(len, encoded.values()))
+    assert all(len([x for _, ids in sorted(w) for x in ids]) <= 2048 for w in windows.values())

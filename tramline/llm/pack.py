@@ -8,8 +8,8 @@ at the least number that could hold the pool and rises while any window is over
 A share of every pool is cut into small pieces first: they even out the large ones, so
 that the rise ends soon and little padding is left.
 
-Scale: one narrow pass, no shuffle; a task holds one pool (``pool_tokens`` ids) besides the
-text at hand.  A pool's last window is the only one that can be far from full.
+Scale: one narrow pass, no shuffle; a task holds one pool (``pool_tokens`` ids) and the
+pieces it hands on besides the text at hand.  A pool's last window is the only one that can be far from full.
 
 Defined cases: a null or empty text is its end id alone; repeated rows are packed each;
 an empty table gives no pieces; other columns of the documents are not needed and dropped.
@@ -18,7 +18,6 @@ an empty table gives no pieces; other columns of the documents are not needed an
 from __future__ import annotations
 
 import heapq
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +28,9 @@ from pyspark.sql import functions as F
 from tramline.llm.common import utf8
 from tramline.llm.encode import encoder
 
-PIECES = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+PIECES = "start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
+#: A task hands rows on at this many bytes of ids.
+OUT_BYTES = 4 << 20
 #: Every n-th rest of a pool is cut into small pieces of this share of a window.
 FINE_EVERY, FINE_SHARE = 4, 16
 
@@ -99,13 +100,15 @@ class _Packer:
         self.pool: list[tuple] = []
         self.held = 0
         self.rows: list[tuple] = []
+        self.bytes = 0
 
     def _sequence(self) -> int:
         self.next_id += 1
         return self.next_id - 1
 
     def _piece(self, doc, start, ids, total, sequence, offset):
-        self.rows.append((doc, start, len(ids) // 4, zlib.crc32(ids), total, sequence, offset))
+        self.rows.append((doc, start, len(ids) // 4, ids, total, sequence, offset))
+        self.bytes += len(ids)
 
     def add(self, doc, text: bytes) -> None:
         ids = self.encoder.encode(text) + self.end
@@ -139,8 +142,9 @@ def pack(
     docs: DataFrame, tokenizer: str, *, text: str = "text", doc_id: str = "doc_id", capacity: int = 2048, end_id: int = 1,
     pool_tokens: int = 1 << 19,
 ) -> DataFrame:
-    """Pieces of documents with their window (``sequence_id``) and place in it (``offset``).
+    """Pieces of documents with their ``ids``, window (``sequence_id``) and place in it (``offset``).
 
+    ``ids`` holds four bytes per id, lowest first; a window is its pieces' ids by ``offset``.
     ``sequence_id`` holds the task's partition and a running number: unique, and the same
     when a lost task runs again.
     """
@@ -154,18 +158,24 @@ def pack(
         def out():
             columns = list(zip(*packer.rows)) or [[]] * 7
             names = ["doc_id", *(p.split()[0] for p in PIECES.split(", "))]
-            arrays = [pa.array(columns[0], doc_type), *(pa.array(c, pa.int64()) for c in columns[1:])]
-            packer.rows = []
+            kinds = [doc_type, *(pa.binary() if n == "ids" else pa.int64() for n in names[1:])]
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+            packer.rows, packer.bytes = [], 0
             return pa.record_batch(dict(zip(names, arrays)))
 
         for batch in batches:
             doc_type = batch.column(0).type
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 packer.add(doc, value.as_py())
-                if len(packer.rows) >= 10_000:
+                if len(packer.rows) >= 10_000 or packer.bytes >= OUT_BYTES:
                     yield out()
         if doc_type is not None:
             packer.flush()
             yield out()
 
     return named.mapInArrow(run, f"doc_id {kind.simpleString()}, {PIECES}").withColumnRenamed("doc_id", doc_id)
+
+
+def with_digest(pieces: DataFrame) -> DataFrame:
+    """The pieces with ``ids_crc32`` of their ``ids``."""
+    return pieces.withColumn("ids_crc32", F.crc32("ids"))

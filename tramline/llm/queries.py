@@ -64,7 +64,8 @@ def op6_suffix_dedup(spark, d):
 
 def op7_packing(spark, d):
     """Every document's pieces in windows of 2,048 ids."""
-    return pack.pack(documents(spark, d), tokenizer_path(), capacity=2048, end_id=1)
+    pieces = pack.with_digest(pack.pack(documents(spark, d), tokenizer_path(), capacity=2048, end_id=1))
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op8_quality_classifier(spark, d):
