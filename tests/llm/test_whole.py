@@ -14,7 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from tramline.llm import pii, queries, shards  # noqa: E402
+from tramline.llm import line_join, pii, queries, shards, suffixes  # noqa: E402
 
 TERM = re.compile(r"(?<![^\s(\[\"'])[^\W\d_]{3,}(?=[.,;:!?\"')\]]*(?:\s|$))")
 
@@ -82,3 +82,46 @@ def test_windows_hold_the_ids(spark, sf_dir):
         windows[p.sequence_id].append((p.offset, ids))
     assert sum(len(ids) for w in windows.values() for _, ids in w) == sum(map(len, encoded.values()))
     assert all(len([x for _, ids in sorted(w) for x in ids]) <= 2048 for w in windows.values())
+
+
+@pytest.fixture
+def resplit(spark, tmp_path, monkeypatch):
+    """A table whose files are cut into other partitions once ``after`` of a module has run."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    line = " ".join(f"word{i}" for i in range(40))
+    rows = [(i, f"own{i} text{i * 7} of{i * 11}\n{line} v{i % 2}") for i in range(40)]
+    for part in range(4):
+        spark.createDataFrame(rows[part * 10 : part * 10 + 10], "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/t/part={part}")
+
+    def table(module, after):
+        real = getattr(module, after)
+
+        def then_split(*args, **options):
+            out = real(*args, **options)
+            spark.conf.set(key, "64")
+            return out
+
+        monkeypatch.setattr(module, after, then_split)
+        return spark.read.parquet(f"{tmp_path}/t").select("doc_id", "text"), rows
+
+    yield table
+    spark.conf.set(key, before)
+
+
+def test_lines_when_files_are_cut_anew(resplit):
+    docs, rows = resplit(line_join, "_verified")
+    found = line_join.find_repeated_lines(docs).collect()
+    assert {r.doc_id: r.removed for r in found} == dict(zip((d for d, _ in rows), brute.similar_lines(rows)))
+
+
+def test_dedup_lines_when_files_are_cut_anew(resplit):
+    docs, rows = resplit(line_join, "_verified")
+    kept = {r.doc_id: r.text for r in line_join.dedup_lines(docs).collect()}
+    assert kept == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone) for (d, t), gone in zip(rows, brute.similar_lines(rows))}
+
+
+def test_suffixes_when_files_are_cut_anew(resplit):
+    docs, rows = resplit(suffixes, "materialise")
+    found = suffixes.without_repeats(docs).select("doc_id", "n_bytes", F.sha2("kept", 256).alias("h")).collect()
+    assert sorted(map(tuple, found)) == sorted((d, n, h) for d, n, _, _, h in brute.kept_bytes(rows))

@@ -346,7 +346,8 @@ def removed_lines(texts: DataFrame, similarity: Fraction) -> DataFrame:
 
 def find_repeated_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", similarity: Fraction = SIMILAR) -> DataFrame:
     """Per document: id, ``n_lines`` (lines with a word) and the numbers of the ``removed`` ones."""
-    texts = docs.select(F.col(doc_id).alias("id"), _order(F.col(doc_id)).alias("doc"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    # Written once: made anew in a later job, the numbers could be others.
+    texts = stored(docs.select(F.col(doc_id).alias("id"), _order(F.col(doc_id)).alias("doc"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row")), "numbered")
     gone = _gone(texts.select("doc", "row", "text"), similarity)
     filled = F.size(F.filter(F.split(text_or_empty("text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     counted = texts.select(F.col("id").alias(doc_id), "row", filled.cast("bigint").alias("n_lines"))
@@ -360,7 +361,7 @@ def _gone(texts: DataFrame, similarity: Fraction) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", similarity: Fraction = SIMILAR) -> DataFrame:
     """All documents without the lines that an earlier one resembles; all columns stay."""
-    carried = docs.select(F.struct("*").alias("record"), F.monotonically_increasing_id().alias("row"))
+    carried = stored(docs.select(F.struct("*").alias("record"), F.monotonically_increasing_id().alias("row")), "numbered")
     texts = carried.select(_order(F.col(f"record.`{doc_id}`")).alias("doc"), "row", F.col(f"record.`{text}`").alias("text"))
     gone = stored(_gone(texts, similarity), "gone_lines")
     bucket = F.pmod(F.xxhash64("row"), F.lit(LOOKUP_BUCKETS))

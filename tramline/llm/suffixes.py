@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tramline.llm.common import utf8, worker_store
+from tramline.llm.common import stored, utf8, worker_store
 from tramline.session import materialise
 
 BASE = 0x9E3779B97F4A7C15
@@ -198,7 +198,8 @@ def _settle(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
 
 def without_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", length: int = 100, unit: int = 32, hot: int = 2_000) -> DataFrame:
     """Per document: id, ``n_bytes``, removed ``spans`` in bytes (null where none) and the ``kept`` bytes."""
-    texts = docs.select(F.col(doc_id).alias("id"), utf8(text).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    # Written once: made anew in a later job, the numbers could be others.
+    texts = stored(docs.select(F.col(doc_id).alias("id"), utf8(text).alias("text")).withColumn("row", F.monotonically_increasing_id()), "numbered")
     named = texts.select(_order(F.col("id")).alias("doc"), "row", "text")
     triples = named.mapInArrow(_sampler(length, unit), "unit bigint, run bigint, doc bigint, row bigint, place bigint, again boolean")
     order = W.partitionBy("unit").orderBy("run", "doc", "row", "place")
