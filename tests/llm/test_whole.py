@@ -14,7 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from tramline.llm import line_join, pii, queries, shards, suffixes  # noqa: E402
+from tramline.llm import classifier, line_join, pii, queries, shards, suffixes  # noqa: E402
 
 TERM = re.compile(r"(?<![^\s(\[\"'])[^\W\d_]{3,}(?=[.,;:!?\"')\]]*(?:\s|$))")
 
@@ -125,3 +125,14 @@ def test_suffixes_when_files_are_cut_anew(resplit):
     docs, rows = resplit(suffixes, "materialise")
     found = suffixes.without_repeats(docs).select("doc_id", "n_bytes", F.sha2("kept", 256).alias("h")).collect()
     assert sorted(map(tuple, found)) == sorted((d, n, h) for d, n, _, _, h in brute.kept_bytes(rows))
+
+
+def test_sample_of_different_texts(spark, sf_dir):
+    """Copies of the text with the least hash do not crowd others out of the sample."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").dropDuplicates(["text"])
+    first = docs.orderBy(F.xxhash64(F.col("text").cast("binary"))).limit(1)
+    crowded = docs.unionByName(first.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("n"))
+    _, label_of = classifier.fit_labels(docs)
+    weights, bias = classifier.fit_scorer(crowded, label_of, sample=100, rounds=5)
+    expected, expected_bias = classifier.fit_scorer(docs, label_of, sample=100, rounds=5)
+    assert abs(bias - expected_bias) < 1e-9 and abs(weights - expected).max() < 1e-9

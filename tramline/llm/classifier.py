@@ -171,8 +171,11 @@ def _examples(label_of: dict[str, float]):
 
 
 def fit_scorer(docs: DataFrame, label_of: dict[str, float], *, text: str = "text", sample: int = 6000, rounds: int = 120, rate: float = 0.5, decay: float = 1e-6) -> tuple[np.ndarray, float]:
-    """Weights and bias of the logistic scorer (Adam over the whole sample)."""
-    chosen = docs.select(utf8(text).alias("text")).orderBy(F.xxhash64("text"), "text").limit(sample)
+    """Weights and bias of the logistic scorer (Adam over the whole sample of different texts)."""
+    texts = docs.select(utf8(text).alias("text")).withColumn("hash", F.xxhash64("text"))
+    # Copies count once, so the hashes are folded first; texts cross the network only up to the last hash of the sample.
+    last = texts.select("hash").distinct().orderBy("hash").limit(sample).agg(F.max("hash")).first()[0]
+    chosen = texts.filter(F.col("hash") <= F.lit(last).cast("bigint")).dropDuplicates(["text"]).orderBy("hash", "text").limit(sample).select("text")
     rows = chosen.repartition(32, "text").mapInArrow(_examples(label_of), "label double, ids array<int>, shares array<float>").orderBy("label", F.xxhash64("ids", "shares")).toArrow()
     weights, bias = np.zeros(DIMENSIONS), 0.0
     if not rows.num_rows:
