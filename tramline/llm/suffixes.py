@@ -22,7 +22,7 @@ crosses once (two joins share the exchange), open cases send their runs of about
 A unit with more than ``hot`` open runs is spread by window instead.  Names have 64 bits.
 
 Defined cases: a null text is empty; documents without an id come first; rows with equal
-ids follow the order of the input, whose rows must be stable under rereading (files);
+ids follow the order of the input as it was numbered and written;
 an empty table gives no rows; other columns are dropped.
 """
 
