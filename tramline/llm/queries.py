@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm import classifier, decontaminate, line_join, pack, pii, quality_rules, shards, simhash, suffixes, token_counts
+from tramline.llm import (
+    best_fit, classifier, collocations, decontaminate, line_join, pack, pii, quality_rules, shards, simhash, suffixes, token_counts, whitening,
+)
 from tramline.session import new_folder
 
 TOKENIZER = "word_bpe_49k.json"
@@ -94,9 +96,32 @@ def op10_sharding(spark, d):
         "doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_whitening(spark, d):
+    """Whitened values of every usable vector, one row for each component."""
+    vectors = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding")
+    model = whitening.fit(vectors, components=4, scale=256)
+    shares = F.array(*map(F.lit, model.explained)) if model.explained else F.array().cast("array<double>")
+    white = model.apply(vectors, out="white").select("vec_id", "white.*")
+    return white.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened")).select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("bigint").alias("n"), F.col("deviation").cast("bigint").alias("deviation"),
+        "whitened", F.get(shares, F.col("at")).alias("explained"), F.lit(model.identity_error).alias("identity_error"))
+
+
+def op12_collocations(spark, d):
+    """The first 2,000 phrases of two or three words in every language."""
+    found = collocations.collocations(documents(spark, d), max_words=3, min_count=10, share=50, limit=2000)
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op13_best_fit(spark, d):
+    """Whole documents in sequences of 4,096 ids."""
+    pieces = best_fit.pack_whole(documents(spark, d), tokenizer_path(), capacity=4096, end_id=1)
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_quality_rules, op3_line_dedup, op4_token_counts, op5_simhash_dedup, op6_suffix_dedup, op7_packing,
-    op8_quality_classifier, op9_pii, op10_sharding,
+    op8_quality_classifier, op9_pii, op10_sharding, op11_whitening, op12_collocations, op13_best_fit,
 )}
 
 OP1_SQL = r"""
@@ -161,4 +186,43 @@ WITH docs AS (
 SELECT *, NOT base_failed AND NOT (n_common_words > 0 AND (n_words - n_common_words < 20 OR n_common_words > n_words * 0.5)) AS kept FROM judged
 """
 
-ORACLE = {"op1_decontaminate": OP1_SQL, "op2_quality_rules": OP2_SQL}
+OP12_SQL = r"""
+WITH pieces AS (
+    SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)
+), words AS (
+    SELECT p, lang, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM pieces
+), suffixes AS (
+    SELECT lang, w1, lead(w1) OVER piece AS w2, lead(w1, 2) OVER piece AS w3 FROM words WINDOW piece AS (PARTITION BY p ORDER BY i)
+), singles AS (
+    SELECT lang, w1, count(*) AS f FROM suffixes GROUP BY ALL
+), pairs AS (
+    SELECT lang, w1, w2, count(*) AS f FROM suffixes WHERE w2 IS NOT NULL GROUP BY ALL
+), triples AS (
+    SELECT lang, w1, w2, w3, count(*) AS f FROM suffixes WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), totals AS (
+    SELECT lang, sum(f)::BIGINT AS n FROM singles GROUP BY lang
+), cuts AS (
+    SELECT c.lang, c.w1 || ' ' || c.w2 AS phrase, c.f AS a, 1 AS k, x.f AS l, y.f AS r
+    FROM pairs c JOIN singles x ON x.lang = c.lang AND x.w1 = c.w1 JOIN singles y ON y.lang = c.lang AND y.w1 = c.w2 WHERE c.f >= 10
+    UNION ALL
+    SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, c.f, 1, x.f, y.f
+    FROM triples c JOIN singles x ON x.lang = c.lang AND x.w1 = c.w1 JOIN pairs y ON y.lang = c.lang AND y.w1 = c.w2 AND y.w2 = c.w3
+    UNION ALL
+    SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, c.f, 2, x.f, y.f
+    FROM triples c JOIN pairs x ON x.lang = c.lang AND x.w1 = c.w1 AND x.w2 = c.w2 JOIN singles y ON y.lang = c.lang AND y.w1 = c.w3
+), best AS (
+    SELECT *, (a::HUGEINT * a * 1000000 // (l::HUGEINT * r))::BIGINT AS score FROM cuts
+    QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY a::HUGEINT * a * 1000000 // (l::HUGEINT * r), k) = 1
+), longer AS (
+    SELECT lang, phrase, max(f) AS f FROM (
+        SELECT lang, w1 || ' ' || w2 AS phrase, f FROM triples UNION ALL SELECT lang, w2 || ' ' || w3, f FROM triples) GROUP BY ALL
+), ranked AS (
+    SELECT best.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+    FROM best LEFT JOIN longer USING (lang, phrase) WHERE f IS NULL OR 100 * f < 50 * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+ORACLE = {"op1_decontaminate": OP1_SQL, "op2_quality_rules": OP2_SQL, "op12_collocations": OP12_SQL}
