@@ -143,8 +143,9 @@ def test_phrases_with_edges(spark):
     expected = brute_phrases(rows)
     assert found_phrases(frame.repartition(5)) == expected
     assert found_phrases(frame, limit=3) == brute_phrases(rows, 3)
-    small = collocations.phrase_counts(frame, block_words=50)
-    assert Counter(map(tuple, small.collect())) == Counter(map(tuple, collocations.phrase_counts(frame).collect()))
+    for size in 3, 50:
+        small = collocations.phrase_counts(frame, block_words=size)
+        assert Counter(map(tuple, small.collect())) == Counter(map(tuple, collocations.phrase_counts(frame).collect()))
     assert found_phrases(frame.limit(0)) == []
 
 

@@ -2,20 +2,23 @@
 
 Texts are cut into pieces at punctuation and line ends, pieces into words.  Every word starts
 a suffix of at most ``max_words`` words that ends with its piece.  A task collects a block of
-words as numbers and sorts pointers to their suffixes by multikey quicksort: a partition is
-split into smaller, equal and larger ones by the word at its depth, the equal one goes one
-word deeper, down to the maximum depth.  All partitions of a round are split together, as
-arrays.  An equal partition holds just the occurrences of one phrase, so its size is the
-phrase's count in the block.  Sizes are then routed globally by their leading words (a hash of
-the phrase they spell) and added up, and phrases below ``min_count`` are abandoned there: no
-part of a frequent phrase is less frequent, so all later steps see frequent phrases only.
-
-Scale: a task holds one block (``block_words``) besides the text at hand, of which it takes
-some megabytes at a time, cut between pieces.  Counts are folded per block and per task before
-the one large shuffle, and its key is the whole phrase, so a phrase that a third of all rows
-hold is a few rows per task.  Cuts find their parts by equi-joins on phrases, which adaptive
-execution splits where one word is in many phrases.  The first phrases of a language are
-found per slice of its phrases and then among the slices' firsts.
+words as numbers, folds equal suffixes and sends them on by their leading words: all suffixes
+of one leading word meet in one task, or, where that word is very common, all of one leading
+pair (or triple).  There pointers to the suffixes are sorted by multikey quicksort: a partition
+is split into smaller, equal and larger ones by the word at its depth, the equal one goes one
+word deeper, down to the maximum depth.  An equal partition holds just the occurrences of one
+phrase, so its size is the phrase's count; a partition of less than ``min_count`` is abandoned
+at once, whatever is in it.  All partitions of a round are split together, as arrays.
+
+Scale: a first narrow pass finds the very common words and pairs, those that hold at least one
+in ``HOT_SHARE`` of all words: their number is bounded by that, and only balance depends on it.
+One shuffle moves the suffixes, a row for each leading word of a block.  Both sides hold a block
+at a time; leading words arrive in order, so that a block ends between two of them.  Should one
+alone exceed a block, its counts are passed on in parts, none abandoned, and the final sum by
+phrase completes them.  All later steps see frequent phrases only, since no part of a frequent
+phrase is less frequent.  Cuts find their parts by equi-joins, which adaptive execution splits
+where one word is in many phrases.  The first phrases of a language are found per slice of its
+phrases and then among the slices' firsts.
 
 Defined cases: a null text is empty and a null language is ``und``; empty and repeated rows,
 null and repeated ids are rows like others; an empty table gives no phrases.  Other columns are
@@ -45,6 +48,8 @@ UPPER = bytes(range(65, 91))
 LETTERS = bytes.maketrans(UPPER + b"\t" + SEPARATORS, UPPER.lower() + b" " + b"\xff" * len(SEPARATORS))
 NEXT_SEPARATOR = re.compile(b"[" + re.escape(SEPARATORS) + b"]")
 CHUNK_BYTES = 4 << 20
+#: Words and pairs that make up one in so many of all words are routed with the words behind them.
+HOT_SHARE = 8192
 #: Slices per language when the first phrases are sought.
 SLICES = 256
 OUT_ROWS = 1 << 16
@@ -62,44 +67,39 @@ def chunks(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-def equal_partitions(keys: np.ndarray, pointers: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def equal_partitions(keys: np.ndarray, weights: np.ndarray, least: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Multikey three-way quicksort; gives (depth, one pointer each, sizes) of equal partitions.
 
     ``keys[d, p]`` is the key of pointer ``p`` at depth ``d``; 0 is the end, behind which a
-    pointer has no more keys.  Depth ``d`` stands for equal keys 0 to ``d``.
+    pointer has no more keys.  Depth ``d`` stands for equal keys 0 to ``d``.  A size is a sum of
+    weights; partitions below ``least`` are abandoned.
     """
-    deepest = len(keys) - 1
-    flat, width = keys.reshape(-1), keys.shape[1]
-    sizes, depths = np.array([len(pointers)]), np.zeros(1, np.int64)
+    deepest, width = len(keys) - 1, keys.shape[1]
+    flat, pointers = keys.reshape(-1), np.arange(width)
+    lengths, depths = np.array([width]), np.zeros(1, np.int64)
     while len(pointers):
-        starts = np.cumsum(sizes) - sizes
-        part = np.repeat(np.arange(len(sizes)), sizes)
-        key = flat[np.repeat(depths * width, sizes) + pointers]
-        three = np.sort([key[starts], key[starts + sizes // 2], key[starts + sizes - 1]], axis=0)
-        pivots = three[1]
-        pivot = pivots[part]
-        next_pointers, next_sizes, next_depths = [], [], []
-
-        def held(mask, chosen, more):
-            members = np.bincount(part[mask], minlength=len(sizes))[chosen]
-            some = members > 0
-            next_pointers.append(pointers[mask])
-            next_sizes.append(members[some])
-            next_depths.append((depths[chosen] + more)[some])
-
-        everything = np.arange(len(sizes))
-        held(key < pivot, everything, 0)
-        held(key > pivot, everything, 0)
-        equal = key == pivot
-        members, ends = np.bincount(part[equal], minlength=len(sizes)), pivots == 0
-        firsts = pointers[equal][np.cumsum(members) - members]
-        for depth in np.unique(depths):
-            here = (depths == depth) & ~ends
-            if here.any():
-                yield int(depth), firsts[here], members[here]
-        deeper = ~ends & (depths < deepest)
-        held(equal & deeper[part], np.flatnonzero(deeper), 1)
-        pointers, sizes, depths = np.concatenate(next_pointers), np.concatenate(next_sizes), np.concatenate(next_depths)
+        starts = np.cumsum(lengths) - lengths
+        part = np.repeat(np.arange(len(lengths)), lengths)
+        key = flat[np.repeat(depths * width, lengths) + pointers]
+        pivots = np.sort([key[starts], key[starts + lengths // 2], key[starts + lengths - 1]], axis=0)[1]
+        pivot, ended = pivots[part], pivots == 0
+        rounds = []
+        for mask, more in ((key < pivot, 0), (key > pivot, 0), (key == pivot, 1)):
+            members = np.bincount(part[mask], minlength=len(lengths))
+            some = pointers[mask]
+            sums = np.concatenate([[0], np.cumsum(weights[some])])
+            after = np.cumsum(members)
+            sizes = sums[after] - sums[after - members]
+            kept = (members > 0) & (sizes >= least)
+            if more:
+                kept &= ~ended
+                firsts = after - members
+                for depth in np.unique(depths[kept]):
+                    here = kept & (depths == depth)
+                    yield int(depth), some[firsts[here]], sizes[here]
+                kept &= depths < deepest
+            rounds.append((some[np.repeat(kept, members)], members[kept], depths[kept] + more))
+        pointers, lengths, depths = (np.concatenate(x) for x in zip(*rounds))
 
 
 class _Block:
@@ -119,53 +119,193 @@ class _Block:
     def add(self, lang: str, chunk: bytes) -> None:
         words = chunk.translate(LETTERS).replace(b"\xff", b" \xff ").split()
         words.append(b"\xff")
-        self.ids.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
+        self.ids.append(np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)))
         self.lang_ids.append((self.langs[lang], len(words)))
         self.words += len(words)
 
-    def counts(self) -> Iterator[pa.RecordBatch]:
-        """(lang, words, phrase, count) of every phrase in the block; the empty phrase counts all words."""
-        if not self.ids:
-            return
-        ids = np.concatenate([*self.ids, np.zeros(self.max_words, np.int32)])
-        total = self.words
-        keys = np.zeros((self.max_words + 1, total), np.int32)
-        keys[0] = np.repeat(*np.array(self.lang_ids, np.int32).T)
-        keys[1] = ids[:total]
-        for d in range(2, self.max_words + 1):
-            keys[d] = np.where(keys[d - 1] == 0, 0, ids[d - 1 : total + d - 1])
-        # The first word is the end of a piece, which spells nothing.
-        spelled = pa.array([b"", *list(self.numbers)[1:]], pa.binary()).view(pa.string())
-        langs = pa.array(list(self.langs), pa.string())
-        for depth, firsts, sizes in equal_partitions(keys, np.flatnonzero(keys[1])):
-            for at in range(0, len(firsts), OUT_ROWS):
-                some = firsts[at : at + OUT_ROWS]
-                spans = [spelled.take(pa.array(keys[d][some])) for d in range(1, depth + 1)]
-                phrase = pc.binary_join_element_wise(*spans, " ") if spans else pa.array([""] * len(some))
+    def suffixes(self, longest: int) -> np.ndarray:
+        """Languages (row 0) and up to ``longest`` words of every suffix, 0 behind its end."""
+        ids = np.concatenate([*self.ids, np.zeros(longest, np.int64)])
+        keys = np.zeros((longest + 1, self.words), np.int64)
+        keys[0] = np.repeat(*np.array(self.lang_ids).T)
+        keys[1] = ids[: self.words]
+        for d in range(2, longest + 1):
+            keys[d] = np.where(keys[d - 1] == 0, 0, ids[d - 1 : self.words + d - 1])
+        return keys[:, keys[1] > 0]
+
+    def spelled(self) -> pa.Array:
+        """The word of every number; the end of a piece, number 0, spells nothing."""
+        return pa.array([b"", *list(self.numbers)[1:]], pa.binary()).view(pa.string())
+
+    def names(self) -> pa.Array:
+        return pa.array(["", *self.langs], pa.string())
+
+
+def _folded(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different columns in order, and how often each occurs."""
+    code, span = keys[0], int(keys[0].max(initial=0)) + 1
+    for row in keys[1:]:
+        width = int(row.max(initial=0)) + 1
+        if span * width >= 1 << 62:
+            found, code = np.unique(code, return_inverse=True)
+            span = len(found)
+        code, span = code * width + row, span * width
+    _, firsts, counts = np.unique(code, return_index=True, return_counts=True)
+    return keys[:, firsts], counts
+
+
+def _phrases(spelled: pa.Array, rows: np.ndarray) -> pa.Array:
+    return pc.binary_join_element_wise(*[spelled.take(pa.array(r)) for r in rows], " ")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], max_words: int, block_words: int) -> Iterator[_Block]:
+    block = _Block(max_words)
+    for batch in batches:
+        for name, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for chunk in chunks(value.as_py()):
+                block.add(name, chunk)
+                if block.words >= block_words:
+                    yield block
+                    block.clear()
+    if block.words:
+        yield block
+
+
+def _survey(named: DataFrame, max_words: int, block_words: int) -> DataFrame:
+    """``lang, words, phrase, a``: all words of a language (no phrase), and words and pairs that are common in a block."""
+    def run(batches):
+        for block in _blocks(batches, max_words, block_words):
+            keys, spelled, names = block.suffixes(2), block.spelled(), block.names()
+            least = max(2, keys.shape[1] // (2 * HOT_SHARE))
+            totals = np.bincount(keys[0], minlength=len(names))[1:]
+            yield pa.record_batch({"lang": names[1:], "words": pa.array([0] * len(totals), pa.int32()), "phrase": pa.array([""] * len(totals)), "a": pa.array(totals)})
+            times = np.bincount(keys[1])
+            pairs = keys[1:, (times[keys[1]] >= least) & (keys[2] > 0)]
+            for size, found, counts in ((1, np.arange(len(times))[None], times), (2, *_folded(pairs))):
+                found, counts = found[:, counts >= least], counts[counts >= least]
                 yield pa.record_batch({
-                    "lang": langs.take(pa.array(keys[0][some] - 1)), "words": pa.array(np.full(len(some), depth, np.int32)),
-                    "phrase": phrase, "a": pa.array(sizes[at : at + OUT_ROWS].astype(np.int64)),
+                    "lang": pa.nulls(len(counts), pa.string()), "words": pa.array(np.full(len(counts), size, np.int32)),
+                    "phrase": _phrases(spelled, found), "a": pa.array(counts),
                 })
-        self.clear()
 
+    return named.mapInArrow(run, "lang string, words int, phrase string, a bigint").groupBy("lang", "words", "phrase").agg(F.sum("a").alias("a"))
+
+
+def _led(block: _Block, hot: list[tuple[bytes, ...]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(words in the lead, folded suffixes, counts): leads of one word, or of more behind very common ones."""
+    keys, counts = _folded(block.suffixes(block.max_words))
+    for size in range(1, block.max_words + 1):
+        split = np.zeros(keys.shape[1], bool)
+        if size < min(block.max_words, 3) and len(counts):
+            width = int(keys[1:].max()) + 1
+            lead = keys[1] if size == 1 else keys[1] * width + keys[2]
+            numbers = [[block.numbers.get(w, -1) for w in phrase] for phrase in hot if len(phrase) == size]
+            split = np.isin(lead, [n[0] if size == 1 else n[0] * width + n[1] for n in numbers if min(n) > 0])
+        yield size, keys[:, ~split], counts[~split]
+        # The lead itself is counted here, what follows it by longer leads.
+        whole, first = np.unique(np.cumsum(np.any(np.diff(keys[: size + 1, split], axis=1, prepend=-1) != 0, axis=0)), return_index=True)
+        if len(whole):
+            only = keys[:, split][:, first]
+            only[size + 1 :] = 0
+            yield size, only, np.add.reduceat(counts[split], first)
+        follows = split & (keys[min(size + 1, block.max_words)] > 0)
+        keys, counts = keys[:, follows], counts[follows]
+
+
+def _routed(named: DataFrame, hot: list[tuple[bytes, ...]], max_words: int, block_words: int) -> DataFrame:
+    """Folded suffixes by lead: ``tails`` holds the words behind it, ``max_words`` in all, ``weights`` the counts."""
+    def run(batches):
+        for block in _blocks(batches, max_words, block_words):
+            spelled, names = block.spelled(), block.names()
+            for size, keys, counts in _led(block, hot):
+                if not len(counts):
+                    continue
+                starts = np.flatnonzero(np.any(np.diff(keys[: size + 1], axis=1, prepend=-1) != 0, axis=0))
+                ends = np.append(starts[1:], len(counts))
+                behind, weights = keys[size + 1 :], counts.astype("<i4").tobytes()
+                for at in range(0, len(starts), OUT_ROWS):
+                    first, last = starts[at : at + OUT_ROWS], ends[at : at + OUT_ROWS]
+                    words = spelled.take(pa.array(behind[:, first[0] : last[-1]].T.reshape(-1)))
+                    offsets = (np.append(first, last[-1]) - first[0]) * len(behind)
+                    yield pa.record_batch({
+                        "lang": names.take(pa.array(keys[0][first])), "lead": _phrases(spelled, keys[1 : size + 1, first]),
+                        "words": pa.array(np.full(len(first), size, np.int32)),
+                        "tails": pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words), " ").cast(pa.binary()),
+                        "weights": pa.array([weights[4 * x : 4 * y] for x, y in zip(first.tolist(), last.tolist())], pa.binary()),
+                    })
+
+    return named.mapInArrow(run, "lang string, lead string, words int, tails binary, weights binary")
+
+
+def _sorted_counts(leads: list[tuple], max_words: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Counts of all phrases that begin with the given leads (lang, lead, words, tails, weights)."""
+    numbers, langs = defaultdict(count(1).__next__, {b"": 0}), defaultdict(count(1).__next__)
+    parts = []
+    for size in sorted({r[2] for r in leads}):
+        rows = [r for r in leads if r[2] == size]
+        behind = max_words - size
+        entries = np.array([len(r[4]) // 4 for r in rows])
+        keys = np.zeros((max_words + 2, entries.sum()), np.int32)
+        keys[0] = np.repeat([langs[r[0]] for r in rows], entries)
+        keys[1] = np.repeat([numbers[r[1].encode()] for r in rows], entries)
+        if behind:
+            words = b" ".join([r[3] for r in rows]).split(b" ")
+            keys[2 : 2 + behind] = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)).reshape(-1, behind).T
+        keys[-1] = size
+        parts.append((keys, np.frombuffer(b"".join([r[4] for r in rows]), "<i4").astype(np.int64)))
+    keys, weights = np.concatenate([k for k, _ in parts], axis=1), np.concatenate([w for _, w in parts])
+    names, spelled = pa.array(["", *langs], pa.string()), pa.array(list(numbers), pa.binary()).view(pa.string())
+    for depth, firsts, sizes in equal_partitions(keys[:-1], weights, least):
+        for at in range(0, len(firsts) if depth else 0, OUT_ROWS):
+            some = firsts[at : at + OUT_ROWS]
+            yield pa.record_batch({
+                "lang": names.take(pa.array(keys[0][some])), "words": pa.array(keys[-1][some] + np.int32(depth - 1)),
+                "phrase": _phrases(spelled, keys[1 : depth + 1, some]), "a": pa.array(sizes[at : at + OUT_ROWS]),
+            })
+
+
+def _counted(routed: DataFrame, max_words: int, min_count: int, block_words: int) -> DataFrame:
+    """Counts by lead from leads in order; one that exceeds a block is counted in parts, none abandoned."""
+    def run(batches):
+        rows, held, open_lead = [], 0, None
+
+        def settle(last: bool):
+            """Counts the leads that have ended; a lead that fills the block alone is counted as far as it came."""
+            nonlocal rows, held, open_lead
+            while rows and (last or held >= block_words):
+                first, final = rows[0][:2], rows[-1][:2]
+                if first == open_lead or first == final:
+                    now = [r for r in rows if r[:2] == first]
+                    ended = last or first != final
+                    open_lead, whole = (None if ended else first), ended and first != open_lead
+                else:
+                    now, whole = rows if last else [r for r in rows if r[:2] != final], True
+                rows = rows[len(now) :]
+                held = sum(len(r[4]) // 4 for r in rows)
+                yield from _sorted_counts(now, max_words, min_count if whole else 1)
+
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                rows.append(row)
+                held += len(row[4]) // 4
+                if held >= block_words:
+                    yield from settle(False)
+        yield from settle(True)
+
+    return routed.mapInArrow(run, "lang string, words int, phrase string, a bigint")
 
-def phrase_counts(docs: DataFrame, *, text: str = "text", lang: str = "lang", max_words: int = 3, min_count: int = 10, block_words: int = 1 << 21) -> DataFrame:
+
+def phrase_counts(docs: DataFrame, *, text: str = "text", lang: str = "lang", max_words: int = 3, min_count: int = 10, block_words: int = 1 << 20) -> DataFrame:
     """``lang, words, phrase, a``: frequent phrases of up to ``max_words`` words; zero words: all occurrences."""
     named = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), utf8(text).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _Block(max_words)
-        for batch in batches:
-            for name, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for chunk in chunks(value.as_py()):
-                    block.add(name, chunk)
-                    if block.words >= block_words:
-                        yield from block.counts()
-        yield from block.counts()
-
-    local = named.mapInArrow(run, "lang string, words int, phrase string, a bigint")
-    summed = local.groupBy("lang", "words", "phrase").agg(F.sum("a").alias("a"))
-    return summed.filter((F.col("words") == 0) | (F.col("a") >= min_count))
+    survey = stored(_survey(named, max_words, block_words), "survey")
+    totals = survey.filter("words = 0")
+    every = totals.agg(F.sum("a")).first()[0] or 0
+    # At most HOT_SHARE words and as many pairs reach the bound.
+    hot = [tuple(r["phrase"].encode().split(b" ")) for r in survey.filter((F.col("words") > 0) & (F.col("a") * HOT_SHARE >= every)).select("phrase").collect()]
+    routed = _routed(named, hot, max_words, block_words).repartition("lang", "lead").sortWithinPartitions("lang", "lead")
+    counted = _counted(routed, max_words, min_count, block_words).groupBy("lang", "words", "phrase").agg(F.sum("a").alias("a"))
+    return counted.filter(F.col("a") >= min_count).unionByName(totals.select("lang", "words", "phrase", "a"))
 
 
 def _span(words: Column, start, length) -> Column:
