@@ -3,26 +3,28 @@
 Texts are cut into pieces at punctuation and line ends, pieces into words.  Every word starts
 a suffix of at most ``max_words`` words that ends with its piece.  A task collects a block of
 words as numbers, folds equal suffixes and sends them on by their leading words: all suffixes
-of one leading word meet in one task, or, where that word is very common, all of one leading
-pair (or triple).  There pointers to the suffixes are sorted by multikey quicksort: a partition
-is split into smaller, equal and larger ones by the word at its depth, the equal one goes one
-word deeper, down to the maximum depth.  An equal partition holds just the occurrences of one
-phrase, so its size is the phrase's count; a partition of less than ``min_count`` is abandoned
-at once, whatever is in it.  All partitions of a round are split together, as arrays.
+of one leading word meet in one task.  There pointers to the suffixes are sorted by multikey
+quicksort, from the leading word's partition on: a partition is split into smaller, equal and
+larger ones by the word at its depth, the equal one goes one word deeper, down to the maximum
+depth.  An equal partition holds just the occurrences of one phrase, so its size is the
+phrase's count; a partition of less than ``min_count`` is abandoned at once, whatever is in it.
+All partitions of a round are split together, as arrays.
 
 Scale: a first narrow pass finds the very common words and pairs, those that hold at least one
 in ``HOT_SHARE`` of all words: their number is bounded by that, and only balance depends on it.
-One shuffle moves the suffixes, a row for each leading word of a block.  Both sides hold a block
-at a time; leading words arrive in order, so that a block ends between two of them.  Should one
-alone exceed a block, its counts are passed on in parts, none abandoned, and the final sum by
-phrase completes them.  All later steps see frequent phrases only, since no part of a frequent
+Their suffixes are dealt to as many parts as they hold such shares, by the next word, so that
+each phrase is still in one part; the lead's own count travels apart.  One shuffle moves the
+suffixes, a row for each leading word of a block.  Both sides hold a block at a time; leading
+words arrive in order, so that a block ends between two of them.  Should one alone exceed a
+block, its counts are passed on piece by piece, none abandoned, and the final sum by phrase
+completes them.  All later steps see frequent phrases only, since no part of a frequent
 phrase is less frequent.  Cuts find their parts by equi-joins, which adaptive execution splits
 where one word is in many phrases.  The first phrases of a language are found per slice of its
 phrases and then among the slices' firsts.
 
 Defined cases: a null text is empty and a null language is ``und``; empty and repeated rows,
 null and repeated ids are rows like others; an empty table gives no phrases.  Other columns are
-not needed and dropped.  Letters beyond A-Z keep their case.  One piece is held by one task as
+not needed and dropped.  Letters beyond A-Z keep their case.  ``max_words`` is 2 or more.  One piece is held by one task as
 a whole, however long.
 """
 
@@ -32,6 +34,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +51,7 @@ UPPER = bytes(range(65, 91))
 LETTERS = bytes.maketrans(UPPER + b"\t" + SEPARATORS, UPPER.lower() + b" " + b"\xff" * len(SEPARATORS))
 NEXT_SEPARATOR = re.compile(b"[" + re.escape(SEPARATORS) + b"]")
 CHUNK_BYTES = 4 << 20
-#: Words and pairs that make up one in so many of all words are routed with the words behind them.
+#: Words and pairs that make up one in so many of all words are routed in parts.
 HOT_SHARE = 8192
 #: Slices per language when the first phrases are sought.
 SLICES = 256
@@ -67,16 +70,16 @@ def chunks(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-def equal_partitions(keys: np.ndarray, weights: np.ndarray, least: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def equal_partitions(keys: np.ndarray, weights: np.ndarray, lengths: np.ndarray, least: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Multikey three-way quicksort; gives (depth, one pointer each, sizes) of equal partitions.
 
     ``keys[d, p]`` is the key of pointer ``p`` at depth ``d``; 0 is the end, behind which a
-    pointer has no more keys.  Depth ``d`` stands for equal keys 0 to ``d``.  A size is a sum of
-    weights; partitions below ``least`` are abandoned.
+    pointer has no more keys.  The first ``lengths[0]`` pointers are one partition to begin with,
+    the next ``lengths[1]`` another.  Depth ``d`` stands for equal keys 0 to ``d``.  A size is a
+    sum of weights; partitions below ``least`` are abandoned.
     """
     deepest, width = len(keys) - 1, keys.shape[1]
-    flat, pointers = keys.reshape(-1), np.arange(width)
-    lengths, depths = np.array([width]), np.zeros(1, np.int64)
+    flat, pointers, depths = keys.reshape(-1), np.arange(width), np.zeros(len(lengths), np.int64)
     while len(pointers):
         starts = np.cumsum(lengths) - lengths
         part = np.repeat(np.arange(len(lengths)), lengths)
@@ -87,21 +90,30 @@ def equal_partitions(keys: np.ndarray, weights: np.ndarray, least: int = 1) -> I
         for mask, more in ((key < pivot, 0), (key > pivot, 0), (key == pivot, 1)):
             members = np.bincount(part[mask], minlength=len(lengths))
             some = pointers[mask]
-            sums = np.concatenate([[0], np.cumsum(weights[some])])
             after = np.cumsum(members)
-            sizes = sums[after] - sums[after - members]
+            sizes = _ranges(weights[some], after - members, after)
             kept = (members > 0) & (sizes >= least)
             if more:
                 kept &= ~ended
-                firsts = after - members
                 for depth in np.unique(depths[kept]):
                     here = kept & (depths == depth)
-                    yield int(depth), some[firsts[here]], sizes[here]
+                    yield int(depth), some[(after - members)[here]], sizes[here]
                 kept &= depths < deepest
             rounds.append((some[np.repeat(kept, members)], members[kept], depths[kept] + more))
         pointers, lengths, depths = (np.concatenate(x) for x in zip(*rounds))
 
 
+def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of ``values[start:end]``."""
+    sums = np.concatenate([[0], np.cumsum(values)])
+    return sums[ends] - sums[starts]
+
+
+def _starts(rows: np.ndarray) -> np.ndarray:
+    """Where a column differs from the one before."""
+    return np.flatnonzero(np.any(np.diff(rows, axis=1, prepend=-1) != 0, axis=0))
+
+
 class _Block:
     """Words of many texts as numbers; 0 ends a piece."""
 
@@ -191,106 +203,157 @@ def _survey(named: DataFrame, max_words: int, block_words: int) -> DataFrame:
     return named.mapInArrow(run, "lang string, words int, phrase string, a bigint").groupBy("lang", "words", "phrase").agg(F.sum("a").alias("a"))
 
 
-def _led(block: _Block, hot: list[tuple[bytes, ...]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(words in the lead, folded suffixes, counts): leads of one word, or of more behind very common ones."""
+Hot = dict[tuple[bytes, ...], int]
+
+
+def _led(block: _Block, hot: Hot) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(words in the lead, folded suffixes, counts, parts): those of a very common lead in parts from 1 on, its count in part 0."""
     keys, counts = _folded(block.suffixes(block.max_words))
-    for size in range(1, block.max_words + 1):
-        split = np.zeros(keys.shape[1], bool)
-        if size < min(block.max_words, 3) and len(counts):
+    order = np.fromiter(map(crc32, block.numbers), np.int64, len(block.numbers))
+    parts = np.zeros(keys.shape[1], np.int64)
+    for size in (1, 2):
+        shares = np.zeros(keys.shape[1], np.int64)
+        if size < block.max_words and len(counts):
             width = int(keys[1:].max()) + 1
             lead = keys[1] if size == 1 else keys[1] * width + keys[2]
-            numbers = [[block.numbers.get(w, -1) for w in phrase] for phrase in hot if len(phrase) == size]
-            split = np.isin(lead, [n[0] if size == 1 else n[0] * width + n[1] for n in numbers if min(n) > 0])
-        yield size, keys[:, ~split], counts[~split]
-        # The lead itself is counted here, what follows it by longer leads.
-        whole, first = np.unique(np.cumsum(np.any(np.diff(keys[: size + 1, split], axis=1, prepend=-1) != 0, axis=0)), return_index=True)
-        if len(whole):
-            only = keys[:, split][:, first]
-            only[size + 1 :] = 0
-            yield size, only, np.add.reduceat(counts[split], first)
-        follows = split & (keys[min(size + 1, block.max_words)] > 0)
+            known = {}
+            for phrase, share in hot.items():
+                numbers = [block.numbers.get(w, 0) for w in phrase]
+                if len(phrase) == size and all(numbers):
+                    known[numbers[0] if size == 1 else numbers[0] * width + numbers[1]] = share
+            codes = np.array(sorted(known), np.int64)
+            at = np.searchsorted(codes, lead)
+            if len(codes):
+                at = np.minimum(at, len(codes) - 1)
+                shares = np.where(codes[at] == lead, np.array([known[c] for c in codes.tolist()])[at], 0)
+        split = shares > 0
+        # What the lead before was dealt into parts stays there, unless this longer one is split too.
+        again = np.lexsort((parts[~split], *keys[size - 1 : 0 : -1, ~split], keys[0, ~split])) if size > 1 else slice(None)
+        yield max(1, size - 1), keys[:, ~split][:, again], counts[~split][again], parts[~split][again]
+        keys, counts, shares = keys[:, split], counts[split], shares[split]
+        firsts = _starts(keys[: size + 1])
+        if len(firsts):
+            alone = keys[:, firsts]
+            alone[size + 1 :] = 0
+            yield size, alone, np.add.reduceat(counts, firsts), np.zeros(len(firsts), np.int64)
+        follows = keys[min(size + 1, len(keys) - 1)] > 0
         keys, counts = keys[:, follows], counts[follows]
+        parts = 1 + order[keys[min(size + 1, len(keys) - 1)]] % np.maximum(shares[follows], 1)
+    if len(counts):
+        again = np.lexsort((parts, keys[2], keys[1], keys[0]))
+        yield 2, keys[:, again], counts[again], parts[again]
+
 
+ROUTED = "lang string, lead string, part bigint, words int, tails binary, weights binary"
 
-def _routed(named: DataFrame, hot: list[tuple[bytes, ...]], max_words: int, block_words: int) -> DataFrame:
-    """Folded suffixes by lead: ``tails`` holds the words behind it, ``max_words`` in all, ``weights`` the counts."""
+
+def _routed(named: DataFrame, hot: Hot, max_words: int, block_words: int) -> DataFrame:
+    """Folded suffixes by lead and part: ``tails`` holds ``max_words - 1`` words of each, and a blank behind every one; ``weights`` the counts."""
     def run(batches):
         for block in _blocks(batches, max_words, block_words):
             spelled, names = block.spelled(), block.names()
-            for size, keys, counts in _led(block, hot):
+            for size, keys, counts, parts in _led(block, hot):
                 if not len(counts):
                     continue
-                starts = np.flatnonzero(np.any(np.diff(keys[: size + 1], axis=1, prepend=-1) != 0, axis=0))
+                starts = _starts(np.concatenate([keys[: size + 1], parts[None]]))
                 ends = np.append(starts[1:], len(counts))
-                behind, weights = keys[size + 1 :], counts.astype("<i4").tobytes()
+                behind = np.zeros((max_words - 1, len(counts)), np.int64)
+                behind[: max_words - size] = keys[size + 1 :]
+                weights = counts.astype("<i4").tobytes()
                 for at in range(0, len(starts), OUT_ROWS):
                     first, last = starts[at : at + OUT_ROWS], ends[at : at + OUT_ROWS]
                     words = spelled.take(pa.array(behind[:, first[0] : last[-1]].T.reshape(-1)))
-                    offsets = (np.append(first, last[-1]) - first[0]) * len(behind)
+                    offsets = pa.array((np.append(first, last[-1]) - first[0]) * len(behind), pa.int32())
+                    tails = pc.binary_join(pa.ListArray.from_arrays(offsets, words), " ")
                     yield pa.record_batch({
                         "lang": names.take(pa.array(keys[0][first])), "lead": _phrases(spelled, keys[1 : size + 1, first]),
-                        "words": pa.array(np.full(len(first), size, np.int32)),
-                        "tails": pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words), " ").cast(pa.binary()),
+                        "part": pa.array(parts[first]), "words": pa.array(np.full(len(first), size, np.int32)),
+                        "tails": pc.binary_join_element_wise(tails, "", " ").cast(pa.binary()),
                         "weights": pa.array([weights[4 * x : 4 * y] for x, y in zip(first.tolist(), last.tolist())], pa.binary()),
                     })
 
-    return named.mapInArrow(run, "lang string, lead string, words int, tails binary, weights binary")
-
-
-def _sorted_counts(leads: list[tuple], max_words: int, least: int) -> Iterator[pa.RecordBatch]:
-    """Counts of all phrases that begin with the given leads (lang, lead, words, tails, weights)."""
-    numbers, langs = defaultdict(count(1).__next__, {b"": 0}), defaultdict(count(1).__next__)
-    parts = []
-    for size in sorted({r[2] for r in leads}):
-        rows = [r for r in leads if r[2] == size]
-        behind = max_words - size
-        entries = np.array([len(r[4]) // 4 for r in rows])
-        keys = np.zeros((max_words + 2, entries.sum()), np.int32)
-        keys[0] = np.repeat([langs[r[0]] for r in rows], entries)
-        keys[1] = np.repeat([numbers[r[1].encode()] for r in rows], entries)
-        if behind:
-            words = b" ".join([r[3] for r in rows]).split(b" ")
-            keys[2 : 2 + behind] = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)).reshape(-1, behind).T
-        keys[-1] = size
-        parts.append((keys, np.frombuffer(b"".join([r[4] for r in rows]), "<i4").astype(np.int64)))
-    keys, weights = np.concatenate([k for k, _ in parts], axis=1), np.concatenate([w for _, w in parts])
-    names, spelled = pa.array(["", *langs], pa.string()), pa.array(list(numbers), pa.binary()).view(pa.string())
-    for depth, firsts, sizes in equal_partitions(keys[:-1], weights, least):
-        for at in range(0, len(firsts) if depth else 0, OUT_ROWS):
-            some = firsts[at : at + OUT_ROWS]
+    return named.mapInArrow(run, ROUTED)
+
+
+def _content(column: pa.Array) -> tuple[bytes, np.ndarray]:
+    """All bytes of a binary column and the length of each value."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return column.buffers()[2].slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_pybytes(), np.diff(offsets)
+
+
+def _changes(rows: pa.RecordBatch) -> np.ndarray:
+    """Where another lead or part begins."""
+    new = np.zeros(rows.num_rows, bool)
+    new[:1] = True
+    for name in ("lang", "lead", "part"):
+        column = rows[name]
+        new[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def _sorted_counts(rows: pa.RecordBatch, max_words: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Counts of all phrases that begin with the given leads."""
+    if not rows.num_rows:
+        return
+    numbers = defaultdict(count(1).__next__, {b"": 0})
+    firsts = _changes(rows)
+    words = _content(rows["tails"])[0].split(b" ")[:-1]
+    keys = np.ascontiguousarray(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)).reshape(-1, max_words - 1).T)
+    raw, lengths = _content(rows["weights"])
+    weights = np.frombuffer(raw, "<i4").astype(np.int64)
+    ends = np.cumsum(np.add.reduceat(lengths // 4, firsts))
+    starts = np.concatenate([[0], ends[:-1]])
+    sizes = _ranges(weights, starts, ends)
+    spelled = pa.array(list(numbers), pa.binary()).view(pa.string())
+
+    def out(leads: np.ndarray, tails: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(leads), OUT_ROWS):
+            some = pa.array(firsts[leads[at : at + OUT_ROWS]])
+            spans = [spelled.take(pa.array(t[at : at + OUT_ROWS])) for t in tails]
             yield pa.record_batch({
-                "lang": names.take(pa.array(keys[0][some])), "words": pa.array(keys[-1][some] + np.int32(depth - 1)),
-                "phrase": _phrases(spelled, keys[1 : depth + 1, some]), "a": pa.array(sizes[at : at + OUT_ROWS]),
+                "lang": rows["lang"].take(some), "words": pc.add(rows["words"].take(some), pa.scalar(len(tails), pa.int32())),
+                "phrase": pc.binary_join_element_wise(rows["lead"].take(some), *spans, " "), "a": pa.array(counts[at : at + OUT_ROWS]),
             })
 
+    kept = sizes >= least
+    whole = np.flatnonzero(kept & (rows["part"].to_numpy()[firsts] == 0))
+    yield from out(whole, np.empty((0, len(whole)), np.int64), sizes[whole])
+    held = np.repeat(kept, ends - starts)
+    lead_of = np.repeat(np.arange(len(firsts)), ends - starts)[held]
+    keys = keys[:, held]
+    for depth, some, counts in equal_partitions(keys, weights[held], (ends - starts)[kept], least):
+        yield from out(lead_of[some], keys[: depth + 1, some], counts)
+
 
 def _counted(routed: DataFrame, max_words: int, min_count: int, block_words: int) -> DataFrame:
-    """Counts by lead from leads in order; one that exceeds a block is counted in parts, none abandoned."""
+    """Counts by lead from leads in order; one that exceeds a block is counted piece by piece, none abandoned."""
     def run(batches):
-        rows, held, open_lead = [], 0, None
+        held, size, open_lead = [], 0, None
 
         def settle(last: bool):
-            """Counts the leads that have ended; a lead that fills the block alone is counted as far as it came."""
-            nonlocal rows, held, open_lead
-            while rows and (last or held >= block_words):
-                first, final = rows[0][:2], rows[-1][:2]
-                if first == open_lead or first == final:
-                    now = [r for r in rows if r[:2] == first]
-                    ended = last or first != final
-                    open_lead, whole = (None if ended else first), ended and first != open_lead
-                else:
-                    now, whole = rows if last else [r for r in rows if r[:2] != final], True
-                rows = rows[len(now) :]
-                held = sum(len(r[4]) // 4 for r in rows)
-                yield from _sorted_counts(now, max_words, min_count if whole else 1)
+            nonlocal held, size, open_lead
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            firsts = _changes(rows)
+            key = lambda at: tuple(rows[c][int(at)].as_py() for c in ("lang", "lead", "part"))
+            begun = (firsts[1] if len(firsts) > 1 else rows.num_rows) if key(0) == open_lead else 0
+            yield from _sorted_counts(rows.slice(0, begun), max_words, 1)
+            done = rows.num_rows if last else max(begun, int(firsts[-1]))
+            yield from _sorted_counts(rows.slice(begun, done - begun), max_words, min_count)
+            rest = rows.slice(done)
+            size = len(_content(rest["weights"])[0]) // 4
+            if size >= block_words:
+                open_lead = key(done)
+                yield from _sorted_counts(rest, max_words, 1)
+            held, size = ([rest], size) if 0 < size < block_words else ([], 0)
 
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                rows.append(row)
-                held += len(row[4]) // 4
-                if held >= block_words:
+            if batch.num_rows:
+                held.append(batch)
+                size += len(_content(batch.column(5))[0]) // 4
+                if size >= block_words:
                     yield from settle(False)
-        yield from settle(True)
+        if held:
+            yield from settle(True)
 
     return routed.mapInArrow(run, "lang string, words int, phrase string, a bigint")
 
@@ -302,8 +365,10 @@ def phrase_counts(docs: DataFrame, *, text: str = "text", lang: str = "lang", ma
     totals = survey.filter("words = 0")
     every = totals.agg(F.sum("a")).first()[0] or 0
     # At most HOT_SHARE words and as many pairs reach the bound.
-    hot = [tuple(r["phrase"].encode().split(b" ")) for r in survey.filter((F.col("words") > 0) & (F.col("a") * HOT_SHARE >= every)).select("phrase").collect()]
-    routed = _routed(named, hot, max_words, block_words).repartition("lang", "lead").sortWithinPartitions("lang", "lead")
+    common = survey.filter((F.col("words") > 0) & (F.col("a") * HOT_SHARE >= every)).select("phrase", "a").collect()
+    hot = {tuple(r["phrase"].encode().split(b" ")): -(-r["a"] * HOT_SHARE // every) for r in common}
+    key = ["lang", "lead", "part"]
+    routed = _routed(named, hot, max_words, block_words).repartition(*key).sortWithinPartitions(*key)
     counted = _counted(routed, max_words, min_count, block_words).groupBy("lang", "words", "phrase").agg(F.sum("a").alias("a"))
     return counted.filter(F.col("a") >= min_count).unionByName(totals.select("lang", "words", "phrase", "a"))
 
