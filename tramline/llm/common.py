@@ -5,8 +5,11 @@ from __future__ import annotations
 import sys
 import types as _types
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tramline.session import new_folder
 
@@ -52,6 +55,56 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``stored`` whose last reader has run."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(df: DataFrame, name: str = "row") -> DataFrame:
+    """``df`` with a number per row that is the same whenever the rows are read again.
+
+    Rows of Parquet files are told by their file and their place in it, however the files are
+    split into tasks; only the files' names are written.  A frame that is no whole file table
+    is written with its numbers.
+    """
+    try:
+        place = {"__file": F.col("_metadata.file_path"), "__at": F.col("_metadata.row_index")}
+        placed = df.select("*", *[c.alias(n) for n, c in place.items()])
+        if "_metadata" in (c.lower() for c in df.columns):
+            raise ValueError
+    except (AnalysisException, ValueError):
+        return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    at = F.col("__at").cast("decimal(19,0)")
+    files = placed.groupBy("__file").agg(F.count("*").alias("n"), F.max("__at").alias("last"), F.sum(at).alias("sum"), F.sum(at * at).alias("squares"))
+    n = F.col("n").cast("decimal(12,0)")
+    # Every row of the file is there, once.
+    whole = (F.col("last") + 1 == F.col("n")) & (F.col("sum") * 2 == n * (n - 1)) & (F.col("squares") * 6 == n * (n - 1) * (2 * n - 1))
+    named = files.select("__file", F.coalesce(whole, F.lit(False)).alias("whole"), F.row_number().over(W.orderBy("__file")).cast("bigint").alias("__number"))
+    named = stored(named, "files")
+    if not named.filter("not whole").isEmpty():
+        return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    number = F.shiftleft("__number", 40).bitwiseOR(F.col("__at"))
+    # One row a file: what the driver lists anyway to plan the scan.
+    return placed.join(F.broadcast(named.select("__file", "__number")), "__file").select(*[F.col(f"`{c}`") for c in df.columns], number.alias(name))
+
+
+#: Documents without an id come first.
+NO_ID = -(1 << 63)
+
+
+def in_order(df: DataFrame, doc_id: str = "id", name: str = "doc") -> DataFrame:
+    """``df`` with a number that sorts like the id: a whole number is its own, others are ranked."""
+    if isinstance(df.schema[doc_id].dataType, T.IntegralType):
+        return df.withColumn(name, F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)))
+    ids = df.select(F.col(doc_id).alias("__id")).filter("__id is not null").distinct().orderBy("__id")
+    ranked = stored(ids.select("__id", F.monotonically_increasing_id().alias("__rank")), "ids")
+    return df.join(ranked, F.col(doc_id) == F.col("__id"), "left").withColumn(name, F.coalesce("__rank", F.lit(NO_ID))).drop("__id", "__rank")
+
+
 BLOCK = 64
 
 

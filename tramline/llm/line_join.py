@@ -17,9 +17,9 @@ is held against the nearest earlier ones only, and lines not settled by those me
 others in a join that adaptive execution can split.  Only lines with a candidate that the
 sketch lets through cross the network for verification.
 
-Defined cases: lines without a word are no lines and stay; a null text stays null; documents
-without an id come first; rows with equal ids are ordered by line, then by their place in
-the input, which must be stable under rereading (files); an empty table gives no rows;
+Defined cases: lines without a word are no lines and stay; a null text stays null; ids sort by
+their own type, documents without one come first; rows with equal ids are ordered by line,
+then by their files and places in them; an empty table gives no rows;
 other columns stay.
 """
 
@@ -34,8 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tramline.llm.common import let, stored, text_or_empty, utf8, worker_store
-from tramline.llm.suffixes import _order, mix
+from tramline.llm.common import discard, in_order, let, numbered, stored, text_or_empty, utf8, worker_store
+from tramline.llm.suffixes import mix
 
 BUCKET_BITS = 23
 #: Documents to look up are told by a table of at most 2 ** 22 hash buckets, which is broadcast.
@@ -346,8 +346,7 @@ def removed_lines(texts: DataFrame, similarity: Fraction) -> DataFrame:
 
 def find_repeated_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", similarity: Fraction = SIMILAR) -> DataFrame:
     """Per document: id, ``n_lines`` (lines with a word) and the numbers of the ``removed`` ones."""
-    # Written once: made anew in a later job, the numbers could be others.
-    texts = stored(docs.select(F.col(doc_id).alias("id"), _order(F.col(doc_id)).alias("doc"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row")), "numbered")
+    texts = in_order(numbered(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))))
     gone = _gone(texts.select("doc", "row", "text"), similarity)
     filled = F.size(F.filter(F.split(text_or_empty("text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     counted = texts.select(F.col("id").alias(doc_id), "row", filled.cast("bigint").alias("n_lines"))
@@ -361,8 +360,8 @@ def _gone(texts: DataFrame, similarity: Fraction) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", similarity: Fraction = SIMILAR) -> DataFrame:
     """All documents without the lines that an earlier one resembles; all columns stay."""
-    carried = stored(docs.select(F.struct("*").alias("record"), F.monotonically_increasing_id().alias("row")), "numbered")
-    texts = carried.select(_order(F.col(f"record.`{doc_id}`")).alias("doc"), "row", F.col(f"record.`{text}`").alias("text"))
+    carried = numbered(docs.select(F.struct("*").alias("record")))
+    texts = in_order(carried.select(F.col(f"record.`{doc_id}`").alias("id"), "row", F.col(f"record.`{text}`").alias("text")))
     gone = stored(_gone(texts, similarity), "gone_lines")
     bucket = F.pmod(F.xxhash64("row"), F.lit(LOOKUP_BUCKETS))
     buckets = F.broadcast(gone.select(bucket.alias("bucket")).distinct())

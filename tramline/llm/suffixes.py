@@ -21,8 +21,9 @@ block of a task meet there already (a hot passage sends one row per block), the
 crosses once (two joins share the exchange), open cases send their runs of about 135 bytes.
 A unit with more than ``hot`` open runs is spread by window instead.  Names have 64 bits.
 
-Defined cases: a null text is empty; documents without an id come first; rows with equal
-ids follow the order of the input as it was numbered and written;
+Defined cases: a null text is empty; ids sort by their own type, documents without one come
+first; rows with equal ids follow their files and their places in them (a frame that is not read
+from files: as it was numbered and written);
 an empty table gives no rows; other columns are dropped.
 """
 
@@ -36,14 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tramline.llm.common import stored, utf8, worker_store
+from tramline.llm.common import in_order, numbered, utf8, worker_store
 from tramline.session import materialise
 
 BASE = 0x9E3779B97F4A7C15
 SEGMENT = 1 << 19
 BLOCK_ROWS = 1 << 19
 PLACE_BITS = 7
-NO_ID = -(1 << 63)
 
 
 def _tables() -> tuple:
@@ -156,7 +156,7 @@ def _repeats(found: DataFrame, texts: DataFrame, length: int, hot: int) -> DataF
     open_runs = found.filter("open")
     large = materialise(open_runs.groupBy("unit").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("unit"))
     pieces = open_runs.select("row", "unit", "place").join(texts, "row").select(
-        "unit", _order(F.col("id")).alias("doc"), "row", "place", F.substring(F.col("text"), (first + 1).cast("int"), (more + length).cast("int")).alias("piece"))
+        "unit", "doc", "row", "place", F.substring(F.col("text"), (first + 1).cast("int"), (more + length).cast("int")).alias("piece"))
     ordered = pieces.join(large, "unit", "left_anti") if not large.isEmpty() else pieces
     compared = ordered.repartition("unit").sortWithinPartitions("unit", "doc", "row", "place").select("unit", "row", "place", "piece").mapInArrow(
         _compare(length), "row bigint, start bigint, end bigint")
@@ -169,10 +169,6 @@ def _repeats(found: DataFrame, texts: DataFrame, length: int, hot: int) -> DataF
     return compared.unionByName(spread)
 
 
-def _order(doc_id):
-    return F.coalesce(doc_id.cast("bigint"), F.lit(NO_ID))
-
-
 def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     out: list[list[int]] = []
     for start, end in sorted(spans):
@@ -198,10 +194,8 @@ def _settle(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
 
 def without_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", length: int = 100, unit: int = 32, hot: int = 2_000) -> DataFrame:
     """Per document: id, ``n_bytes``, removed ``spans`` in bytes (null where none) and the ``kept`` bytes."""
-    # Written once: made anew in a later job, the numbers could be others.
-    texts = stored(docs.select(F.col(doc_id).alias("id"), utf8(text).alias("text")).withColumn("row", F.monotonically_increasing_id()), "numbered")
-    named = texts.select(_order(F.col("id")).alias("doc"), "row", "text")
-    triples = named.mapInArrow(_sampler(length, unit), "unit bigint, run bigint, doc bigint, row bigint, place bigint, again boolean")
+    texts = in_order(numbered(docs.select(F.col(doc_id).alias("id"), utf8(text).alias("text"))))
+    triples = texts.select("doc", "row", "text").mapInArrow(_sampler(length, unit), "unit bigint, run bigint, doc bigint, row bigint, place bigint, again boolean")
     order = W.partitionBy("unit").orderBy("run", "doc", "row", "place")
     whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     sorted_triples = triples.repartition("unit").select(
