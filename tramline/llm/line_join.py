@@ -44,6 +44,8 @@ HOT = 1024
 LEADERS = 2
 MEETING_ROWS = 1 << 16
 SKETCH = [f"bits_{i}" for i in range(4)]
+#: Up to this many words the halves of a sketch are folded, which leaves two numbers of zeros to send.
+SHORT = 100
 GROUP_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 SIMILAR = Fraction(4, 5)
@@ -138,6 +140,9 @@ def _line_sets(counts, similarity: Fraction):
         bit = np.uint64(1) << (hashes & np.uint64(63))
         part = (hashes >> np.uint64(6)) & np.uint64(len(SKETCH) - 1)
         sketch = [np.bitwise_xor.reduceat(np.where(part == i, bit, np.uint64(0)), first).astype(np.int64) if len(first) else name.astype(np.int64) for i in range(len(SKETCH))]
+        for i in (0, 1):
+            sketch[i] = np.where(size <= SHORT, sketch[i] ^ sketch[i + 2], sketch[i])
+            sketch[i + 2] = np.where(size <= SHORT, 0, sketch[i + 2])
         owner = np.searchsorted(ends, line[first], side="right")
         # Sets of up to three words are similar to equal ones only.
         take = np.where(size > 3, prefix_size(size, similarity), 0)
@@ -227,7 +232,10 @@ def _meet(similarity: Fraction):
                 # If this is the first word they share, no more are shared than go on from here in both.
                 near = np.flatnonzero((needed <= np.minimum(rest[active], rest[other])) & ((row[active] != row[other]) | (line[active] != line[other])))
                 one, two = active[near], other[near]
-                fits = sum(np.bitwise_count(x[one] ^ x[two]).astype(np.int64) for x in sketch) <= (both - 2 * needed)[near]
+                differ = [x[one] ^ x[two] for x in sketch]
+                folded = sum(np.bitwise_count(differ[i] ^ differ[i + 2]).astype(np.int64) for i in (0, 1))
+                whole = sum(np.bitwise_count(x).astype(np.int64) for x in differ)
+                fits = np.where((size[one] <= SHORT) == (size[two] <= SHORT), whole, folded) <= (both - 2 * needed)[near]
                 one, two = one[fits], two[fits]
                 later.append(one)
                 earlier.append(two)
@@ -278,7 +286,10 @@ def _alike(similarity: Fraction) -> Column:
     """Whether sizes and whole sketches of two lines leave it open that they are similar."""
     both = F.col("size") + F.col("size_b")
     needed = F.ceil(both * similarity.numerator / (similarity.numerator + similarity.denominator))
-    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in SKETCH), F.lit(0))
+    parts = [F.col(c).bitwiseXOR(F.col(f"{c}_b")) for c in SKETCH]
+    folded = F.bit_count(parts[0].bitwiseXOR(parts[2])) + F.bit_count(parts[1].bitwiseXOR(parts[3]))
+    same_kind = (F.col("size") <= SHORT) == (F.col("size_b") <= SHORT)
+    differ = F.when(same_kind, sum((F.bit_count(p) for p in parts), F.lit(0))).otherwise(folded)
     return (needed <= F.least("size", "size_b")) & (differ <= both - 2 * needed)
 
 
@@ -287,7 +298,7 @@ def _second(df: DataFrame, *shared: str) -> DataFrame:
 
 
 def _verified(likely: DataFrame, texts: DataFrame, similarity: Fraction) -> DataFrame:
-    """``row, line`` of lines of which an earlier one is similar; ``likely`` are pairs ``row, line, row_b, line_b``."""
+    """``row, line`` of lines of which an earlier one is similar; ``likely`` are stored pairs ``row, line, row_b, line_b``, deleted here."""
     asked = likely.select("row", "line").unionByName(likely.select(F.col("row_b").alias("row"), F.col("line_b").alias("line")))
     of_row, of_line = (F.pmod(F.xxhash64(*c), F.lit(LOOKUP_BUCKETS)) for c in (["row"], ["row", "line"]))
 
@@ -299,7 +310,9 @@ def _verified(likely: DataFrame, texts: DataFrame, similarity: Fraction) -> Data
     lines = among(texts.select("row", "text"), of_row).select("row", F.posexplode(F.split(text_or_empty("text"), "\n")).alias("line", "said"))
     said = stored(among(lines, of_line).withColumn("said", F.col("said").cast("binary")), "asked_lines")
     both = likely.join(said, ["row", "line"]).join(_second(said), ["row_b", "line_b"]).select("row", "line", "said", "said_b")
-    return both.mapInArrow(_similar(similarity), "row bigint, line int").distinct()
+    right = stored(both.mapInArrow(_similar(similarity), "row bigint, line int").distinct(), "similar")
+    discard(likely, said)
+    return right
 
 
 def removed_lines(texts: DataFrame, similarity: Fraction) -> DataFrame:
@@ -324,9 +337,10 @@ def removed_lines(texts: DataFrame, similarity: Fraction) -> DataFrame:
     met = stored(sorted_entries.mapInArrow(_meet(similarity), MEETINGS), "meetings")
     pair = ["row", "line", "row_b", "line_b"]
     pairs = stored(met.filter("word is null").select(*pair).distinct(), "pairs")
-    close = stored(_verified(pairs, texts, similarity), "close")
+    close = _verified(pairs, texts, similarity)
     # Not all partners of these lines were looked at, at these words.
     late_places = stored(met.filter("word is not null").select("row", "line", "word").join(close, ["row", "line"], "left_anti"), "late_places")
+    discard(met)
     if not late_places.isEmpty():
         bucket = F.pmod(F.xxhash64("word"), F.lit(LOOKUP_BUCKETS))
         asked = late_places.select(bucket.alias("bucket")).distinct()
