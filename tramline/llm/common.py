@@ -92,6 +92,24 @@ def numbered(df: DataFrame, name: str = "row") -> DataFrame:
     return placed.join(F.broadcast(named.select("__file", "__number")), "__file").select(*[F.col(f"`{c}`") for c in df.columns], number.alias(name))
 
 
+#: Bits of a table of asked keys; with 32,768 in a row, 2,048 rows and 8 MB at most.
+KEY_BITS, ROW_BITS = 1 << 26, 1 << 15
+
+
+def flagged(df: DataFrame, asked: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``df`` with a flag: false where its ``keys`` are not among ``asked``, true where they are or share a bit.
+
+    The bit table is broadcast and has a fixed size, whatever is asked.
+    """
+    position = F.pmod(F.xxhash64(*keys), F.lit(KEY_BITS))
+    row, bit = F.floor(position / ROW_BITS).cast("int"), (position % ROW_BITS)
+    bits = asked.select(row.alias("__row"), bit.alias("__bit")).repartition("__row").groupBy("__row").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    placed = df.select("*", row.alias("__row"), bit.alias("__bit")).join(F.broadcast(bits), "__row", "left")
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    told = F.expr("1 << cast(__bit % 8 as int)").bitwiseAND(byte) != 0
+    return placed.withColumn(name, F.coalesce(told, F.lit(False))).drop("__row", "__bit", "__bits")
+
+
 #: Documents without an id come first.
 NO_ID = -(1 << 63)
 

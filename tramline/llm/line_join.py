@@ -34,12 +34,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tramline.llm.common import discard, in_order, let, numbered, stored, text_or_empty, utf8, worker_store
+from tramline.llm.common import discard, flagged, in_order, let, numbered, stored, text_or_empty, utf8, worker_store
 from tramline.llm.suffixes import mix
 
 BUCKET_BITS = 23
-#: Documents to look up are told by a table of at most 2 ** 22 hash buckets, which is broadcast.
-LOOKUP_BUCKETS = 1 << 22
 HOT = 1024
 LEADERS = 2
 MEETING_ROWS = 1 << 16
@@ -300,15 +298,11 @@ def _second(df: DataFrame, *shared: str) -> DataFrame:
 def _verified(likely: DataFrame, texts: DataFrame, similarity: Fraction) -> DataFrame:
     """``row, line`` of lines of which an earlier one is similar; ``likely`` are stored pairs ``row, line, row_b, line_b``, deleted here."""
     asked = likely.select("row", "line").unionByName(likely.select(F.col("row_b").alias("row"), F.col("line_b").alias("line")))
-    of_row, of_line = (F.pmod(F.xxhash64(*c), F.lit(LOOKUP_BUCKETS)) for c in (["row"], ["row", "line"]))
-
-    def among(df: DataFrame, bucket) -> DataFrame:
-        """Rows whose bucket is asked for; what gets through by chance finds no partner."""
-        wanted = F.broadcast(asked.select(bucket.alias("bucket")).distinct())
-        return df.withColumn("bucket", bucket).join(wanted, "bucket", "left_semi").drop("bucket")
-
-    lines = among(texts.select("row", "text"), of_row).select("row", F.posexplode(F.split(text_or_empty("text"), "\n")).alias("line", "said"))
-    said = stored(among(lines, of_line).withColumn("said", F.col("said").cast("binary")), "asked_lines")
+    # What gets through by chance finds no partner.
+    asked_rows = flagged(texts.select("row", "text"), asked, ["row"], "asked").filter("asked")
+    lines = asked_rows.select("row", F.posexplode(F.split(text_or_empty("text"), "\n")).alias("line", "said"))
+    said = flagged(lines, asked, ["row", "line"], "asked").filter("asked")
+    said = stored(said.select("row", "line", F.col("said").cast("binary")), "asked_lines")
     both = likely.join(said, ["row", "line"]).join(_second(said), ["row_b", "line_b"]).select("row", "line", "said", "said_b")
     right = stored(both.mapInArrow(_similar(similarity), "row bigint, line int").distinct(), "similar")
     discard(likely, said)
@@ -342,13 +336,9 @@ def removed_lines(texts: DataFrame, similarity: Fraction) -> DataFrame:
     late_places = stored(met.filter("word is not null").select("row", "line", "word").join(close, ["row", "line"], "left_anti"), "late_places")
     discard(met)
     if not late_places.isEmpty():
-        bucket = F.pmod(F.xxhash64("word"), F.lit(LOOKUP_BUCKETS))
-        asked = late_places.select(bucket.alias("bucket")).distinct()
-        hot = entries.withColumn("bucket", bucket).join(F.broadcast(asked), "bucket", "left_semi").drop("bucket")
+        hot = flagged(entries, late_places, ["word"], "asked").filter("asked").drop("asked")
         # Only the lines asked for cross the network to learn their size and sketch.
-        of_place = F.pmod(F.xxhash64("row", "line", "word"), F.lit(LOOKUP_BUCKETS))
-        places = F.broadcast(late_places.select(of_place.alias("bucket")).distinct())
-        late = entries.withColumn("bucket", of_place).join(places, "bucket", "left_semi").drop("bucket").join(late_places, ["row", "line", "word"], "left_semi")
+        late = flagged(entries, late_places, ["row", "line", "word"], "asked").filter("asked").drop("asked").join(late_places, ["row", "line", "word"], "left_semi")
         before = F.struct("doc_b", "line_b", "row_b") < F.struct("doc", "line", "row")
         rest = F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b"))
         both = F.col("size") + F.col("size_b")
@@ -377,15 +367,13 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     carried = numbered(docs.select(F.struct("*").alias("record")))
     texts = in_order(carried.select(F.col(f"record.`{doc_id}`").alias("id"), "row", F.col(f"record.`{text}`").alias("text")))
     gone = stored(_gone(texts, similarity), "gone_lines")
-    bucket = F.pmod(F.xxhash64("row"), F.lit(LOOKUP_BUCKETS))
-    buckets = F.broadcast(gone.select(bucket.alias("bucket")).distinct())
-    told = carried.withColumn("bucket", bucket)
+    told = flagged(carried, gone, ["row"], "loses")
     # Documents that lose nothing stay where they are.
-    joined = told.join(buckets, "bucket", "left_semi").join(gone, "row", "left")
+    joined = told.filter("loses").join(gone, "row", "left")
     value = F.col(f"record.`{text}`")
     rest = let(F.split(value, "\n"), lambda x: F.array_join(
         F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("removed")), lambda i: F.get(x, i)), "\n"))
     cut = F.when(F.col("removed").isNotNull(), rest).otherwise(value)
     changed = joined.select(*[(cut if c == text else F.col(f"record.`{c}`")).alias(c) for c in docs.columns])
-    whole = told.join(buckets, "bucket", "left_anti").select(*[F.col(f"record.`{c}`").alias(c) for c in docs.columns])
+    whole = told.filter("not loses").select(*[F.col(f"record.`{c}`").alias(c) for c in docs.columns])
     return changed.unionByName(whole)

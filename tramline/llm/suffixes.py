@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tramline.llm.common import in_order, numbered, utf8, worker_store
+from tramline.llm.common import in_order, numbered, stored, utf8, worker_store
 from tramline.session import materialise
 
 BASE = 0x9E3779B97F4A7C15
@@ -202,7 +202,7 @@ def without_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
         "unit", "doc", "row", "place", "again", F.lag("run").over(order).eqNullSafe(F.col("run")).alias("same"),
         (F.first("run").over(whole) != F.last("run").over(whole)).alias("several"))
     marked = F.col("again") | F.col("same")
-    found = materialise(sorted_triples.filter(marked | F.col("several")).select("unit", "doc", "row", "place", (~marked).alias("open")))
+    found = stored(sorted_triples.filter(marked | F.col("several")).select("unit", "doc", "row", "place", (~marked).alias("open")), "triples")
     first = F.shiftright("place", PLACE_BITS)
     direct = found.filter("not open").select(
         "row", first.alias("start"), (first + F.col("place").bitwiseAND((1 << PLACE_BITS) - 1) + length).alias("end"))
