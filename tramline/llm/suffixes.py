@@ -155,7 +155,8 @@ def _repeats(found: DataFrame, texts: DataFrame, length: int, hot: int) -> DataF
     first, more = F.shiftright("place", PLACE_BITS), F.col("place").bitwiseAND((1 << PLACE_BITS) - 1)
     open_runs = found.filter("open")
     large = materialise(open_runs.groupBy("unit").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("unit"))
-    pieces = open_runs.select("row", "unit", "place").join(texts, "row").select(
+    # The id is asked for here as in the last join, which lets both share one shuffle of the texts.
+    pieces = in_order(open_runs.select("row", "unit", "place").join(texts, "row")).select(
         "unit", "doc", "row", "place", F.substring(F.col("text"), (first + 1).cast("int"), (more + length).cast("int")).alias("piece"))
     ordered = pieces.join(large, "unit", "left_anti") if not large.isEmpty() else pieces
     compared = ordered.repartition("unit").sortWithinPartitions("unit", "doc", "row", "place").select("unit", "row", "place", "piece").mapInArrow(
@@ -194,8 +195,8 @@ def _settle(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
 
 def without_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", length: int = 100, unit: int = 32, hot: int = 2_000) -> DataFrame:
     """Per document: id, ``n_bytes``, removed ``spans`` in bytes (null where none) and the ``kept`` bytes."""
-    texts = in_order(numbered(docs.select(F.col(doc_id).alias("id"), utf8(text).alias("text"))))
-    triples = texts.select("doc", "row", "text").mapInArrow(_sampler(length, unit), "unit bigint, run bigint, doc bigint, row bigint, place bigint, again boolean")
+    texts = numbered(docs.select(F.col(doc_id).alias("id"), utf8(text).alias("text")))
+    triples = in_order(texts).select("doc", "row", "text").mapInArrow(_sampler(length, unit), "unit bigint, run bigint, doc bigint, row bigint, place bigint, again boolean")
     order = W.partitionBy("unit").orderBy("run", "doc", "row", "place")
     whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     sorted_triples = triples.repartition("unit").select(
