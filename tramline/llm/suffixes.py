@@ -17,8 +17,8 @@ takes 3 % of all positions where periodic covers take 12 to 67 %.
 Order is (``doc_id``, row, place); matches never cross documents.
 
 Scale: one row of five numbers per 34 bytes crosses the network, once.  Equal triples in a
-block of a task meet there already (a hot passage sends one row per block), the text
-crosses once (two joins share the exchange), open cases send their runs of about 135 bytes.
+block of a task meet there already (a hot passage sends one row per block).  Texts cross only
+where they have open cases, which send their runs of about 135 bytes, or lose something.
 A unit with more than ``hot`` open runs is spread by window instead.  Names have 64 bits.
 
 Defined cases: a null text is empty; ids sort by their own type, documents without one come
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tramline.llm.common import in_order, numbered, stored, utf8, worker_store
+from tramline.llm.common import flagged, in_order, numbered, stored, utf8, worker_store
 from tramline.session import materialise
 
 BASE = 0x9E3779B97F4A7C15
@@ -155,8 +155,8 @@ def _repeats(found: DataFrame, texts: DataFrame, length: int, hot: int) -> DataF
     first, more = F.shiftright("place", PLACE_BITS), F.col("place").bitwiseAND((1 << PLACE_BITS) - 1)
     open_runs = found.filter("open")
     large = materialise(open_runs.groupBy("unit").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("unit"))
-    # The id is asked for here as in the last join, which lets both share one shuffle of the texts.
-    pieces = in_order(open_runs.select("row", "unit", "place").join(texts, "row")).select(
+    with_open = flagged(texts, open_runs, ["row"], "asked").filter("asked")
+    pieces = in_order(open_runs.select("row", "unit", "place").join(with_open, "row")).select(
         "unit", "doc", "row", "place", F.substring(F.col("text"), (first + 1).cast("int"), (more + length).cast("int")).alias("piece"))
     ordered = pieces.join(large, "unit", "left_anti") if not large.isEmpty() else pieces
     compared = ordered.repartition("unit").sortWithinPartitions("unit", "doc", "row", "place").select("unit", "row", "place", "piece").mapInArrow(
@@ -207,10 +207,13 @@ def without_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     first = F.shiftright("place", PLACE_BITS)
     direct = found.filter("not open").select(
         "row", first.alias("start"), (first + F.col("place").bitwiseAND((1 << PLACE_BITS) - 1) + length).alias("end"))
-    # Both joins below ask for the same columns by the same key, so the texts cross once.
-    marks = direct.unionByName(_repeats(found, texts, length, hot))
+    marks = stored(direct.unionByName(_repeats(found, texts, length, hot)), "marks")
     per_doc = marks.groupBy("row").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    joined = texts.join(per_doc, "row", "left")
+    # Documents that lose nothing stay where they are.
+    told = flagged(texts, marks, ["row"], "loses")
+    none = F.lit(None).cast("array<bigint>")
+    joined = told.filter("loses").join(per_doc, "row", "left").select("id", "text", "starts", "ends").unionByName(
+        told.filter("not loses").select("id", "text", none.alias("starts"), none.alias("ends")))
     settle = F.arrow_udf(_settle, "struct<spans:array<struct<start:bigint,end:bigint>>,kept:binary>")
     settled = joined.withColumn("cut", settle(F.when(F.col("starts").isNotNull(), F.col("text")), "starts", "ends"))
     return settled.select(
