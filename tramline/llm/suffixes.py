@@ -44,6 +44,7 @@ BASE = 0x9E3779B97F4A7C15
 SEGMENT = 1 << 19
 BLOCK_ROWS = 1 << 19
 PLACE_BITS = 7
+CUT = "struct<spans:array<struct<start:bigint,end:bigint>>,kept:binary>"
 
 
 def _tables() -> tuple:
@@ -211,11 +212,9 @@ def without_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     per_doc = marks.groupBy("row").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     # Documents that lose nothing stay where they are.
     told = flagged(texts, marks, ["row"], "loses")
-    none = F.lit(None).cast("array<bigint>")
-    joined = told.filter("loses").join(per_doc, "row", "left").select("id", "text", "starts", "ends").unionByName(
-        told.filter("not loses").select("id", "text", none.alias("starts"), none.alias("ends")))
-    settle = F.arrow_udf(_settle, "struct<spans:array<struct<start:bigint,end:bigint>>,kept:binary>")
-    settled = joined.withColumn("cut", settle(F.when(F.col("starts").isNotNull(), F.col("text")), "starts", "ends"))
+    settle = F.arrow_udf(_settle, CUT)
+    cut = told.filter("loses").join(per_doc, "row", "left").select("id", "text", settle(F.when(F.col("starts").isNotNull(), F.col("text")), "starts", "ends").alias("cut"))
+    settled = cut.unionByName(told.filter("not loses").select("id", "text", F.lit(None).cast(CUT).alias("cut")))
     return settled.select(
         F.col("id").alias(doc_id), F.octet_length("text").cast("bigint").alias("n_bytes"), F.col("cut.spans").alias("spans"),
         F.coalesce("cut.kept", "text").alias("kept"))
