@@ -41,10 +41,40 @@ def test_exact_when_the_sketch_is_useless(spark, monkeypatch):
     """With a tiny sketch and no margin the ranks fall outside the bracket and are still found."""
     monkeypatch.setattr(quantiles, "SKETCH_SIZE", 8)
     monkeypatch.setattr(quantiles, "RANK_MARGIN", 0.0)
-    monkeypatch.setattr(quantiles, "SUB_RANGES", 3)
+    monkeypatch.setattr(quantiles, "ENOUGH", 20)
+    monkeypatch.setattr(quantiles.group_quantiles, "__defaults__", (20,))
     check(spark, list(np.random.default_rng(1).normal(0, 1, 2000)))
 
 
+@pytest.mark.parametrize("values", [
+    [0.0] * 500 + [1.0] * 500,
+    [0.0] * 600 + list(range(1, 400)),
+    [5.0] * 1000,
+    list(np.random.default_rng(2).lognormal(0, 8, 3000)),
+    [*np.random.default_rng(3).integers(0, 3, 3000), float("inf"), float("-inf"), float("inf")],
+], ids=["two", "heavy", "equal", "long tail", "few"])
+def test_rounds_end_in_small_brackets(spark, values, monkeypatch):
+    """Whatever the distribution, no more than ``enough`` different values are sorted at the end."""
+    enough, seen = 50, []
+    picked = quantiles._picked
+
+    def watched(rows, targets, keys):
+        distinct = rows.join(targets, keys).filter("value > lo and value < hi").groupBy(*keys, "p").agg({"value": "count"}).collect()
+        seen.extend(r[2] for r in distinct)
+        return picked(rows, targets, keys)
+
+    monkeypatch.setattr(quantiles, "_picked", watched)
+    rows = spark.createDataFrame([("a", float(v)) for v in values] + [("b", 1.0), ("b", 2.0), ("c", None)], "k string, value double")
+    found = {(r.k, r.p): r.value for r in quantiles.group_quantiles(rows, ["k"], PROBS, enough).collect()}
+    assert max(seen, default=0) <= enough
+    for p in PROBS:
+        lower = np.sort(np.array(values, float))[int(np.floor(p * (len(values) - 1)))]
+        exact = np.quantile(np.array(values, float), p) if np.isfinite(values).all() else lower
+        assert found["a", p] == pytest.approx(exact, rel=1e-12) or not np.isfinite(values).all() and found["a", p] >= lower
+        assert found["b", p] == pytest.approx(1 + p)
+    assert ("c", 0.5) not in found
+
+
 def test_several_columns_and_empty(spark):
     df = spark.range(1, 101).selectExpr("cast(id as int) a", "cast(null as double) b")
     rows = exact_quantiles(df, ["a", "b"], [0.5]).collect()

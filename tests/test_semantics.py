@@ -305,7 +305,8 @@ def test_question_templates(spark):
     stations = spark.createDataFrame([(i, f"S{i}", "Accra", None) for i in range(40)], "id long, name string, gtfs_source string, station_address string")
     lines = spark.createDataFrame([(1, "R1", "A to B", "Accra")], "id long, short_name string, long_name string, source string")
     made = corpus.generate_questions(stations, lines, vehicle="shared taxi")
-    assert made.filter("type = 'station_info'").count() == 8 * 30
+    assert made.filter("type = 'station_info'").count() == 8 * 40
+    assert corpus.generate_questions(stations, lines, limit=30).filter("type = 'station_info'").count() == 8 * 30
     assert made.filter("type = 'route_info'").count() == 5
     trips = made.filter("type = 'trip_planning'")
     assert 0 < trips.count() <= 250 and trips.count() % 5 == 0
