@@ -157,3 +157,23 @@ def test_results(spark, tmp_path):
     for _ in range(2):
         files.write_run_summary(runs, str(tmp_path / "runs"))
     assert spark.read.json(str(tmp_path / "runs")).count() == 2
+
+
+def test_whole_files_are_judged(spark, tmp_path):
+    """A wider line far down, a data line like the header, missing words, quoted line ends, names twice or with a dot."""
+    root = str(tmp_path / "raw")
+    write(root, "A/wide.csv", "a,b\n" + "1,2\n" * 60 + "1,2,3\n")
+    write(root, "A/semi.csv", "a;b\n" + "1;2,5\n" * 60 + "1;2,3,4\n")
+    write(root, "A/same.txt", "name fare\nname fare\nx 1\n")
+    write(root, "A/lines.csv", 'id,note\n1,"two\nlines, here"\n2,plain\n')
+    write(root, "B/words.csv", "fare,fare,x.y\nNA,1,NULL\n2,n/a,v\n3,,None\n")
+    found = {r.source_file: (r.separator, r.multiline) for r in files.scan_layouts(spark, root).collect()}
+    assert found == {"wide.csv": (None, False), "semi.csv": (";", False), "same.txt": (r"\s+", False), "lines.csv": (",", True), "words.csv": (",", False)}
+    rows = {(r.source_file, tuple((c.name, c.value) for c in r.cells)) for r in files.read_cells(spark, root).collect()}
+    assert {r for f, r in rows if f == "same.txt"} == {(("name", "name"), ("fare", "fare")), (("name", "x"), ("fare", "1"))}
+    assert {r for f, r in rows if f == "lines.csv"} == {(("id", "1"), ("note", "two\nlines, here")), (("id", "2"), ("note", "plain"))}
+    assert {r for f, r in rows if f == "words.csv"} == {
+        (("fare", None), ("fare.1", "1"), ("x.y", None)), (("fare", "2"), ("fare.1", None), ("x.y", "v")), (("fare", "3"), ("fare.1", None), ("x.y", None))}
+    typed = files.promote_types(files.read_delimited(spark, f"{root}/B/words.csv"))
+    assert typed.dtypes == [("fare", "bigint"), ("fare.1", "bigint"), ("x.y", "string")]
+    assert files.read_delimited(spark, f"{root}/A/wide.csv") is None

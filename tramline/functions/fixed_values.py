@@ -145,3 +145,10 @@ GENERAL_TEMPLATES = [
 # Keywords in column names that hint at a model target.
 REGRESSION_KEYWORDS = ["fare", "price", "cost", "duration", "time", "distance", "speed"]
 CLASSIFICATION_KEYWORDS = ["route", "destination", "origin", "station", "vehicle_type", "status"]
+
+
+# Cells of a delimited file that mean "missing".
+MISSING_CELLS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN",
+    "None", "n/a", "nan", "null",
+]

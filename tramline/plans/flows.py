@@ -68,7 +68,7 @@ def clean_city_files(
     out per file.
     """
     def clean_one(f) -> tuple | None:
-        tagged = files.read_layout(spark, [f.path], f.separator, f.header)
+        tagged = files.read_layout(spark, [f.path], f.separator, f.header, f.multiline)
         raw = files.promote_types(tagged.drop("city", "source_file"))
         rows_in = raw.count()
         if rows_in == 0:

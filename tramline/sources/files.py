@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.functions.expressions import number_of
+from tramline.functions.fixed_values import MISSING_CELLS
 from tramline.operators.clean import normalise_columns
 from tramline.operators.setops import union_common
 from tramline.schemas import QA_CORPUS
@@ -16,16 +18,75 @@ from tramline.schemas import QA_CORPUS
 # Separators in the order they are tried, whitespace runs last.
 SEPARATORS = [",", "\t", ";", "|"]
 WHITESPACE = r"\s+"
-SAMPLE_LINES = 50
+#: Stands between no columns, so a line is one of them.
+NO_SEPARATOR = "\u0001"
 
 
 # --- delimited files of unknown layout --------------------------------------
 
-def sniff_separator(lines: Sequence[str]) -> str | None:
-    """First separator that gives more than one column and at least one data row.
+def header_names(header: str, sep: str) -> list[str]:
+    """Column names of a header line; repeated names get a number, empty ones their place."""
+    fields = header.split() if sep == WHITESPACE else next(csv.reader([header], delimiter=sep))
+    names: list[str] = []
+    for i, field in enumerate(fields):
+        name, again = field or f"Unnamed: {i}", 0
+        while name in names:
+            again += 1
+            name = f"{field}.{again}"
+        names.append(name)
+    return names
+
+
+def _fields(bare: Column, sep: str) -> Column:
+    """Fields of a line without quoted parts."""
+    if sep == WHITESPACE:
+        return F.size(F.split(F.trim(bare), WHITESPACE))
+    return F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
+
+
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(text, '"[^"]*"', "q")
 
-    A separator does not fit when a sampled row has more fields than the header.
+
+def judge_layouts(spark: SparkSession, paths: str | Sequence[str], unit: Column | None = None) -> DataFrame:
+    """``(path, header, separator, multiline)`` of delimited files, judged by all their lines.
+
+    A separator fits when it splits the header into several columns and no record into more;
+    the first that fits is taken, null if none does or there are no data rows.  All files are
+    judged in two aggregates; only those in which a quoted field goes on over a line end are
+    read once more, whole.  ``unit`` may put several files under one path.
     """
+    place = _decoded(F.col("_metadata.file_path"))
+    lines = spark.read.text(paths).select(
+        "value", (place if unit is None else unit).alias("path"), place.alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"),
+    ).filter(F.trim("value") != "")
+    headers = lines.filter("start = 0").groupBy("path").agg(F.min_by("value", F.struct("file", "at")).alias("header"))
+    every = [*SEPARATORS, WHITESPACE]
+
+    def widest(records: DataFrame) -> DataFrame:
+        bare = _bare(F.col("value"))
+        return records.groupBy("path").agg(F.count("*").alias("records"), *[F.max(_fields(bare, sep)).alias(f"w{i}") for i, sep in enumerate(every)])
+
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    odd = sorted(r.file for r in lines.filter(quotes % 2 == 1).select("file").distinct().collect())
+    judged = widest(lines.filter(~F.col("file").isin(odd)) if odd else lines)
+    if odd:
+        whole = spark.read.text(odd, wholetext=True).select(F.explode(F.split(_bare(F.col("value")), "\r?\n")).alias("value"), (place if unit is None else unit).alias("path"))
+        parts = judged.unionByName(widest(whole.filter(F.trim("value") != "")))
+        judged = parts.groupBy("path").agg(F.sum("records").alias("records"), *[F.max(f"w{i}").alias(f"w{i}") for i in range(len(every))])
+        broken = lines.filter(F.col("file").isin(odd)).select("path").distinct().withColumn("multiline", F.lit(True))
+    else:
+        broken = lines.limit(0).select("path", F.lit(True).alias("multiline"))
+    choice = F.lit(None).cast("string")
+    for i, sep in reversed(list(enumerate(every))):
+        own = _fields(_bare(F.col("header")), sep)
+        choice = F.when((own > 1) & (own == F.col(f"w{i}")), sep).otherwise(choice)
+    return headers.join(judged, "path").join(broken, "path", "left").select(
+        "path", "header", F.when(F.col("records") > 1, choice).alias("separator"), F.coalesce("multiline", F.lit(False)).alias("multiline"))
+
+
+def sniff_separator(lines: Sequence[str]) -> str | None:
+    """First separator that gives more than one column and at least one data row, for lines at hand."""
     lines = [line for line in lines if line.strip()]
     if len(lines) < 2:
         return None
@@ -38,28 +99,26 @@ def sniff_separator(lines: Sequence[str]) -> str | None:
 
 
 def read_delimited(spark: SparkSession, path: str) -> DataFrame | None:
-    """A delimited file of unknown separator as text columns, or nothing if none fits.
-
-    Only the first lines travel to the driver.
-    """
-    sample = [r.value for r in spark.read.text(path).limit(SAMPLE_LINES).collect()]
-    sep = sniff_separator(sample)
-    if sep is None:
+    """A delimited file (or folder of its parts) of unknown separator as text columns, or nothing if none fits."""
+    found = judge_layouts(spark, path, unit=F.lit(path)).first()
+    if found is None or found.separator is None:
         return None
-    if sep != WHITESPACE:
-        return spark.read.csv(path, sep=sep, header=True, quote='"', escape='"')
-    header = next(line for line in sample if line.strip())
-    return _split_blanks(spark.read.text(path), header)
+    return _read(spark, [path], found.separator, found.header, found.multiline)
 
 
-def _split_blanks(lines: DataFrame, header: str, keep: Sequence[str] = ()) -> DataFrame:
-    """Columns of text lines divided by runs of blanks; header and blank lines drop out."""
-    names = header.split()
-    words = F.split(F.trim("value"), WHITESPACE)
-    rows = lines.select(words.alias("w"), *keep).filter(
-        (F.size("w") > 0) & (F.array_join("w", " ") != "") & (F.array_join("w", " ") != " ".join(names))
-    )
-    return rows.select(*[F.get("w", F.lit(i)).alias(n) for i, n in enumerate(names)], *keep)
+def _read(spark: SparkSession, paths: Sequence[str], sep: str, header: str, multiline: bool, *keep: Column) -> DataFrame:
+    """Text columns of files with one header; the first line of each file is dropped, whatever later lines say."""
+    names = header_names(header, sep)
+    if sep == WHITESPACE:
+        lines = spark.read.csv(list(paths), schema="value string", sep=NO_SEPARATOR, header=True, quote="", enforceSchema=True)
+        words = F.split(F.trim("value"), WHITESPACE)
+        rows = lines.filter(F.trim("value") != "").select(*[F.get(words, F.lit(i)).alias(f"c{i}") for i in range(len(names))], *keep)
+    else:
+        schema = ", ".join(f"c{i} string" for i in range(len(names)))
+        rows = spark.read.csv(list(paths), schema=schema, sep=sep, header=True, quote='"', escape='"', multiLine=multiline, enforceSchema=True)
+        rows = rows.select(*[f"c{i}" for i in range(len(names))], *keep)
+    cells = [F.when(~F.col(f"c{i}").isin(MISSING_CELLS), F.col(f"c{i}")).alias(n) for i, n in enumerate(names)]
+    return rows.select(*cells, *[f"`{c}`" for c in rows.columns[len(names):]])
 
 
 def promote_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -70,10 +129,11 @@ def promote_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     columns = [c for c in (columns or df.columns) if dict(df.dtypes)[c] == "string"]
     if not columns:
         return df
+    of = {c: F.col(f"`{c}`") for c in columns}
     checks = [
-        e for c in columns for e in (
-            F.count_if(F.col(c).isNotNull() & F.trim(c).try_cast("long").isNull()),
-            F.count_if(F.col(c).isNotNull() & number_of(c).isNull()),
+        e for c in of.values() for e in (
+            F.count_if(c.isNotNull() & F.trim(c).try_cast("long").isNull()),
+            F.count_if(c.isNotNull() & number_of(c).isNull()),
             F.count(c),
         )
     ]
@@ -82,9 +142,9 @@ def promote_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     for i, c in enumerate(columns):
         not_long, not_double, filled = row[3 * i: 3 * i + 3]
         if filled and not not_long:
-            types[c] = F.trim(c).try_cast("long")
+            types[c] = F.trim(of[c]).try_cast("long")
         elif filled and not not_double:
-            types[c] = number_of(c)
+            types[c] = number_of(of[c])
     return df.withColumns(types) if types else df
 
 
@@ -101,41 +161,13 @@ def _tags(path: Column) -> dict[str, Column]:
 
 
 def scan_layouts(spark: SparkSession, root: str) -> DataFrame:
-    """``(path, city, source_file, header, separator)`` of every ``<root>/<city>/*.txt|csv``.
+    """``(path, city, source_file, header, separator, multiline)`` of every ``<root>/<city>/*.txt|csv``.
 
-    A separator fits when it splits the header into several columns and no line into
-    more; the first that fits is taken, null if none does or there are no data rows.
-    All files are judged in two aggregates.  Files that lie directly in the root
-    (combined outputs) are not listed, so nothing is counted twice.
+    Files that lie directly in the root (combined outputs) are not listed, so nothing is
+    counted twice.
     """
-    lines = (
-        spark.read.text(f"{root.rstrip('/')}/*/*.{{txt,csv}}")
-        .select("value", _decoded(F.col("_metadata.file_path")).alias("path"),
-                F.col("_metadata.file_block_start").alias("start"),
-                F.monotonically_increasing_id().alias("at"))
-        .filter(F.trim("value") != "")
-    )
-    headers = lines.filter("start = 0").groupBy("path").agg(F.min_by("value", "at").alias("header"))
-
-    def fields(text: Column, sep: str) -> Column:
-        if sep == WHITESPACE:
-            return F.size(F.split(F.trim(text), WHITESPACE))
-        bare = F.regexp_replace(text, '"[^"]*"', "")
-        return F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
-
-    every = [*SEPARATORS, WHITESPACE]
-    widest = lines.groupBy("path").agg(
-        F.count("*").alias("lines"),
-        *[F.max(fields(F.col("value"), sep)).alias(f"w{i}") for i, sep in enumerate(every)],
-    )
-    judged = headers.join(widest, "path")
-    choice = F.lit(None).cast("string")
-    for i, sep in reversed(list(enumerate(every))):
-        own = fields(F.col("header"), sep)
-        choice = F.when((own > 1) & (own == F.col(f"w{i}")), sep).otherwise(choice)
-    return judged.select(
-        "path", "header", F.when(F.col("lines") > 1, choice).alias("separator")
-    ).withColumns(_tags(F.col("path"))).select("path", "city", "source_file", "header", "separator")
+    judged = judge_layouts(spark, f"{root.rstrip('/')}/*/*.{{txt,csv}}")
+    return judged.withColumns(_tags(F.col("path"))).select("path", "city", "source_file", "header", "separator", "multiline")
 
 
 def list_cities(spark: SparkSession, root: str) -> DataFrame:
@@ -150,24 +182,32 @@ def read_city_files(spark: SparkSession, root: str) -> list[DataFrame]:
     One frame per layout (separator and header), however many files share it; the
     driver handles paths and headers, never rows.
     """
-    layouts: dict[tuple[str, str], list[str]] = {}
+    layouts: dict[tuple, list[str]] = {}
     for row in scan_layouts(spark, root).filter("separator IS NOT NULL").orderBy("path").collect():
-        layouts.setdefault((row.separator, row.header), []).append(row.path)
-    return [read_layout(spark, paths, sep, header) for (sep, header), paths in layouts.items()]
+        layouts.setdefault((row.separator, row.header, row.multiline), []).append(row.path)
+    return [read_layout(spark, paths, *layout) for layout, paths in layouts.items()]
 
 
-def read_layout(spark: SparkSession, paths: Sequence[str], sep: str, header: str) -> DataFrame:
+def read_layout(spark: SparkSession, paths: Sequence[str], sep: str, header: str, multiline: bool = False) -> DataFrame:
     """Files of one layout as one tagged frame of text columns."""
-    path = _decoded(F.col("_metadata.file_path"))
-    if sep == WHITESPACE:
-        lines = spark.read.text(list(paths)).select("value", path.alias("_path"))
-        df = _split_blanks(lines, header, keep=["_path"])
-    else:
-        raw = spark.read.csv(list(paths), sep=sep, header=True, quote='"', escape='"')
-        df = raw.select("*", path.alias("_path"))
+    df = _read(spark, paths, sep, header, multiline, _decoded(F.col("_metadata.file_path")).alias("_path"))
     return df.withColumns(_tags(F.col("_path"))).drop("_path")
 
 
+def read_cells(spark: SparkSession, root: str) -> DataFrame:
+    """All readable city files as one frame: ``city, source_file, cells`` with names in the files' order.
+
+    Files of any layout fit into it, so that later steps are one plan for all of them.
+    """
+    def cells(df: DataFrame) -> DataFrame:
+        names = [c for c in df.columns if c not in ("city", "source_file")]
+        made = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").alias("value")) for c in names])
+        return df.select("city", "source_file", made.alias("cells"))
+
+    empty = spark.createDataFrame([], "city string, source_file string, cells array<struct<name:string,value:string>>")
+    return reduce(DataFrame.unionByName, map(cells, read_city_files(spark, root)), empty)
+
+
 def combine_cities(frames: Sequence[DataFrame]) -> DataFrame:
     """Stack files on their common columns, or all columns if fewer than three agree."""
     return union_common([normalise_columns(df, collapse=True) for df in frames], 3, outer=True)
