@@ -140,3 +140,42 @@ def test_mixed_types_stack_as_text(spark):
     b = spark.createDataFrame([("y", "g", "free", 2.5)], "city string, source_file string, fare string, n double")
     both = union_common([a, b]).orderBy("city")
     assert [tuple(r) for r in both.collect()] == [("x", "f", "1.5", 1.0), ("y", "g", "free", 2.5)]
+
+
+def test_files_cleaned_together_like_one_by_one(spark):
+    """Every file of a mixed set comes out as ``clean_table`` makes it alone."""
+    import random
+
+    from tramline.operators import clean, keyed
+    from tramline.sources import files as sources
+
+    random.seed(4)
+    tables = {
+        ("A", "x.csv"): (["Stop ID", "Fare", "Kind", "Empty", "Update Date"], [
+            (str(i % 40), random.choice(["1", "2.5", "900", None, " 3"]), random.choice([" a ", "b  c", "nan", None]), None, random.choice(["2024-01-02", "2024-02-03 04:05:06", None])) for i in range(120)]),
+        ("A", "y.csv"): (["Stop ID", "Fare", "Mostly"], [(str(i), str(i * i), "v" if i % 9 == 0 else None) for i in range(50)] + [("7", "49", None)] * 3 + [(None, None, None)]),
+        ("B", "z.txt"): (["stop id", "departure_time", "note"], [(f"s{i}", f"{i % 24:02d}:15:00", random.choice(["p", "q"])) for i in range(30)]),
+    }
+    rows, alone = None, {}
+    for (city, name), (header, data) in tables.items():
+        frame = spark.createDataFrame(data, ", ".join(f"`{h}` string" for h in header))
+        cells = frame.select(F.lit(city).alias("city"), F.lit(name).alias("source_file"), F.array(*[F.struct(F.lit(h).alias("name"), F.col(f"`{h}`").alias("value")) for h in header]).alias("cells"))
+        rows = cells if rows is None else rows.unionByName(cells)
+        alone[city, name] = clean.clean_table(sources.promote_types(frame), exclude=["stop_id"])
+    collide = spark.createDataFrame([("B", "bad.csv", [("A b", "1"), ("a_b", "2")])], rows.schema)
+    cleaned = keyed.clean_cells(rows.unionByName(collide), exclude=["stop_id"])
+    found = {}
+    for r in cleaned.rows.collect():
+        found.setdefault((r.city, r.source_file), []).append(tuple(sorted((c["name"], str(next((v for v in (c.number, c.text, c.moment) if v is not None), None))) for c in r.cells)))
+    assert set(found) == set(alone)
+    for key, frame in alone.items():
+        expected = [tuple(sorted((c, str(float(v)) if isinstance(v, (int, float)) else str(v)) for c, v in r.asDict().items())) for r in frame.collect()]
+        assert sorted(found[key]) == sorted(expected)
+    report = {(r.city, r.source_file): r for r in cleaned.report.collect()}
+    assert report["B", "bad.csv"].status == "failed" and "a_b" in report["B", "bad.csv"].reason
+    assert (report["A", "y.csv"].rows_in, report["A", "y.csv"].rows_out, report["A", "y.csv"].columns) == (54, 50, ["fare", "stop_id"])
+    summary = {r.city: r for r in keyed.cleaning_report(cleaned.report).collect()}
+    assert (summary["A"].files, summary["A"].failed, summary["A"].common_columns) == (2, 0, "fare,stop_id")
+    assert (summary["B"].files, summary["B"].failed) == (1, 1)
+    both = keyed.stacked(cleaned.rows, cleaned.report)
+    assert both.columns == ["city", "source_file", "stop_id"] and both.count() == sum(f.count() for f in alone.values())

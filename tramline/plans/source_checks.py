@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tramline.operators import keyed
 from tramline.operators.setops import union_common
 from tramline.plans.registry import query
 from tramline.plans.roles import table
@@ -150,3 +151,80 @@ def refresh_status(spark, d):
         F.concat("event_type", (F.col("user_id") % 40).cast("string")).alias("dataset"), F.col("ts").alias("synced_at")
     )
     return snapshots.refresh_status(log, "2024-01-30 12:00:00").drop("last_synced")
+
+
+# --- many files of several layouts, cleaned together --------------------------
+
+def messy_cities(spark, d) -> str:
+    """Two files per region, of two headers and four separators, with gaps, far values, repeated and empty rows.
+
+    Between tabs an empty row would be a blank line, which is no row.
+    """
+    root = new_folder(spark, "messy")
+    nations = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("city"))
+    regions = [r.r_name for r in table(spark, d, "region").orderBy("r_regionkey").collect()]
+    customers = table(spark, d, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("city", *_messy("c_custkey", "c_acctbal"), F.col("c_mktsegment").alias("Market Segment"))
+    suppliers = table(spark, d, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("city", *_messy("s_suppkey", "s_acctbal"), F.lit(None).cast("string").alias("Nothing"))
+    for rows in (customers, suppliers):
+        twice = rows.unionByName(rows.filter(F.col("Key") % 5 == 0)).unionByName(rows.filter((F.col("Key") % 9 == 0) & (F.col("city") != regions[1])).select("city", *[F.lit(None).cast(t).alias(c) for c, t in rows.dtypes[1:]]))
+        for city, sep in zip(regions, CITY_SEPARATORS):
+            twice.filter(F.col("city") == city).drop("city").coalesce(1).write.mode("append").csv(f"{root}/{city}", sep=sep, header=True, ignoreLeadingWhiteSpace=False)
+    return root
+
+
+def _messy(key: str, balance: str) -> list:
+    k, b = F.col(key), F.col(balance)
+    return [k.alias("Key"), F.when(k % 7 != 3, F.when(k % 11 == 4, b * 50).otherwise(b)).alias("Balance ($)")]
+
+
+def clean_cities(spark, d) -> keyed.Cleaned:
+    return keyed.clean_cells(files.read_cells(spark, messy_cities(spark, d)), exclude=["key"])
+
+
+MESSY = """
+    WITH n AS (SELECT n_nationkey, r_name AS city FROM nation JOIN region ON n_regionkey = r_regionkey),
+    raw AS (
+        SELECT city, 'c' AS file, c_custkey AS key, c_mktsegment AS segment, CASE WHEN c_custkey % 7 <> 3 THEN c_acctbal * CASE WHEN c_custkey % 11 = 4 THEN 50 ELSE 1 END END AS balance
+        FROM customer JOIN n ON c_nationkey = n_nationkey
+        UNION ALL
+        SELECT city, 's', s_suppkey, NULL, CASE WHEN s_suppkey % 7 <> 3 THEN s_acctbal * CASE WHEN s_suppkey % 11 = 4 THEN 50 ELSE 1 END END
+        FROM supplier JOIN n ON s_nationkey = n_nationkey),
+    whole AS (SELECT city, file, key, segment, coalesce(balance, quantile_cont(balance, 0.5) OVER f) AS balance FROM raw WINDOW f AS (PARTITION BY city, file)),
+    quarters AS (SELECT city, file, quantile_cont(balance, 0.25) AS q1, quantile_cont(balance, 0.75) AS q3 FROM whole GROUP BY 1, 2),
+    fences AS (SELECT city, file, q1, q3, CASE WHEN q3 > q1 THEN q1 - 1.5 * (q3 - q1) END AS low, CASE WHEN q3 > q1 THEN q3 + 1.5 * (q3 - q1) END AS high FROM quarters),
+    clean AS (SELECT city, file, key, segment, greatest(least(balance, high), low) AS balance, coalesce(balance < low OR balance > high, false) AS outside FROM whole JOIN fences USING (city, file))
+"""
+
+
+@query("d18_file_fences", MESSY + """
+    SELECT city, 'balance____' AS name, round(q1, 6) AS q1, round(q3, 6) AS q3, round(low, 6) AS low, round(high, 6) AS high, count(*) FILTER (outside) AS capped
+    FROM fences JOIN clean USING (city, file) GROUP BY ALL""")
+def file_fences(spark, d):
+    """Fences and capped values of the numbers of every file, all files in one plan."""
+    rounded = [F.round(c, 6).alias(c) for c in ("q1", "q3", "low", "high")]
+    return clean_cities(spark, d).fences.select("city", "name", *rounded, "capped")
+
+
+@query("d33_cleaning_report", MESSY + """
+    SELECT city, count(DISTINCT file) AS files, 0::BIGINT AS failed,
+        sum(CASE WHEN key % 5 = 0 THEN 2 ELSE 1 END + CASE WHEN key % 9 = 0 AND city <> (SELECT r_name FROM region ORDER BY r_regionkey LIMIT 1 OFFSET 1) THEN 1 ELSE 0 END)::BIGINT AS rows_in, count(*) AS rows_out,
+        'balance____,key' || CASE WHEN count(DISTINCT file) = 1 AND min(file) = 'c' THEN ',market_segment' ELSE '' END AS common_columns FROM clean GROUP BY city""")
+def cleaning_report(spark, d):
+    """Files, rows before and after, and common columns per city."""
+    return keyed.cleaning_report(clean_cities(spark, d).report)
+
+
+@query("a7_cleaned_files", MESSY + "SELECT city, key::DOUBLE AS key, segment, round(balance, 6) AS balance FROM clean WHERE file = 'c'")
+def cleaned_files(spark, d):
+    """The cleaned rows of the files with a segment."""
+    rows = clean_cities(spark, d).rows.filter(F.exists("cells", lambda c: c["name"] == "market_segment"))
+    of = keyed.cell_of
+    return rows.select("city", of("key")["number"].alias("key"), of("market_segment")["text"].alias("segment"), F.round(of("balance____")["number"], 6).alias("balance"))
+
+
+@query("a7_combined", MESSY + "SELECT city, key::DOUBLE AS key, round(balance, 6) AS balance FROM clean")
+def combined(spark, d):
+    """All files on their common columns."""
+    cleaned = clean_cities(spark, d)
+    both = keyed.stacked(cleaned.rows, cleaned.report)
+    return both.select("city", "key", F.round("balance____", 6).alias("balance"))
