@@ -99,6 +99,34 @@ def test_versions(spark, tmp_path):
     assert {r.model: r.next_version for r in registry.next_version(log, names).collect()} == {"m": "0.10.2", "n": "2.0.1", "new": "0.0.1"}
     path = str(tmp_path / "log")
     assert [registry.log_metrics(spark, path, "m", s) for s in (0.1, 0.2)] == ["0.0.1", "0.0.2"]
+    assert sorted((r.score, r.version) for r in registry.read_metrics(spark, path).collect()) == [(0.1, "0.0.1"), (0.2, "0.0.2")]
+
+
+def test_two_writers_get_two_versions(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "log")
+    with ThreadPoolExecutor(6) as pool:
+        given = list(pool.map(lambda _: registry.claim_version(spark, path, "a/b"), range(12)))
+    assert sorted(given, key=lambda v: int(v.split(".")[2])) == [f"0.0.{i}" for i in range(1, 13)]
+
+
+def test_scores_of_unseen_rows(spark):
+    rows = spark.createDataFrame([(i, i % 24, i % 24 in (7, 8, 9, 17, 18, 19), 5.0 + i % 7, 0.1 * (i % 5), float(i % 24)) for i in range(400)], "stop_id int, hour int, is_peak boolean, stop_lat double, stop_lon double, demand double")
+    _, scores = models.demand_scores(rows, LinearRegression(labelCol="demand"))
+    found = {r.part: r for r in scores.collect()}
+    assert found["train"].rows + found["test"].rows == 400 and 40 < found["test"].rows < 120
+    assert found["test"].r2 > 0.99 and found["test"].mse < 1
+
+
+def test_three_classes_get_boosting(spark):
+    assert set(models.candidates("classification", 3)) == set(models.candidates("classification", 2)) == {"Random Forest", "Logistic Regression", "Gradient Boosting"}
+    from pyspark.ml.linalg import Vectors
+
+    rows = spark.createDataFrame([(Vectors.dense(float(i % 3), float(i % 2)), float(i % 3)) for i in range(60)], ["features", "label"])
+    boosting = models.candidates("classification", 3)["Gradient Boosting"][0]
+    boosting.getClassifier().setMaxIter(3)
+    assert models.accuracy(boosting.fit(rows).transform(rows)).first()[0] == 1.0
 
 
 def test_clusters(spark):

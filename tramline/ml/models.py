@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator, Model
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tramline.functions.expressions import is_peak
+from tramline.ml.prep import with_split
 from tramline.operators.routes import FEATURE_COLUMNS, efficiency_score
 
 DEMAND_FEATURES = ["hour", "is_peak", "stop_lat", "stop_lon"]
@@ -59,8 +61,8 @@ def candidates(task: str, n_classes: int = 2, seed: int = 42) -> dict[str, tuple
         "Random Forest": (RandomForestClassifier(numTrees=100, seed=seed), FOREST_GRID),
         "Logistic Regression": (LogisticRegression(maxIter=1000), LOGISTIC_GRID),
     }
-    if n_classes == 2:
-        found["Gradient Boosting"] = (GBTClassifier(maxIter=100, seed=seed), {})
+    boosting = GBTClassifier(maxIter=100, seed=seed)
+    found["Gradient Boosting"] = (boosting if n_classes == 2 else OneVsRest(classifier=boosting), {})
     return found
 
 
@@ -151,13 +153,23 @@ def _regression_pipeline(features: list[str], regressor: Estimator) -> Pipeline:
     ])
 
 
+def demand_scores(demand: DataFrame, regressor: Estimator | None = None, keys: Sequence[str] = ("stop_id", "hour"), fraction: float = 0.2, seed: int = 42) -> tuple[PipelineModel, DataFrame]:
+    """The demand model of four fifths of the rows, and its scores on both parts: ``part, rows, r2, mse``."""
+    marked = with_split(_with_numeric_peak(demand), list(keys), fraction, seed)
+    model = fit_demand(marked.filter(~F.col("is_test")), regressor, seed)
+    scored = model.transform(marked).withColumn("part", F.when(F.col("is_test"), "test").otherwise("train"))
+    error = F.pow(F.col("demand") - F.col("prediction"), 2)
+    return model, scored.groupBy("part").agg(
+        F.count("*").alias("rows"), (F.lit(1.0) - F.try_divide(F.avg(error), F.var_pop("demand"))).alias("r2"), F.avg(error).alias("mse"))
+
+
 def _with_numeric_peak(df: DataFrame) -> DataFrame:
     return df.withColumn("is_peak", F.col("is_peak").cast("int"))
 
 
 def fit_demand(demand: DataFrame, regressor: Estimator | None = None, seed: int = 42) -> PipelineModel:
     """Demand by hour, peak and place; minute and day are constant and left out."""
-    regressor = regressor or GBTRegressor(labelCol="demand", maxIter=20, seed=seed)
+    regressor = regressor or GBTRegressor(labelCol="demand", maxIter=100, seed=seed)
     return _regression_pipeline(DEMAND_FEATURES, regressor).fit(_with_numeric_peak(demand))
 
 

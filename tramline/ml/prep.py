@@ -6,8 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import (
-    FeatureHasher, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, StringIndexerModel,
-    VectorAssembler,
+    FeatureHasher, OneHotEncoder, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler,
 )
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -142,26 +141,26 @@ def build_preprocessor(
 ) -> Pipeline:
     """Median fill and scaling for numbers, one-hot for text that ignores unseen values.
 
-    The exact medians of ``df`` become part of the pipeline.  One-hot needs the list of
+    The exact medians of ``df``, and the mean and population deviation of the filled numbers, become part of the pipeline.  One-hot needs the list of
     values on the driver; text columns in ``wide``, with more values than that should
     hold, go to a hashed vector of fixed size instead.
     """
     stages, parts = [], []
     if numeric:
         medians = {r["column"]: r["value"] for r in exact_quantiles(df, numeric, [0.5]).collect()}
-        filled = ", ".join(
-            f"coalesce(cast(`{c}` AS DOUBLE), {medians.get(c, 0.0)!r}D) AS `{c}_filled`" for c in numeric
-        )
+        filled = {c: f"coalesce(cast(`{c}` AS DOUBLE), {medians.get(c, 0.0)!r}D)" for c in numeric}
+        centre = df.agg(*[F.struct(F.avg(F.expr(e)), F.stddev_pop(F.expr(e))) for e in filled.values()]).first()
+        # Population deviation; a column without spread is only centred.
+        scaled = ", ".join(f"({e} - {(m or 0.0)!r}D) / {(s or 1.0)!r}D AS `{c}_scaled`" for (c, e), (m, s) in zip(filled.items(), centre))
         stages += [
-            SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"),
-            VectorAssembler(inputCols=[f"{c}_filled" for c in numeric], outputCol="numbers"),
-            StandardScaler(inputCol="numbers", outputCol="numbers_scaled", withMean=True),
+            SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__"),
+            VectorAssembler(inputCols=[f"{c}_scaled" for c in numeric], outputCol="numbers_scaled"),
         ]
         parts.append("numbers_scaled")
     if categorical:
         index, hot = [f"{c}_index" for c in categorical], [f"{c}_hot" for c in categorical]
         stages += [
-            StringIndexer(inputCols=list(categorical), outputCols=index, handleInvalid="keep"),
+            StringIndexer(inputCols=list(categorical), outputCols=index, handleInvalid="keep", stringOrderType="alphabetAsc"),
             OneHotEncoder(inputCols=index, outputCols=hot, handleInvalid="keep"),
         ]
         parts += hot

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
+from py4j.protocol import Py4JJavaError
 from pyspark.ml import PipelineModel
+from pyspark.ml.base import Model
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,18 +45,49 @@ def next_version(log: DataFrame, models: DataFrame | None = None) -> DataFrame:
     )
 
 
+def claim_version(spark: SparkSession, path: str, model: str) -> str:
+    """The next version of a model, claimed by creating its file.
+
+    Creating fails if the file is there, so of two writers that want one version the later
+    takes the next; a claim without metrics (a writer that died) is never given again.
+    """
+    context = spark.sparkContext
+    hadoop = context._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(f"{path}/versions/{quote(model, safe='')}")
+    store = folder.getFileSystem(context._jsc.hadoopConfiguration())
+    store.mkdirs(folder)
+    while True:
+        claimed = [f.getPath().getName() for f in store.listStatus(folder)]
+        log = spark.createDataFrame([(model, v) for v in claimed], "model string, version string")
+        version = next_version(log, spark.createDataFrame([(model,)], "model string")).first()["next_version"]
+        try:
+            store.create(hadoop.Path(folder, version), False).close()
+            return version
+        except Py4JJavaError:
+            if not store.exists(hadoop.Path(folder, version)):
+                raise
+
+
 def log_metrics(spark: SparkSession, path: str, model: str, score: float) -> str:
     """Append score, time and next version of a model; returns the version."""
-    spark.createDataFrame([], METRICS_LOG).write.mode("append").parquet(path)
-    log = spark.read.schema(METRICS_LOG).parquet(path)
-    wanted = spark.createDataFrame([(model,)], "model string")
-    version = next_version(log, wanted).first()["next_version"]
+    version = claim_version(spark, path, model)
     spark.createDataFrame([(model, float(score), version)], "model string, score double, version string").select(
         "model", "score", F.current_timestamp().alias("logged_at"), "version"
-    ).write.mode("append").parquet(path)
+    ).write.mode("append").parquet(f"{path}/metrics")
     return version
 
 
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(METRICS_LOG).parquet(f"{path}/metrics")
+
+
+def keep_winner(spark: SparkSession, path: str, preparation: PipelineModel, winner: Model, metrics: DataFrame) -> PipelineModel:
+    """Preparation (with its encoders) and the winner of a grid as one saved pipeline."""
+    whole = PipelineModel(stages=[*preparation.stages, winner])
+    save_best(spark, path, whole, metrics)
+    return whole
+
+
 def save_best(spark: SparkSession, path: str, model: PipelineModel, metrics: DataFrame) -> None:
     """The pipeline (preprocessing and model together) with its metrics row."""
     model.write().overwrite().save(f"{path}/model")
