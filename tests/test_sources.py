@@ -149,6 +149,20 @@ def test_refresh(spark, tmp_path):
     assert snapshots.read_snapshot(spark, target, "good", ["id"], ["id"]).count() == 3
 
 
+def test_versions_of_a_snapshot(spark, tmp_path):
+    """Readers see whole versions; a failed write leaves the old rows, and its number is not given again."""
+    target = str(tmp_path / "snap")
+    read = lambda: snapshots.read_snapshot(spark, target, "t", ["id"]).count()
+    assert snapshots.commit_snapshot(spark.range(3), target, "t") == "000000000001"
+    begun = spark.read.parquet(snapshots.current_path(spark, target, "t"))
+    with pytest.raises(Exception, match="broken"):
+        snapshots.commit_snapshot(spark.range(100).withColumn("id", F.when(F.col("id") > 50, F.raise_error(F.lit("broken"))).otherwise(F.col("id"))), target, "t")
+    assert read() == 3
+    assert snapshots.commit_snapshot(spark.range(5), target, "t") == "000000000003" and read() == 5 and begun.count() == 3
+    snapshots.commit_snapshot(spark.range(7), target, "t")
+    assert read() == 7 and len(os.listdir(f"{target}/t.versions/data")) == 2
+
+
 def test_results(spark, tmp_path):
     path = str(tmp_path / "results")
     files.write_results(spark.createDataFrame([("r1", 0.5)], "route_id string, score double"), path)

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tramline.functions.fixed_values import MEDIA_REPLY
@@ -92,6 +93,34 @@ def test_answers(spark, tmp_path):
     assert {r.question_id: r.answer for r in spark.read.parquet(out).collect()} == {10: "east", 11: "north"}
 
 
+def test_one_bad_question_does_not_spoil_its_batch(spark, tmp_path):
+    asked = spark.createDataFrame([(i, "12" if i != 5 else "x") for i in range(12)], "question_id int, text string")
+    land(asked, str(tmp_path / "in"), 0)
+    stream = lambda: spark.readStream.schema(asked.schema).parquet(str(tmp_path / "in" / "*"))
+    lookup = lambda b: b.withColumn("answer", (F.col("text").cast("int") + F.col("question_id")).cast("string"))
+    out = str(tmp_path / "out")
+    messages.answer_stream(stream(), lookup, out, str(tmp_path / "state")).awaitTermination()
+    found = {r.question_id: r.answer for r in spark.read.parquet(out).collect()}
+    assert found == {i: messages.ERROR_REPLY if i == 5 else str(12 + i) for i in range(12)}
+
+    def refuses(batch):
+        raise ValueError("no corpus")
+    messages.answer_stream(stream(), refuses, str(tmp_path / "refused"), str(tmp_path / "state-2")).awaitTermination()
+    assert {r.answer for r in spark.read.parquet(str(tmp_path / "refused")).collect()} == {messages.ERROR_REPLY}
+
+
+def test_a_target_that_cannot_be_written_fails_the_batch(spark, tmp_path):
+    asked = spark.createDataFrame([(1, "a")], "question_id int, answer string")
+    land(asked, str(tmp_path / "in"), 0)
+    stream = lambda: spark.readStream.schema(asked.schema).parquet(str(tmp_path / "in" / "*"))
+    (tmp_path / "file").write_text("not a folder")
+    state = str(tmp_path / "state")
+    with pytest.raises(Exception):
+        messages.answer_stream(stream(), lambda b: b, str(tmp_path / "file"), state).awaitTermination()
+    messages.answer_stream(stream(), lambda b: b, str(tmp_path / "out"), state).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
 def test_live_feed(spark, tmp_path):
     spark.createDataFrame([("v1", 5.5)], "vehicle string, lat double").write.json(str(tmp_path / "landing"))
     feed = live_feed(spark, str(tmp_path / "landing"), "vehicle string, lat double")

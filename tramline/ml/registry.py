@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from urllib.parse import quote
 
-from py4j.protocol import Py4JJavaError
 from pyspark.ml import PipelineModel
 from pyspark.ml.base import Model
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tramline.sources import claims
+
 METRICS_LOG = "model string, score double, logged_at timestamp, version string"
 
 
@@ -51,21 +52,13 @@ def claim_version(spark: SparkSession, path: str, model: str) -> str:
     Creating fails if the file is there, so of two writers that want one version the later
     takes the next; a claim without metrics (a writer that died) is never given again.
     """
-    context = spark.sparkContext
-    hadoop = context._jvm.org.apache.hadoop.fs
-    folder = hadoop.Path(f"{path}/versions/{quote(model, safe='')}")
-    store = folder.getFileSystem(context._jsc.hadoopConfiguration())
-    store.mkdirs(folder)
+    folder = f"{path}/versions/{quote(model, safe='')}"
+    wanted = spark.createDataFrame([(model,)], "model string")
     while True:
-        claimed = [f.getPath().getName() for f in store.listStatus(folder)]
-        log = spark.createDataFrame([(model, v) for v in claimed], "model string, version string")
-        version = next_version(log, spark.createDataFrame([(model,)], "model string")).first()["next_version"]
-        try:
-            store.create(hadoop.Path(folder, version), False).close()
+        log = spark.createDataFrame([(model, v) for v in claims.names(spark, folder)], "model string, version string")
+        version = next_version(log, wanted).first()["next_version"]
+        if claims.claim(spark, folder, version):
             return version
-        except Py4JJavaError:
-            if not store.exists(hadoop.Path(folder, version)):
-                raise
 
 
 def log_metrics(spark: SparkSession, path: str, model: str, score: float) -> str:

@@ -160,8 +160,8 @@ def with_agency(routes: DataFrame, agency: DataFrame) -> DataFrame:
 
 
 def with_stop_names(df: DataFrame, stops: DataFrame) -> DataFrame:
-    """Names for the few rows of a top-n list."""
-    return F.broadcast(df).join(stops.select("stop_id", "stop_name"), "stop_id")
+    """Names for the rows of a top-n list; which side is small is for Spark to measure."""
+    return df.join(stops.select("stop_id", "stop_name"), "stop_id")
 
 
 def lookup_endpoints(pairs: DataFrame, stations: DataFrame, name: str = "name", key: str = "id") -> DataFrame:

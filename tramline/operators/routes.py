@@ -62,14 +62,15 @@ def route_features(
 def route_stats(routes: DataFrame, trips: DataFrame, stop_times: DataFrame) -> DataFrame:
     """Distinct trips with stop times, distinct stops, and trips per stop.
 
-    Routes restrict the trips before the fan-out, so the distinct counts are spread by
-    (route, trip) and (route, stop) and a busy route never sits in one task.
+    Stops are counted from one row per (route, stop), trips by asking which of them have stop
+    times: the fan-out of trips to stop times is folded once and never doubled.
     """
     known = trips.select("trip_id", "route_id").join(routes.select("route_id"), "route_id", "left_semi")
-    fan_out = stop_times.select("trip_id", "stop_id").join(known, "trip_id")
-    stats = fan_out.groupBy("route_id").agg(
-        F.count_distinct("trip_id").alias("n_trips"), F.count_distinct("stop_id").alias("n_stops")
-    )
+    visits = route_stop_visits(stop_times, known)
+    n_stops = visits.filter("stop_id is not null").groupBy("route_id").agg(F.count("*").alias("n_stops"))
+    running = known.distinct().join(stop_times.select("trip_id"), "trip_id", "left_semi")
+    n_trips = running.groupBy("route_id").agg(F.count("*").alias("n_trips"))
+    stats = n_trips.join(n_stops, "route_id", "left").fillna(0, subset=["n_stops"])
     return stats.withColumn("efficiency", F.try_divide("n_trips", "n_stops"))
 
 

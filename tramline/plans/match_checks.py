@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tramline.functions.expressions import cosine, dot, mean_pool
 from tramline.functions.fixed_values import (
-    CHANNELS, CHAT_FORMAT, CONFIDENCE_LINES, HELP_REPLY, HTML_FORMAT, OD_HINT, ROUTE_TEMPLATES, STATION_TEMPLATES,
+    CHANNELS, CHAT_FORMAT, CONFIDENCE_LINES, GENERAL_TEMPLATES, HELP_REPLY, HTML_FORMAT, OD_HINT, ROUTE_TEMPLATES, STATION_TEMPLATES,
     TRIP_TEMPLATES,
 )
 from tramline.operators import corpus, match
 from tramline.plans import roles
 from tramline.plans.flows import answer_trip_questions
-from tramline.plans.registry import query
+from tramline.plans.registry import ORACLE, query
 from tramline.plans.roles import rounded, table, with_roles
 
 
@@ -198,6 +199,39 @@ def trip_questions(spark, d):
     return corpus.trip_questions(roles.stations(spark, d))
 
 
+def _general_sql() -> str:
+    filled = {"{vehicle}": "minibus", "{service}": "the service", "{country}": "the country"}
+    rows = []
+    for template in GENERAL_TEMPLATES:
+        texts = []
+        for text in template:
+            for name, value in filled.items():
+                text = text.replace(name, value)
+            texts.append("'" + text.replace("'", "''") + "'")
+        question, answer, context = texts
+        rows.append(f"({question}, {answer}, {context}, 'general')")
+    return "SELECT * FROM (VALUES " + ", ".join(rows) + ") g(question, answer, context, type)"
+
+
+@query("c17_whole_corpus", " UNION ALL ".join(
+    f"SELECT question, answer, context, type FROM ({part})"
+    for part in (ORACLE["c17_station_questions"], ORACLE["c17_route_questions"], ORACLE["c17_trip_questions"], _general_sql())))
+def whole_corpus(spark, d):
+    """Questions of all stations, routes and drawn trips, and the general ones."""
+    return corpus.generate_questions(roles.stations(spark, d), roles.routes(spark, d))
+
+
+@query("hvec_similarity", """
+    SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) + 0.0::DOUBLE AS turned,
+        round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 5) AS squared, round((embedding[1]::DOUBLE + embedding[-1]::DOUBLE) / 2, 6) + 0.0::DOUBLE AS first_mean
+    FROM embeddings""")
+def similarity(spark, d):
+    """Cosine of a vector with its turned self, its square, and the mean of both at the first place."""
+    vector, turned = F.col("embedding"), F.reverse("embedding")
+    return rounded(table(spark, d, "embeddings").select(
+        "vec_id", cosine(vector, turned).alias("turned"), F.round(dot(vector, vector), 5).alias("squared"), F.get(mean_pool(F.array(vector, turned)), F.lit(0)).alias("first_mean")))
+
+
 CHANNEL = "['whatsapp', 'telegram', 'web', 'api', 'sms'][conv_id % 5 + 1]"
 ESCAPED = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 

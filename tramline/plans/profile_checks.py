@@ -509,3 +509,33 @@ def cluster_summary(spark, d):
 @query("d34_cluster_members", with_roles("stops", "SELECT gtfs_source AS cluster_id, stop_id FROM stops"))
 def cluster_members(spark, d):
     return models.cluster_members(nation_clusters(spark, d))
+
+
+# --- schemas ------------------------------------------------------------------
+
+EXPECTED = {"l_orderkey": "bigint", "l_linenumber": "bigint", "l_quantity": "double", "l_returnflag": "string", "l_comment": "string"}
+DUCK_NAME = "CASE lower(typeof({0})) WHEN 'varchar' THEN 'string' WHEN 'integer' THEN 'int' ELSE lower(typeof({0})) END"
+
+
+def _column_sql(column: str, kind: str) -> str:
+    found = "NULL::VARCHAR" if column == "l_comment" else DUCK_NAME.format(column)
+    return f"SELECT '{column}' AS \"column\", '{kind}' AS expected, {found} AS actual, coalesce({found} = '{kind}', false) AS ok FROM (SELECT * FROM lineitem LIMIT 1)"
+
+
+@query("b11_schema_report", " UNION ALL ".join(_column_sql(c, k) for c, k in EXPECTED.items()))
+def schema_report(spark, d):
+    """Columns that are there, of another type, and absent."""
+    return clean.schema_report(table(spark, d, "lineitem"), EXPECTED)
+
+
+LINE_KINDS = {c: "number" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *NUMBERS)} | {"l_returnflag": "text", "l_linestatus": "text"}
+
+
+@query("b19_column_kinds", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", '{k}' AS kind, count({c}) AS filled FROM lineitem" for c, k in LINE_KINDS.items()))
+def column_kinds(spark, d):
+    """Filled values of the numeric and of the text columns."""
+    lines = table(spark, d, "lineitem")
+    numeric, text = clean.split_columns(lines)
+    counts = lines.agg(*[F.count(c).alias(c) for c in [*numeric, *text]]).unpivot([], [*numeric, *text], "column", "filled")
+    return counts.withColumn("kind", F.when(F.col("column").isin(numeric), "number").otherwise("text"))

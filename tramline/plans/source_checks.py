@@ -153,6 +153,19 @@ def refresh_status(spark, d):
     return snapshots.refresh_status(log, "2024-01-30 12:00:00").drop("last_synced")
 
 
+@query("a10_failed_refresh", "SELECT event_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1")
+def failed_refresh(spark, d):
+    """A refresh that fails while its rows are written; the old ones are still read."""
+    target, log = new_folder(spark, "snapshots"), new_folder(spark, "sync-log")
+    events = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+    broken = events.withColumn("n", F.when(F.col("first") > events.agg(F.min("first")).scalar(), F.raise_error(F.lit("source lost"))).otherwise(0))
+    snapshots.refresh_snapshots(spark, {"demand": lambda: events}, target, log, "2024-01-01 00:00:00")
+    status = snapshots.refresh_snapshots(spark, {"demand": lambda: broken}, target, log, "2024-01-03 00:00:00")
+    if status != {"demand": "failed"}:
+        raise RuntimeError(f"the refresh was to fail, but {status}")
+    return snapshots.read_snapshot(spark, target, "demand", ["event_type", "n", "first"])
+
+
 # --- many files of several layouts, cleaned together --------------------------
 
 def messy_cities(spark, d) -> str:

@@ -9,16 +9,51 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tramline.schemas import SYNC_LOG, TABLES
+from tramline.sources import claims
 
 
 def read_snapshot(
     spark: SparkSession, directory: str, table: str, columns: Sequence[str], order_by: Sequence[str] = ()
 ) -> DataFrame:
-    """Chosen columns of a parquet table, sorted when asked."""
-    df = spark.read.parquet(f"{directory.rstrip('/')}/{table}.parquet").select(*columns)
+    """Chosen columns of a parquet table, or of the last committed version of one, sorted when asked."""
+    df = spark.read.parquet(current_path(spark, directory, table)).select(*columns)
     return df.orderBy(*order_by) if order_by else df
 
 
+def _versions(directory: str, table: str) -> str:
+    return f"{directory.rstrip('/')}/{table}.versions"
+
+
+def current_path(spark: SparkSession, directory: str, table: str) -> str:
+    """Where the rows of a table are: its last committed version, or its one folder if it has none."""
+    versions = _versions(directory, table)
+    committed = claims.names(spark, f"{versions}/commits")
+    return f"{versions}/data/{committed[-1]}" if committed else f"{directory.rstrip('/')}/{table}.parquet"
+
+
+def commit_snapshot(df: DataFrame, directory: str, table: str, keep: int = 2) -> str:
+    """Writes the rows as the next version of a table; returns the version.
+
+    A version is claimed, written in a folder of its own and committed by one empty file, the
+    last thing done: readers see all of the old rows or all of the new ones, and a write that
+    fails leaves nothing to be read.  Versions before the last ``keep`` committed ones go, so
+    that a reader that has begun can end.
+    """
+    spark, versions = df.sparkSession, _versions(directory, table)
+    while True:
+        taken = claims.names(spark, f"{versions}/claims")
+        version = f"{int(taken[-1]) + 1 if taken else 1:012d}"
+        if claims.claim(spark, f"{versions}/claims", version):
+            break
+    df.write.parquet(f"{versions}/data/{version}")
+    claims.claim(spark, f"{versions}/commits", version)
+    oldest = claims.names(spark, f"{versions}/commits")[-keep:][0]
+    for name in claims.names(spark, f"{versions}/data"):
+        if name < oldest:
+            claims.remove(spark, f"{versions}/data/{name}")
+    return version
+
+
 def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str) -> None:
     """Snapshot bucketed and sorted by its join key.
 
@@ -85,7 +120,7 @@ def refresh_snapshots(
     """Rewrite stale snapshots: ``success``, ``failed`` or ``cached`` per dataset.
 
     ``readers`` maps a dataset to a function that returns its current rows.  A failing
-    dataset leaves the others and its own old snapshot alone.
+    dataset leaves the others and its own old snapshot alone, also when it fails while writing.
     """
     names = spark.createDataFrame([(n,) for n in readers], "dataset string")
     spark.createDataFrame([], SYNC_LOG).write.mode("append").parquet(log_path)
@@ -97,7 +132,7 @@ def refresh_snapshots(
             result[name] = "cached"
             continue
         try:
-            reader().write.mode("overwrite").parquet(f"{target}/{name}.parquet")
+            commit_snapshot(reader(), target, name)
         except Exception:
             result[name] = "failed"
             continue

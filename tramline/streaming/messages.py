@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from functools import reduce
 
+from pyspark import errors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,6 +18,7 @@ from tramline.functions.fixed_values import (
     ERROR_REPLY, GREETINGS, LOCATION_REPLY, MEDIA_REPLY, MEDIA_TYPES, UNKNOWN_REPLY, WELCOME_REPLY,
 )
 from tramline.schemas import PAYLOAD
+from tramline.session import materialise
 
 
 def flatten_messages(df: DataFrame, payload: str = "value") -> DataFrame:
@@ -72,6 +75,35 @@ def dedup_messages(df: DataFrame, key: str = "message_id", time: str = "event_ti
     return df.dropDuplicates([key])
 
 
+#: What a lookup can raise because of the question: bad values and the lookup's own complaints.
+#: Lost executors, full disks and the like are none of these.
+LOOKUP_ERRORS = (
+    errors.AnalysisException, errors.ArithmeticException, errors.ArrayIndexOutOfBoundsException, errors.DateTimeException,
+    errors.IllegalArgumentException, errors.NumberFormatException, errors.PythonException, errors.SparkRuntimeException, LookupError, ValueError,
+)
+
+
+def answer_each(questions: DataFrame, answer: Callable[[DataFrame], DataFrame], depth: int = 40) -> DataFrame:
+    """Answers of a batch operator; a question it fails for gets the error text, the others their answers.
+
+    The operator runs over all questions at once.  If it fails, the questions are halved by a
+    hash until the failing ones are found: some jobs for each of them, none for the others.
+    """
+    def part(rows: DataFrame, level: int) -> DataFrame:
+        try:
+            return materialise(answer(rows))
+        except LOOKUP_ERRORS:
+            if level == depth or rows.limit(2).count() < 2:
+                logging.getLogger(__name__).exception("a question could not be answered")
+                return rows.withColumn("answer", F.lit(ERROR_REPLY))
+        side = F.xxhash64(F.struct("*"), F.lit(level)) % 2 == 0
+        halves = [rows.filter(side), rows.filter(~side)]
+        found = [part(half, level + 1) for half in halves if not half.isEmpty()]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
+
+    return part(questions, 0)
+
+
 def answer_stream(
     questions: DataFrame, answer: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
 ) -> StreamingQuery:
@@ -79,21 +111,17 @@ def answer_stream(
 
     The best answer of a question is an aggregate over all candidates of its batch,
     hence ``foreachBatch``.  The batch number is part of the target folder, so a
-    repeated batch overwrites itself.
+    repeated batch overwrites itself.  A failed lookup gives its question the error text and
+    does not end the stream; a target that cannot be written fails the batch, which is retried.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         batch.persist()
-        target = f"{path}/batch={number}"
         try:
-            answers = answer(batch)
+            answers = answer_each(batch, answer)
             if "answer" in answers.columns:
                 answers = answers.withColumn("answer", F.coalesce("answer", F.lit(ERROR_REPLY)))
-            answers.write.mode("overwrite").parquet(target)
-        except Exception:
-            # A failed lookup must not end the stream: its questions get the error text.
-            logging.getLogger(__name__).exception("batch %s could not be answered", number)
-            batch.withColumn("answer", F.lit(ERROR_REPLY)).write.mode("overwrite").parquet(target)
+            answers.write.mode("overwrite").parquet(f"{path}/batch={number}")
         finally:
             batch.unpersist()
 
