@@ -177,5 +177,6 @@ def test_files_cleaned_together_like_one_by_one(spark):
     summary = {r.city: r for r in keyed.cleaning_report(cleaned.report).collect()}
     assert (summary["A"].files, summary["A"].failed, summary["A"].common_columns) == (2, 0, "fare,stop_id")
     assert (summary["B"].files, summary["B"].failed) == (1, 1)
-    both = keyed.stacked(cleaned.rows, cleaned.report)
+    both = keyed.stacked(cleaned)
+    assert keyed.stacked(cleaned, 4) is None
     assert both.columns == ["city", "source_file", "stop_id"] and both.count() == sum(f.count() for f in alone.values())

@@ -65,15 +65,19 @@ def test_city_files(spark, tmp_path):
 
 def test_clean_and_reload_counts_rows_once(spark, tmp_path):
     out = str(tmp_path / "out")
-    report = flows.clean_city_files(spark, city_root(tmp_path), out, exclude=["stop_id"])
+    root = city_root(tmp_path)
+    write(root, "Kumasi/twice.csv", "A b,a_b\n1,2\n")
+    report = flows.clean_city_files(spark, root, out, exclude=["stop_id"])
+    assert {(r.city, r.source_file) for r in report.filter("status = 'failed'").collect()} == {("Kumasi", "twice.csv")}
+    report = report.filter("status = 'cleaned'")
     counts = {(r.city, r.source_file): (r.rows_in, r.rows_out) for r in report.collect()}
     assert counts[("Accra", "stops.txt")] == (4, 3) and len(counts) == 4
     combined = spark.read.parquet(f"{out}/combined")
-    loaded = flows.load_cleaned(spark, out, report)
+    loaded = flows.load_cleaned(spark, out)
     assert combined.count() == loaded.count() == sum(o for _, o in counts.values())
     assert set(combined.columns) == {"stop_id", "stop_name", "city", "source_file"}
-    assert spark.read.parquet(f"{out}/by_city_combined/Accra").count() == 5
-    lapaz = spark.read.parquet(f"{out}/by_city/Accra/stops.txt").filter("stop_name = 'Lapaz'").collect()[0]
+    assert spark.read.parquet(f"{out}/by_city_combined/*/city=Accra").count() == 5
+    lapaz = spark.read.parquet(f"{out}/by_city/*/city=Accra/source_file=stops.txt").filter("stop_name = 'Lapaz'").collect()[0]
     assert lapaz.fare == 3.0
 
 

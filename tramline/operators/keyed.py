@@ -41,9 +41,10 @@ def column_kinds(rows: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Cleaned:
-    """``rows``: ``city, source_file, cells`` with typed values; ``fences`` per column; ``report`` per file."""
+    """``rows``: ``city, source_file, cells`` with typed values; ``columns`` with their ``field`` (number, text, moment); ``fences`` per column; ``report`` per file."""
 
     rows: DataFrame
+    columns: DataFrame
     fences: DataFrame
     report: DataFrame
 
@@ -107,7 +108,8 @@ def clean_cells(rows: DataFrame, null_threshold: float = 0.7, exclude: Sequence[
     outside = whole.join(ready.select(*COLUMN, "low", "high"), COLUMN).groupBy(*COLUMN).agg(
         F.count_if((F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))).alias("capped"))
     fences = ready.filter("q1 is not null").join(outside, COLUMN).select(*COLUMN, "q1", "q3", "low", "high", "capped")
-    return Cleaned(_filled(tidy, ready), fences, _report(rows, every, tidy, ready, failed))
+    field = F.when(F.col("is_date"), "moment").when(F.col("kind") == "text", "text").otherwise("number")
+    return Cleaned(_filled(tidy, ready), ready.select(*FILE, "at", "name", field.alias("field")), fences, _report(rows, every, tidy, ready, failed))
 
 
 def _filled(tidy: DataFrame, ready: DataFrame) -> DataFrame:
@@ -154,28 +156,35 @@ def cell_of(name: str) -> Column:
     return F.get(F.filter("cells", lambda c: c["name"] == name), F.lit(0))
 
 
-def stacked(cleaned: DataFrame, report: DataFrame, min_common: int = 3) -> DataFrame | None:
+def shared_columns(columns: DataFrame, group: Sequence[str]) -> DataFrame:
+    """``(*group, name, field)``: columns that every file of a group has; a column of different kinds is text."""
+    files = columns.select(*FILE).distinct().groupBy(*group).agg(F.count("*").alias("files"))
+    found = columns.groupBy(*group, "name").agg(F.count("*").alias("n"), F.min("field").alias("field"), F.max("field").alias("other"))
+    whole = found.join(files, list(group)) if group else found.withColumn("files", files.scalar())
+    return whole.filter("n = files").select(*group, "name", F.when(F.col("field") == F.col("other"), F.col("field")).otherwise("text").alias("field"))
+
+
+def typed_column(name: str, field: str) -> Column:
+    """One column of the rows by its kind; as text, whatever kind it has."""
+    cell = cell_of(name)
+    return (cell[field] if field != "text" else F.coalesce(cell["text"], cell["number"].cast("string"), cell["moment"].cast("string"))).alias(name)
+
+
+def stacked(cleaned: Cleaned, min_common: int = 3) -> DataFrame | None:
     """All cleaned files on the columns that every file has; None if, with both tags, they are fewer than ``min_common``.
 
-    A column is a number if it is one in all files, a time if it is one in all, else text.  Only names come to the driver.
+    Only names come to the driver.
     """
-    files = report.filter("status = 'cleaned'")
-    total = files.count()
-    names = files.select(F.explode("columns").alias("name")).groupBy("name").agg(F.count("*").alias("n")).filter(F.col("n") == total)
-    common = sorted(r["name"] for r in names.select("name").collect())
+    common = sorted((r["name"], r["field"]) for r in shared_columns(cleaned.columns, []).collect())
     if not common or len(common) + 2 < min_common:
         return None
-    wide = cleaned.select(*FILE, *[cell_of(n).alias(f"c{i}") for i, n in enumerate(common)])
-    checks = [F.count_if(F.col(f"c{i}.{f}").isNotNull()).alias(f"{f}{i}") for i in range(len(common)) for f in ("number", "text", "moment")]
-    kinds = wide.agg(*checks).first()
-
-    def column(i: int) -> Column:
-        number, text, moment = (kinds[f"{f}{i}"] for f in ("number", "text", "moment"))
-        c = F.col(f"c{i}")
-        if number and not text and not moment:
-            return c["number"]
-        if moment and not text and not number:
-            return c["moment"]
-        return F.coalesce(c["text"], c["number"].cast("string"), c["moment"].cast("string"))
-
-    return wide.select(*FILE, *[column(i).alias(n) for i, n in enumerate(common)])
+    return cleaned.rows.select(*FILE, *[typed_column(*c) for c in common])
+
+
+def layouts(columns: DataFrame, group: Sequence[str]) -> list[tuple[list[tuple[str, str]], DataFrame]]:
+    """The different sets of typed columns, each with its groups; there are as many as kinds of files."""
+    signature = F.array_sort(F.collect_list(F.struct("name", "field"))).alias("signature")
+    sets = materialise(columns.groupBy(*group).agg(signature))
+    found = sorted([(c["name"], c["field"]) for c in r["signature"]] for r in sets.select("signature").distinct().collect())
+    wanted = lambda one: F.array(*[F.struct(F.lit(n).alias("name"), F.lit(f).alias("field")) for n, f in one])
+    return [(one, sets.filter(F.col("signature") == wanted(one)).select(*group)) for one in found]

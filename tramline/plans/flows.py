@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.ml import models
-from tramline.operators import clean, demand, joins, match, reports, routes as route_ops, setops
+from tramline.operators import clean, demand, joins, keyed, match, reports, routes as route_ops
 from tramline.session import materialise
-from tramline.sources import files
+from tramline.sources import claims, files
 
 NO_ROUTE = "No direct route found between these stations in the data."
 NO_FARE = "Fare not available."
@@ -58,48 +58,36 @@ def answer_trip_questions(
 
 def clean_city_files(
     spark: SparkSession, root: str, out: str, exclude: Sequence[str] = (), null_threshold: float = 0.7,
-    parallel: int = 8,
 ) -> DataFrame:
     """Clean every city file, then stack per city and over all cities.
 
-    Medians, modes and fences belong to a file, so each file is cleaned on its own and
-    written to ``<out>/by_city/<city>/<file>``, ``parallel`` files at a time.  Stacks of at least three common columns
-    go to ``<out>/by_city_combined/<city>`` and ``<out>/combined``.  Returns rows in and
-    out per file.
+    Medians, modes and fences belong to a file; all files are cleaned in one plan, and one write
+    takes all files with the same typed columns: ``<out>/by_city/layout=<n>/city=<city>/source_file=<file>``.
+    Stacks of at least three common columns go to ``<out>/by_city_combined/layout=<n>/city=<city>``
+    and ``<out>/combined``.  Returns status, reason and rows in and out per file; a file that
+    cannot be cleaned does not keep the others from it.
     """
-    def clean_one(f) -> tuple | None:
-        tagged = files.read_layout(spark, [f.path], f.separator, f.header, f.multiline)
-        raw = files.promote_types(tagged.drop("city", "source_file"))
-        rows_in = raw.count()
-        if rows_in == 0:
-            return None
-        target = f"{out}/by_city/{f.city}/{f.source_file}"
-        clean.clean_table(raw, f.city, f.source_file, null_threshold, exclude).write.mode("overwrite").parquet(target)
-        return f.city, f.source_file, rows_in, spark.read.parquet(target).count()
-
-    listed = files.scan_layouts(spark, root).filter("separator IS NOT NULL").orderBy("path").collect()
-    with ThreadPoolExecutor(parallel) as pool:
-        report = [r for r in pool.map(clean_one, listed) if r is not None]
-    cleaned: dict[str, list[DataFrame]] = {}
-    for city, name, _, _ in report:
-        cleaned.setdefault(city, []).append(spark.read.parquet(f"{out}/by_city/{city}/{name}"))
-    for city, frames in cleaned.items():
-        stacked = setops.union_common(frames)
-        if stacked is not None:
-            stacked.write.mode("overwrite").parquet(f"{out}/by_city_combined/{city}")
-    every = setops.union_common([df for frames in cleaned.values() for df in frames]) if cleaned else None
+    found = keyed.clean_cells(files.read_cells(spark, root), null_threshold, exclude)
+    cleaned = replace(found, rows=materialise(found.rows), columns=materialise(found.columns), report=materialise(found.report))
+    for n, (columns, keys) in enumerate(keyed.layouts(cleaned.columns, keyed.FILE)):
+        rows = cleaned.rows.join(keys, keyed.FILE, "left_semi").select(*keyed.FILE, *[keyed.typed_column(*c) for c in columns])
+        rows.write.mode("overwrite").partitionBy(*keyed.FILE).parquet(f"{out}/by_city/layout={n}")
+    for n, (columns, cities) in enumerate(keyed.layouts(keyed.shared_columns(cleaned.columns, ["city"]), ["city"])):
+        rows = cleaned.rows.join(cities, "city", "left_semi").select(*keyed.FILE, *[keyed.typed_column(*c) for c in columns])
+        rows.write.mode("overwrite").partitionBy("city").parquet(f"{out}/by_city_combined/layout={n}")
+    every = keyed.stacked(cleaned)
     if every is not None:
         every.write.mode("overwrite").parquet(f"{out}/combined")
-    return spark.createDataFrame(report, "city string, source_file string, rows_in long, rows_out long")
+    return cleaned.report
 
 
-def load_cleaned(spark: SparkSession, out: str, listed: DataFrame) -> DataFrame:
-    """The model table: the cleaned files of a report, stacked once.
+def load_cleaned(spark: SparkSession, out: str) -> DataFrame:
+    """The model table: the cleaned files, stacked once.
 
     City and global stacks hold the same rows again and are not read.
     """
-    paths = [f"{out}/by_city/{r.city}/{r.source_file}" for r in listed.select("city", "source_file").collect()]
-    stacked = files.combine_cities([spark.read.parquet(p) for p in paths])
+    folders = [f"{out}/by_city/{name}" for name in claims.names(spark, f"{out}/by_city")]
+    stacked = files.combine_cities([spark.read.parquet(f) for f in folders])
     return clean.drop_empty_columns(clean.drop_empty_rows(stacked))
 
 

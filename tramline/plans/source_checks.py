@@ -238,6 +238,4 @@ def cleaned_files(spark, d):
 @query("a7_combined", MESSY + "SELECT city, key::DOUBLE AS key, round(balance, 6) AS balance FROM clean")
 def combined(spark, d):
     """All files on their common columns."""
-    cleaned = clean_cities(spark, d)
-    both = keyed.stacked(cleaned.rows, cleaned.report)
-    return both.select("city", "key", F.round("balance____", 6).alias("balance"))
+    return keyed.stacked(clean_cities(spark, d)).select("city", "key", F.round("balance____", 6).alias("balance"))
