@@ -44,7 +44,7 @@ MEETING_ROWS = 1 << 16
 SKETCH = [f"bits_{i}" for i in range(4)]
 #: Up to this many words the halves of a sketch are folded, which leaves two numbers of zeros to send.
 SHORT = 100
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 SIMILAR = Fraction(4, 5)
 
@@ -80,7 +80,7 @@ def words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _groups(texts) -> Iterator[tuple[bytes, list[int]]]:
-    """Texts joined by line ends up to about a megabyte, with each one's number of lines."""
+    """Texts joined by line ends up to about ``GROUP_BYTES``, with each one's number of lines."""
     held, lines, size = [], [], 0
     for text in texts:
         held.append(text)
