@@ -23,6 +23,13 @@ def claim(spark: SparkSession, folder: str, name: str) -> bool:
     path, store = _store(spark, folder)
     file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, name)
     store.mkdirs(path)
+    if store.getScheme() == "file":
+        # The local file system of Spark looks first and creates then; the operating system does both at once.
+        try:
+            open(store.makeQualified(file).toUri().getPath(), "x").close()
+        except FileExistsError:
+            return False
+        return True
     try:
         store.create(file, False).close()
     except Py4JJavaError:
