@@ -6,16 +6,23 @@ disclose an entity as far as the corpus lets one conclude from the term to the e
 with ``n(e,t)`` documents that hold both ``e`` and ``t``, on whatever lines, ``n(t)``
 documents with ``t``, ``n(e)`` with ``e`` and ``n`` in all, the disclosure is
 ``log2(n(e,t) n / (n(e) n(t)))`` bits of the ``log2(n / n(e))`` bits that the entity has,
-and ``n(e,t) / n(t)`` is the chance to be right.  Terms that disclose at least ``share`` of
-an entity's bits with at least ``min_chance`` are spans of kind ``term`` wherever they stand,
-in documents without the entity too: removed from ``remove_from`` on, generalised below it.
+and ``n(e,t) / n(t)`` is the chance to be right.  Only evidence counts: with ``u`` different
+texts that hold both, the chance is taken at its lower bound (Wilson's, at ``z``) for
+``u`` co-occurrences, and the pair has to be unlikely by coincidence: ``u / chance`` draws
+at the rate ``n(e) / n`` give as many hits with probability ``level`` at most, over all pairs
+looked at (Chernoff's bound, which holds for draws without replacement, divided by the pairs).
+So copies are no evidence, and neither is one coincidence.  Terms whose lower bound is
+``min_chance`` or more and discloses at least ``share`` of an entity's bits are spans of kind
+``term`` wherever they stand, in documents without the entity too: removed from a chance of
+``remove_from`` on, generalised below it.
 
 Scale: patterns run only on lines with a digit or ``@`` and no match crosses a line;
-documents with spans are few and checkpointed with their terms.  Document frequencies are
-summed per task before the shuffle; so are the pairs of entity and term, whose number
-grows with the documents that hold an entity.  Words cross the network to meet the told
-terms only if a told term has their hash's bucket.  All joins are plain ones that adaptive
-execution can split.
+documents with spans are few and checkpointed with their terms.  The terms of all texts are
+found once and written.  Pairs of entity and term grow with the documents that hold an
+entity and are folded per task before the shuffle; those that could not pass with the best
+chance go first, and document frequencies are counted for the terms of the others, found by
+a bit table of fixed size.  So are the words that meet the told terms.  All joins are plain
+ones that adaptive execution can split.
 
 Defined cases: a null or empty text has no spans; every row counts as a document, rows that
 agree in id and text too, and such rows get the same spans; documents without an id are told
@@ -25,10 +32,12 @@ rows; other columns are ignored here and kept by ``sanitise``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.common import doc_key, let, running, running_sums, text_or_empty
+from tramline.llm.common import discard, doc_key, flagged, let, running, running_sums, stored, text_or_empty
 from tramline.session import materialise
 
 KINDS = ("email", "ip", "card", "phone")
@@ -123,39 +132,62 @@ def holders(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> D
     return materialise(found.groupBy("doc_id", "key").agg(F.count("*").alias("copies"), F.first("spans").alias("spans"), F.first("terms").alias("terms")))
 
 
-def document_frequency(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``term, n_t``: in how many documents each term stands."""
-    return docs.select(F.explode(terms_of(text_or_empty(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+def all_terms(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``doc_id, key, terms`` of every row, as a table that the later passes read."""
+    return stored(docs.select(F.col(doc_id).alias("doc_id"), doc_key(text).alias("key"), terms_of(text_or_empty(text)).alias("terms")), "terms")
 
 
-def disclosures(docs: DataFrame, held: DataFrame, *, text: str = "text", share: float = 0.5, min_chance: float = 0.5) -> DataFrame:
-    """``entity, term, bits, chance`` of the pairs over the thresholds; ``entity`` is the hash of its normal form."""
-    named = held.select("copies", "terms", F.explode(F.array_distinct(F.transform("spans", lambda s: F.xxhash64(entity(s["kind"], s["value"]))))).alias("entity"))
-    entities = named.groupBy("entity").agg(F.sum("copies").alias("n_e"))
-    pairs = named.select("entity", "copies", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.sum("copies").alias("n_et"))
-    total = docs.count()
-    rated = pairs.join(document_frequency(docs, text), "term").withColumn("chance", F.col("n_et") / F.col("n_t")).filter(F.col("chance") >= min_chance)
-    told = rated.join(entities, "entity").select(
-        "entity", "term", F.log2(F.col("n_et") * F.lit(total) / (F.col("n_e") * F.col("n_t"))).alias("bits"), "chance",
-        F.log2(F.lit(total) / F.col("n_e")).alias("own"))
-    return told.filter((F.col("own") > 0) & (F.col("bits") >= share * F.col("own"))).drop("own")
+def lower_bound(hits: Column, chance: Column, z: float) -> Column:
+    """Wilson's lower bound of a chance seen in ``hits / chance`` draws."""
+    n = hits / chance
+    return (chance + z * z / (2 * n) - z * F.sqrt(chance * (1 - chance) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-TOLD_BUCKETS = 1 << 22
+def surprise(hits: Column, chance: Column, base: Column) -> Column:
+    """A lower bound of ``-ln`` of the probability that ``hits / chance`` draws at the rate ``base`` hit that often."""
+    missed = F.when(chance < 1, (1 - chance) * F.ln((1 - chance) / (1 - base))).otherwise(0.0)
+    return F.when(chance > base, hits / chance * (chance * F.ln(chance / base) + missed)).otherwise(0.0)
 
 
-def term_places(docs: DataFrame, terms: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id, key, start, end, chance`` of every place of the ``terms`` in all texts."""
-    def in_buckets(df: DataFrame, wanted: DataFrame, *names: str) -> DataFrame:
-        bucket = F.pmod(F.xxhash64(*names), F.lit(TOLD_BUCKETS)).cast("int").alias("bucket")
-        return df.select("*", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
+def disclosures(
+    terms: DataFrame, held: DataFrame, *, share: float = 0.5, min_chance: float = 0.5, z: float = 1.96, level: float = 0.01,
+) -> DataFrame:
+    """``entity, term, bits, chance`` of the pairs over the thresholds; ``entity`` is the hash of its normal form.
 
-    named = docs.select(F.col(doc_id).alias("doc_id"), doc_key(text).alias("key"), text_or_empty(text).alias("text"))
+    ``terms`` are those of all rows, ``held`` the documents with spans.
+    """
+    said = F.array_distinct(F.transform("spans", lambda s: F.xxhash64(entity(s["kind"], s["value"]))))
+    texts = held.groupBy("key").agg(F.sum("copies").alias("copies"), F.first(said).alias("said"), F.first("terms").alias("terms"))
+    named = texts.select("copies", "terms", F.explode("said").alias("entity"))
+    entities = named.groupBy("entity").agg(F.sum("copies").alias("n_e"))
+    total = terms.count()
+    looked_at = texts.agg(F.sum(F.size("said").cast("double") * F.size("terms"))).first()[0] or 0.0
+    if not looked_at:
+        return named.limit(0).select("entity", F.lit("").alias("term"), F.lit(0.0).alias("bits"), F.lit(0.0).alias("chance"))
+    needed = math.log(looked_at / level)
+    base, one = F.col("n_e") / F.lit(total), F.lit(1.0)
+    pairs = named.select("entity", "copies", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.sum("copies").alias("n_et"), F.count("*").alias("u"))
+    # Whatever n(t) is, a pair that fails at a chance of one fails.
+    open_pairs = pairs.filter(lower_bound(F.col("u"), one, z) >= min_chance).join(entities, "entity")
+    open_pairs = materialise(open_pairs.filter((base < 1) & (surprise(F.col("u"), one, base) >= needed)))
+    words = terms.select(F.explode("terms").alias("term"))
+    frequency = flagged(words, open_pairs, ["term"], "asked").filter("asked").groupBy("term").agg(F.count("*").alias("n_t"))
+    rated = open_pairs.join(frequency, "term").withColumn("chance", F.col("n_et") / F.col("n_t")).withColumn("sure", lower_bound(F.col("u"), F.col("chance"), z))
+    bits, own = F.log2(F.col("sure") / base), F.log2(1 / base)
+    told = rated.filter((F.col("sure") >= min_chance) & (surprise(F.col("u"), F.col("chance"), base) >= needed) & (bits >= share * own))
+    return told.select("entity", "term", bits.alias("bits"), "chance")
+
+
+def term_places(docs: DataFrame, all_terms: DataFrame, told: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``doc_id, key, start, end, chance`` of every place of the ``told`` terms in all texts; ``all_terms`` is deleted."""
     # Only documents with a told term have their words placed, which costs the most.
-    held = in_buckets(named.select("doc_id", "key", F.explode(terms_of(F.col("text"))).alias("term")), terms, "term").join(terms, "term", "left_semi")
-    words = in_buckets(named, held, "doc_id", "key").select("doc_id", "key", F.explode(matches(F.col("text"), TERM)).alias("w"))
-    asked = in_buckets(words.select("doc_id", "key", "w.start", "w.end", F.lower("w.value").alias("term")), terms, "term")
-    return asked.join(terms, "term").groupBy("doc_id", "key", "start", "end").agg(F.max("chance").alias("chance"))
+    some = flagged(all_terms.select("doc_id", "key", F.explode("terms").alias("term")), told, ["term"], "asked").filter("asked")
+    held = stored(some.join(told, "term", "left_semi").select("doc_id", "key").distinct(), "term_holders")
+    discard(all_terms)
+    named = docs.select(F.col(doc_id).alias("doc_id"), doc_key(text).alias("key"), text_or_empty(text).alias("text"))
+    words = flagged(named, held, ["doc_id", "key"], "asked").filter("asked").select("doc_id", "key", F.explode(matches(F.col("text"), TERM)).alias("w"))
+    asked = flagged(words.select("doc_id", "key", "w.start", "w.end", F.lower("w.value").alias("term")), told, ["term"], "asked").filter("asked")
+    return asked.join(told, "term").groupBy("doc_id", "key", "start", "end").agg(F.max("chance").alias("chance"))
 
 
 SPANS = "array<struct<rank:int,kind:string,start:bigint,end:bigint,label:string>>"
@@ -163,17 +195,19 @@ SPANS = "array<struct<rank:int,kind:string,start:bigint,end:bigint,label:string>
 
 def find_private(
     docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", share: float = 0.5, min_chance: float = 0.5, remove_from: float = 0.9,
+    z: float = 1.96, level: float = 0.01,
 ) -> DataFrame:
     """``doc_id, key, spans`` per different document; spans by kind as listed, terms last, then by start."""
-    held = holders(docs, text=text, doc_id=doc_id)
+    held, every = holders(docs, text=text, doc_id=doc_id), all_terms(docs, text=text, doc_id=doc_id)
     # One term may be told by several entities: the strictest treatment holds.
-    told = materialise(disclosures(docs, held, text=text, share=share, min_chance=min_chance).groupBy("term").agg(F.max("chance").alias("chance")))
+    pairs = disclosures(every, held, share=share, min_chance=min_chance, z=z, level=level)
+    told = materialise(pairs.groupBy("term").agg(F.max("chance").alias("chance")))
     base = held.select("doc_id", "key", F.explode("spans").alias("s")).select(
         "doc_id", "key", F.struct(
             (F.array_position(F.array(*map(F.lit, KINDS)), F.col("s.kind")) - 1).cast("int").alias("rank"), F.col("s.kind").alias("kind"),
             F.col("s.start").alias("start"), F.col("s.end").alias("end"),
             F.element_at(F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair]), F.col("s.kind")).alias("label")).alias("span"))
-    terms = term_places(docs, told, text=text, doc_id=doc_id).select(
+    terms = term_places(docs, every, told, text=text, doc_id=doc_id).select(
         "doc_id", "key", F.struct(
             F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"), "start", "end",
             F.when(F.col("chance") >= remove_from, F.lit("")).otherwise(F.lit("[TERM]")).alias("label")).alias("span"))
