@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import types as _types
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,13 +21,18 @@ def let(value: Column, use) -> Column:
 
 
 def worker_store(name: str) -> dict:
-    """A dict that lives as long as the Python worker.
+    """A dict that lives as long as the Python worker, or until another one is asked for.
 
     Functions travel to workers by value, so a module's own globals are new in every
-    task; this entry of ``sys.modules`` is not.
+    task; this entry of ``sys.modules`` is not.  Workers go on from stage to stage: what one
+    operator's tasks kept would stand beside the next one's tables.
     """
-    module = sys.modules.setdefault("tramline_worker_store", _types.ModuleType("tramline_worker_store"))
-    return module.__dict__.setdefault(name, {})
+    stores = sys.modules.setdefault("tramline_worker_store", _types.ModuleType("tramline_worker_store")).__dict__.setdefault("stores", {})
+    if name not in stores:
+        stores.clear()
+        pa.default_memory_pool().release_unused()
+        stores[name] = {}
+    return stores[name]
 
 
 def text_or_empty(name: str = "text") -> Column:

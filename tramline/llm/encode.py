@@ -22,6 +22,8 @@ CACHED_WORDS = 200_000
 #: What the tokenizer must be for words to be independent of each other.
 NORMALISERS = ["NFC", "Replace", "Lowercase"]
 SPLITTERS = ["Split", "ByteLevel"]
+#: The split that ``PIECES`` repeats.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def byte_letters() -> list[str]:
@@ -42,11 +44,11 @@ class WordEncoder:
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise RuntimeError("ids are written as this machine's unsigned 32-bit numbers, which must be little-endian")
         self.whole = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            parts = json.load(f)
-        kinds = [n["type"] for n in parts["normalizer"]["normalizers"]], [p["type"] for p in parts["pre_tokenizer"]["pretokenizers"]]
-        if kinds != (NORMALISERS, SPLITTERS):
-            raise ValueError(f"{path}: words are not independent under {kinds}")
+        normaliser, splitter = (json.loads(part.__getstate__()) for part in (self.whole.normalizer, self.whole.pre_tokenizer))
+        steps = splitter.get("pretokenizers", [])
+        kinds = [n["type"] for n in normaliser.get("normalizers", [])], [p["type"] for p in steps]
+        if kinds != (NORMALISERS, SPLITTERS) or steps[0]["pattern"] != {"Regex": SPLIT}:
+            raise ValueError(f"{path}: words are not independent under {kinds}, or split in another way")
         self.model = self.whole.model
         self.letters = byte_letters()
         self.ends: dict[str, bytes] = {}
