@@ -178,19 +178,29 @@ def disclosures(
     return told.select("entity", "term", bits.alias("bits"), "chance")
 
 
-def term_places(docs: DataFrame, all_terms: DataFrame, told: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id, key, start, end, chance`` of every place of the ``told`` terms in all texts; ``all_terms`` is deleted."""
-    # Only documents with a told term have their words placed, which costs the most.
-    some = flagged(all_terms.select("doc_id", "key", F.explode("terms").alias("term")), told, ["term"], "asked").filter("asked")
-    held = stored(some.join(told, "term", "left_semi").select("doc_id", "key").distinct(), "term_holders")
-    discard(all_terms)
-    named = docs.select(F.col(doc_id).alias("doc_id"), doc_key(text).alias("key"), text_or_empty(text).alias("text"))
-    words = flagged(named, held, ["doc_id", "key"], "asked").filter("asked").select("doc_id", "key", F.explode(matches(F.col("text"), TERM)).alias("w"))
-    asked = flagged(words.select("doc_id", "key", "w.start", "w.end", F.lower("w.value").alias("term")), told, ["term"], "asked").filter("asked")
-    return asked.join(told, "term").groupBy("doc_id", "key", "start", "end").agg(F.max("chance").alias("chance"))
+SPANS = "array<struct<rank:int,kind:string,start:bigint,end:bigint,label:string>>"
 
 
-SPANS = "array<struct<rank:int,kind:string,start:bigint,end:bigint,label:string>>"
+def span(rank: Column, kind: Column, found: Column, label: Column) -> Column:
+    return F.struct(rank.cast("int").alias("rank"), kind.alias("kind"), found["start"].alias("start"), found["end"].alias("end"), label.alias("label"))
+
+
+def term_spans(
+    docs: DataFrame, every: DataFrame, told: DataFrame, *, text: str = "text", doc_id: str = "doc_id", remove_from: float = 0.9,
+) -> DataFrame:
+    """``doc_id, key, spans`` of every different document with a ``told`` term; ``every`` (of ``all_terms``) is deleted."""
+    # Only documents with a told term have their words placed, which costs the most.
+    some = flagged(every.select("doc_id", "key", F.explode("terms").alias("term")), told, ["term"], "asked").filter("asked")
+    held = some.join(told, "term").groupBy("doc_id", "key").agg(F.map_from_entries(F.collect_set(F.struct("term", "chance"))).alias("told"))
+    held = stored(held.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "told"), "term_holders")
+    discard(every)
+    named = docs.select(F.col(doc_id).alias("__id"), doc_key(text).alias("__key"), text_or_empty(text).alias("text"))
+    asked = flagged(named, held, ["__id", "__key"], "asked").filter("asked").select(F.col("__id").alias("doc_id"), F.col("__key").alias("key"), "text")
+    both = asked.join(held, [F.col("doc_id").eqNullSafe(F.col("__id")), F.col("key") == F.col("__key")])
+    chance = lambda w: F.try_element_at("told", F.lower(w["value"]))
+    places = F.filter(matches(F.col("text"), TERM), lambda w: chance(w).isNotNull())
+    spans = F.transform(places, lambda w: span(F.lit(len(KINDS)), F.lit("term"), w, F.when(chance(w) >= remove_from, F.lit("")).otherwise(F.lit("[TERM]"))))
+    return both.select("doc_id", "key", spans.alias("spans")).dropDuplicates(["doc_id", "key"])
 
 
 def find_private(
@@ -202,16 +212,11 @@ def find_private(
     # One term may be told by several entities: the strictest treatment holds.
     pairs = disclosures(every, held, share=share, min_chance=min_chance, z=z, level=level)
     told = materialise(pairs.groupBy("term").agg(F.max("chance").alias("chance")))
-    base = held.select("doc_id", "key", F.explode("spans").alias("s")).select(
-        "doc_id", "key", F.struct(
-            (F.array_position(F.array(*map(F.lit, KINDS)), F.col("s.kind")) - 1).cast("int").alias("rank"), F.col("s.kind").alias("kind"),
-            F.col("s.start").alias("start"), F.col("s.end").alias("end"),
-            F.element_at(F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair]), F.col("s.kind")).alias("label")).alias("span"))
-    terms = term_places(docs, every, told, text=text, doc_id=doc_id).select(
-        "doc_id", "key", F.struct(
-            F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"), "start", "end",
-            F.when(F.col("chance") >= remove_from, F.lit("")).otherwise(F.lit("[TERM]")).alias("label")).alias("span"))
-    spans = base.unionByName(terms).groupBy("doc_id", "key").agg(F.sort_array(F.collect_list("span")).alias("spans"))
+    label = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
+    base = held.select("doc_id", "key", F.transform("spans", lambda s: span(
+        F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]) - 1, s["kind"], s, F.element_at(label, s["kind"]))).alias("spans"))
+    terms = term_spans(docs, every, told, text=text, doc_id=doc_id, remove_from=remove_from)
+    spans = base.unionByName(terms).groupBy("doc_id", "key").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), doc_key(text).alias("key"))
     joined = rows.join(spans.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "spans"), [F.col("doc_id").eqNullSafe(F.col("__id")), F.col("key") == F.col("__key")], "left")
     return joined.select("doc_id", "key", F.coalesce("spans", F.array().cast(SPANS)).alias("spans")).withColumnRenamed("doc_id", doc_id)
