@@ -8,8 +8,9 @@ a lower bound of such words) drop pairs that cannot reach the similarity; the re
 verified on the lines' whole words.  A line goes if an earlier line (by ``doc_id``, line, row) is similar.
 
 Equal sets are folded before the join: all but the first go at once, and only first lines
-join.  Rarity is read from a table of ``2 ** BUCKET_BITS`` corpus counts by word hash, of
-fixed size; it only orders words, so a shared bucket costs time and never a pair.
+join.  Rarity is read from a table of ``2 ** BUCKET_BITS`` levels of corpus counts by word
+hash, of fixed size; it only orders words, so a shared bucket costs time and never a pair.
+All prefix words are sent, also rare ones: the share that crosses is the same at every size.
 
 Scale: per line about a fifth of its words cross the network as rows of eight numbers.
 Lines that meet at a word are compared as a stream; where ``HOT`` lines or more meet, each
@@ -44,7 +45,12 @@ MEETING_ROWS = 1 << 16
 SKETCH = [f"bits_{i}" for i in range(4)]
 #: Up to this many words the halves of a sketch are folded, which leaves two numbers of zeros to send.
 SHORT = 100
+#: Up to this many words they are folded to one.
+TINY = 40
 GROUP_BYTES = 1 << 18
+COUNTS_SENT = 1 << 20
+#: Levels of rarity, and where line and level stand in the number by which words are sorted.
+LEVELS, LEVEL_AT, LINE_AT = 1024, 32, 42
 BASE = 0x9E3779B97F4A7C15
 SIMILAR = Fraction(4, 5)
 
@@ -70,8 +76,9 @@ def words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     data = np.frombuffer(text.lower(), np.uint8)
     letters, powers, inverse = _tables(len(data))
-    inside = IN_WORD[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = IN_WORD[data]
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[::2], edge[1::2]
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(letters[data] * powers[: len(data)], out=sums[1:])
@@ -79,36 +86,51 @@ def words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(np.flatnonzero(data == 0x0A), start)
 
 
-def _groups(texts) -> Iterator[tuple[bytes, list[int]]]:
-    """Texts joined by line ends up to about ``GROUP_BYTES``, with each one's number of lines."""
-    held, lines, size = [], [], 0
-    for text in texts:
-        held.append(text)
-        lines.append(text.count(b"\n") + 1)
-        size += len(text)
-        if size >= GROUP_BYTES:
-            yield b"\n".join(held), lines
-            held, lines, size = [], [], 0
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A text cut at line ends into pieces of ``GROUP_BYTES`` or, to the end of a line, more."""
+    at = 0
+    while (cut := text.find(b"\n", at + GROUP_BYTES)) >= 0:
+        yield text[at:cut]
+        at = cut + 1
+    yield text[at:]
+
+
+def _groups(texts) -> Iterator[tuple[bytes, np.ndarray]]:
+    """Pieces of texts joined by line ends up to about ``GROUP_BYTES``; per piece its text's number, first line and lines."""
+    held, told, size = [], [], 0
+    for number, text in enumerate(texts):
+        base = 0
+        for piece in _pieces(text):
+            lines = piece.count(b"\n") + 1
+            held.append(piece)
+            told.append((number, base, lines))
+            base, size = base + lines, size + len(piece)
+            if size >= GROUP_BYTES:
+                yield b"\n".join(held), np.array(told)
+                held, told, size = [], [], 0
     if held:
-        yield b"\n".join(held), lines
+        yield b"\n".join(held), np.array(told)
 
 
-def word_counts(docs: DataFrame, text: str) -> np.ndarray:
-    """How often words of each hash bucket stand in the corpus; ``2 ** BUCKET_BITS`` numbers."""
+def rarity_levels(docs: DataFrame, text: str) -> np.ndarray:
+    """How often words of each hash bucket stand in the corpus, in 32 levels for each doubling; ``2 ** BUCKET_BITS`` numbers."""
     size = 1 << BUCKET_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int32)
         for batch in batches:
             for joined, _ in _groups(t.as_py() for t in batch.column(0)):
-                np.add.at(counts, (words(joined)[0] & np.uint64(size - 1)).astype(np.int64), 1)
-        used = np.flatnonzero(counts)
-        yield pa.record_batch({"bucket": pa.array(used.astype(np.int32)), "n": pa.array(counts[used].astype(np.int64))})
+                np.add.at(counts, (words(joined)[0] & np.uint64(size - 1)).astype(np.int64), np.int32(1))
+        for at in range(0, size, COUNTS_SENT):
+            used = np.flatnonzero(counts[at : at + COUNTS_SENT]) + at
+            yield pa.record_batch({"bucket": pa.array(used.astype(np.int32)), "n": pa.array(counts[used].astype(np.int64))})
 
-    summed = docs.select(utf8(text)).mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(size, np.int32)
-    counts[summed["bucket"].to_numpy()] = np.minimum(summed["n"].to_numpy(), (1 << 31) - 1)
-    return counts
+    summed = docs.select(utf8(text)).mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    level = F.least(F.floor(F.log2("n") * 32), F.lit(LEVELS - 1)).cast("short")
+    told = summed.select("bucket", level.alias("level")).toArrow()
+    levels = np.zeros(size, np.uint16)
+    levels[told["bucket"].to_numpy()] = told["level"].to_numpy()
+    return levels
 
 
 def prefix_size(size: np.ndarray, similarity: Fraction) -> np.ndarray:
@@ -116,46 +138,53 @@ def prefix_size(size: np.ndarray, similarity: Fraction) -> np.ndarray:
     return size + (-size * similarity.numerator // similarity.denominator) + 1
 
 
-def _line_sets(counts, similarity: Fraction):
-    """One row per line with a word: name of the set, size, prefix words (0: one that no other line has).
+def _line_sets(levels, similarity: Fraction):
+    """One row per line with a word: name of the set, size, prefix words.
 
     Within a batch equal sets fold into their first line; the others are marked ``again``
     and get a name of their own, since nothing more is asked of them.
     """
 
-    def sets(joined: bytes, lines: list[int], doc, row, rarity):
+    def sets(joined: bytes, told: np.ndarray, doc, row, rarity):
+        number, base, lines = told.T
         ends = np.cumsum(lines)
+        if ends[-1] >> (64 - LINE_AT):
+            raise ValueError("too many lines in a group")
         hashes, line = words(joined)
-        often = rarity[(hashes & np.uint64(len(rarity) - 1)).astype(np.int64)]
-        order = np.lexsort((hashes, often, line))
-        hashes, line, often = hashes[order], line[order], often[order]
+        level = rarity[(hashes & np.uint64(len(rarity) - 1)).astype(np.int64)].astype(np.uint64)
+        key = (line.astype(np.uint64) << np.uint64(LINE_AT)) | (level << np.uint64(LEVEL_AT)) | (hashes >> np.uint64(32))
+        order = np.argsort(key)
+        if ((key[order[1:]] == key[order[:-1]]) & (hashes[order[1:]] != hashes[order[:-1]])).any():
+            # Words of a line that share their first 32 bits: equal ones must stand together.
+            order = np.lexsort((hashes, key))
+        hashes, line = hashes[order], line[order]
         new = np.ones(len(line), bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
-        hashes, line, often = hashes[new], line[new], often[new]
+        hashes, line = hashes[new], line[new]
         first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])[: len(line)])
         size = np.diff(np.concatenate([first, [len(line)]]))
         name = mix(np.add.reduceat(mix(hashes), first) + size.astype(np.uint64)) if len(first) else np.empty(0, np.uint64)
         bit = np.uint64(1) << (hashes & np.uint64(63))
         part = (hashes >> np.uint64(6)) & np.uint64(len(SKETCH) - 1)
         sketch = [np.bitwise_xor.reduceat(np.where(part == i, bit, np.uint64(0)), first).astype(np.int64) if len(first) else name.astype(np.int64) for i in range(len(SKETCH))]
-        for i in (0, 1):
-            sketch[i] = np.where(size <= SHORT, sketch[i] ^ sketch[i + 2], sketch[i])
-            sketch[i + 2] = np.where(size <= SHORT, 0, sketch[i + 2])
-        owner = np.searchsorted(ends, line[first], side="right")
+        for most, parts in ((SHORT, 2), (TINY, 1)):
+            for i in range(parts):
+                sketch[i] = np.where(size <= most, sketch[i] ^ sketch[i + parts], sketch[i])
+                sketch[i + parts] = np.where(size <= most, 0, sketch[i + parts])
+        piece = np.searchsorted(ends, line[first], side="right")
+        owner = number[piece]
         # Sets of up to three words are similar to equal ones only.
         take = np.where(size > 3, prefix_size(size, similarity), 0)
         at = np.repeat(first - np.cumsum(take) + take, take) + np.arange(take.sum())
-        prefix = np.where(often[at] == 1, 0, (hashes[at] >> np.uint64(32)).astype(np.int64)).astype(np.uint32).astype(np.int32)
-        return name.astype(np.int64), doc[owner], row[owner], line[first] - (ends - lines)[owner], size, take, prefix, *sketch
+        prefix = (hashes[at] >> np.uint64(32)).astype(np.uint32).astype(np.int32)
+        return name.astype(np.int64), doc[owner], row[owner], line[first] - (ends - lines - base)[piece], size, take, prefix, *sketch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity = counts.value
+        rarity = levels.value
         for batch in batches:
             ids, numbers, texts = batch.columns
-            ids, numbers, done, parts = ids.to_numpy(), numbers.to_numpy(), 0, []
-            for joined, lines in _groups(t.as_py() for t in texts):
-                parts.append(sets(joined, lines, ids[done : done + len(lines)], numbers[done : done + len(lines)], rarity))
-                done += len(lines)
+            ids, numbers = ids.to_numpy(), numbers.to_numpy()
+            parts = [sets(joined, told, ids, numbers, rarity) for joined, told in _groups(t.as_py() for t in texts)]
             if not parts:
                 continue
             name, doc, row, line, size, take, prefix, *sketch = (np.concatenate(p) for p in zip(*parts))
@@ -174,6 +203,16 @@ def _line_sets(counts, similarity: Fraction):
     return run
 
 
+def _differing(parts: list[np.ndarray], smaller: np.ndarray) -> np.ndarray:
+    """Bits that differ between the sketches of two lines, from their parts' difference and the smaller size."""
+    halves = [parts[i] ^ parts[i + 2] for i in (0, 1)]
+    bits = np.bitwise_count(halves[0] ^ halves[1]).astype(np.int64)
+    for least, kept in ((TINY, halves), (SHORT, parts)):
+        at = np.flatnonzero(smaller > least)
+        bits[at] = sum(np.bitwise_count(x[at]).astype(np.int64) for x in kept)
+    return bits
+
+
 MEETINGS = "row bigint, line int, row_b bigint, line_b int, word int"
 
 
@@ -231,9 +270,7 @@ def _meet(similarity: Fraction):
                 near = np.flatnonzero((needed <= np.minimum(rest[active], rest[other])) & ((row[active] != row[other]) | (line[active] != line[other])))
                 one, two = active[near], other[near]
                 differ = [x[one] ^ x[two] for x in sketch]
-                folded = sum(np.bitwise_count(differ[i] ^ differ[i + 2]).astype(np.int64) for i in (0, 1))
-                whole = sum(np.bitwise_count(x).astype(np.int64) for x in differ)
-                fits = np.where((size[one] <= SHORT) == (size[two] <= SHORT), whole, folded) <= (both - 2 * needed)[near]
+                fits = _differing(differ, np.minimum(size[one], size[two])) <= (both - 2 * needed)[near]
                 one, two = one[fits], two[fits]
                 later.append(one)
                 earlier.append(two)
@@ -285,10 +322,14 @@ def _alike(similarity: Fraction) -> Column:
     both = F.col("size") + F.col("size_b")
     needed = F.ceil(both * similarity.numerator / (similarity.numerator + similarity.denominator))
     parts = [F.col(c).bitwiseXOR(F.col(f"{c}_b")) for c in SKETCH]
-    folded = F.bit_count(parts[0].bitwiseXOR(parts[2])) + F.bit_count(parts[1].bitwiseXOR(parts[3]))
-    same_kind = (F.col("size") <= SHORT) == (F.col("size_b") <= SHORT)
-    differ = F.when(same_kind, sum((F.bit_count(p) for p in parts), F.lit(0))).otherwise(folded)
-    return (needed <= F.least("size", "size_b")) & (differ <= both - 2 * needed)
+    halves = [parts[i].bitwiseXOR(parts[i + 2]) for i in (0, 1)]
+    smaller = F.least("size", "size_b")
+    differ = (
+        F.when(smaller <= TINY, F.bit_count(halves[0].bitwiseXOR(halves[1])))
+        .when(smaller <= SHORT, F.bit_count(halves[0]) + F.bit_count(halves[1]))
+        .otherwise(sum((F.bit_count(p) for p in parts), F.lit(0)))
+    )
+    return (needed <= smaller) & (differ <= both - 2 * needed)
 
 
 def _second(df: DataFrame, *shared: str) -> DataFrame:
@@ -311,9 +352,9 @@ def _verified(likely: DataFrame, texts: DataFrame, similarity: Fraction) -> Data
 
 def removed_lines(texts: DataFrame, similarity: Fraction) -> DataFrame:
     """``row, line`` of every line that goes, of ``texts (doc, row, text)``."""
-    counts = texts.sparkSession.sparkContext.broadcast(word_counts(texts, "text"))
+    levels = texts.sparkSession.sparkContext.broadcast(rarity_levels(texts, "text"))
     schema = "name bigint, doc bigint, row bigint, line int, size int, again boolean, prefix array<int>, " + ", ".join(f"{c} bigint" for c in SKETCH)
-    sets = texts.select("doc", "row", utf8("text")).mapInArrow(_line_sets(counts, similarity), schema)
+    sets = texts.select("doc", "row", utf8("text")).mapInArrow(_line_sets(levels, similarity), schema)
     order = W.partitionBy("name").orderBy("doc", "line", "row")
     ranked = sets.withColumn("again", F.col("again") | (F.row_number().over(order) > 1))
     first = lambda c: F.when(~F.col("again"), F.col(c)).alias(c)
@@ -322,9 +363,9 @@ def removed_lines(texts: DataFrame, similarity: Fraction) -> DataFrame:
     known = stored(known.sortWithinPartitions("doc", "row", "line"), "line_sets")
     lines = known.filter("not again")
     place_of = F.posexplode("prefix").alias("place", "word")
-    entries = lines.select("doc", "row", "line", "size", *SKETCH, place_of).filter("word <> 0")
+    entries = lines.select("doc", "row", "line", "size", *SKETCH, place_of)
     # Two numbers of 32 bits in one field: half of the bytes that would cross are heads of fields.
-    packed = lines.select("doc", "row", _pack("line", "size").alias("line_size"), *SKETCH, place_of).filter("word <> 0").select(
+    packed = lines.select("doc", "row", _pack("line", "size").alias("line_size"), *SKETCH, place_of).select(
         _pack("word", "place").alias("word_place"), "doc", "row", "line_size", *SKETCH)
     word = F.shiftright("word_place", 32)
     sorted_entries = packed.repartition(word).sortWithinPartitions(word, "doc", "line_size", "row").drop("doc")
@@ -336,15 +377,17 @@ def removed_lines(texts: DataFrame, similarity: Fraction) -> DataFrame:
     late_places = stored(met.filter("word is not null").select("row", "line", "word").join(close, ["row", "line"], "left_anti"), "late_places")
     discard(met)
     if not late_places.isEmpty():
-        hot = flagged(entries, late_places, ["word"], "asked").filter("asked").drop("asked")
+        hot = stored(flagged(entries, late_places, ["word"], "asked").filter("asked").drop("asked"), "hot_entries")
         # Only the lines asked for cross the network to learn their size and sketch.
-        late = flagged(entries, late_places, ["row", "line", "word"], "asked").filter("asked").drop("asked").join(late_places, ["row", "line", "word"], "left_semi")
+        late = flagged(hot, late_places, ["row", "line", "word"], "asked").filter("asked").drop("asked").join(late_places, ["row", "line", "word"], "left_semi")
         before = F.struct("doc_b", "line_b", "row_b") < F.struct("doc", "line", "row")
         rest = F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b"))
         both = F.col("size") + F.col("size_b")
         reachable = rest * (similarity.numerator + similarity.denominator) >= both * similarity.numerator
         held = late.join(_second(hot, "word"), "word").filter(before & reachable & _alike(similarity)).select(*pair).distinct()
-        close = close.unionByName(_verified(stored(held, "late_pairs"), texts, similarity))
+        late_pairs = stored(held, "late_pairs")
+        discard(hot)
+        close = close.unionByName(_verified(late_pairs, texts, similarity))
     return known.filter("again").select("row", "line").unionByName(close)
 
 
