@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tramline.functions.fixed_values import MEDIA_REPLY
 from tramline.operators.match import find_best_answer
+from tramline.plans import stream_checks
 from tramline.sources.snapshots import live_feed
 from tramline.streaming import feedback, messages
 from tramline.streaming.demand_stream import rolling_demand, write_append
@@ -133,3 +134,23 @@ def test_feedback(spark):
     rows = {r.question: (r.n, r.avg_rating, r.with_text) for r in feedback.feedback_summary(feedback.feedback_defaults(df)).collect()}
     assert rows == {"q": (2, 2.0, 1), "": (1, 0.0, 0)}
     assert feedback.feedback_summary(feedback.feedback_defaults(df)).columns[0] == "question"
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_tables_of_several_files_stream(spark, tmp_path, files):
+    """A table is one file or a folder of files; each is a stream of all its rows."""
+    turns = spark.createDataFrame([(c, t, "user", f"text {c}") for c in range(1, 7) for t in range(3)], "conv_id long, turn long, role string, text string")
+    vectors = spark.createDataFrame([(i, [1.0, float(i)], i % 2) for i in range(9)], "vec_id long, embedding array<float>, label int")
+    for name, rows in (("conversations", turns), ("embeddings", vectors)):
+        rows.repartition(files).write.parquet(str(tmp_path / ("written" + name)))
+        parts = sorted((tmp_path / ("written" + name)).glob("part-*.parquet"))
+        assert len(parts) == files
+        if files == 1:
+            parts[0].rename(tmp_path / f"{name}.parquet")
+        else:
+            parts[0].parent.rename(tmp_path / f"{name}.parquet")
+    flat = stream_checks.flat_messages(spark, str(tmp_path))
+    streamed = stream_checks.flat_messages_streamed(spark, str(tmp_path))
+    assert sorted(streamed.collect()) == sorted(flat.collect()) and flat.count() == 36
+    answers = stream_checks.answered_stream(spark, str(tmp_path)).collect()
+    assert sorted((r.question_id, r.corpus_id, r.answer) for r in answers) == [(i, i, f"label {i % 2}") for i in range(9)]

@@ -21,9 +21,12 @@ BODY_SQL = "CASE WHEN turn % 4 = 0 THEN ['hi', 'HELP', 'Start', 'hello'][conv_id
 
 
 def stream_of(spark, d, name: str) -> DataFrame:
-    """A given table as a stream of files."""
+    """A given table, one file or a folder of files, as a stream of files.
+
+    The path is written as a pattern: of a plain one Spark takes a base for its batches, which must be a folder.
+    """
     batch = table(spark, d, name)
-    return spark.readStream.schema(batch.schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return spark.readStream.schema(batch.schema).parquet(f"{d.rstrip('/')}/{name}[.]parquet")
 
 
 def payloads(conversations: DataFrame) -> DataFrame:
