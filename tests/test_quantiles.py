@@ -86,3 +86,12 @@ def test_infinite_values(spark):
     df = spark.createDataFrame(values, "x double")
     found = {r.p: r.value for r in exact_quantiles(df, ["x"], [0.0, 0.25, 0.5, 0.75, 1.0]).collect()}
     assert found[0.25] == 1.0 and found[0.5] == 2.0 and found[0.75] == 3.0
+
+
+def test_rows_of_a_group_stay_where_they_are(spark):
+    """A group may hold most rows: the few lines that steer go to the rows, never the rows to one task by their group."""
+    rows = spark.range(4000).selectExpr("'a' as k", "cast(id % 997 as double) as value").localCheckpoint()
+    found = quantiles.group_quantiles(rows, ["k"], [0.25, 0.5], 50)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+    assert {r.p: r.value for r in found.collect()} == {p: float(np.quantile(np.arange(4000) % 997, p)) for p in (0.25, 0.5)}

@@ -16,14 +16,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tramline.session import materialise
+from tramline.session import is_broadcast_size, materialise
 
 SKETCH_SIZE = 200
 RANK_MARGIN = 0.03
 #: A sketch is kept as its values at so many equal steps of rank.
 STEPS = 64
 #: So many values of a bracket are sorted in one task.
-ENOUGH = 1 << 20
+ENOUGH = 1 << 18
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
@@ -37,7 +37,8 @@ def group_quantiles(long: DataFrame, keys: Sequence[str], probs: Sequence[float]
 
     Every round is one pass over the rows, for all groups and quantiles together; their number
     grows with the logarithm of the largest group.  What is kept of a round, and joined to the
-    rows of the next, is one line per group and quantile.
+    rows of the next, is one line per group and quantile; if these lines measure small the rows
+    stay where they are, since a group may hold most of them.
     """
     keys = list(keys)
     values = long.select(*keys, "value").filter(F.col("value").isNotNull() & ~F.isnan("value"))
@@ -55,6 +56,11 @@ def group_quantiles(long: DataFrame, keys: Sequence[str], probs: Sequence[float]
     return _picked(values, targets, keys)
 
 
+def _to_all(lines: DataFrame) -> DataFrame:
+    """Lines for a join with the rows; Spark cannot tell the size of a checkpoint."""
+    return F.broadcast(lines) if is_broadcast_size(lines) else lines
+
+
 def _steps(sketch: Column) -> Column:
     return F.kll_sketch_get_quantile_double(sketch, F.lit([i / STEPS for i in range(STEPS + 1)]))
 
@@ -71,7 +77,7 @@ def _narrowed(values: DataFrame, targets: DataFrame, keys: list[str]) -> DataFra
         "lo_next": F.coalesce(step(F.floor((share - RANK_MARGIN) * STEPS)), "lo"), "hi_next": F.coalesce(step(F.ceil((share + RANK_MARGIN) * STEPS)), "hi")})
     value, lo, hi = F.col("value"), F.col("lo_next"), F.col("hi_next")
     between = (value > lo) & (value < hi)
-    counted = values.join(tried.select(*keys, "p", "lo_next", "hi_next"), keys).groupBy(*keys, "p").agg(
+    counted = values.join(_to_all(tried.select(*keys, "p", "lo_next", "hi_next")), keys).groupBy(*keys, "p").agg(
         F.count_if(value < lo).alias("under"), F.count_if(value == lo).alias("at_lo"), F.count_if(between).alias("mid"),
         F.count_if((value == hi) & (hi > lo)).alias("at_hi"), F.kll_sketch_agg_double(F.when(between, value), SKETCH_SIZE).alias("sketch"))
     known = tried.join(counted, [*keys, "p"])
@@ -99,7 +105,7 @@ def _picked(values: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame
     # Several quantiles may still share a bracket, which is folded once.
     brackets = targets.select(*bracket).distinct()
     place = F.when(value < lo, -1).when(value > hi, 1).otherwise(0).alias("place")
-    folded = values.join(brackets, keys).groupBy(*bracket, place, F.when(value.between(lo, hi), value).alias("at")).agg(
+    folded = values.join(_to_all(brackets), keys).groupBy(*bracket, place, F.when(value.between(lo, hi), value).alias("at")).agg(
         F.count("*").alias("rows"), F.min("value").alias("least"))
     upto = F.sum("rows").over(Window.partitionBy(*bracket).orderBy("place", "at"))
     ranks = F.collect_list(F.struct("p", "rank", "n")).alias("ranks")
