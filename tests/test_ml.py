@@ -177,3 +177,17 @@ def test_run_models(spark, sf_dir, tmp_path):
     assert {r.model: (r.status, r.reason is None) for r in runs.collect()} == {
         "demand_prediction": ("skipped", False), "stop_clustering": ("failed", False)}
     assert tuple(totals.collect()[0]) == (0, 1, 1)
+
+
+def test_efficiency_reads_its_features_once(spark):
+    """Fitting goes over the scores many times; the features behind them are computed once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(value):
+        seen.add(1)
+        return float(value)
+
+    columns = [F.col("id").alias("route_id"), F.udf(counted, "double")("id").alias("n_stops")]
+    columns += [(F.col("id") % (i + 2)).cast("double").alias(c) for i, c in enumerate(models.FEATURE_COLUMNS) if c != "n_stops"]
+    models.fit_efficiency(spark.range(40).select(*columns))
+    assert seen.value == 40

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tramline.functions.expressions import is_peak
 from tramline.ml.prep import with_split
 from tramline.operators.routes import FEATURE_COLUMNS, efficiency_score
+from tramline.session import materialise
 
 DEMAND_FEATURES = ["hour", "is_peak", "stop_lat", "stop_lon"]
 
@@ -201,8 +202,11 @@ def predict_demand(model: PipelineModel, requests: DataFrame, stops: DataFrame)
 # --- route efficiency -------------------------------------------------------
 
 def fit_efficiency(features: DataFrame, noise: bool = False, seed: int = 42) -> PipelineModel:
-    """Regressor of the efficiency score over the nine route features."""
-    scored = efficiency_score(features, noise=noise, seed=seed)
+    """Regressor of the efficiency score over the nine route features.
+
+    Features and scores are checkpointed: the scores read the features twice, fitting reads the scores several times.
+    """
+    scored = materialise(efficiency_score(materialise(features), noise=noise, seed=seed))
     regressor = GBTRegressor(labelCol="efficiency", maxIter=20, seed=seed)
     return _regression_pipeline(FEATURE_COLUMNS, regressor).fit(scored)
 

@@ -13,7 +13,7 @@ from tramline.plans import roles
 from tramline.plans.demand_checks import demand, features
 from tramline.plans.registry import query
 from tramline.plans.roles import rounded, table, with_roles
-from tramline.session import new_folder
+from tramline.session import materialise, new_folder
 
 ROW = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -175,8 +175,9 @@ def saved_model(spark, d):
 
 @query("m9_efficiency_model")
 def efficiency_model(spark, d):
-    scored = efficiency_score(features(spark, d))
-    model = models.fit_efficiency(features(spark, d))
+    found = materialise(features(spark, d))
+    scored = efficiency_score(found)
+    model = models.fit_efficiency(found)
     return rounded(model.transform(scored).select("route_id", "efficiency", "prediction"))
 
 
