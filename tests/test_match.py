@@ -47,6 +47,26 @@ def test_closest_names_long_texts():
         assert [f[1] for f in found] == expected
 
 
+def test_closest_names_compares_few_names(monkeypatch):
+    """Names of the same letters all share the letter bound; few of them are compared in full."""
+    calls = []
+
+    class Counted(SequenceMatcher):
+        def ratio(self):
+            calls.append(1)
+            return super().ratio()
+
+    monkeypatch.setattr(match, "SequenceMatcher", Counted)
+    rng = random.Random(5)
+    names = sorted({"Stop " + "".join(rng.sample("1234567", 7)) for _ in range(600)} | {"", "long " * 60})
+    asked = ["Sop 7654321", "Stp 1234576", "Stop 12x4567", "long " * 50, "🚌" * 70]
+    found = {f[0]: f[1:] for f in match.closest_names(asked, names, 0.6)}
+    assert len(calls) < 600
+    for word in asked:
+        best = max((SequenceMatcher(None, name, word).ratio(), name) for name in names)
+        assert found.get(word) == ((best[1], best[0]) if best[0] >= 0.6 else None)
+
+
 def test_fuzzy_cutoff_and_ties(spark):
     names = spark.createDataFrame([("abcdX", 2), ("abcdY", 1), ("abcdY", 0), ("zzzz", 3)], "stop_name string, stop_id int")
     asked = spark.createDataFrame([("abcd",), ("qqqq",), (None,)], "t string")

@@ -26,6 +26,8 @@ NAMES_PER_CELL = 20_000
 QUESTIONS_PER_CELL = 2_000
 VECTORS_PER_CELL = 16_384
 SCORE_DIGITS = 12
+#: Longer names are bounded by their letters alone.
+LONGEST_CODED = 128
 
 
 # --- origin and destination -------------------------------------------------
@@ -74,25 +76,60 @@ def _grid_cells(
 
 # --- fuzzy names ------------------------------------------------------------
 
+def _letter_groups(names: Sequence[str]) -> tuple[dict[str, np.ndarray], list[np.ndarray]]:
+    """Per letter the kinds of names that have it and how often, and the names of each kind.
+
+    Names of the same letters, in whatever order, are one kind.
+    """
+    kinds, postings = defaultdict(list), defaultdict(list)
+    for i, name in enumerate(names):
+        kinds["".join(sorted(name))].append(i)
+    for at, kind in enumerate(kinds):
+        for letter, count in Counter(kind).items():
+            postings[letter].append((at, count))
+    return {k: np.array(v, dtype=np.int64).T for k, v in postings.items()}, [np.array(rows) for rows in kinds.values()]
+
+
+def _common_letters(word: str, codes: np.ndarray, letters: dict[str, int]) -> np.ndarray:
+    """Length of the longest common subsequence of ``word`` (64 letters at most) with every row of letter numbers.
+
+    One bit per letter of the word, all rows at once; a cleared bit is one more letter in common.
+    """
+    places = np.zeros(len(letters) + 1, dtype=np.uint64)
+    for i, letter in enumerate(word):
+        if letter in letters:
+            places[letters[letter]] |= np.uint64(1 << i)
+    open_ = np.full(len(codes), np.uint64((1 << 64) - 1))
+    for column in codes.T:
+        met = open_ & places[column]
+        open_ = (open_ + met) | (open_ - met)
+    return np.bitwise_count(~open_).astype(np.int64)
+
+
 def closest_names(asked: Sequence[str], names: Sequence[str], cutoff: float) -> list[tuple[str, str, float]]:
     """Best (word, name, ratio) per word with ratio >= cutoff; the larger name on a tie.
 
-    The shared-letter count bounds the ratio from above, so names are tried from the
-    highest bound down and the search ends when no bound can reach the best ratio.
+    The shared-letter count bounds the ratio from above; it is the same for all names of the same
+    letters and counted once for them.  Names are tried from the highest bound down, and of these
+    only such whose longest common subsequence, a closer bound, still lets them win.  The
+    search ends when no bound can reach the best ratio.
     """
-    lengths = np.array([len(n) for n in names], dtype=np.int64)
-    postings = defaultdict(list)
+    if not len(names):
+        return []
+    columns, kinds = _letter_groups(names)
+    letters = {c: k for k, c in enumerate(columns)}
+    lengths = np.array([len(names[rows[0]]) for rows in kinds], dtype=np.int64)
+    codes = np.full((len(names), min(max(map(len, names)), LONGEST_CODED)), len(letters), dtype=np.int32)
     for i, name in enumerate(names):
-        for letter, count in Counter(name).items():
-            postings[letter].append((i, count))
-    columns = {k: np.array(v, dtype=np.int64).T for k, v in postings.items()}
+        if len(name) <= LONGEST_CODED:
+            codes[i, :len(name)] = [letters[c] for c in name]
     found = []
     for word in asked:
-        shared = np.zeros(len(names), dtype=np.int64)
+        shared = np.zeros(len(kinds), dtype=np.int64)
         for letter, count in Counter(word).items():
             if letter in columns:
-                at, have = columns[letter]
-                shared[at] += np.minimum(have, count)
+                which, have = columns[letter]
+                shared[which] += np.minimum(have, count)
         total = lengths + len(word)
         bound = np.where(total > 0, 2.0 * shared / np.maximum(total, 1), 1.0)
         likely = np.flatnonzero(bound >= cutoff)
@@ -101,13 +138,28 @@ def closest_names(asked: Sequence[str], names: Sequence[str], cutoff: float) ->
         matcher.set_seq2(word)
         best = (cutoff, "")
         hit = False
-        for i in order:
-            if bound[i] < best[0]:
-                break
-            matcher.set_seq1(names[i])
-            ratio = matcher.ratio()
-            if ratio >= cutoff and (not hit or (ratio, names[i]) > best):
-                best, hit = (ratio, names[i]), True
+        at, step = 0, 8
+        while at < len(order) and bound[order[at]] >= best[0]:
+            some = order[at:at + step]
+            at, step = at + step, min(step * 2, 1024)
+            rows = np.concatenate([kinds[k] for k in some])
+            kind_of = np.repeat(some, [len(kinds[k]) for k in some])
+            most = bound[kind_of]
+            coded = lengths[kind_of] <= LONGEST_CODED
+            if 0 < len(word) <= 64 and coded.any():
+                common = _common_letters(word, codes[rows[coded]], letters)
+                most[coded] = np.minimum(most[coded], 2.0 * common / total[kind_of[coded]])
+            likely_rows = np.flatnonzero(most >= best[0])
+            for i in likely_rows[np.argsort(-most[likely_rows], kind="stable")]:
+                if most[i] < best[0]:
+                    break
+                name = names[rows[i]]
+                if hit and most[i] == best[0] and name <= best[1]:
+                    continue
+                matcher.set_seq1(name)
+                ratio = matcher.ratio()
+                if ratio >= cutoff and (not hit or (ratio, name) > best):
+                    best, hit = (ratio, name), True
         if hit:
             found.append((word, best[1], best[0]))
     return found
