@@ -1,9 +1,11 @@
 """Plans that must not appear whatever the data size."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tramline.plans import roles
 from tramline.plans.catalog import QUERIES
+from tramline.plans.flows import answer_trip_questions
 from tramline.session import new_folder
 from tramline.sources.snapshots import write_bucketed
 
@@ -58,3 +60,22 @@ def test_no_whole_column_percentile(spark, sf_dir):
     for name in ("d15_describe", "d17_imputed", "d18_outliers_capped", "d25_route_flags", "d32_usage_statistics"):
         plan = plan_of(QUERIES[name](spark, sf_dir))
         assert "percentile(" not in plan and "median(" not in plan, name
+
+
+def test_trip_questions_are_read_once(spark):
+    """Matching and joining go over the questions again and again; what makes them runs once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def text(i):
+        seen.add(1)
+        return f"Stp{i} to Stop{i + 1}"
+
+    asked = spark.range(6).select(F.udf(text, "string")("id").alias("question"))
+    stations = spark.createDataFrame([(i, f"Stop{i}") for i in range(8)], "id long, stop_name string")
+    trips = spark.createDataFrame([(1, 5, 2, 3)], "trip_id long, route_id long, start_station_id long, destination_id long")
+    routes = spark.createDataFrame([(5, "r5", "line 5")], "route_id long, short_name string, long_name string")
+    fares = spark.createDataFrame([(1, 2, 3, 4.5)], "id long, start_station_id long, end_station_id long, fare_amount double")
+    rows = {r.question: r for r in answer_trip_questions(asked, stations, routes, trips, fares).collect()}
+    assert len(rows) == 6 and rows["Stp2 to Stop3"].route == "r5 - line 5" and rows["Stp2 to Stop3"].fare_amount == 4.5
+    assert rows["Stp4 to Stop5"].route is None and rows["Stp4 to Stop5"].from_name == "Stop4"
+    assert seen.value == 6

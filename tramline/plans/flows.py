@@ -23,12 +23,13 @@ def answer_trip_questions(
 ) -> DataFrame:
     """``A to B`` questions to stations, a direct route and a fare.
 
-    Each distinct place name is matched once, each distinct station pair is routed once.
+    Each distinct question is parsed once, each distinct place name is matched once, each distinct station pair is
+    routed once; parsed questions and places are checkpointed, since matching and both joins read them again.
     """
-    parsed = match.parse_od(questions.select(text).distinct(), text)
-    places = parsed.select(F.col("origin").alias("place")).unionByName(
+    parsed = materialise(match.parse_od(questions.select(text).distinct(), text))
+    places = materialise(parsed.select(F.col("origin").alias("place")).unionByName(
         parsed.select(F.col("destination").alias("place"))
-    ).dropna().distinct()
+    ).dropna().distinct())
     found = materialise(match.fuzzy_match(places, stations, "place", "stop_name", ["id"]).select(
         "place", F.col("matched_id").alias("station"), F.col("matched_name").alias("name")
     ))
