@@ -1,9 +1,11 @@
 """Matching against plain Python."""
 
 import random
+import tracemalloc
 from difflib import SequenceMatcher, get_close_matches
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +93,28 @@ def test_top1_like_brute_force(spark, rows):
     assert found[30][0] == 3
 
 
+def test_a_cell_of_vectors_takes_little_memory(spark, monkeypatch):
+    """Every worker of an executor may hold a whole cell, so the scores of a cell are never there at once."""
+    cells = []
+
+    def watched(left, right, left_key, right_key, left_rows, right_rows, best, schema):
+        cells.append((best, right_rows))
+        return spark.createDataFrame([], schema)
+
+    monkeypatch.setattr(match, "_grid_cells", watched)
+    vectors = spark.createDataFrame([(1, [1.0])], "id long, embedding array<float>")
+    match.top1_similar(vectors, vectors, "id", "id")
+    best, rows = cells[0]
+    known = np.random.default_rng(4).normal(size=(rows, 8)).astype("float32")
+    asked = pd.DataFrame({"q": range(300), "qv": list(known[:300] * 2)})
+    tracemalloc.start()
+    found = best(asked, pd.DataFrame({"c": range(rows), "cv": list(known)}))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found["c"].tolist() == list(range(300)) and found["score"].tolist() == [1.0] * 300
+    assert peak < 32 << 20
+
+
 def test_empty_corpus_gives_the_apology(spark):
     left = spark.createDataFrame([(1, [1.0])], "question_id long, embedding array<double>")
     right = spark.createDataFrame([], "corpus_id long, embedding array<double>, answer string, context string, type string")

@@ -25,6 +25,8 @@ from tramline.session import is_broadcast_size
 NAMES_PER_CELL = 20_000
 QUESTIONS_PER_CELL = 2_000
 VECTORS_PER_CELL = 16_384
+#: Questions of a cell that are scored at a time, 8 MB of scores against a whole cell.
+BLOCK_ROWS = 64
 SCORE_DIGITS = 12
 #: Longer names are bounded by their letters alone.
 LONGEST_CODED = 128
@@ -237,8 +239,9 @@ def top1_similar(
         targets = _unit_rows(known["cv"]).T
         unit = _unit_rows(asked["qv"])
         at, score = [], []
-        for start in range(0, len(unit), 256):
-            block = np.round(unit[start:start + 256] @ targets, SCORE_DIGITS)
+        for start in range(0, len(unit), BLOCK_ROWS):
+            block = unit[start:start + BLOCK_ROWS] @ targets
+            np.round(block, SCORE_DIGITS, out=block)
             first = block.argmax(axis=1)
             at.append(first)
             score.append(block[np.arange(len(block)), first])
