@@ -17,7 +17,11 @@ from tramline.llm.common import worker_store
 
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 PLAIN = regex.compile(r"[\x21-\x7e\xa1-ɏ]+")
-ENDS = ".,;:!?"
+#: Letters of the plain range.
+LETTER = regex.compile(r"[a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ]")
+ENDS = b".,;:!?"
+#: The start of special tokens, and the first byte of all marks that join an ASCII letter to one character.
+AS_IS = (b"<|", b"\xcc")
 CACHED_WORDS = 200_000
 #: What the tokenizer must be for words to be independent of each other.
 NORMALISERS = ["NFC", "Replace", "Lowercase"]
@@ -50,12 +54,14 @@ class WordEncoder:
         if kinds != (NORMALISERS, SPLITTERS) or steps[0]["pattern"] != {"Regex": SPLIT}:
             raise ValueError(f"{path}: words are not independent under {kinds}, or split in another way")
         self.model = self.whole.model
-        self.letters = byte_letters()
-        self.ends: dict[str, bytes] = {}
+        self.letters = dict(enumerate(byte_letters()))
+        self.ends: dict[int, bytes] = {}
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def _word(self, raw: bytes) -> bytes:
+        if raw.isalpha():
+            return self._tokens(raw.lower().decode())
         word = raw.decode("utf-8", "replace")
         plain = word.isprintable() if word.isascii() else PLAIN.fullmatch(word)
         if not plain or "<|" in word:
@@ -63,32 +69,49 @@ class WordEncoder:
         low = word.lower()
         if low.isalpha():
             return self._piece(low)
-        if low[:-1].isalpha() and low[-1] in ENDS:
-            return self._piece(low[:-1]) + self._end(low[-1])
         return b"".join(map(self._piece, PIECES.findall(low)))
 
     def _piece(self, piece: str) -> bytes:
-        mapped = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        return self._tokens(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters))
+
+    def _tokens(self, mapped: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
-    def _end(self, mark: str) -> bytes:
+    def _end(self, mark: int) -> bytes:
         if mark not in self.ends:
-            self.ends[mark] = self._piece(mark)
+            self.ends[mark] = self._piece(chr(mark))
         return self.ends[mark]
 
     def _miss(self, word: bytes) -> bytes:
         ids = self.young.get(word)
+        if ids is not None:
+            return ids
+        if word[-1] in ENDS and (word[-2:-1].isalpha() or word[-2:-1] > b"\x7f" and LETTER.fullmatch(word.decode("utf-8", "replace").lower()[-2])):
+            # A mark after a letter is a piece of its own: a new word is kept without it, one that comes again also with it.
+            known = self.young.get(word[:-1])
+            if known is None:
+                return self._kept(word[:-1]) + self._end(word[-1])
+            ids = known + self._end(word[-1])
+            self._keep(word, ids)
+            return ids
+        return self._kept(word)
+
+    def _kept(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
         if ids is None:
-            ids = self.old.get(word)
-            if ids is None:
-                ids = self._word(word)
-            if len(self.young) >= CACHED_WORDS:
-                self.old, self.young = self.young, {}
-            self.young[word] = ids
+            ids = self._word(word)
+        self._keep(word, ids)
         return ids
 
+    def _keep(self, word: bytes, ids: bytes) -> None:
+        if len(self.young) >= CACHED_WORDS:
+            self.old, self.young = self.young, {}
+        self.young[word] = ids
+
     def encode(self, text: bytes) -> bytes:
-        words = text.split()
+        # Words are lowered here, so that one entry does for all their spellings, unless that could change them: special
+        # tokens are not lowered, and a mark over a letter may have its own character with one case only.
+        words = (text if any(x in text for x in AS_IS) else text.lower()).split()
         ids = list(map(self.young.get, words))
         if None in ids:
             ids = [self._miss(w) if i is None else i for w, i in zip(words, ids)]

@@ -33,12 +33,15 @@ PIECES = "start bigint, length bigint, ids binary, doc_tokens bigint, sequence_i
 OUT_BYTES = 4 << 20
 #: Every n-th rest of a pool is cut into small pieces of this share of a window.
 FINE_EVERY, FINE_SHARE = 4, 16
+#: Nodes of a differencing stand in the low bits; there are fewer than items times subsets.
+NODE_BITS = 40
+NODE = (1 << NODE_BITS) - 1
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
     """Spreads items over ``k`` subsets of near-equal sums; gives the item numbers of each.
 
-    A partial partition is kept as its non-empty subsets (sum, node), largest first, each sum
+    A partial partition is kept as its non-empty subsets (sum and node), largest first, each sum
     relative to the smallest of the ``k``; missing ones are empty and equal to that smallest
     one.  Nodes below ``len(sizes)`` are items, the others pairs of nodes.
     """
@@ -46,30 +49,30 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
         return [list(range(len(sizes)))] + [[] for _ in range(k - 1)]
     pairs: list[tuple[int, int]] = []
     count = len(sizes)
-    heap: list[tuple] = [(-size, at, [(size, at)]) for at, size in enumerate(sizes)]
+    # A subset is one number, its sum above its node.
+    heap: list[tuple] = [(-size, at, [size << NODE_BITS | at]) for at, size in enumerate(sizes)]
     heapq.heapify(heap)
     while len(heap) > 1:
         _, order, a = heapq.heappop(heap)
-        _, _, b = heap[0]
+        b = heap[0][2]
         over = len(a) + len(b) - k
         if over <= 0:
             merged = a + b
         else:
             # The largest of b meet the empty places of a, the others its smallest.
             keep = len(b) - over
+            new = count + len(pairs)
+            met = a[: -over - 1 : -1]
+            pairs += [(x & NODE, y & NODE) for x, y in zip(met, b[keep:])]
             merged = a[: len(a) - over] + b[:keep]
-            for (x, p), (y, q) in zip(a[: -over - 1 : -1], b[keep:]):
-                merged.append((x + y, count + len(pairs)))
-                pairs.append((p, q))
+            merged += [((x >> NODE_BITS) + (y >> NODE_BITS) << NODE_BITS) | node for node, (x, y) in enumerate(zip(met, b[keep:]), new)]
         merged.sort(reverse=True)
-        spread = merged[0][0]
-        if len(merged) == k and (low := merged[-1][0]):
-            merged = [(x - low, p) for x, p in merged]
-            spread -= low
-        heapq.heapreplace(heap, (-spread, order, merged))
+        if len(merged) == k and (low := merged[-1] >> NODE_BITS << NODE_BITS):
+            merged = [x - low for x in merged]
+        heapq.heapreplace(heap, (-(merged[0] >> NODE_BITS), order, merged))
     subsets = []
-    for _, root in heap[0][2]:
-        found, todo = [], [root]
+    for root in heap[0][2]:
+        found, todo = [], [root & NODE]
         while todo:
             node = todo.pop()
             if node < count:
