@@ -107,13 +107,17 @@ def flagged(df: DataFrame, asked: DataFrame, keys: list[str], name: str) -> Data
 
     The bit table is broadcast and has a fixed size, whatever is asked.
     """
-    position = F.pmod(F.xxhash64(*keys), F.lit(KEY_BITS))
-    row, bit = F.floor(position / ROW_BITS).cast("int"), (position % ROW_BITS)
-    bits = asked.select(row.alias("__row"), bit.alias("__bit")).repartition("__row").groupBy("__row").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    position = F.xxhash64(*keys).bitwiseAND(F.lit(KEY_BITS - 1))
+    row, bit = F.shiftright(position, ROW_BITS.bit_length() - 1).cast("int"), position.bitwiseAND(F.lit(ROW_BITS - 1)).cast("int")
+    bits = asked.select(row.alias("__row"), bit.cast("bigint").alias("__bit")).repartition("__row").groupBy("__row").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    # Numbers of 32 bits, highest byte first: hexadecimal text is read once for each of them and not for every row of df.
+    number = lambda at: F.conv(F.hex(F.substring(F.col("__bits"), at * 4 + 1, F.lit(4))), 16, 10).cast("bigint")
+    signed = lambda n: (n - F.when(n > (1 << 31) - 1, F.lit(1 << 32)).otherwise(F.lit(0))).cast("int")
+    words = F.transform(F.sequence(F.lit(0), F.lit(ROW_BITS // 32 - 1)), lambda at: let(number(at), signed))
+    bits = bits.select("__row", words.alias("__words"))
     placed = df.select("*", row.alias("__row"), bit.alias("__bit")).join(F.broadcast(bits), "__row", "left")
-    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    told = F.expr("1 << cast(__bit % 8 as int)").bitwiseAND(byte) != 0
-    return placed.withColumn(name, F.coalesce(told, F.lit(False))).drop("__row", "__bit", "__bits")
+    told = F.expr("shiftright(get(__words, shiftright(__bit, 5)), (__bit & 31) ^ 24) & 1 = 1")
+    return placed.withColumn(name, F.coalesce(told, F.lit(False))).drop("__row", "__bit", "__words")
 
 
 #: Documents without an id come first.
