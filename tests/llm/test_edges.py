@@ -59,6 +59,12 @@ def test_contamination(docs, items, nothing):
     assert decontaminate.decontaminate(docs, items).columns == docs.columns
 
 
+def test_decontamination_calls_each_pass_once(docs, items):
+    """Its filter reads what the pass found; two calls would hold two workers a task."""
+    plan = decontaminate.decontaminate(docs, items)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1
+
+
 def test_quality(docs, nothing):
     found = quality_rules.quality_rules(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_common_words", "n_common_lines", "base_failed", "kept")

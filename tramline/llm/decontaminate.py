@@ -192,7 +192,8 @@ def _scanner(block, window: int):
     def later_pass(texts: pa.Array, earlier: pa.Array) -> pa.Array:
         return scan(texts, earlier)
 
-    return first_pass, later_pass
+    # A filter on what a pass found is pushed below it with a second call of the pass, and with a second set of workers.
+    return first_pass.asNondeterministic(), later_pass.asNondeterministic()
 
 
 def _scan_batch(automaton: SuffixAutomaton, texts: pa.Array, earlier) -> pa.Array:
