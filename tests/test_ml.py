@@ -77,6 +77,24 @@ def test_grid_beats_the_mean(spark):
     assert again[0].test_score == pytest.approx(scores["Random Forest"])
 
 
+def test_grid_deals_a_large_table_out(spark):
+    """Rows that one file part holds are fitted by all cores, in even shares; a small table keeps its parts."""
+    shares = []
+
+    class Noted(LinearRegression):
+        def fit(self, df):
+            shares.append([r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()])
+            return super().fit(df)
+
+    for n in (120_000, 1_000):
+        df = spark.range(n).coalesce(1).select(F.col("id").cast("double").alias("x"), (F.col("id") % 7 + F.col("id") * 2.0).alias("label"))
+        data = prep.build_preprocessor(df, ["x"], []).fit(df).transform(df).select("features", "label")
+        models.fit_grid(data, data.limit(10), "regression", estimators={"Linear Regression": Noted()})
+    large, small = shares
+    assert len(large) == spark.sparkContext.defaultParallelism and sum(large) == 120_000 and max(large) - min(large) <= len(large)
+    assert small == [1_000]
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, 3.0), (3.0, 3.0)], "label double, prediction double")
     row = models.regression_metrics(df).collect()[0]

@@ -73,6 +73,16 @@ def _compact(df: DataFrame, rows: int, rows_per_task: int = 100_000) -> DataFram
     return df.coalesce(wanted)
 
 
+def _spread(df: DataFrame, rows: int, least: int = 100_000, rows_per_task: int = 500_000) -> DataFrame:
+    """Rows of a table over ``least`` rows dealt evenly to at least one task per core.
+
+    Every fit makes hundreds of passes over them, and their files may have fewer or uneven parts (a row group is read by one task).
+    """
+    if rows <= least:
+        return _compact(df, rows)
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, rows // rows_per_task))
+
+
 def fit_grid(
     train: DataFrame, test: DataFrame, task: str, n_classes: int = 2, full_grid: bool = False,
     ranges: dict[str, dict[str, list]] | None = None, estimators: dict[str, Estimator] | None = None,
@@ -85,7 +95,11 @@ def fit_grid(
     """
     kept = [train.persist(), test.persist()]
     rows = kept[0].count()
-    train, test = (_compact(df, rows) for df in kept)
+    test = _compact(test, rows)
+    train = _spread(train, rows).persist()
+    train.count()
+    kept[0].unpersist()
+    kept[0] = train
     regression = task == "regression"
     evaluator = (
         RegressionEvaluator(metricName="r2") if regression
