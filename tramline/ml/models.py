@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator, Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tramline.functions.expressions import is_peak
+from tramline.ml.folding import FoldedRows, foldable
 from tramline.ml.prep import with_split
 from tramline.operators.routes import FEATURE_COLUMNS, efficiency_score
 from tramline.session import materialise
@@ -29,6 +32,9 @@ FOREST_GRID = {"numTrees": [50, 100, 200], "maxDepth": [10, 20, 30], "minInstanc
 BOOST_GRID = {"maxIter": [50, 100, 200], "stepSize": [0.05, 0.1, 0.2], "maxDepth": [3, 5, 7]}
 LOGISTIC_GRID = {"C": [0.1, 1.0, 10.0], "elasticNetParam": [1.0, 0.0]}
 
+# Tables of more rows are dealt out and folded.
+LARGE = 100_000
+
 
 # --- comparison grid --------------------------------------------------------
 
@@ -73,7 +79,7 @@ def _compact(df: DataFrame, rows: int, rows_per_task: int = 100_000) -> DataFram
     return df.coalesce(wanted)
 
 
-def _spread(df: DataFrame, rows: int, least: int = 100_000, rows_per_task: int = 500_000) -> DataFrame:
+def _spread(df: DataFrame, rows: int, least: int = LARGE, rows_per_task: int = 500_000) -> DataFrame:
     """Rows of a table over ``least`` rows dealt evenly to at least one task per core.
 
     Every fit makes hundreds of passes over them, and their files may have fewer or uneven parts (a row group is read by one task).
@@ -92,39 +98,49 @@ def fit_grid(
 
     The full ranges take up to 27 fits per fold, so they are an option; ``ranges`` may
     give shorter ones per algorithm.  Tables of 100 rows or fewer are fitted as they are.
+    Trees of large tables are fitted and scored on rows folded by their bins.
     """
+    train, test = (df.select("features", "label") for df in (train, test))
     kept = [train.persist(), test.persist()]
-    rows = kept[0].count()
+    shares = [r["count"] for r in train.groupBy(F.spark_partition_id()).count().collect()]
+    rows = sum(shares)
     test = _compact(test, rows)
-    train = _spread(train, rows).persist()
-    train.count()
-    kept[0].unpersist()
-    kept[0] = train
+    if rows <= LARGE or len(shares) < train.sparkSession.sparkContext.defaultParallelism or max(shares) * len(shares) > 2 * rows:
+        train = _spread(train, rows).persist()
+        train.count()
+        kept[0].unpersist()
+        kept[0] = train
     regression = task == "regression"
     evaluator = (
         RegressionEvaluator(metricName="r2") if regression
         else MulticlassClassificationEvaluator(metricName="accuracy")
     )
-    fitted = []
+    wanted = {}
     for name, (estimator, full) in candidates(task, n_classes).items():
-        if estimators is not None:
-            if name not in estimators:
-                continue
-            estimator = estimators[name]
-        searched = (ranges or {}).get(name, full if full_grid else {})
-        if searched and rows > 100:
-            search = CrossValidator(
-                estimator=estimator, estimatorParamMaps=_grid(estimator, searched, rows),
-                evaluator=evaluator, numFolds=folds, seed=42, parallelism=parallelism,
-            )
-            model = search.fit(train).bestModel
-        else:
-            model = estimator.fit(train)
-        scored = model.transform(test)
-        fitted.append(Fitted(
-            name, model, evaluator.evaluate(model.transform(train)), evaluator.evaluate(scored),
-            RegressionEvaluator(metricName="mse").evaluate(scored) if regression else None,
-        ))
+        if estimators is None or name in estimators:
+            wanted[name] = ((estimators or {}).get(name, estimator), (ranges or {}).get(name, full if full_grid else {}))
+    folded = FoldedRows(train, test, not regression)
+    fitted = []
+    with ThreadPoolExecutor(parallelism) as pool:
+        by_fold = inheritable_thread_target(train.sparkSession)(folded.fit)
+        begun = {name: pool.submit(by_fold, e) for name, (e, searched) in wanted.items() if rows > LARGE and not searched and foldable(e)}
+        for name, (estimator, searched) in wanted.items():
+            if name in begun and (found := begun[name].result()):
+                model, train_score, of_test = found
+            else:
+                if searched and rows > 100:
+                    search = CrossValidator(
+                        estimator=estimator, estimatorParamMaps=_grid(estimator, searched, rows),
+                        evaluator=evaluator, numFolds=folds, seed=42, parallelism=parallelism,
+                    )
+                    model = search.fit(train).bestModel
+                else:
+                    model = estimator.fit(train)
+                train_score, of_test = evaluator.evaluate(model.transform(train)), None
+            if of_test is None:
+                scored = model.transform(test)
+                of_test = evaluator.evaluate(scored), RegressionEvaluator(metricName="mse").evaluate(scored) if regression else None
+            fitted.append(Fitted(name, model, train_score, *of_test))
     for df in kept:
         df.unpersist()
     return fitted
