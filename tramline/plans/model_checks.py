@@ -108,10 +108,13 @@ def classification_grid(spark, d):
     rows = prepared(spark, d).drop("label").withColumn("label", F.col("l_linestatus_index"))
     assembled = VectorAssembler(inputCols=["numbers_scaled", "l_returnflag_hot"], outputCol="f").transform(rows)
     data = assembled.select(*ROW, F.col("f").alias("features"), "label")
-    marked = prep.stratified_or_plain(data, ROW, "label", prep.test_fraction(data.count()))
+    # Split and features of all rows are made once for both parts.
+    marked = prep.stratified_or_plain(data, ROW, "label", prep.test_fraction(data.count())).select("features", "label", "is_test").persist()
     train, test = marked.filter(~F.col("is_test")), marked.filter("is_test")
     classes = data.agg(F.count_distinct("label")).first()[0]
-    return models.metrics_table(spark, "l_linestatus", "classification", models.fit_grid(train, test, "classification", n_classes=classes))
+    fitted = models.fit_grid(train, test, "classification", n_classes=classes)
+    marked.unpersist()
+    return models.metrics_table(spark, "l_linestatus", "classification", fitted)
 
 
 @query("m7_kept_winner", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, true AS same FROM lineitem")
